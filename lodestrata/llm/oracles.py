@@ -38,4 +38,37 @@ best AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS r
 SELECT page_id, u.host, u.path, rule, coalesce(v, 'allow') AS verdict FROM urls u LEFT JOIN best b ON u.host = b.host AND u.path = b.path
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1, "op4_line_dedup": OP4, "op8_url_filter": OP8}
+#: The walk starts at slot (step 0) and goes on while it is outside 0..n-1.
+OP2 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS sz, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS code FROM d GROUP BY source),
+weighed AS (SELECT *, CASE code % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, (SELECT sum(sz) FROM src) AS total FROM src),
+sorted AS (SELECT *, coalesce(sum(3 * sz) OVER p, 0) AS pc, coalesce(sum(w) OVER p, 0) AS pw, (SELECT sum(w) FROM weighed) AS ws FROM weighed
+    WINDOW p AS (ORDER BY sz::DOUBLE / w, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+capped AS (SELECT *, bool_and(w * (total - pc) > 3 * sz * (ws - pw)) OVER (ORDER BY sz::DOUBLE / w, code ROWS UNBOUNDED PRECEDING) AS full_ FROM sorted),
+target AS (SELECT source, code, sz, CASE WHEN full_ THEN (3 * sz)::DOUBLE ELSE (w * (total - (SELECT coalesce(sum(3 * sz) FILTER (full_), 0) FROM capped)))::DOUBLE / (SELECT sum(w) FILTER (NOT full_) FROM capped) END AS target FROM capped),
+plan AS (SELECT *, (sz + 127) // 128 AS n, CASE WHEN sz = 0 THEN 0 ELSE floor(target / sz)::BIGINT END AS passes FROM target),
+plan2 AS (SELECT *, least(n, floor((target - passes * sz) / 128 + 0.5)::BIGINT) AS rest, greatest(1, ceil(log2(greatest(2, n)) / 2))::BIGINT AS h FROM plan),
+walk(code, n, h, m, k, slot, x, step) AS (
+    SELECT code, n, h, (1::BIGINT << h) - 1, (20 * 7919 + code * 104729 + passes * 1299709) % 2147483648, unnest(range(rest)) AS slot, NULL::BIGINT, 0 FROM plan2
+    UNION ALL
+    SELECT code, n, h, m, k, slot, (l << h) | r, step + 1 FROM (SELECT code, n, h, m, k, slot, step, l, r FROM (WALK)))
+, drawn AS (SELECT code, x AS block FROM walk WHERE x < n),
+rows_ AS (SELECT d.doc_id, d.size, d.source, p.code, p.sz, p.target, p.passes, (sum(d.size) OVER (PARTITION BY p.code ORDER BY d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS b, row_number() OVER () AS rn
+    FROM d JOIN plan2 p ON d.source IS NOT DISTINCT FROM p.source),
+parts AS (SELECT rn, code, b, size, unnest(range(b // 128, (b + size - 1) // 128 + 1)) AS block FROM rows_ WHERE size > 0),
+part AS (SELECT rn, sum(least(block * 128 + 128 - b, size) - greatest(block * 128 - b, 0)) AS got FROM parts JOIN drawn USING (code, block) GROUP BY rn)
+SELECT doc_id, size, sz AS source_size, target, (passes * size + coalesce(got, 0))::BIGINT AS taken FROM rows_ LEFT JOIN part USING (rn)
+"""
+
+
+def _walk() -> str:
+    sql = "SELECT code, n, h, m, k, slot, step, coalesce(x, slot) >> h AS l, coalesce(x, slot) & m AS r FROM walk WHERE x IS NULL OR x >= n"
+    for i in range(4):
+        sql = f"SELECT code, n, h, m, k, slot, step, r AS l, xor(l, (((r + k + {i * 15485863}) % 2147483648 * 1103515245 % 2147483648) >> 11) & m) AS r FROM ({sql})"
+    return sql
+
+
+OP2 = OP2.replace("(WALK)", f"({_walk()})")
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import apply_bitmaps, keep_bitmaps
+from .mixing import mix, taken
 from .sharding import shard_by_bytes
 from .url_filter import filter_urls
 
@@ -21,6 +22,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = mix(table(spark, sf_dir, "documents"), ["doc_id"])
+    facts = spark.createDataFrame([(p.code, p.size, p.target) for p in m.plan] or [(0, 0, 0.0)], "_code int, source_size long, target double")
+    out = taken(m).join(F.broadcast(facts), "_code")
+    return out.select(F.col("_c_doc_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
@@ -36,4 +44,4 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op4_line_dedup, op8_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_line_dedup, op8_url_filter)}
