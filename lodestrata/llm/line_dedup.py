@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE, ascii_lower, tasks
+from .common import NULL_ID, SPACE, ascii_lower, stored, tasks
 
 MIN_CHARS = 10
 
@@ -15,7 +15,10 @@ def lines_of(text: F.Column) -> F.Column:
 
 
 def line_key(line: F.Column) -> F.Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACE)))
+    """Stripped and lower-cased; trimming by a set of characters is slow, so only lines that begin or end with one go there."""
+    ends = [F.ascii(F.substring(line, i, 1)) for i in (1, -1)]
+    edge = (ends[0] == 32) | ends[0].between(9, 13) | (ends[1] == 32) | ends[1].between(9, 13)
+    return ascii_lower(F.when(edge, F.btrim(line, F.lit(SPACE))).otherwise(line))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,6 +39,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     lines = docs.select(doc_key(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
     lines = lines.select("_id", "_th", "_pos", line_key(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_chars)
     hashed = lines.select(F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g"), "_id", "_th", "_pos")
+    hashed = stored(hashed, "lines")  # ranging samples it first; texts are split and hashed only once
     ranged = hashed.repartitionByRange(tasks(docs.sparkSession), "_h", "_g", "_id").sortWithinPartitions("_h", "_g", "_id", "_pos")
     first = ranged.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
     gone = ranged.join(first, ["_h", "_g"]).where("_id > _first")
