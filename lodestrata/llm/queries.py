@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import langid, toxicity
 from .ann import nearest
+from .decontam import contaminated
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .mixing import mix, taken
 from .sharding import shard_by_bytes
@@ -74,8 +75,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op10_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann)}
