@@ -42,6 +42,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     hashed = stored(hashed, "lines")  # ranging samples it first; texts are split and hashed only once
     ranged = hashed.repartitionByRange(tasks(docs.sparkSession), "_h", "_g", "_id").sortWithinPartitions("_h", "_g", "_id", "_pos")
     first = ranged.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
+    first = stored(first, "first")  # so that the join has an exchange of its own, whose frequent lines can be split
     gone = ranged.join(first, ["_h", "_g"]).where("_id > _first")
     words = gone.groupBy("_id", "_th", F.shiftright("_pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, _pos & 63)")).alias("bits"))
     return words.groupBy("_id", "_th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("drops"))
