@@ -20,7 +20,7 @@ CLOSURE = 0.15
 #: In the sample, this part of true neighbours must be in the lists that the query ratio selects. At least LEAST lists are read.
 RECALL, LEAST = 0.97, 8
 #: Vectors and queries that one task compares at most, on average.
-TASK_VECTORS, TASK_QUERIES = 4096, 2048
+TASK_VECTORS, TASK_QUERIES = 16384, 2048
 
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,13 +139,64 @@ def dim_of(vectors: DataFrame) -> int | None:
     return found.d if found else None
 
 
+def slices(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    for whole in batches:
+        for lo in range(0, whole.num_rows, n):
+            b = whole.slice(lo, n)
+            yield b, b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+
+def cells_of(lengths: dict[int, int]) -> dict[int, list[int]]:
+    """The cells of each list: short lists share a cell of about TASK_VECTORS, a longer list is dealt to several."""
+    out, cell, room = {}, 0, TASK_VECTORS
+    for own, n in sorted(lengths.items()):
+        parts = -(-n // TASK_VECTORS)
+        if n > room:
+            cell, room = cell + 1, TASK_VECTORS
+        out[own] = list(range(cell, cell + parts))
+        room -= n
+        if parts > 1:
+            cell, room = cell + parts, TASK_VECTORS
+    return out
+
+
+def compare_cell(q: pd.DataFrame, c: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score): the k nearest in the cell of each query, among the lists that it reads."""
+    xq, xc, iq, ic, lc = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy()), q["id"].to_numpy(), c["id"].to_numpy(), c["list"].to_numpy()
+    asked, readers = np.concatenate(q["lists"].to_numpy()), np.repeat(np.arange(len(q)), q["lists"].map(len))
+    rows, cols, scores = [], [], []
+    for own in np.unique(lc):
+        at, reads = np.flatnonzero(lc == own), readers[asked == own]
+        for lo in range(0, len(reads), 512):
+            r = reads[lo : lo + 512]
+            d = dots(xq[r], xc[at])
+            d[iq[r][:, None] == ic[at][None]] = np.inf
+            last = np.partition(d, min(k, len(at)) - 1, axis=1)[:, min(k, len(at)) - 1]
+            i, j = np.nonzero(np.isfinite(d) & (d <= last[:, None] + 1e-9 * (1 + (xq[r] ** 2).sum(1))[:, None]))
+            for a in range(0, len(i), 1 << 16):
+                b = slice(a, a + (1 << 16))
+                rows.append(r[i[b]])
+                cols.append(at[j[b]])
+                scores.append(np.sqrt(((xc[cols[-1]] - xq[rows[-1]]) ** 2).sum(1)))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, col, score = np.concatenate(rows), np.concatenate(cols), np.concatenate(scores)
+    order = np.lexsort((ic[col], score, iq[row]))
+    q_, v_, s_ = iq[row][order], ic[col][order], score[order]
+    new = np.r_[True, (q_[1:] != q_[:-1]) | (v_[1:] != v_[:-1])]  # a copy from another list
+    q_, v_, s_ = q_[new], v_[new], s_[new]
+    first = np.flatnonzero(np.r_[True, q_[1:] != q_[:-1]])
+    top = np.arange(len(q_)) - np.repeat(first, np.diff(np.r_[first, len(q_)])) < k
+    return q_[top], v_[top], s_[top]
+
+
 def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that satisfies ``query`` its k nearest others by Euclidean distance.
 
     Every row is indexed: it goes to the list of its nearest centroid and, at a boundary, to up to COPIES lists. A query
-    reads the lists that the distance ratio selects. Lists are dealt to tasks by their measured length, so a vector that
-    fills a list, however often it occurs, spreads over many tasks; a task returns its k best for a query, and these meet
-    in a window. Scores are computed from the original vectors in double precision; ties go to the smaller id.
+    reads the lists that the distance ratio selects. Lists are dealt to cells by their measured length: short ones share a
+    cell, and a list that one vector fills, however often it occurs, spreads over many. A cell returns its k best for a
+    query, and these meet in a window. Scores are computed from the original vectors in double precision; ties go to the smaller id.
 
     Rows whose vector is null, zero, of another length than most, or has a null or non-finite component take no part; neither do null ids.
     Repeated ids count once, by their nearest row; with fewer than k others all are returned; an empty table gives no rows.
@@ -160,44 +211,36 @@ def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     if index is None:
         return spark.createDataFrame([], schema)
 
-    def place(ratio: float, least: int, most: int | None):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 256):
-                    b = whole.slice(lo, 256)
-                    x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    row, own = index.lists(x, ratio, least, most)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["list", "id", "v"])
-
-        return each
-
-    kept = "list int, id long, v array<double>"
-    lists = stored(rows.select("id", "v").mapInArrow(place(CLOSURE, 1, COPIES), kept), "lists")
-    asks = stored(rows.where("q").select("id", "v").mapInArrow(place(index.ratio, LEAST, None), kept), "asks")
-    length = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TASK_VECTORS).alias("parts"))
-    asked = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).alias("askers"))
-    grid = F.broadcast(length.join(asked, "list"))  # at most LISTS rows
-    cell = lambda mine, n, other, first: F.transform(F.sequence(F.lit(0).cast("long"), F.col(other) - 1), lambda o: F.struct((mine if first else o).alias("a"), (o if first else mine).alias("b")))
-    left = asks.join(grid, "list").select("list", F.explode(cell(F.pmod(F.xxhash64("id"), "askers"), "askers", "parts", True)).alias("c"), "id", "v")
-    right = lists.join(grid, "list").select("list", F.explode(cell(F.pmod(F.xxhash64("id"), "parts"), "parts", "askers", False)).alias("c"), "id", "v")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x in slices(batches):
+            row, own = index.lists(x, CLOSURE, 1, COPIES)
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["list", "id", "v"])
+
+    lists = stored(rows.select("id", "v").mapInArrow(place, "list int, id long, v array<double>"), "lists")
+    cells = cells_of({r.list: r.n for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most LISTS rows
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x in slices(batches):
+            row, own = index.lists(x, index.ratio, LEAST)
+            pairs: dict[tuple[int, int], list[int]] = {}
+            for r, c in zip(row.tolist(), own.tolist(), strict=True):
+                for cell in cells.get(c, []):
+                    pairs.setdefault((cell, r), []).append(c)
+            at = pa.array([r for _, r in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int32()), b.column("id").take(at), b.column("v").take(at), pa.array(list(pairs.values()), pa.list_(pa.int32()))], names=["cell", "id", "v", "lists"])
+
+    asks = stored(rows.where("q").select("id", "v").mapInArrow(ask, "cell int, id long, v array<double>, lists array<int>"), "asks")
+    askers = F.broadcast(asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).alias("askers")))
+    of = spark.createDataFrame(sorted(cells.items()), "list int, cells array<int>")
+    dealt = lists.join(F.broadcast(of), "list").withColumn("cell", F.element_at("cells", (F.pmod(F.xxhash64("id"), F.size("cells")) + 1).cast("int")))
+    left = asks.join(askers, "cell").select("cell", F.pmod(F.xxhash64("id"), "askers").alias("part"), "id", "v", "lists")
+    right = dealt.join(askers, "cell").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("askers") - 1)).alias("part"), "list", "id", "v")
 
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(c):
-            xq, xc = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
-            iq, ic = q["id"].to_numpy(), c["id"].to_numpy()
-            for lo in range(0, len(xq), 256):
-                near = dots(xq[lo : lo + 256], xc)
-                for i, d in enumerate(near, lo):
-                    d[ic == iq[i]] = np.inf
-                    at = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-                    at = np.flatnonzero(d <= d[at].max() + 1e-9 * (1 + xq[i] @ xq[i])) if np.isfinite(d[at]).all() else np.flatnonzero(np.isfinite(d))
-                    score = np.sqrt(((xc[at] - xq[i]) ** 2).sum(1))
-                    best = np.lexsort((ic[at], score))[:k]
-                    out.append(pd.DataFrame({"query_id": iq[i], "vec_id": ic[at][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-
-    found = left.groupBy("list", "c").cogroup(right.groupBy("list", "c")).applyInPandas(compare, "query_id long, vec_id long, score double")
+        best = compare_cell(q, c, k) if len(q) and len(c) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), best, strict=True)))
+
+    found = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(compare, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
