@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, lm_scoring, toxicity
 from .ann import nearest
 from .decontam import contaminated
 from .line_dedup import apply_bitmaps, keep_bitmaps
@@ -33,6 +33,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_c_doc_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), fold(7) == 2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
@@ -83,4 +87,4 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_lm_scoring, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann)}
