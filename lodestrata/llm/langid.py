@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of each language in the training sample (about), words of a training sequence, sequences, passes over them.
 DOCS, LENGTH, SEQUENCES, PASSES = 500, 32, 6000, 3
-#: Hashed features, words of a language's lexicon, words whose scores a worker keeps, words of documents labelled together.
-DIM, LEXICON, CACHE, TOGETHER = 1 << 16, 2000, 200_000, 300_000
+#: Hashed features, words of a language's lexicon, words whose scores a worker keeps, characters of texts labelled together.
+DIM, LEXICON, CACHE, TOGETHER = 1 << 16, 2000, 150_000, 1_500_000
 #: Training sequences that change language in the middle, as code-switched text does.
 SWITCHED = 0.4
 UNKNOWN = "und"
@@ -191,14 +191,15 @@ def sample(docs: DataFrame, most: int = DOCS, id_col: str = "doc_id", text_col:
 def judge(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
     """Each text's language and score; cache keeps words' emissions between calls."""
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    runs = [(i, w) for i, t in enumerate(texts) if crf and (w := letter_runs(t))]
-    runs.sort(key=lambda x: -len(x[1]))
-    while runs:
+    order = sorted((i for i, t in enumerate(texts) if crf and t), key=lambda i: -len(texts[i]))
+    while order:
         n, total = 0, 0
-        while n < len(runs) and (n == 0 or total + len(runs[n][1]) <= TOGETHER):
-            total += len(runs[n][1])
+        while n < len(order) and (n == 0 or total + len(texts[order[n]]) <= TOGETHER):
+            total += len(texts[order[n]])
             n += 1
-        part, runs = runs[:n], runs[n:]
+        part, order = [(i, w) for i in order[:n] if (w := letter_runs(texts[i]))], order[n:]
+        if not part:
+            continue
         codes, unique = pd.factorize(np.array([w for _, words in part for w in words], object))
         fresh = [w for w in unique if w not in cache]
         if len(cache) + len(fresh) > CACHE:
