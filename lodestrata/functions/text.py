@@ -172,6 +172,11 @@ def section_priority(c: Column | str) -> Column:
     return F.when(b == "results_and_discussion", 0).when(b == "results", 1).when(b == "discussion", 2).when(b == "abstract", 3).when(b == "introduction", 4).otherwise(5)
 
 
+def six(c: Column | str) -> Column:
+    """Rounded to six places; the small addition keeps halves, which sums of short decimals often are, from falling either way."""
+    return F.round(col(c) + 1e-9, 6)
+
+
 def unit_score(c: Column) -> Column:
     """A score in 0..1 as it is, any other by the logistic curve (so 1.01 is less than 1)."""
     return F.when(c.between(0.0, 1.0), c).otherwise(1.0 / (1.0 + F.exp(-c)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -230,18 +230,19 @@ def diversified(hits: DataFrame, limit: int, cap: int = SETTINGS.per_doc_cap) ->
     return top(ranked(hits, ["qid", "doc_id"], [F.col("rank")], "_nth"), ["qid"], [nth, F.col("rank")], limit).drop("_nth")
 
 
-def body_expansion(hits: DataFrame, pool: DataFrame, s: Settings = SETTINGS, docs: int = 5, per_doc: int = 2, total: int = 8, first_rank: int = 20) -> DataFrame:
-    """Body chunks added for the first documents whose hits have fewer than three: qid, chunk_id, doc_id, doc_rank, expansion_score, added (from 1).
+def body_expansion(pool: DataFrame, s: Settings = SETTINGS, docs: int = 5, per_doc: int = 2, total: int = 8, first_rank: int = 20) -> DataFrame:
+    """Body chunks added for the first documents of which fewer than three are shown: qid, chunk_id, doc_id, doc_rank, expansion_score, added (from 1).
 
-    pool: qid, chunk_id, doc_id, section, vector_score, bm25_score of raw hits. At most per_doc for each of ``docs`` documents, ``total`` in all.
+    pool: qid, chunk_id, doc_id, section, rank, shown, vector_score, bm25_score of all raw hits, each once; ``shown`` marks
+    those in the answer so far. At most per_doc are added for each of ``docs`` documents, ``total`` in all.
     """
-    body = lambda: F.col("section").isin(*s.lexicon.body_sections)
-    per = hits.groupBy("qid", "doc_id").agg(F.min("rank").alias("doc_rank"), F.sum(body().cast("int")).alias("_n")).where((F.col("_n") < 3) & (F.col("doc_rank") <= first_rank))
-    per = top(per, ["qid"], [F.col("doc_rank"), F.col("doc_id")], docs, "_d").drop("_d")
-    fresh = pool.where(body()).join(hits.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").dropDuplicates(["qid", "chunk_id"])
-    fresh = fresh.join(per.select("qid", "doc_id", "doc_rank"), ["qid", "doc_id"]).withColumn("expansion_score", F.round(F.greatest("vector_score", F.col("bm25_score") * 0.01), 6))
-    fresh = top(fresh, ["qid", "doc_id"], [F.desc("expansion_score"), F.desc("vector_score"), F.desc("bm25_score"), F.col("chunk_id")], per_doc, "_n")
-    return top(fresh, ["qid"], [F.col("doc_rank"), F.col("doc_id"), F.col("_n")], total, "added").select("qid", "chunk_id", "doc_id", "doc_rank", "expansion_score", "added")
+    body, w = F.col("section").isin(*s.lexicon.body_sections), Window.partitionBy("qid", "doc_id")
+    rows = pool.withColumns({"doc_rank": F.min(F.when(F.col("shown"), F.col("rank"))).over(w), "_n": F.sum((F.col("shown") & body).cast("int")).over(w)})
+    rows = rows.where((F.col("doc_rank") <= first_rank) & (F.col("_n") < 3))
+    rows = rows.withColumn("_d", F.dense_rank().over(Window.partitionBy("qid").orderBy("doc_rank", "doc_id"))).where((F.col("_d") <= docs) & ~F.col("shown") & body)
+    rows = rows.withColumn("expansion_score", T.six(F.greatest("vector_score", F.col("bm25_score") * 0.01)))
+    rows = top(rows, ["qid", "doc_id"], [F.desc("expansion_score"), F.desc("vector_score"), F.desc("bm25_score"), F.col("chunk_id")], per_doc, "_k")
+    return top(rows, ["qid"], [F.col("doc_rank"), F.col("doc_id"), F.col("_k")], total, "added").select("qid", "chunk_id", "doc_id", "doc_rank", "expansion_score", "added")
 
 
 def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval_queries
+from . import evidence_queries, retrieval_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (retrieval_queries,):
+for _m in (retrieval_queries, evidence_queries):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, Settings
+from ..functions.session import settle
 from ..operators import corpus
 from ..operators import retrieval as R
 from . import sql as S
@@ -29,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settle(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +259,8 @@ BODY = "('" + "', '".join(X.body_sections) + "')"
 @query(f"""WITH {HITS}, seen AS (SELECT * FROM hits WHERE rank <= 10), pool AS (SELECT * FROM hits WHERE section IN {BODY}),
 per0 AS (SELECT qid, doc_id, min(rank) AS doc_rank, sum((section IN {BODY})::INT) AS nb FROM seen GROUP BY qid, doc_id),
 per AS (SELECT qid, doc_id, doc_rank FROM per0 WHERE nb < 3 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY doc_rank, doc_id) <= 5),
-fresh AS (SELECT p.qid, p.chunk_id, p.doc_id, doc_rank, round(greatest(vector_score, bm25_score * 0.01), 6) AS expansion_score, vector_score, bm25_score FROM pool p JOIN per USING (qid, doc_id) WHERE (p.qid, p.chunk_id) NOT IN (SELECT (qid, chunk_id) FROM seen)),
+fresh AS (SELECT p.qid, p.chunk_id, p.doc_id, doc_rank, round(greatest(vector_score, bm25_score * 0.01) + 1e-9, 6) AS expansion_score, vector_score, bm25_score FROM pool p JOIN per USING (qid, doc_id) WHERE (p.qid, p.chunk_id) NOT IN (SELECT (qid, chunk_id) FROM seen)),
 two AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY expansion_score DESC, vector_score DESC, bm25_score DESC, chunk_id) AS n FROM fresh QUALIFY n <= 2)
 SELECT qid, chunk_id, doc_id, doc_rank, expansion_score, row_number() OVER (PARTITION BY qid ORDER BY doc_rank, doc_id, n) AS added FROM two QUALIFY added <= 8""")
 def body_expand(spark, sf_dir):
-    h = hits(spark, sf_dir)
-    return R.body_expansion(h.where(F.col("rank") <= 10), h)
+    return R.body_expansion(hits(spark, sf_dir).withColumn("shown", F.col("rank") <= 10))
