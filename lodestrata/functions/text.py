@@ -199,13 +199,13 @@ def numbers_and_units(c: Column | str) -> Column:
 
 def facts(c: Column | str, least: int = 12) -> Column:
     """Sentences of at least ``least`` characters."""
-    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[.;!?\n。；！？]+"), F.btrim)
+    parts = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"[.;!?\n。；！？]+"), lambda p: F.btrim(p))
     return F.filter(parts, lambda s: F.char_length(s) >= least)
 
 
 def sentences(c: Column | str, least: int = 24, most: int = 80) -> Column:
     """Up to ``most`` sentences, split after end marks, of ``least`` characters or more; the limit is part of the feature."""
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"([.!?。！？；;])", "$1\n"), "\n"), F.btrim)
+    parts = F.transform(F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"([.!?。！？；;])", "$1\n"), "\n"), lambda p: F.btrim(p))
     return F.slice(F.filter(parts, lambda s: F.char_length(s) >= least), 1, most)
 
 

@@ -178,7 +178,7 @@ def expanded(question: Column | str, lexicon: Lexicon = SETTINGS.lexicon) -> Col
 def compared(question: Column | str) -> Column:
     """What a comparison names: the parts between and, vs, versus or commas of its first sentence, at most four."""
     span = F.regexp_extract(T.col(question), r"(?i)^\s*(?:please )?(?:compare|difference between|比较|对比|相比)?\s*([^.?!:：。？！]*)", 1)
-    parts = F.transform(F.split(span, r"(?i)\s*(?:,|，|、|以及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"), F.btrim)
+    parts = F.transform(F.split(span, r"(?i)\s*(?:,|，|、|以及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"), lambda p: F.btrim(p))
     parts = F.filter(parts, lambda p: F.char_length(p) >= 2)
     return F.when(F.size(parts) >= 2, F.slice(parts, 1, 4)).otherwise(F.array().cast("array<string>"))
 
