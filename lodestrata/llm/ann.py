@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import settled, stored
 
 #: Rows that the index is fitted on at most, vectors a list should have, most lists, most lists of one vector.
 SAMPLE, PER_LIST, LISTS, COPIES = 20_000, 100, 1024, 4
@@ -201,7 +201,7 @@ def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
     Rows whose vector is null, zero, of another length than most, or has a null or non-finite component take no part; neither do null ids.
     Repeated ids count once, by their nearest row; with fewer than k others all are returned; an empty table gives no rows.
     """
-    spark = table.sparkSession
+    spark = settled(table).sparkSession
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
     rows = rows.where(valid("v") & F.col("id").isNotNull())
     dim = dim_of(rows)

@@ -12,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import settle
+
 #: White space of the contracts: space and the ASCII controls from tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,7 +38,7 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
     The table is removed when the driver's JVM ends.
     """
-    spark = df.sparkSession
+    spark = settled(df).sparkSession
     path = f"{scratch_root(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
@@ -45,6 +47,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, after settings of its session: unions don't claim their inputs' partitioning (see functions.session), and Arrow batches
+    hold few rows and bytes, so that long texts don't meet in one batch; a query's shuffle files go when it has ended, as what
+    later steps need is in stored tables."""
+    spark = settle(df.sparkSession)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return df
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

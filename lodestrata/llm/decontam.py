@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settled
+
 #: A passage holds an item if they differ in at most 1 - SIMILARITY of the item's words (inserted, deleted or replaced).
 SIMILARITY = 0.8
 #: Words between window starts, steps of a walk, steps sampled for a key, repetitions.
@@ -191,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A null or empty text holds nothing; null items and items of fewer than LEAST_WORDS words are not looked for; a row
     of docs whose id is null or repeated is searched as its own row; empty tables give no rows; other columns are not looked at.
     """
-    spark, out = docs.sparkSession, None
+    spark, out = settled(docs).sparkSession, None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     schema = "doc_id long, item_id long, similarity double, distance int, start_word int, end_word int"
     for items in blocks(benchmark):
@@ -213,7 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text holds no item."""
-    at, out = docs.columns.index(text_col), docs
+    at, out = docs.columns.index(text_col), settled(docs)
     for items in blocks(benchmark):
         index = Index.over(items)
 

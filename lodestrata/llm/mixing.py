@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums
+from .common import WORD, prefix_sums, settled
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, columns: list[str], block: int = BLOCK, shards: int = O
     A null text has no words; a null source is a source, the last; null ids and repeated rows are rows of their own;
     without words nothing is drawn; an empty table gives an empty plan. Clashing column names cannot occur: inner names start with an underscore.
     """
-    spark = docs.sparkSession
+    spark = settled(docs).sparkSession
     sized = docs.select(*[F.col(c).alias(f"_c_{c}") for c in columns], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"))
     sizes = {r._source: r.n for r in sized.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
     plan = source_plan(sizes, block)

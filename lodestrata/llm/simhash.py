@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, stored, words_of
+from .common import NULL_ID, settled, stored, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
             fp = pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(each, "doc_id long, fp long")
+    return settled(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(each, "doc_id long, fp long")
 
 
 @dataclass
