@@ -212,4 +212,4 @@ def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     where their group has no other id. All columns are kept."""
     found = near_duplicates(docs, **options)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
