@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(spark: SparkSession) -> SparkSession:
@@ -13,3 +16,21 @@ def settle(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written under the shared folder of spark.checkpoint.dir and read again, for a result that a plan uses many times.
+
+    Without that setting a local session uses a folder of its own; a cluster must name one. The table goes when the driver's JVM ends.
+    """
+    spark = settle(df.sparkSession)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/lodestrata-scratch"
+    path = f"{root.rstrip('/')}/lodestrata/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

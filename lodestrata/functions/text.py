@@ -242,3 +242,65 @@ def letter_vector(c: Column | str) -> Column:
     low = F.lower(F.coalesce(col(c), F.lit("")))
     n = F.char_length(low)
     return F.array(*[(n - F.char_length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)])
+
+
+def canonical(c: Column | str, names: dict[str, list[str]]) -> Column:
+    """The normal form with each name's other forms in its place, the longest first, so that no form is cut by a shorter one."""
+    out = normal(c)
+    for form, name in sorted(((f, n) for n, forms in names.items() for f in forms), key=lambda x: (-len(x[0]), x[0])):
+        out = F.replace(out, F.lit(form), F.lit(name))
+    return out
+
+
+def keyword_variants(keyword: Column | str) -> Column:
+    """The forms by which a keyword is looked for: normal, compact, without apostrophes."""
+    n = normal(keyword)
+    return F.array_distinct(F.filter(F.array(n, compact(keyword), F.replace(n, F.lit("'"), F.lit(""))), lambda v: v != ""))
+
+
+def keyword_hits(c: Column | str, keywords: Column | str) -> Column:
+    """Those of an array of keywords that the text has in some form."""
+    forms = F.array(normal(c), compact(c), F.replace(normal(c), F.lit("'"), F.lit("")))
+    return F.filter(F.coalesce(col(keywords), F.array().cast("array<string>")), lambda k: F.exists(keyword_variants(k), lambda v: F.exists(forms, lambda f: F.contains(f, v))))
+
+
+def meets_keywords(c: Column | str, keywords: Column | str, part: float = 0.75) -> Column:
+    """Whether the text has at least ``part`` of the keywords, rounded up; true if there are none."""
+    return F.size(keyword_hits(c, keywords)) >= F.ceil(F.size(F.coalesce(col(keywords), F.array().cast("array<string>"))) * part)
+
+
+def split_captions(c: Column | str) -> Column:
+    """A paragraph as array<struct<kind, text>>: what comes before an inline caption, and each caption up to the next."""
+    marked = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?<=[.!?] )(?=(?:Figure|Fig\.|Table) ?[A-Z]?\d+[.:|])", "\u0001")
+    kind = lambda p: F.when(p.rlike(r"^(Figure|Fig\.) ?[A-Z]?\d+"), "figure_caption").when(p.rlike(r"^Table ?[A-Z]?\d+"), "table_caption").otherwise("paragraph")
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda p: F.btrim(p)), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(kind(p).alias("kind"), p.alias("text")))
+
+
+def section_name(c: Column | str) -> Column:
+    """The usual section that a heading names, numbered or marked or not; null for another heading."""
+    s = F.lower(F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"^[#\s]*(\d+(\.\d+)*\.?)?\s*|[:.\s]+$", "")))
+    names = {
+        "Abstract": r"^(abstract|summary|摘要)$", "Introduction": r"^(introduction|引言|前言)$", "Background": r"^background$", "Results and Discussion": r"^results? and discussions?$", "Methods": r"^(materials? and methods?|methods?|experimental( section| procedures?)?|材料与方法)$",
+        "Results": r"^(results?|findings|结果)$", "Discussion": r"^(discussions?|讨论)$", "Conclusion": r"^(conclusions?|concluding remarks|结论)$", "Acknowledgements": r"^acknowledge?ments?$", "References": r"^(references|bibliography|literature cited|参考文献)$",
+    }
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(names.items()):
+        out = F.when(s.rlike(pattern), name).otherwise(out)
+    return out
+
+
+def branches(question: Column | str) -> Column:
+    """struct<left, right, reason> of a question that compares two things; reason is ok, or why there is no pair."""
+    q = F.btrim(F.regexp_replace(F.coalesce(col(question), F.lit("")), WHITE, " "))
+    patterns = [
+        r"(?i)differences? between (.+?) and (.+?)(?: in | for | when |[?.!]|$)", r"(?i)compare (.+?) (?:and|with|to|versus|vs\.?) (.+?)(?: in | for |[?.!,]|$)", r"(?i)(?:is|are|does|do) (.+?) (?:better|higher|faster|lower) than (.+?)(?:[?.!]|$)",
+        r"(?i)(?:^|: )(.+?) (?:versus|vs\.?) (.+?)(?:[?.!,:]|$)", r"(?:比较|对比)(.+?)(?:和|与|及)(.+?)(?:的|在|，|。|？|$)", r"(.+?)(?:和|与)(.+?)(?:的)?(?:区别|差异|不同)", r"(.+?)相比(.+?)(?:，|。|？|$)",
+    ]
+    tidy = lambda x: F.btrim(F.regexp_replace(x, r"(?i)^(the|a|an)\s+|[\s,;，；]+$", ""))
+    left = F.coalesce(*[F.nullif(tidy(F.regexp_extract(q, p, 1)), F.lit("")) for p in patterns])
+    right = F.coalesce(*[F.nullif(tidy(F.regexp_extract(q, p, 2)), F.lit("")) for p in patterns])
+    generic = lambda x: F.lower(x).isin("them", "it", "they", "others", "both", "two", "it's", "它们", "两者", "二者")
+    bad = lambda x: generic(x) | (F.char_length(x) < 2) | (F.char_length(x) > 80) | (F.octet_length(x) > 120)
+    why = F.when(left.isNull() | right.isNull(), "no_pattern").when(bad(left) | bad(right), "invalid_branch").when(F.lower(left) == F.lower(right), "same_branch").otherwise("ok")
+    return F.struct(F.when(why == "ok", left).alias("left"), F.when(why == "ok", right).alias("right"), why.alias("reason"))

@@ -6,12 +6,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.session import stored
+from ..operators import assessment as A
 from ..operators import evidence as E
 from ..operators import neighbors as N
 from ..operators import rerank as K
 from ..operators import retrieval as R
 from . import sql as S
-from .retrieval_queries import HITS, PROSE, PROSE_SETTINGS, X, chunk_rows, hits, marker_sql, questions
+from .engine import Library, ask
+from .retrieval_queries import HITS, PROSE, PROSE_SETTINGS, X, chunk_rows, document_rows, hits, marker_sql, questions, runs
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,7 +142,8 @@ SEEDS = f"{RERANKED}, placed AS (SELECT *, row_number() OVER (PARTITION BY doc_i
 
 
 def seeds(spark, sf_dir):
-    return reranked(spark, sf_dir).where(F.col("rank") <= 8)
+    """The eight best hits of each question, as a table that a plan may read many times."""
+    return stored(reranked(spark, sf_dir).where(F.col("rank") <= 8), "seeds")
 
 
 @query(f"""WITH {SEEDS}, w0 AS (SELECT s.qid, s.chunk_id AS seed_id, s.rank AS sr, s.rerank_score AS ss, p.chunk_id, p.doc_id, p.pos, p.pos - s.pos AS step, abs(p.pos - s.pos) * 2 - (p.pos < s.pos)::INT AS o FROM seeds s JOIN placed p ON s.doc_id = p.doc_id AND p.pos BETWEEN s.pos - 2 AND s.pos + 2),
@@ -381,3 +385,43 @@ def evidence_sentences(spark, sf_dir):
 SELECT qid, substr(string_agg(l, chr(10) || chr(10) ORDER BY o, rank), 1, 32000) AS context, count(*) AS n_chunks FROM l GROUP BY qid""")
 def context_builder(spark, sf_dir):
     return E.contexts(seeds(spark, sf_dir))
+
+
+# --- the older assessment, lookups, the whole engine
+
+
+ASSESS = f"""{RERANKED}, as0 AS (SELECT qid, avg({fifth('rerank_score')}) AS s, max(len(list_intersect({LONG.format('question')}, {LONG.format('text')})) / greatest(len({LONG.format('question')}), 1)::DOUBLE) AS t, bool_or(len(regexp_extract_all({norm('question')}, '\\b(?:table)\\s*([a-z]?\\d+)\\b', 1)) > 0) AS asks FROM reranked WHERE rank <= 5 GROUP BY qid),
+ms AS (SELECT qid, bool_or(contains(lower(text), 'table 1') AND contains(lower(text), '[table')) AS ok FROM reranked GROUP BY qid), as1 AS (SELECT r.qid, r.intent, s, t, asks AND NOT ok AS m, CASE intent WHEN 'summary' THEN 0.50 WHEN 'comparison' THEN 0.55 WHEN 'experiment' THEN 0.58 ELSE 0.55 END AS st, CASE intent WHEN 'summary' THEN 0.34 WHEN 'comparison' THEN 0.36 WHEN 'experiment' THEN 0.40 ELSE 0.38 END AS pa, CASE intent WHEN 'summary' THEN 0.25 WHEN 'comparison' THEN 0.28 ELSE 0.30 END AS te FROM routed r LEFT JOIN as0 USING (qid) LEFT JOIN ms USING (qid)),
+as2 AS (SELECT *, CASE WHEN s IS NULL THEN 'none' WHEN s >= st AND t >= te THEN 'strong' WHEN s >= pa OR t >= te THEN 'partial' ELSE 'none' END AS level FROM as1)"""
+
+
+@query(f"WITH {ASSESS} SELECT qid, intent, level, s IS NULL OR m OR level = 'none' AS refuse, CASE WHEN s IS NULL THEN 'empty_support_refuse' WHEN m THEN 'missing_structured_reference' WHEN level = 'none' THEN 'weak_evidence' ELSE '' END AS reason, round(s + 1e-9, 6) AS mean_score, round(t + 1e-9, 6) AS term_part FROM as2")
+def evidence_assessment(spark, sf_dir):
+    return A.assessed(R.routed(questions(spark, sf_dir)), reranked(spark, sf_dir))
+
+
+@query()
+def support_chunks(spark, sf_dir):
+    return A.support_chunks(reranked(spark, sf_dir)).select("qid", "chunk_id", "support_score", "place")
+
+
+@query(f"WITH {RERANKED} SELECT qid, chunk_id, r.rank, d.dense_rank, b.bm25_rank FROM (SELECT qid, chunk_id, rank FROM reranked WHERE rank <= 10) r LEFT JOIN (SELECT qid, chunk_id, dense_rank FROM d) d USING (qid, chunk_id) LEFT JOIN (SELECT qid, chunk_id, bm25_rank FROM b) b USING (qid, chunk_id)")
+def rank_lookups(spark, sf_dir):
+    """Where each final hit stood in the two runs."""
+    _, _, d, b = runs(spark, sf_dir)
+    final = reranked(spark, sf_dir).where("rank <= 10").select("qid", "chunk_id", "rank")
+    out = A.with_ranks(final, {"dense": d.withColumnRenamed("dense_rank", "rank"), "bm25": b.withColumnRenamed("bm25_rank", "rank")})
+    return out
+
+
+@query(f"WITH {RERANKED} SELECT qid, list(chunk_id ORDER BY rank) AS chunk_ids, list(rerank_score ORDER BY rank) AS scores FROM reranked WHERE rank <= 3 GROUP BY qid")
+def first_hits(spark, sf_dir):
+    rows = A.first_hits(reranked(spark, sf_dir), "rerank_score")
+    return rows.select("qid", F.transform("hits", lambda h: h["chunk_id"]).alias("chunk_ids"), F.transform("hits", lambda h: h["score"]).alias("scores"))
+
+
+@query()
+def engine_answers(spark, sf_dir):
+    """The engine as a user calls it: a library from all documents, all questions asked at once."""
+    library = Library.build(document_rows(spark, sf_dir))
+    return ask(questions(spark, sf_dir), library)["answers"]
