@@ -163,9 +163,10 @@ def mix(docs: DataFrame, columns: list[str], block: int = BLOCK, shards: int = O
 
 
 def taken(m: Mix) -> DataFrame:
-    """The rows with ``_taken``, the words of each that the mix holds."""
+    """The rows with ``_taken``, the words of each that the mix holds. Block numbers shuffle so small that adaptive execution would
+    broadcast them all, hence the hints."""
     times = m.draws.groupBy("_code", "_block").agg(F.count(F.lit(1)).alias("_times"))
-    got = m.segments.join(times, ["_code", "_block"]).groupBy("_code", "_row").agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_times")).alias("_taken"))
+    got = m.segments.join(times.hint("merge"), ["_code", "_block"]).groupBy("_code", "_row").agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_times")).alias("_taken"))
     return m.rows.join(got, ["_code", "_row"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)).cast("long"))
 
 
@@ -181,7 +182,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = m.draws.groupBy("_code", "_block").agg(F.count(F.lit(1)).alias("_times"))
     passes = F.create_map(*[F.lit(v) for s in m.plan for v in (s.code, s.slots // max(1, s.blocks))]) if m.plan else F.create_map(F.lit(0), F.lit(0))
     rest = F.col("_times") - F.element_at(passes, F.col("_code"))
-    parts = m.segments.join(times, ["_code", "_block"]).where(rest > 0).groupBy("_code", "_row")
+    parts = m.segments.join(times.hint("merge"), ["_code", "_block"]).where(rest > 0).groupBy("_code", "_row")
     parts = parts.agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_parts"), F.sum(F.col("_hi") - F.col("_lo")).alias("_n"))
     rows = m.rows.join(parts, ["_code", "_row"], "left").withColumn("_whole", F.when(F.col("_size") == 0, 1).otherwise(F.element_at(passes, F.col("_code")) + F.coalesce(F.col("_n") == F.col("_size"), F.lit(False)).cast("int")))
     words = F.regexp_extract_all("_c_text", F.lit(WORD), F.lit(0))
