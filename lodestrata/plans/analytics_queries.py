@@ -81,7 +81,7 @@ def header_footer_lines(spark, sf_dir):
 SHORT = f"{S.wc('text')} <= 4"
 
 
-@query(f"WITH {S.BLOCKS} SELECT doc_id, ord, sum(({SHORT})::INT) OVER w AS section_no, last_value(CASE WHEN {SHORT} THEN trim(text) END IGNORE NULLS) OVER w AS section FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
+@query(f"WITH {S.BLOCKS} SELECT doc_id, ord, (sum(({SHORT})::INT) OVER w)::BIGINT AS section_no, last_value(CASE WHEN {SHORT} THEN trim(text) END IGNORE NULLS) OVER w AS section FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY ord)")
 def section_islands(spark, sf_dir):
     """Short lines stand for headings: sections are the islands between them, and a heading carries forward."""
     return C.with_sections(blocks(spark, sf_dir), T.word_count("text") <= 4).select("doc_id", "ord", "section_no", "section")

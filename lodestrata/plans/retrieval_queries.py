@@ -178,7 +178,7 @@ ROUTED = f"""routed AS (SELECT qid, question, intent, intent = 'experiment' AS r
 10 + CASE intent WHEN 'comparison' THEN 2 ELSE 0 END AS rerank_top_k FROM (SELECT *, {INTENT} AS intent FROM questions))"""
 
 
-@query(f"WITH {S.QUESTIONS}, {ROUTED} SELECT * FROM routed")
+@query(f"WITH {S.QUESTIONS}, {ROUTED} SELECT qid, question, intent, requires_external_tools, search_limit::BIGINT AS search_limit, rerank_top_k::BIGINT AS rerank_top_k FROM routed")
 def intent_route(spark, sf_dir):
     return R.routed(questions(spark, sf_dir))
 
