@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, stored
+from .common import settled, stored, trimmed
 
 #: Rows that the index is fitted on at most, vectors a list should have, most lists, most lists of one vector.
 SAMPLE, PER_LIST, LISTS, COPIES = 20_000, 100, 1024, 4
@@ -216,7 +216,7 @@ def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
             row, own = index.lists(x, CLOSURE, 1, COPIES)
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row))], names=["list", "id", "v"])
 
-    lists = stored(rows.select("id", "v").mapInArrow(place, "list int, id long, v array<double>"), "lists")
+    lists = stored(rows.select("id", "v").mapInArrow(trimmed(place), "list int, id long, v array<double>"), "lists")
     cells = cells_of({r.list: r.n for r in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()})  # at most LISTS rows
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def nearest(table: DataFrame, query: Column, k: int = 10, id_col: str = "vec_id"
             at = pa.array([r for _, r in pairs], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in pairs], pa.int32()), b.column("id").take(at), b.column("v").take(at), pa.array(list(pairs.values()), pa.list_(pa.int32()))], names=["cell", "id", "v", "lists"])
 
-    asks = stored(rows.where("q").select("id", "v").mapInArrow(ask, "cell int, id long, v array<double>, lists array<int>"), "asks")
+    asks = stored(rows.where("q").select("id", "v").mapInArrow(trimmed(ask), "cell int, id long, v array<double>, lists array<int>"), "asks")
     askers = F.broadcast(asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).alias("askers")))
     of = spark.createDataFrame(sorted(cells.items()), "list int, cells array<int>")
     dealt = lists.join(F.broadcast(of), "list").withColumn("cell", F.element_at("cells", (F.pmod(F.xxhash64("id"), F.size("cells")) + 1).cast("int")))

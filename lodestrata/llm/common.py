@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on between tasks, and what they keep adds to the executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def trimmed(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """each, which gives its memory back when a task's batches have ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        release()
+
+    return run
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -108,7 +126,7 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: str | None =
     spark = df.sparkSession
     keys = [group, *order] if group else order
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_pid int, _before long, _index long"])
-    local = df.repartitionByRange(tasks(spark), *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: running(it, value, group), schema)
+    local = df.repartitionByRange(tasks(spark), *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(lambda it: running(it, value, group)), schema)
     local = stored(local, "prefix")
     g = F.col(group) if group else F.lit(0)
     parts = local.groupBy("_pid", g.alias("_g")).agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("n")).collect()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, trimmed
 
 #: A passage holds an item if they differ in at most 1 - SIMILARITY of the item's words (inserted, deleted or replaced).
 SIMILARITY = 0.8
@@ -208,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ints = [pa.array([f[i] for f in found], pa.int32()) for i in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([doc, pa.array(item, pa.int64()), pa.array(like, pa.float64()), *ints], names=[x.split()[0] for x in schema.split(", ")])
 
-        part = rows.mapInArrow(each, schema)
+        part = rows.mapInArrow(trimmed(each), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -225,5 +225,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 keep[[f[0] for f in index.search(b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
-        out = out.mapInArrow(each, docs.schema)
+        out = out.mapInArrow(trimmed(each), docs.schema)
     return out

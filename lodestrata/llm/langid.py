@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, trimmed
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents of each language in the training sample (about), words of a training sequence, sequences, passes over them.
@@ -230,7 +230,7 @@ def label_documents(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
     rows = settled(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(each), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, crf: Crf | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -243,4 +243,4 @@ def keep_known(docs: DataFrame, crf: Crf | None, least: float = 0.5, text_col: s
             langs, scores = judge(b.column(at).to_pylist(), crf, cache)
             yield b.filter(pa.array((np.array(langs, object) != UNKNOWN) & (scores >= least)))
 
-    return settled(docs).mapInArrow(each, docs.schema)
+    return settled(docs).mapInArrow(trimmed(each), docs.schema)

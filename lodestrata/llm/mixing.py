@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums, settled
+from .common import WORD, prefix_sums, settled, stored, trimmed
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -115,7 +115,7 @@ def draws(spark: SparkSession, plan: list[Source], shards: int = OUT_SHARDS, see
 
     each = spark.createDataFrame(runs or [(0, 0, 1, 0, 0)], "shard int, code int, blocks long, lo long, n long").where("n > 0")
     each = each.repartition(min(1000, max(1, len(runs) // 4))).select("shard", "code", "blocks", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("slot"))
-    return each.mapInArrow(walk, "shard int, code int, slot long, block long, epoch int")
+    return each.mapInArrow(trimmed(walk), "shard int, code int, slot long, block long, epoch int")
 
 
 def word_count(text: str) -> F.Column:
@@ -175,20 +175,23 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document stands there once for each pass in which it was drawn: whole passes give it as it is; in the last, partial
     pass it keeps the words of its drawn blocks, joined by spaces (or all of its text if all were drawn). Documents without
-    words, which no block can hold, stay once.
+    words, which no block can hold, stay once. The plan is made over numbered rows without their texts, which meet it once at the end.
     """
     cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    m = mix(docs, cols, **options)
+    base = stored(docs.select(*cols, F.monotonically_increasing_id().alias("_rid")), "mixed")
+    m = mix(base, ["_rid"], **options)
     times = m.draws.groupBy("_code", "_block").agg(F.count(F.lit(1)).alias("_times"))
     passes = F.create_map(*[F.lit(v) for s in m.plan for v in (s.code, s.slots // max(1, s.blocks))]) if m.plan else F.create_map(F.lit(0), F.lit(0))
     rest = F.col("_times") - F.element_at(passes, F.col("_code"))
     parts = m.segments.join(times.hint("merge"), ["_code", "_block"]).where(rest > 0).groupBy("_code", "_row")
     parts = parts.agg(F.sort_array(F.collect_list(F.struct("_lo", "_hi"))).alias("_parts"), F.sum(F.col("_hi") - F.col("_lo")).alias("_n"))
     rows = m.rows.join(parts, ["_code", "_row"], "left").withColumn("_whole", F.when(F.col("_size") == 0, 1).otherwise(F.element_at(passes, F.col("_code")) + F.coalesce(F.col("_n") == F.col("_size"), F.lit(False)).cast("int")))
-    words = F.regexp_extract_all("_c_text", F.lit(WORD), F.lit(0))
+    rows = rows.where((F.col("_whole") > 0) | F.col("_n").isNotNull()).select(F.col("_c__rid").alias("_rid"), "_whole", "_n", "_size", "_parts")
+    rows = base.join(rows, "_rid")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, (p["_lo"] + 1).cast("int"), (p["_hi"] - p["_lo"]).cast("int")))), " ")
-    texts = F.array_repeat(F.struct(F.col("_c_text").alias("t"), F.lit(False).alias("cut")), F.col("_whole").cast("int"))
+    texts = F.array_repeat(F.struct(F.col("text").alias("t"), F.lit(False).alias("cut")), F.col("_whole").cast("int"))
     texts = F.when(F.col("_n") < F.col("_size"), F.concat(texts, F.array(F.struct(cut.alias("t"), F.lit(True).alias("cut"))))).otherwise(texts)
-    rows = rows.select(*[f"_c_{c}" for c in cols], F.explode(texts).alias("_x"))
-    n_chars = F.when(F.col("_x.cut"), F.char_length("_x.t")).otherwise(F.col("_c_n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(F.col("_c_doc_id").alias("doc_id"), F.col("_x.t").alias("text"), F.col("_c_lang").alias("lang"), F.col("_c_source").alias("source"), n_chars.alias("n_chars"))
+    rows = rows.select(*cols, F.explode(texts).alias("_x"))
+    n_chars = F.when(F.col("_x.cut"), F.char_length("_x.t")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rows.select("doc_id", F.col("_x.t").alias("text"), "lang", "source", n_chars.alias("n_chars"))

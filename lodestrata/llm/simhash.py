@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, settled, stored, words_of
+from .common import NULL_ID, release, settled, stored, trimmed, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text
             fp = pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp], names=["doc_id", "fp"])
 
-    return settled(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(each, "doc_id long, fp long")
+    return settled(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(trimmed(each), "doc_id long, fp long")
 
 
 @dataclass
@@ -147,7 +147,7 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
                 leaf, at = tree.route(fps.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf * 2 + t), pa.array(fps[at])], names=["leaf", "fp"])
 
-    visits = stored(unique.select("fp").mapInArrow(visit, "leaf long, fp long"), "visits")
+    visits = stored(unique.select("fp").mapInArrow(trimmed(visit), "leaf long, fp long"), "visits")
     large = [(r.leaf, -(-r.n // (TASK_LEAF // 2))) for r in visits.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_LEAF).collect()]
     parts = visits.sparkSession.createDataFrame(large or [(-1, 1)], "leaf long, parts long")
     mine = F.pmod(F.xxhash64("fp"), "parts")
@@ -157,6 +157,7 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def leaf_links(group: pd.DataFrame) -> pd.DataFrame:
         u, v = forest_edges(group["fp"].to_numpy(np.int64), radius)
+        release()
         return pd.DataFrame({"u": u, "v": v})
 
     return dealt.groupBy("leaf", "task").applyInPandas(leaf_links, "u long, v long").distinct()
