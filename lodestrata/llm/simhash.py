@@ -208,9 +208,21 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id is their group's smallest, and one row for each id; rows of null id stand for themselves
-    where their group has no other id. All columns are kept."""
-    found = near_duplicates(docs, **options)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with a number of its own for each row in ``_rid``."""
+    return stored(settled(docs).withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+
+
+def firsts(groups: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """_rid of one row for each group of groups(_rid, group): that of the smallest id, null ids last, then of the smallest number."""
+    ids = rows.select("_rid", F.col(id_col).alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))
+    return groups.join(ids, "_rid").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_rid"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row of docs, all columns, for each group: that of the smallest id. Rows stand for themselves, whatever their ids: null ids come
+    after all others, and neither rows without an id nor rows that share one are copies of each other unless their texts link them."""
+    rows = numbered(docs)
+    found = near_duplicates(rows, id_col="_rid", **options).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
+    return rows.join(firsts(found, rows, id_col), "_rid", "left_semi").drop("_rid")
