@@ -190,9 +190,8 @@ def sample(docs: DataFrame, most: int = DOCS, id_col: str = "doc_id", text_col:
     return [(r.lang, r.text) for r in rows.where(F.col("h") <= share[F.col("lang")]).select("lang", "text").collect()]
 
 
-def judge(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
-    """Each text's language and score; cache keeps words' emissions between calls."""
-    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def word_posteriors(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(index, its words' language probabilities) of each text that has words; cache keeps words' emissions between calls."""
     order = sorted((i for i, t in enumerate(texts) if crf and t), key=lambda i: -len(texts[i]))
     while order:
         n, total = 0, 0
@@ -210,11 +209,26 @@ def judge(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]
         cache.update(zip(fresh, crf.emissions(fresh), strict=True))
         e = np.stack([cache[w] for w in unique])[codes]
         for (i, _), p in zip(part, crf.posteriors(np.split(e, np.cumsum([len(words) for _, words in part])[:-1])), strict=True):
-            mean = p.mean(0)
-            langs[i], scores[i] = crf.langs[int(mean.argmax())], min(1.0, float(mean.max()))
+            yield i, p
+
+
+def judge(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    """Each text's language and score; cache keeps words' emissions between calls."""
+    langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    for i, p in word_posteriors(texts, crf, cache):
+        mean = p.mean(0)
+        langs[i], scores[i] = crf.langs[int(mean.argmax())], min(1.0, float(mean.max()))
     return langs, scores
 
 
+def confidence(texts: list[str | None], crf: Crf | None, cache: dict[str, np.ndarray]) -> np.ndarray:
+    """Each text's mean over words of the word's most probable language's probability, whichever that is; 0 without words."""
+    out = np.zeros(len(texts))
+    for i, p in word_posteriors(texts, crf, cache):
+        out[i] = p.max(1).mean()
+    return out
+
+
 def label_documents(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of each row: the language with the most probability over the text's words, and its mean.
 
@@ -234,13 +248,14 @@ def label_documents(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", te
 
 
 def keep_known(docs: DataFrame, crf: Crf | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose text has a language: it isn't ``und``, and its mean probability over words is ``least`` or more."""
+    """The rows of docs, all columns, whose words have a language, each its own: the mean of their best probabilities is ``least``
+    or more. So a text in several languages stays; one without letters, or where no language was learned, goes."""
     at = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, np.ndarray] = {}
         for b in batches:
-            langs, scores = judge(b.column(at).to_pylist(), crf, cache)
-            yield b.filter(pa.array((np.array(langs, object) != UNKNOWN) & (scores >= least)))
+            sure = confidence(b.column(at).to_pylist(), crf, cache)
+            yield b.filter(pa.array((sure > 0) & (sure >= least)))
 
     return settled(docs).mapInArrow(trimmed(each), docs.schema)

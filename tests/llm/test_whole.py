@@ -2,9 +2,9 @@
 
 import random
 
-from lodestrata.llm import simhash
+from lodestrata.llm import langid, simhash
 
-from .test_operators import prose, table
+from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
 
 
 # --- pipeline: near-dedup
@@ -18,3 +18,15 @@ def test_rows_without_id_or_with_a_shared_id_stand_for_themselves(spark):
     assert kept.columns == docs.columns
     want = [(2, d), (4, a), (4, e), (None, b), (None, c)]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
+# --- pipeline: language ID
+
+
+def test_switched_text_has_a_language(spark, crf):  # noqa: F811
+    rng = random.Random(22)
+    texts = [" ".join(prose(lang, 40, rng) for lang in SYLLABLES) for _ in range(20)] + ["12 34", None]
+    _, scores = langid.judge(texts, crf, {})
+    assert (scores < 0.5).all()  # in three languages none has half of the words
+    assert sorted(r.doc_id for r in langid.keep_known(table(spark, texts), crf).collect()) == list(range(20))
+
