@@ -35,6 +35,13 @@ def plain(word: str) -> str:
     return STRETCHED.sub(r"\1", word.lower().translate(SIGNS))
 
 
+def gaps(at: list[int], to: list[int]) -> np.ndarray:
+    """Of each position the distance to the nearest of the sorted positions ``to``, which aren't empty."""
+    at, to = np.array(at, np.int64), np.array(to, np.int64)
+    after = np.searchsorted(to, at)
+    return np.minimum(np.abs(at - to[np.maximum(after - 1, 0)]), np.abs(at - to[np.minimum(after, len(to) - 1)]))
+
+
 @dataclass
 class Model:
     """Lexicon tiers (word -> 1..3; negative: words of clean texts), trees, and the calibration's knots."""
@@ -53,7 +60,7 @@ class Model:
         bad = [i for i, t in tiers if t > 0]
         of = Counter(t for _, t in tiers)
         second = [i for i, w in enumerate(words) if w in SECOND] if bad else []
-        gap = np.abs(np.subtract.outer(bad, second)).min(1) if second and len(bad) * len(second) < 1e6 else np.full(len(bad), n)
+        gap = gaps(bad, second) if second else np.full(len(bad), n)
         hidden = HIDDEN.findall(text)
         opened = [get(plain(w), 0) for w in hidden]
         chars = max(1, len(text))

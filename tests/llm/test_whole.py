@@ -2,7 +2,9 @@
 
 import random
 
-from lodestrata.llm import langid, simhash
+import numpy as np
+
+from lodestrata.llm import langid, simhash, toxicity
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
 
@@ -30,3 +32,14 @@ def test_switched_text_has_a_language(spark, crf):  # noqa: F811
     assert (scores < 0.5).all()  # in three languages none has half of the words
     assert sorted(r.doc_id for r in langid.keep_known(table(spark, texts), crf).collect()) == list(range(20))
 
+# --- 6
+
+
+def test_second_persons_are_near_in_long_texts_too():
+    model = toxicity.Model({"scum": 3})
+    near = [model.features("you scum " * n + "word " * 50)[8:10] for n in (900, 1100)]
+    assert near == [[900.0, 1.0], [1100.0, 1.0]]
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        at, to = (np.sort(rng.choice(200, rng.integers(1, 40), replace=False)) for _ in range(2))
+        assert np.array_equal(toxicity.gaps(at.tolist(), to.tolist()), np.abs(np.subtract.outer(at, to)).min(1))
