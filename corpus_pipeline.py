@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import decontam, langid, mixing, sharding, simhash
+from lodestrata.llm import decontam, langid, mixing, sharding, similar, simhash
 from lodestrata.llm.common import scratch_root
 from lodestrata.llm.queries import language_model
 
@@ -19,10 +19,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near duplicates."""
+    """The document of the smallest id of each group of near duplicates by fingerprint alone, as in op5: the first half of the stage."""
     return simhash.one_of_each_group(docs.select(COLUMNS))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same, and of what is left one document of each group linked by an exact Jaccard similarity of 0.8 or more of their 5-word runs."""
+    return similar.one_of_each_group(docs.select(COLUMNS))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontam.without_contaminated(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -38,7 +43,7 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(docs, 40)
 
 
-STAGES = [("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
+STAGES = [("language ID", language), ("near-dedup", near_copies), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]
 
 #: A random field, fingerprints by XXH64 and edit-distance search have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from lodestrata.llm import langid, simhash, toxicity
+import corpus_pipeline as P
+from lodestrata.llm import langid, simhash, similar, toxicity
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
 
@@ -22,6 +23,37 @@ def test_rows_without_id_or_with_a_shared_id_stand_for_themselves(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_near_copies_with_edited_words_go(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TOGETHER", 8)
+    rng = random.Random(23)
+    texts = []
+    for n in (8, 20, 60, 150, 150, 150, 400):
+        base = prose("en", n, rng).split()
+        for edits in (0, 1, 2, n // 60, n // 40, n // 20):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(n)] = f"w{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    line = prose("de", 12, rng)
+    texts += [f"{prose('fr', 20, rng)} {line} {prose('fr', 20, rng)}" for _ in range(30)] + ["", None, "one two"]
+    docs = table(spark, texts)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    stage = dict(P.STAGES)["near-dedup"]
+    kept = {r.doc_id for r in stage(spark, docs.select(P.COLUMNS), "").collect()}
+    root = list(range(len(texts)))
+    prints = [simhash.fingerprint(t) for t in texts]
+    first = {i: min(j for j in range(len(texts)) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 3) for i in root}
+    assert len([p for p in alike if first[p[0]] != first[p[1]]]) > 10  # fingerprints alone keep both
+    assert not [p for p in alike if set(p) <= kept]
+    reach = {i: {i} for i in root}
+    for i, j in [*alike, *first.items()]:
+        both = reach[i] | reach[j]
+        for k in both:
+            reach[k] = both
+    assert kept == {min(g) for g in reach.values()}
+
+
 # --- pipeline: language ID
 
 
