@@ -131,21 +131,16 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
     tasks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.least(p, F.col("mine")) * F.col("parts") + F.greatest(p, F.col("mine")))
     dealt = dealt.select("bucket", F.explode(tasks_of).alias("task"), "_rid")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in b.column(1)], pa.binary())], names=["_rid", "shingles"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in runs_of(batches, lambda t: changes(t, "bucket", "task")):
-            rid, own = t.column("_rid").to_numpy(), [np.frombuffer(s.as_py(), np.uint64) for s in t.column("shingles")]
+            rid, own = t.column("_rid").to_numpy(), [np.unique(shingle_hashes(x.as_py(), words)) for x in t.column(text_col)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 u, v = similar_links(rid[lo:hi], own[lo:hi], similarity)
                 if u:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         release()
 
-    texts = rows.select("_rid", text_col).join(met.select("_rid").distinct(), "_rid", "left_semi").mapInArrow(trimmed(sets), "_rid long, shingles binary")
-    dealt = dealt.join(texts, "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
+    dealt = dealt.join(rows.select("_rid", text_col), "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")  # texts pack better than hashes
     return dealt.mapInArrow(compare, "u long, v long").distinct()
 
 
