@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from .common import settled, trimmed
 
 #: A passage holds an item if they differ in at most 1 - SIMILARITY of the item's words (inserted, deleted or replaced).
 SIMILARITY = 0.8
-#: Words between window starts, steps of a walk, steps sampled for a key, repetitions.
-STRIDE, STEPS, SAMPLED, TABLES = 4, 12, 6, 8
-#: Shorter items can't be told from ordinary prose and are not looked for.
-LEAST_WORDS = 8
+#: By the least words of an item: steps of a walk, steps sampled for a key, words between window starts. Shorter items are met word by word.
+WALKS = {8: (8, 4, 1), 12: (10, 5, 2), 20: (12, 6, 4)}
+#: The part of passages with as many evenly spread edits as SIMILARITY allows that walks must find; repetitions follow from it, up to MOST_TABLES.
+RECALL, MOST_TABLES, TRIALS = 0.99, 32, 1000
+#: Unknown words that part documents in a batch: no walk goes over them.
+GAP = 12
 #: Items that a task holds at once; a larger benchmark is searched in blocks. Words of documents embedded together.
 BLOCK, TOGETHER = 20_000, 2_000_000
 WORDS = re.compile(r"[^\W_]+")
@@ -62,39 +65,40 @@ def best_match(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 
 
 @dataclass
-class Index:
-    """The items of a block: their words as numbers (0: a word of no item) and for each table the walk's bits and sorted keys."""
+class Walks:
+    """CGK walks over the windows of a length class: for each table the bits that move the pointer and the sampled steps; with
+    items, also the sorted keys of all their offsets, where each key's run begins (and the end), and its items and offsets."""
 
-    ids: list[int]
-    vocabulary: dict[str, int]
-    items: list[np.ndarray]
+    stride: int
     bits: np.ndarray
     samples: np.ndarray
-    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    keys: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @staticmethod
-    def over(rows: list[tuple[int, str | None]], seed: int = 4) -> Index:
-        vocabulary: dict[str, int] = {}
-        ids, items = [], []
-        for item_id, text in rows:
-            w = words_in(text)
-            if len(w) >= LEAST_WORDS:
-                ids.append(item_id)
-                items.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int32))
+    def random(steps: int, sampled: int, stride: int, tables: int, symbols: int, seed: int = 4) -> Walks:
         rng = np.random.default_rng(seed)
-        bits = rng.integers(0, 2, (TABLES, STEPS, len(vocabulary) + 1), dtype=np.int8)
-        samples = np.sort(np.stack([rng.choice(STEPS, SAMPLED, replace=False) for _ in range(TABLES)]), axis=1)
-        index = Index(ids, vocabulary, items, bits, samples, [])
-        flat = np.concatenate([np.r_[i, np.zeros(STEPS, np.int32)] for i in items]) if items else np.zeros(0, np.int32)
-        own = np.concatenate([np.full(len(i), k) for k, i in enumerate(items)]) if items else np.zeros(0, int)
-        offset = np.concatenate([np.arange(len(i)) for i in items]) if items else np.zeros(0, int)
-        start = offset + np.r_[0, np.cumsum([len(i) + STEPS for i in items])][own] if items else offset
-        for t in range(TABLES):
-            at, key = index.walk(flat, start, t)
+        samples = np.sort(np.stack([rng.choice(steps, sampled, replace=False) for _ in range(tables)]), axis=1)
+        return Walks(stride, rng.integers(0, 2, (tables, steps, symbols), dtype=np.int8), samples)
+
+    @staticmethod
+    def word_by_word(words: int, symbols: int) -> Walks:
+        """One table whose walk moves on at every step and samples them all: its key is the window itself."""
+        return Walks(1, np.ones((1, words, symbols), np.int8), np.arange(words)[None])
+
+    def holding(self, items: dict[int, np.ndarray], offsets: int | None = None) -> Walks:
+        """These walks with the keys of the items, at all their offsets or the first few."""
+        pad = np.zeros(GAP, np.int32)
+        flat = np.concatenate([np.r_[x, pad] for x in items.values()])
+        lengths = np.array([len(x) for x in items.values()])
+        many = np.minimum(lengths, offsets or lengths)
+        offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        own, start = np.repeat(np.array(list(items)), many), offset + np.repeat(np.cumsum(lengths + GAP) - lengths - GAP, many)
+        for t in range(len(self.bits)):
+            at, key = self.walk(flat, start, t)
             order = np.argsort(key, kind="stable")
             sorted_, first = np.unique(key[order], return_index=True)
-            index.keys.append((sorted_, np.r_[first, len(key)], own[at][order], offset[at][order]))
-        return index
+            self.keys.append((sorted_, np.r_[first, len(key)], own[at][order], offset[at][order]))
+        return self
 
     def walk(self, words: np.ndarray, starts: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(index into starts, key) of the windows whose sampled symbols are all words of items.
@@ -114,18 +118,81 @@ class Index:
             pointer = pointer + self.bits[t, j][w]
         return at, key
 
-    def candidates(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, item): where an item would begin, from the windows whose key it shares in some table."""
-        found = []
+    def met(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+        """For each table (place, item): where an item would begin, from the windows whose key it shares."""
+        out = []
         for t, (keys, first, own, offset) in enumerate(self.keys):
             at, key = self.walk(words, starts, t)
             if not len(keys):
+                out.append(np.zeros((2, 0), np.int64))
                 continue
             k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = np.flatnonzero(keys[k] == key)
             n = first[k[hit] + 1] - first[k[hit]]
             rows = np.repeat(first[k[hit]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(hit) else np.zeros(0, np.int64)
-            found.append(np.stack([np.repeat(starts[at[hit]], n) - offset[rows], own[rows]]))
+            out.append(np.stack([np.repeat(starts[at[hit]], n) - offset[rows], own[rows]]))
+        return out
+
+
+def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """words after so many insertions, deletions and replacements, spread evenly, which leaves the shortest runs; new words are unknown (0)."""
+    out = words.tolist()
+    for k, (kind, where) in enumerate(zip(rng.integers(0, 3, edits), rng.random(edits), strict=True)):
+        i = min(len(out) - 1, int((k + 0.25 + where / 2) / edits * len(out)))
+        out[i : i + int(kind > 0)] = [0] * int(kind < 2)
+    return np.array(out, np.int32)
+
+
+@cache
+def tables_for(least: int, recall: float = RECALL) -> int:
+    """The fewest tables with which ``recall`` of simulated passages of ``least`` words with as many edits as allowed are found.
+
+    The shortest items of a class have the fewest windows, so longer ones are found at least as often.
+    """
+    steps, sampled, stride = WALKS[least]
+    rng = np.random.default_rng(least)
+    items = {i: np.arange(1 + i * least, 1 + (i + 1) * least, dtype=np.int32) for i in range(TRIALS)}
+    walks = Walks.random(steps, sampled, stride, MOST_TABLES, TRIALS * least + 1).holding(items)
+    words = [np.r_[np.zeros(rng.integers(GAP, GAP + stride), np.int32), edited(x, int(least * (1 - SIMILARITY) + 1e-9), rng)] for x in items.values()]
+    words = np.concatenate([*words, np.zeros(GAP, np.int32)])
+    found = np.zeros((MOST_TABLES, TRIALS), bool)
+    for t, (_, item) in enumerate(walks.met(words, np.arange(0, len(words) - GAP, stride))):
+        found[t, item] = True
+    enough = np.flatnonzero(np.logical_or.accumulate(found).mean(1) >= recall)
+    return int(enough[0]) + 1 if len(enough) else MOST_TABLES
+
+
+@dataclass
+class Index:
+    """The items of a block, their words as numbers (0: a word of no item), and walks for each class of length that occurs."""
+
+    ids: list[int]
+    vocabulary: dict[str, int]
+    items: list[np.ndarray]
+    walks: list[Walks]
+
+    @staticmethod
+    def over(rows: list[tuple[int, str | None]]) -> Index:
+        vocabulary: dict[str, int] = {}
+        ids, items, classes = [], [], {}
+        for item_id, text in rows:
+            if w := words_in(text):
+                classes.setdefault(max((c for c in WALKS if c <= len(w)), default=-len(w)), []).append(len(ids))
+                ids.append(item_id)
+                items.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int32))
+        walks, symbols = [], len(vocabulary) + 1
+        for c, some in sorted(classes.items()):
+            own = {k: items[k] for k in some}
+            walks.append(Walks.word_by_word(-c, symbols).holding(own, 1) if c < 0 else Walks.random(*WALKS[c], tables_for(c), symbols).holding(own))
+        return Index(ids, vocabulary, items, walks)
+
+    def candidates(self, words: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item): where an item would begin, from the windows of each document whose key it shares in some table."""
+        found = []
+        for w in self.walks:
+            many = -(-lengths // w.stride)
+            starts = np.repeat(first, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * w.stride
+            found += w.met(words, starts)
         both = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
         return both[0], both[1]
 
@@ -137,7 +204,7 @@ class Index:
             w = np.fromiter((get(x, 0) for x in words_in(t)), np.int32)
             if len(w):
                 batch.append((i, w))
-                size += len(w) + STEPS
+                size += len(w) + GAP
             if size > TOGETHER:
                 yield from self.search_words(batch)
                 batch, size = [], 0
@@ -146,12 +213,11 @@ class Index:
     def search_words(self, batch: list[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, int, int, int]]:
         if not batch or not self.items:
             return
-        gap = np.zeros(STEPS, np.int32)
+        gap = np.zeros(GAP, np.int32)
         words = np.concatenate([x for _, w in batch for x in (w, gap)])
         lengths = np.array([len(w) for _, w in batch])
-        first = np.r_[0, np.cumsum(lengths + STEPS)[:-1]]
-        starts = np.concatenate([np.arange(a, a + n, STRIDE) for a, n in zip(first, lengths, strict=True)])
-        place, item = self.candidates(words, starts)
+        first = np.r_[0, np.cumsum(lengths + GAP)[:-1]]
+        place, item = self.candidates(words, first, lengths)
         doc = np.clip(np.searchsorted(first, place, side="right") - 1, 0, None)
         tried: dict[tuple[int, int], int] = {}
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -187,11 +253,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, similarity, distance, start_word, end_word: an item that a document's whole text holds, with its nearest passage.
 
     Documents don't move: each task walks its own windows and looks their keys up among those of a block of items, so
-    neither a frequent passage nor a long document makes a hot key. Every offset of an item is indexed and windows begin
-    every STRIDE words, so a passage of n words has about n / STRIDE windows in step with the item, each with TABLES walks.
+    neither a frequent passage nor a long document makes a hot key. Every offset of an item is indexed, so each window of a
+    passage that begins between edits is in step with the item; tables are as many as the target recall asks for. Items below
+    the least class of WALKS are met where all their words follow each other.
 
-    A null or empty text holds nothing; null items and items of fewer than LEAST_WORDS words are not looked for; a row
-    of docs whose id is null or repeated is searched as its own row; empty tables give no rows; other columns are not looked at.
+    A null or empty text holds nothing; null items and items without words are not looked for; a row of docs whose id is null or repeated is searched as its own row; empty tables give no rows; other columns are not looked at.
     """
     spark, out = settled(docs).sparkSession, None
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -433,7 +434,7 @@ def test_contamination_is_found_up_to_a_fifth_of_edits(spark):
         d = plain_distance(items[k % 60].split(), decontam.words_in(texts[-1]))
         if d <= 0.2 * len(items[k % 60].split()):
             want[k] = (k % 60, d)
-    bench = spark.createDataFrame([*enumerate(items), (99, None), (98, ""), (97, "too short")], "item_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (99, None), (98, ""), (97, "not there")], "item_id long, text string")
     docs = table(spark, texts)
     out = {r.doc_id: (r.item_id, r.distance) for r in decontam.contaminated(docs, bench).collect()}
     assert set(out) <= set(want) and len(out) >= 0.98 * len(want) and all(out[k] == want[k] for k in out)
@@ -441,6 +442,35 @@ def test_contamination_is_found_up_to_a_fifth_of_edits(spark):
     assert kept == set(range(300)) - set(out)
 
 
+@pytest.mark.parametrize("words", [8, 10, 12, 15, 20, 30, 60])
+def test_contamination_meets_its_target_recall(words):
+    """Passages with as many edits as allowed, at random and evenly spread places, at any phase; shorter classes have other walks."""
+    rng = random.Random(words)
+    items = [(i, " ".join(f"w{rng.randrange(20000)}" for _ in range(words))) for i in range(400)]
+    index, most = decontam.Index.over(items), int(words * (1 - decontam.SIMILARITY) + 1e-9)
+    for rate in (0, most // 2, most):
+        for even in (False, True):
+            docs = []
+            for _, t in items:
+                w = t.split()
+                for e in range(rate):
+                    j = min(len(w) - 1, int((e + 0.5) / rate * len(w))) if even else rng.randrange(len(w))
+                    kind = rng.randrange(3)
+                    w[j : j + (kind > 0)] = ["other"] * (kind < 2)
+                docs.append(" ".join(["before"] * rng.randrange(9) + w + ["after"] * 5))
+            found = {a for a, b, *_ in index.search(docs) if a == b}
+            assert len(found) >= (decontam.RECALL - 0.02) * len(items), (words, rate, even)
+
+
+def test_short_items_are_found_word_by_word():
+    items = [(1, "Two words"), (2, "alpha beta gamma delta epsilon"), (3, "one"), (4, "seven words that stand in this order"), (5, "..."), (6, "two  WORDS")]
+    index = decontam.Index.over(items)
+    assert index.ids == [1, 2, 3, 4, 6] and decontam.Index.over([]).walks == []
+    docs = ["here are two, words.", "alpha beta gamma delta", "alpha beta gamma delta epsilon", "x seven words that stand in this order y", "One", "seven words that stand in that order", "two more words", None, ""]
+    found = sorted((a, index.ids[b], lo, hi) for a, b, _, lo, hi in index.search(docs))
+    assert found == [(0, 1, 2, 4), (0, 6, 2, 4), (2, 2, 0, 5), (3, 4, 1, 8), (4, 3, 0, 1)]
+
+
 def test_contamination_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "x " * 20)], "item_id long, text string")
     assert [r.doc_id for r in decontam.contaminated(odd, bench).collect()] == [6]
@@ -480,8 +510,38 @@ def test_nearest_has_its_recall_and_exact_scores(spark, monkeypatch):
     assert all([i for _, i in got[q]] == [i for _, i in want[q]] for q in want if q >= 3000)
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/embeddings.parquet"), reason="needs the driver's tables")
+def test_nearest_recall_on_the_embeddings(spark):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted((r.vec_id, r.embedding) for r in t.where(ann.valid("embedding") & F.col("vec_id").isNotNull()).collect())
+    x, got = np.array([v for _, v in rows], float), defaultdict(set)
+    for r in ann.nearest(t, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for i, (q, _) in enumerate(rows):
+        if q % 100 == 0:
+            d = ((x - x[i]) ** 2).sum(1)
+            d[i] = np.inf
+            hits.append(len(got[q] & {rows[j][0] for j in np.argsort(d, kind="stable")[:10]}) / 10)
+    print(f"recall on sf0.1: {np.mean(hits):.4f} over {len(hits)} queries")
+    assert np.mean(hits) >= 0.95
+
+
+def test_lists_grow_with_the_rows_and_placing_is_sliced():
+    assert [ann.list_count(n) for n in (0, 1, 5000, 10**6, 10**7, 10**10)] == [1, 1, 50, 2000, 6324, 16384]
+    rng = np.random.default_rng(1)
+    index = ann.Index.over(rng.normal(size=(300, 8)))
+    x = rng.normal(size=(500, 8))
+    nearest = ann.dots(x, index.centroids).argmin(1)
+    row, own = index.homes(x)
+    assert np.bincount(row).max() <= ann.COPIES and np.mean([nearest[i] in own[row == i] for i in range(500)]) > 0.95
+
+
 def test_nearest_small_tables(spark):
     t = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in ann.nearest(t, F.col("vec_id") == 0).orderBy("rank").collect()]
-    assert [(r[1], r[2]) for r in got] == [(1, 2), (2, 1)]
+    assert [(r[1], r[2]) for r in got] == [(1, 2), (2, 2), (3, 1)]  # rows that share an id are found as rows of their own
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.5]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(twice, F.col("vec_id") == 0).collect())
+    assert [g[:3] for g in got] == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (0, 2, 7)] and got[0][3] == 0.5
     assert ann.nearest(t.where("false"), F.col("vec_id") == 0).count() == 0 and ann.nearest(t, F.col("vec_id") == 9).count() == 0
