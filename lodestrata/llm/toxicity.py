@@ -165,16 +165,22 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def train(rows: list[tuple[str, int]], seed: int = 9) -> Model | None:
-    """The model from (text, label) rows; None if they hold no or one label. Lexicon, trees and calibration see different rows."""
+    """The model from (text, label) rows; None if they hold no or one label.
+
+    Lexicon, trees and calibration see different rows: each label's texts are dealt to the three by PARTS, at least one to
+    each. Only a label with fewer than three different texts, which can't be dealt, gives all of them to each part.
+    """
     rows = sorted({(t or "", int(y)) for t, y in rows})  # copies count once
     if len({y for _, y in rows}) < 2:
         return None
-    part = np.random.default_rng(seed).choice(3, len(rows), p=PARTS)
-    y = np.array([r[1] for r in rows])
-    if any(len(set(y[part == k])) < 2 for k in range(3)):
-        part = np.arange(len(rows)) % 1  # a few rows serve for all
-    pick = lambda k: np.flatnonzero((part == k) | (part.max() == 0))
-    a, b, c = pick(0), pick(1), pick(2)
+    y, rng = np.array([r[1] for r in rows]), np.random.default_rng(seed)
+    dealt: list[list[np.ndarray]] = [[], [], []]
+    for label in np.unique(y):
+        own = rng.permutation(np.flatnonzero(y == label))
+        cuts = np.clip(np.round(np.cumsum(PARTS)[:2] * len(own)).astype(int), [1, 2], [max(1, len(own) - 2), max(2, len(own) - 1)])
+        for k, some in enumerate(np.split(own, cuts) if len(own) >= 3 else [own] * 3):
+            dealt[k].append(some)
+    a, b, c = (np.sort(np.concatenate(d)) for d in dealt)
     model = Model(lexicon([rows[i][0] for i in a], y[a]))
     boost(model, np.array([model.features(rows[i][0]) for i in b], float), y[b])
     model.knots = isotonic(model.margin(np.array([model.features(rows[i][0]) for i in c], float)), y[c])
