@@ -16,9 +16,9 @@ from .common import NULL_ID, release, settled, stored, trimmed, words_of
 
 SHINGLE = 3
 RADIUS = 3
-#: Fingerprints in a shard at best, and at most for one task.
-LEAF, TASK_LEAF = 1024, 1 << 15
-#: Most fingerprints in the sample that the trees are grown on, vantage points tried at a node, most levels.
+#: Fingerprints compared with each other at best, and those of a shard that one task holds (8 MB).
+LEAF, TASK_LEAF = 1024, 1 << 20
+#: Most fingerprints in the sample that a tree is grown on, vantage points tried at a node, most levels of the trees that make shards.
 SAMPLE, TRIES, LEVELS = 1 << 15, 24, 12
 
 
@@ -130,12 +130,28 @@ def forest_edges(fps: np.ndarray, radius: int, block: int = 1 << 21) -> tuple[np
     return fps[moved], fps[label[moved]]
 
 
+def shard_edges(fps: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """forest_edges of a shard of any size: above a few leaves it grows its own tree over the shard's bits and compares leaf by leaf."""
+    fps = np.unique(fps)
+    if len(fps) <= 4 * LEAF:
+        return forest_edges(fps, radius)
+    u = fps.view(np.uint64)
+    sample = np.random.default_rng(len(fps)).choice(u, min(SAMPLE, len(u)), replace=False)
+    tree = Tree(mask, radius // 2).grow(sample, int(np.ceil(np.log2(len(fps) / LEAF))), 5)
+    leaf, at = tree.route(u)
+    order = np.argsort(leaf, kind="stable")
+    parts = np.split(at[order], np.flatnonzero(np.diff(leaf[order])) + 1)
+    found = [forest_edges(fps[p], radius) for p in parts]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links u, v between distinct fingerprints that have the same components as all pairs within radius.
 
     Each fingerprint goes to the leaves that it visits in either tree (a few rows each); a leaf compares its fingerprints
     exactly over all 64 bits and returns a spanning forest, so a group of copies makes as many links as it has members.
-    A leaf above TASK_LEAF is dealt to a triangle of tasks, each with two of its parts. Leaves' counts (at most 2**13) go
+    The trees make at most 2**LEVELS leaves; a leaf that outgrows LEAF goes on by a tree of its own, grown in its task, so
+    work follows the number of fingerprints and not its square. A leaf above TASK_LEAF is dealt to a triangle of tasks, each with two of its parts. Leaves' counts (at most 2**13) go
     to the driver.
     """
     trees = forest(unique, unique.count(), radius)
@@ -156,7 +172,7 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = dealt.select("leaf", F.explode(tasks_of).alias("task"), "fp")
 
     def leaf_links(group: pd.DataFrame) -> pd.DataFrame:
-        u, v = forest_edges(group["fp"].to_numpy(np.int64), radius)
+        u, v = shard_edges(group["fp"].to_numpy(np.int64), trees[group["leaf"].iloc[0] % 2].mask, radius)
         release()
         return pd.DataFrame({"u": u, "v": v})
 
