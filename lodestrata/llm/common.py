@@ -37,17 +37,30 @@ def scratch_root(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation.
 
-    The table is removed when the driver's JVM ends.
+    The table is removed when the driver's JVM ends, or by ``removed``.
     """
     spark = settled(df).sparkSession
     path = f"{scratch_root(spark)}/lodestrata/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, store = _place(spark, path)
+    store.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def removed(table: DataFrame) -> None:
+    """Removes the folder of a ``stored`` table that nothing reads any more; no other folder."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/lodestrata/" in path and "/".join(path.split("/")[:-1]).endswith("/lodestrata"):
+            where, store = _place(spark, path)
+            store.delete(where, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, after settings of its session: unions don't claim their inputs' partitioning (see functions.session), and Arrow batches
     hold few rows and bytes, so that long texts don't meet in one batch; a query's shuffle files go when it has ended, as what
@@ -119,14 +132,15 @@ def prefix_sums(df: DataFrame, order: list[str], value: str, group: str | None =
     """A stored table of df's rows with the global ``_before`` and ``_index`` of each, by group if one is given, in the stated order.
 
     Rows are range-partitioned by (group, order), so a hot group spreads over many tasks; each partition makes its own
-    running sums, and only one total for each partition and group it holds goes to the driver (partitions + groups rows).
+    running sums; rows with equal keys (copies without ids, say) are parted by their place in the input. Only one total for each partition and group it holds goes to the driver (partitions + groups rows).
     group must be an integer without nulls and not have more values than the driver can list. Returns the totals
     (sum, rows) of each group, too; without a group that of 0.
     """
     spark = df.sparkSession
     keys = [group, *order] if group else order
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "_pid int, _before long, _index long"])
-    local = df.repartitionByRange(tasks(spark), *keys).sortWithinPartitions(*keys).mapInArrow(trimmed(lambda it: running(it, value, group)), schema)
+    local = df.withColumn("_spread", F.monotonically_increasing_id())  # rows that are equal in the order can still be parted
+    local = local.repartitionByRange(tasks(spark), *keys, "_spread").sortWithinPartitions(*keys, "_spread").drop("_spread").mapInArrow(trimmed(lambda it: running(it, value, group)), schema)
     local = stored(local, "prefix")
     g = F.col(group) if group else F.lit(0)
     parts = local.groupBy("_pid", g.alias("_g")).agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("n")).collect()

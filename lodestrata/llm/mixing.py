@@ -135,7 +135,7 @@ class Mix:
 def mix(docs: DataFrame, columns: list[str], block: int = BLOCK, shards: int = OUT_SHARDS, seed: int = SEED, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id") -> Mix:
     """The plan of a mix in which each source has close to its target of words.
 
-    A source's documents, by id, are one stream of words cut into blocks of ``block`` words. A source gives as many blocks
+    A source's documents, by id (rows that share one by a hash of the text), are one stream of words cut into blocks of ``block`` words. A source gives as many blocks
     as its target asks for: whole passes, then a part of one. Output shards draw counts of sources by multinomial sampling
     without replacement; a source's slots go through a pseudorandom permutation of its block numbers (another in each pass)
     and meet the blocks by an equi-join on (source, block). No block is drawn more than ``MOST`` times, so no document is.
@@ -146,12 +146,13 @@ def mix(docs: DataFrame, columns: list[str], block: int = BLOCK, shards: int = O
     without words nothing is drawn; an empty table gives an empty plan. Clashing column names cannot occur: inner names start with an underscore.
     """
     spark = settled(docs).sparkSession
-    sized = docs.select(*[F.col(c).alias(f"_c_{c}") for c in columns], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"))
+    sized = docs.select(*[F.col(c).alias(f"_c_{c}") for c in columns], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(text_col).alias("_size"), F.xxhash64(text_col).alias("_tie"))
+    sized = stored(sized, "sizes")  # words are counted once
     sizes = {r._source: r.n for r in sized.groupBy("_source").agg(F.sum("_size").alias("n")).collect()}
     plan = source_plan(sizes, block)
     codes = spark.createDataFrame([(s.code, s.name) for s in plan] or [(0, None)], "_code int, _name string")
     coded = sized.join(F.broadcast(codes), F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
-    rows, _ = prefix_sums(coded, ["_id"], "_size", "_code")
+    rows, _ = prefix_sums(coded, ["_id", "_tie"], "_size", "_code")
     rows = rows.withColumnRenamed("_index", "_row")
     blocks = F.sequence(F.expr(f"_before div {block}"), F.expr(f"(_before + _size - 1) div {block}"))
     segments = rows.where("_size > 0").select("_code", "_row", "_before", "_size", F.explode(blocks).alias("_block"))

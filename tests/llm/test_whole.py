@@ -1,11 +1,14 @@
 """Cases in which operators once did less than the whole job."""
 
+import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import langid, simhash, similar, toxicity
+from lodestrata.llm import langid, mixing, simhash, similar, toxicity
+from lodestrata.llm.common import prefix_sums
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
 
@@ -75,3 +78,68 @@ def test_second_persons_are_near_in_long_texts_too():
     for _ in range(50):
         at, to = (np.sort(rng.choice(200, rng.integers(1, 40), replace=False)) for _ in range(2))
         assert np.array_equal(toxicity.gaps(at.tolist(), to.tolist()), np.abs(np.subtract.outer(at, to)).min(1))
+
+
+def test_parts_of_a_small_sample_each_have_both_labels(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "lexicon", lambda texts, y: seen.append((set(texts), set(y.tolist()))) or {})
+    monkeypatch.setattr(toxicity, "boost", lambda model, x, y: seen.append((None, set(y.tolist()))))
+    monkeypatch.setattr(toxicity, "isotonic", lambda m, y: seen.append((None, set(y.tolist()))) or (np.zeros(1), np.zeros(1)))
+    for bad in (1, 2, 3, 4, 50):
+        seen.clear()
+        assert toxicity.train([(f"fine {i}", 0) for i in range(40)] + [(f"bad {i}", 1) for i in range(bad)])
+        assert [s[1] for s in seen] == [{0, 1}] * 3 and len([t for t in seen[0][0] if t.startswith("bad")]) == (bad if bad < 3 else max(1, min(bad - 2, round(bad * toxicity.PARTS[0]))))
+
+
+# --- 1, 2
+
+
+def test_rows_with_equal_keys_are_parted_and_reruns_agree(spark):
+    rng = random.Random(31)
+    texts = [prose("en", rng.randint(100, 400), rng) for _ in range(40)]
+    docs = table(spark, ["a b c d " * 40] * 400 + texts * 2, [None] * 400 + [5] * 80)
+    own = prefix_sums(docs.select("doc_id", F.length("text").cast("long").alias("v")), ["doc_id"], "v")[0]
+    assert own.rdd.getNumPartitions() > 0 and own.count() == 480
+    parts = [r.n for r in own.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(parts) < 300
+    once, again = (sorted(((r._c_text or "", r._taken) for r in mixing.taken(mixing.mix(docs.repartition(n), ["text"])).collect()), key=str) for n in (3, 7))
+    assert [x for x in once if x[0] in texts] == [x for x in again if x[0] in texts]
+
+
+# --- 5
+
+
+def test_a_large_shard_goes_on_by_a_tree_of_its_own(monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**32, 300, dtype=np.uint64)
+    fps = np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)) for _ in range(3))]).view(np.int64)
+    u, v = simhash.shard_edges(fps, 0xFFFFFFFF, 3)
+
+    def roots(a, b):
+        root = {x: x for x in np.unique(fps).tolist()}
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = top(x), top(y)
+            root[max(x, y)] = min(x, y)
+        return {x: top(x) for x in root}
+
+    # the other half's tree brings the rest; pairs that differ in at most one low bit must be in the same component
+    mine = roots(u, v)
+    w = np.unique(fps).view(np.uint64)
+    near = (np.bitwise_count(w[:, None] ^ w[None]) <= 3) & (np.bitwise_count((w[:, None] ^ w[None]) & np.uint64(0xFFFFFFFF)) <= 1)
+    for i, j in zip(*np.nonzero(near), strict=True):
+        assert mine[int(w[i].view(np.int64))] == mine[int(w[j].view(np.int64))]
+
+
+def test_the_pipelines_tables_go(spark):
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        return
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:") + "/lodestrata"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    P.run(spark, "/root/testdata/sf0.001").count()
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
+    assert {n for n in left if n.startswith("pipeline-")} == {"pipeline-3"}
