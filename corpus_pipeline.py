@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm import decontam, langid, mixing, sharding, similar, simhash
-from lodestrata.llm.common import scratch_root
+from lodestrata.llm.common import removed, stored
 from lodestrata.llm.queries import language_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,12 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is a Parquet table in the shared folder, so a lost executor repeats one stage at most."""
+    """The last stage's rows; each stage's result is a Parquet table in the shared folder, so a lost executor repeats one stage at most.
+
+    A stage's table goes once the next one's is written, and the last when the driver's JVM ends: the folder holds two at most.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = f"{scratch_root(spark)}/lodestrata/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            out.write.parquet(f"{where}/{k}")
-            docs = spark.read.schema(out.schema).parquet(f"{where}/{k}")
+            before, docs = docs, stored(out, f"pipeline-{k}")
+            if k:
+                removed(before)
     return out
