@@ -17,9 +17,14 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ascii_lower(c: Column) -> Column:
+    """The text lower-cased, once and not word by word; the two signs that would become ASCII letters (dotted I, Kelvin) become spaces."""
+    return F.lower(F.replace(F.replace(c, F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" ")))
+
+
 def tokens(c: Column | str) -> Column:
     """Lower-cased runs of letters, digits, _, + and -, and single Chinese characters; none for null."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(TOKEN), F.lit(0)), F.lower)
+    return F.regexp_extract_all(ascii_lower(F.coalesce(col(c), F.lit(""))), F.lit(TOKEN.replace("A-Za-z", "a-z")), F.lit(0))
 
 
 def ascii_tokens(c: Column | str, doubled: tuple[str, ...] = ("table", "figure")) -> Column:
@@ -44,7 +49,7 @@ def terms(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space words; none for null or blank."""
-    return F.filter(F.split(F.coalesce(col(c), F.lit("")), WHITE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col(c), F.lit("")), WHITE), "")
 
 
 def word_count(c: Column | str) -> Column:
@@ -83,24 +88,33 @@ def squeezed(c: Column | str, limit: int) -> Column:
 def ratio_of(c: Column | str, letters: str) -> Column:
     """Part of the text's characters that the pattern matches."""
     c = F.coalesce(col(c), F.lit(""))
-    return F.char_length(F.regexp_replace(c, f"[^{letters}]", "")) / F.greatest(F.char_length(c), F.lit(1))
+    return F.char_length(F.regexp_replace(c, f"[^{letters}]+", "")) / F.greatest(F.char_length(c), F.lit(1))
 
 
 def quality(c: Column | str) -> Column:
-    """1 less penalties for few characters or words, few letters, many digits and repeated words; 0 for null or empty."""
+    """1 less penalties for few characters or words, few letters, many digits and repeated words; 0 for null or empty.
+
+    The counts are one struct to which the score refers, so the text is split and scanned once.
+    """
     text = F.coalesce(col(c), F.lit(""))
-    n, w = F.char_length(text), F.size(words(text))
-    distinct = F.size(F.array_distinct(words(F.lower(text))))
-    letters = ratio_of(text, r"\p{L}")
-    score = (
-        F.lit(1.0)
-        - F.when(n < 50, 0.4).when(n < 100, 0.2).otherwise(0.0)
-        - F.when(w < 10, 0.3).when(w < 20, 0.15).otherwise(0.0)
-        - F.when(letters < 0.5, 0.3).when(letters < 0.7, 0.1).otherwise(0.0)
-        - F.when(ratio_of(text, r"\p{Nd}") > 0.3, 0.2).otherwise(0.0)
-        - F.when((w > 0) & (distinct / F.greatest(w, F.lit(1)) < 0.2), 0.2).otherwise(0.0)
-    )
-    return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
+    counts = F.struct(
+        F.char_length(text).alias("n"), F.size(words(text)).alias("w"), F.size(F.array_distinct(words(F.lower(text)))).alias("distinct"),
+        ratio_of(text, r"\p{L}").alias("letters"), ratio_of(text, r"\p{Nd}").alias("digits"),
+    )
+
+    def score(x: Column) -> Column:
+        n, w, letters = x["n"], x["w"], x["letters"]
+        points = (
+            F.lit(1.0)
+            - F.when(n < 50, 0.4).when(n < 100, 0.2).otherwise(0.0)
+            - F.when(w < 10, 0.3).when(w < 20, 0.15).otherwise(0.0)
+            - F.when(letters < 0.5, 0.3).when(letters < 0.7, 0.1).otherwise(0.0)
+            - F.when(x["digits"] > 0.3, 0.2).otherwise(0.0)
+            - F.when((w > 0) & (x["distinct"] / F.greatest(w, F.lit(1)) < 0.2), 0.2).otherwise(0.0)
+        )
+        return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)))
+
+    return F.element_at(F.transform(F.array(counts), score), 1)
 
 
 def headed(title: str, section: str, source: str, doc: str, text: str, sep: str = " ") -> Column:
@@ -240,8 +254,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 def letter_vector(c: Column | str) -> Column:
     """A deterministic stand-in for an embedding: the counts of a to z."""
     low = F.lower(F.coalesce(col(c), F.lit("")))
-    n = F.char_length(low)
-    return F.array(*[(n - F.char_length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)])
+    n = F.octet_length(low)  # a letter is one byte, and bytes needn't be counted
+    return F.array(*[(n - F.octet_length(F.replace(low, F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(26)])
 
 
 def canonical(c: Column | str, names: dict[str, list[str]]) -> Column:

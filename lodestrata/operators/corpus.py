@@ -42,11 +42,15 @@ def chunks(docs: DataFrame, size: int = 4, page: int = 3) -> DataFrame:
 
 
 def quality_filter(chunk_rows: DataFrame, chars: int = 50, words: int = 10, least: float = 0.3, table: tuple[int, int, float] = (20, 3, 0.05)) -> DataFrame:
-    """Chunks that are long and good enough, table text by laxer limits, numbered anew within their document."""
+    """Chunks that are long and good enough, table text by laxer limits, numbered anew within their document.
+
+    The score comes out of a generator of one row, below which the optimizer can't push the filter, so it is computed once.
+    """
     is_table = F.contains("text", F.lit("[TABLE TEXT]"))
-    n, w, q = F.char_length("text"), T.word_count("text"), T.quality("text")
+    rows = chunk_rows.select("*", F.inline(F.array(F.struct(F.char_length("text").alias("_n"), T.word_count("text").alias("_w"), T.quality("text").alias("quality_score")))))
+    n, w, q = F.col("_n"), F.col("_w"), F.col("quality_score")
     strict, lax = (n >= chars) & (w >= words) & (q >= least), (n >= table[0]) & (w >= table[1]) & (q >= table[2])
-    kept = chunk_rows.withColumn("quality_score", q).where(F.when(is_table, lax).otherwise(strict))
+    kept = rows.where(F.when(is_table, lax).otherwise(strict)).drop("_n", "_w")
     kept = ranked(kept, ["doc_id"], [F.col("chunk_index")], "_r")
     return kept.withColumn("chunk_index", (F.col("_r") - 1).cast("long")).drop("_r")
 

@@ -276,7 +276,7 @@ def signals(hits: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
 def contexts(hits: DataFrame, limit: int = 32_000) -> DataFrame:
     """qid, context, n_chunks: the hits' texts under numbered heads, by document (summaries: by section), cut at ``limit`` characters (part of the feature)."""
-    order = F.when(F.col("intent") == "summary", F.format_string("%02d", T.section_priority("section"))).otherwise(F.format_string("%020d", F.col("doc_id")))
+    by_section = F.when(F.col("intent") == "summary", T.section_priority("section")).otherwise(0)
     line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] doc "), F.col("doc_id").cast("string"), F.lit(" / "), F.col("section"), F.lit("\n"), F.col("text"))
-    per = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("rank").alias("r"), line.alias("l")))).alias("p"))
+    per = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(by_section.alias("s"), F.when(F.col("intent") != "summary", F.col("doc_id")).alias("d"), F.col("rank").alias("r"), line.alias("l")))).alias("p"))
     return per.select("qid", F.substring(F.array_join(F.transform("p", lambda v: v["l"]), "\n\n"), 1, limit).alias("context"), F.size("p").cast("long").alias("n_chunks"))

@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Lexicon, Settings
+from ..functions.session import stored
 from .ranking import ranked, top
 
 SETTINGS = Settings()
+#: Question terms that may be sent to all tasks (about 50 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def filtered(rows: DataFrame, doc_ids: list | None = None, sections: list | None = None, source_files: list | None = None, most: int | None = SETTINGS.max_filter_items) -> DataFrame:
@@ -68,6 +72,13 @@ def term_counts(rows: DataFrame, text: Column, wanted: DataFrame | None = None,
     return each.groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def wanted_postings(rows: DataFrame, text: Column, wanted: DataFrame, key: str = "chunk_id", tokenize=T.tokens) -> DataFrame:
+    """Postings key, dl, term, tf of the wanted terms, dealt by key, and one of the empty term for each row, from one pass over the texts."""
+    each = rows.select(key, tokenize(text).alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode(F.concat("_t", F.array(F.lit("")))).alias("term"))
+    asked = wanted.select("term").unionByName(rows.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return each.join(asked, "term", "left_semi").repartition(key).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def corpus_stats(rows: DataFrame, text: Column, tokenize=T.tokens) -> DataFrame:
     """One row: n_rows, avgdl."""
     return rows.select(F.size(tokenize(text)).alias("_n")).agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.avg("_n"), F.lit(0.0)).alias("avgdl"))
@@ -81,15 +92,21 @@ def bm25(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.bm25_limit
     """qid, key, bm25_score, bm25_rank: the ``limit`` best rows of each question with a score above 0, ties by key.
 
     Statistics are of all rows even if only some (``only``, by key) may be found. A question's repeated term counts repeatedly.
+    Texts are split once: the postings of the questions' terms, and each row's length as that of an empty term, are a stored table that
+    is dealt by key, so all postings of a row meet in one task and its score for a question is summed there before it is shuffled.
     """
     text = T.headed("title", "section", "source_file", "doc_id", "text") if text is None else text
-    wanted = question_terms(questions, tokenize)
-    postings = term_counts(rows, text, wanted, key, tokenize)
+    wanted = stored(question_terms(questions, tokenize), "terms")
+    held = stored(wanted_postings(rows, text, wanted, key, tokenize), "postings")
+    postings, lengths = held.where("term != ''"), held.where("term = ''")
+    stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     idf = F.log1p((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
     found = postings if only is None else postings.join(only.select(key), key, "left_semi")
-    weights = document_frequency(postings).crossJoin(F.broadcast(corpus_stats(rows, text, tokenize)))  # the statistics are one row
-    each = found.join(weights, "term").withColumn("_w", idf * F.col("tf") * (k1 + 1) / norm).select(key, "term", "_w").join(wanted, "term")
+    weights = wanted.join(document_frequency(postings), "term").crossJoin(F.broadcast(stats))  # the statistics are one row
+    if wanted.count() <= BROADCAST_ROWS:  # postings stay where they are; with more terms both sides are dealt by term
+        weights = F.broadcast(weights)
+    each = found.join(weights, "term").withColumn("_w", idf * F.col("tf") * (k1 + 1) / norm)
     scored = each.groupBy("qid", key).agg(F.round(F.sum(F.col("qf") * F.col("_w")), 6).alias("bm25_score")).where("bm25_score > 0")
     return top(scored, ["qid"], [F.desc("bm25_score"), F.col(key)], limit, "bm25_rank")
 
@@ -110,24 +127,23 @@ def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_lim
             continue
         width = max((len(r.v or ()) for r in some), default=0)
         matrix = np.array([list(r.v) if r.v is not None and len(r.v) == width else [0.0] * width for r in some])
-        ids = np.array([r.qid for r in some], dtype=object)
+        ids = pa.array([r.qid for r in some], pa.string() if dict(questions.dtypes)["qid"] == "string" else None)
 
-        def search(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: np.ndarray = ids, width: int = width) -> Iterator[pa.RecordBatch]:
-            lengths = np.linalg.norm(matrix, axis=1)
+        def search(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: pa.Array = ids, width: int = width) -> Iterator[pa.RecordBatch]:
+            lengths, asked = np.linalg.norm(matrix, axis=1), {q: i for i, q in enumerate(ids.to_pylist())}
             for b in batches:
                 if not b.num_rows or not width:
                     continue
-                x = np.array([v if v is not None and len(v) == width else np.zeros(width) for v in b.column("v").to_pylist()], float)
-                keys = np.array(b.column(key).to_pylist(), dtype=object)
+                x = matrix_of(b.column("v"), width)
                 scale = lengths[:, None] * np.linalg.norm(x, axis=1)[None]
                 score = np.round(np.divide(matrix @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-                for q in range(len(ids)):
-                    s = score[q].copy()
-                    if not own:
-                        s[keys == ids[q]] = -np.inf
-                    last = np.partition(s, max(0, len(s) - limit))[max(0, len(s) - limit)]
-                    at = np.flatnonzero((s >= last) & np.isfinite(s))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(at), type=pa.int64() if isinstance(ids[q], int) else None), b.column(key).take(pa.array(at)), pa.array(s[at])], names=["qid", key, "vector_score"])
+                if not own:
+                    same = [(asked[k], j) for j, k in enumerate(b.column(key).to_pylist()) if k in asked]
+                    score[[i for i, _ in same], [j for _, j in same]] = -np.inf
+                place = max(0, b.num_rows - limit)
+                last = np.partition(score, place, axis=1)[:, place]
+                q, at = np.nonzero((score >= last[:, None]) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(key).take(pa.array(at)), pa.array(score[q, at])], names=["qid", key, "vector_score"])
 
         part = rows.select(key, "v").mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -136,6 +152,14 @@ def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_lim
     return top(out, ["qid"], [F.desc("vector_score"), F.col(key)], limit, "dense_rank").where(F.col("vector_score") >= floor)
 
 
+def matrix_of(vectors: pa.Array, width: int) -> np.ndarray:
+    """The vectors as rows; null ones, those of another length, and null components as zeros."""
+    fine = np.array(pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False))
+    out = np.zeros((len(vectors), width))
+    out[fine] = pc.fill_null(vectors.filter(pa.array(fine)).flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, width)
+    return out
+
+
 def fuse(runs: list[tuple[DataFrame, str, str, float]], limit: int, k: int = SETTINGS.rrf_k, key: str = "chunk_id") -> DataFrame:
     """Weighted reciprocal rank fusion of runs (rows, score column, rank column, weight): qid, key, vector_score, bm25_score,
     fusion_score, rank. A weight may be a column of the run. Scores are each row's best; ties go to dense rows, then by key."""
@@ -246,9 +270,12 @@ def body_expansion(pool: DataFrame, s: Settings = SETTINGS, docs: int = 5, per_d
 
 
 def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """The whole search: routes, variants, dense and lexical runs, fusion, boosts, diversity: hits by qid and rank with the rows' columns."""
+    """The whole search: routes, variants, dense and lexical runs, fusion, boosts, diversity: hits by qid and rank with the rows' columns.
+
+    qid may be of any type; a variant's own id is the text of both.
+    """
     routes = routed(questions, s.lexicon, s)
-    each = variants(routes, s).withColumn("qid2", F.col("qid") * 16 + F.col("variant"))
+    each = variants(routes, s).withColumn("qid2", F.concat_ws("/", F.col("qid").cast("string"), F.col("variant").cast("string")))
     run = each.select(F.col("qid2").alias("qid"), "question")
     weights = each.select(F.col("qid2").alias("qid"), F.col("qid").alias("_q"), "weight", "bm25_weight")
     v = lambda t: T.letter_vector(t)
