@@ -30,6 +30,33 @@ class Lexicon:
         ("2′-fl", "2'-fl", "2-fucosyllactose", "20-fucosyllactose"), ("6′-sl", "6'-sl", "6-sialyllactose", "6′-sialyllactose"),
         ("wcfb",), ("salvage", "gdp-l-fucose", "gdp fucose"), ("crispr-tmsd", "tmsd", "strand displacement"),
     )
+    #: Of a question that asks for a route (``route_markers``): what stands for the pathway of each thing it names.
+    pathways: tuple[tuple[str, tuple[str, ...]], ...] = (
+        ("2′-fl", ("gdp-l-fucose", "gdp-fucose", "alpha-1,2-fucosyltransferase", "fuct", "lactose", "biosynthesis")), ("2'-fl", ("gdp-l-fucose", "gdp-fucose", "alpha-1,2-fucosyltransferase", "fuct", "lactose", "biosynthesis")),
+        ("6′-sl", ("cmp-neu5ac", "sialyltransferase", "alpha-2,6-sialyltransferase", "lactose", "biosynthesis")), ("6'-sl", ("cmp-neu5ac", "sialyltransferase", "alpha-2,6-sialyltransferase", "lactose", "biosynthesis")),
+    )
+    #: Branches that a comparison names by one of the first words, and the words of which evidence has one.
+    named_branches: tuple[tuple[tuple[str, ...], tuple[str, ...]], ...] = (
+        (("6′-sl", "6'-sl"), ("6′-sl", "cmp-neu5ac", "sialyltransferase")), (("2′-fl", "2'-fl"), ("2′-fl", "gdp-l-fucose", "fucosyltransferase")), (("wcfb",), ("wcfb",)),
+        (("salvage", "补料"), ("salvage", "gdp-l-fucose")), (("染色体整合", "chromosomal integration"), ("chromosomally", "integration", "染色体整合")),
+    )
+    negative: tuple[str, ...] = ("review", "progress", "covid", "sars", "protective effect", "inflammation")
+    core_phrases: tuple[str, ...] = ("工业规模", "industrial scale", "industrial-scale", "溶解氧", "dissolved oxygen", "control strategy", "控制策略", "详细方案", "systematic review", "系统综述", "临床试验", "clinical trial", "phase iii", "iii 期", "发酵工艺", "fermentation process", "protocol", "review", "trial", "data")
+    generic_terms: tuple[str, ...] = ("文库", "当前文库", "知识库", "资料", "数据", "方案", "详细方案", "系统综述", "临床试验", "工艺", "策略", "报告", "protocol", "review", "trial", "data", "scheme", "strategy")
+    generic_branches: tuple[str, ...] = ("策略", "机制", "作用", "用途", "角色", "方法", "路径", "差异", "区别", "方案", "一类", "另一类", "一种", "另一种", "两类", "两种", "strategy", "mechanism", "role", "usage", "function")
+    overclaims: tuple[str, ...] = ("完整回答如下", "可以完整回答", "可以确定文库中完整包含", "两者均已充分证明", "可以确认文库中完整包含", "完整比较", "完整回答", "充分证明", "均已充分支持", "可以确定", "完全支持", "文库已经证明", "明确证明两者", "无需额外证据", "已完整覆盖", "fully supported", "complete comparison", "conclusively proves", "sufficient evidence for all", "definitely confirms")
+    existence_overclaims: tuple[str, ...] = ("文库中有该详细方案", "文库中有完整详细方案", "已提供完整方案", "可以确认包含", "可以确认文库中有")
+    branch_limits: tuple[str, ...] = ("不足", "缺失", "无法", "不能完整比较", "不能逐分支", "不能确认", "证据限制")
+    indirect_limits: tuple[str, ...] = ("间接", "有限比较", "不能完整比较", "不能逐分支", "证据限制")
+    partial_limits: tuple[str, ...] = (
+        "有限比较", "有限回答", "只能支持部分", "当前证据只能", "当前文库只能", "在文库所支持的范围内", "证据不足以", "不能完整", "不能逐分支", "不能逐分支完整比较", "无法完整", "缺乏直接", "仅提供间接", "部分支持", "证据分布不均衡", "尚不能", "不能确认",
+        "limited comparison", "partial support", "insufficient evidence", "indirect evidence", "cannot fully", "not enough evidence",
+        "有限总结", "有限支持", "当前知识库仅提供", "当前知识库只能支持有限总结", "仅检索到一条", "仅有一条", "只检索到一条", "一条直接相关证据", "以下总结仅基于", "只能覆盖该证据涉及的范围", "尚不足以完整阐明", "不足以完整阐明", "未直接说明", "未涉及", "暂未涵盖",
+        "尚无其他证据", "缺少更细化", "不能视为完整综述", "不能完整总结", "只能覆盖部分", "证据较少", "证据有限", "limited summary", "limited support", "only one direct evidence", "based only on this evidence", "insufficient to fully explain", "does not directly explain", "not covered", "cannot fully summarize", "partial evidence",
+        "Limited evidence",
+    )
+    existence_disclaimers: tuple[str, ...] = ("不能确认文库中包含",)
+    negations: tuple[str, ...] = ("不能", "无法", "尚不能", "不可", "不应", "not ", "cannot ", "can't ")
     strategies: tuple[tuple[str, ...], ...] = (
         ("salvage", "gdp-l-fucose", "gdp fucose", "补料", "补救"), ("wcfb", "fucosyltransferase", "末端转移", "岩藻糖基转移酶"),
         ("chromosomal integration", "chromosomally integrated", "chromosomally integration", "染色体整合", "integrated expression cassette"),

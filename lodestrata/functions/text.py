@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicon import Lexicon
+
 TOKEN = r"[A-Za-z0-9_+-]+|[一-鿿]"
 ASCII_TOKEN = r"[a-z0-9]+"
 CJK = r"[一-鿿]"
@@ -218,9 +220,11 @@ def facts(c: Column | str, least: int = 12) -> Column:
 
 
 def sentences(c: Column | str, least: int = 24, most: int = 80) -> Column:
-    """Up to ``most`` sentences, split after end marks, of ``least`` characters or more; the limit is part of the feature."""
-    parts = F.transform(F.split(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"([.!?。！？；;])", "$1\n"), "\n"), lambda p: F.btrim(p))
-    return F.slice(F.filter(parts, lambda s: F.char_length(s) >= least), 1, most)
+    """Up to ``most`` sentences of ``least`` characters or more, split after end marks that white space follows and at semicolons, long ones into
+    clauses; the limit is part of the feature."""
+    flat = F.btrim(F.regexp_replace(F.coalesce(col(c), F.lit("")), WHITE, " "))
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(flat, r"([.!?。！？]) |[；;] ?", "$1\u0001"), "\u0001"), lambda p: F.btrim(p, F.lit(" ;；"))), lambda p: p != "")
+    return F.slice(F.filter(F.flatten(F.transform(pieces, lambda p: clauses(p))), lambda s: F.char_length(s) >= least), 1, most)
 
 
 def unbroken(c: Column | str) -> Column:
@@ -304,17 +308,117 @@ def section_name(c: Column | str) -> Column:
     return out
 
 
-def branches(question: Column | str) -> Column:
-    """struct<left, right, reason> of a question that compares two things; reason is ok, or why there is no pair."""
-    q = F.btrim(F.regexp_replace(F.coalesce(col(question), F.lit("")), WHITE, " "))
-    patterns = [
-        r"(?i)differences? between (.+?) and (.+?)(?: in | for | when |[?.!]|$)", r"(?i)compare (.+?) (?:and|with|to|versus|vs\.?) (.+?)(?: in | for |[?.!,]|$)", r"(?i)(?:is|are|does|do) (.+?) (?:better|higher|faster|lower) than (.+?)(?:[?.!]|$)",
-        r"(?i)(?:^|: )(.+?) (?:versus|vs\.?) (.+?)(?:[?.!,:]|$)", r"(?:比较|对比)(.+?)(?:和|与|及)(.+?)(?:的|在|，|。|？|$)", r"(.+?)(?:和|与)(.+?)(?:的)?(?:区别|差异|不同)", r"(.+?)相比(.+?)(?:，|。|？|$)",
-    ]
-    tidy = lambda x: F.btrim(F.regexp_replace(x, r"(?i)^(the|a|an)\s+|[\s,;，；]+$", ""))
-    left = F.coalesce(*[F.nullif(tidy(F.regexp_extract(q, p, 1)), F.lit("")) for p in patterns])
-    right = F.coalesce(*[F.nullif(tidy(F.regexp_extract(q, p, 2)), F.lit("")) for p in patterns])
-    generic = lambda x: F.lower(x).isin("them", "it", "they", "others", "both", "two", "it's", "它们", "两者", "二者")
-    bad = lambda x: generic(x) | (F.char_length(x) < 2) | (F.char_length(x) > 80) | (F.octet_length(x) > 120)
-    why = F.when(left.isNull() | right.isNull(), "no_pattern").when(bad(left) | bad(right), "invalid_branch").when(F.lower(left) == F.lower(right), "same_branch").otherwise("ok")
-    return F.struct(F.when(why == "ok", left).alias("left"), F.when(why == "ok", right).alias("right"), why.alias("reason"))
+# The forms in which a question names two branches, in the order in which they are tried, and what is cut from a branch.
+BRANCH_FORMS = (
+    r"一类[是为]\s*(.+?)，\s*另一类[是为]\s*(.+?)(?:$|[？?。])", r"一种[是为]\s*(.+?)，\s*另一种[是为]\s*(.+?)(?:$|[？?。])",
+    r"^(?:请)?(?:比较|对比)\s*(?:文库中|当前文库中)?\s*(.+?)\s*[和与]\s*(.+?)\s*两(?:种|类|项)(?:[^？?。.]*)[？?。.]?$",
+    r"^(?:请)?(?:比较|对比)\s*(?:文库中|当前文库中)?\s*(.+?)\s*[和与]\s*(.+?)\s*(?:之间的)?(?:异同|差异|区别|比较)(?:$|[？?。.,，])",
+    r"比较\s+(.+?)\s+[和与]\s+(.+?)(?:的|在|有何|有什么|差异|区别|作用|机制|用途|角色|$|[？?。.,，])",
+    r"(?i)(.+?)\s+vs\.?\s+(.+?)(?:$|[？?。.,，])", r"(?i)compare\s+(.+?)\s+and\s+(.+?)(?:$|[?.。,，])", r"(?i)comparison between\s+(.+?)\s+and\s+(.+?)(?:$|[?.。,，])", r"分别是\s+(.+?)\s+[和与]\s+(.+?)(?:$|[？?。.,，])",
+)
+BRANCH_CUTS = (
+    r"(?i)^(比较|对比|请比较|请对比|文库中|当前文库中|当前知识库中|文库里)\s*", r"^(其中|分别|一类|另一类|一种|另一种)\s*", r"(?:两(?:种|类|项).{0,20}?(?:策略|研究|效应|方法|方案)|的异同|的差异|的区别|之间的差异|之间的异同|的比较)$", r"的$",
+    r"(?i)^(compare|comparison between)\s+", r"(的两种角色|的两类角色|的角色|的策略|的机制|的作用|的用途)$",
+)
+BRANCH_EDGE = " ，,：:；;。."
+COMPARING = r"(?i)\bvs\.?\b|\bcompare\b|\bcomparison\b|比较|对比|异同|差异|区别|两种|两类|两项|一类|另一类|一种|另一种"
+
+
+def branch_name(c: Column) -> Column:
+    """A branch without what introduces or closes it."""
+    c = F.btrim(c, F.lit(BRANCH_EDGE))
+    for cut in BRANCH_CUTS:
+        c = F.btrim(F.regexp_replace(c, cut, ""), F.lit(BRANCH_EDGE))
+    return c
+
+
+def branch_problem(c: Column, generic: tuple[str, ...]) -> Column:
+    """Why a branch is none: empty_branch, generic_branch, branch_too_long, branch_too_short; else null."""
+    low = F.lower(F.btrim(c))
+    parts = F.regexp_extract_all(low, F.lit(r"[a-z0-9]+|[一-鿿]+"), F.lit(0))
+    return (
+        F.when(low == "", "empty_branch").when(low.isin(*generic), "generic_branch").when((F.char_length(c) > 80) | (F.octet_length(low) > 120), "branch_too_long")
+        .when(low.rlike(r"^[a-z0-9_.-]{1,4}$"), None).when(F.char_length(F.array_join(parts, "")) < 2, "branch_too_short").when(F.forall(parts, lambda t: t.isin(*generic)), "generic_branch")
+    )
+
+
+def branches(question: Column | str, lexicon: Lexicon = Lexicon()) -> Column:  # noqa: B008
+    """struct<left, right, reason> of a question that compares two things: the first form that gives two good branches. reason is ok, or
+    why there is no pair: empty_question, not_comparison_intent, what is wrong with the first form that fits, or no_supported_pattern."""
+    q = F.btrim(F.btrim(F.regexp_replace(F.coalesce(col(question), F.lit("")), WHITE, " ")), F.lit("？?。."))
+
+    def pair(form: str) -> Column:
+        left, right = (branch_name(F.regexp_extract(q, form, i)) for i in (1, 2))
+        why = F.when((left == "") | (right == ""), "empty_branch").when(left == right, "duplicate_branch")
+        return F.when(q.rlike(form), F.struct(left.alias("left"), right.alias("right"), F.coalesce(why, branch_problem(left, lexicon.generic_branches), branch_problem(right, lexicon.generic_branches), F.lit("ok")).alias("reason")))
+
+    tried = F.array_compact(F.array(*map(pair, BRANCH_FORMS)))
+    good = F.filter(tried, lambda p: p["reason"] == "ok")
+    refused = lambda why: F.struct(F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), why.alias("reason"))
+    return (
+        F.when(q == "", refused(F.lit("empty_question"))).when(~q.rlike(COMPARING), refused(F.lit("not_comparison_intent"))).when(F.size(good) > 0, F.get(good, F.lit(0)))
+        .when(F.size(tried) > 0, refused(F.get(tried, F.lit(0))["reason"])).otherwise(refused(F.lit("no_supported_pattern")))
+    )
+
+
+def claims_any(c: Column | str, claims: tuple[str, ...], negations: tuple[str, ...], reach: int = 8) -> Column:
+    """Whether the text has one of the claims, in any case, without a negation in the ``reach`` characters before it."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+
+    def bare(claim: Column) -> Column:
+        pieces = F.split(low, F.concat(F.lit("\\Q"), claim, F.lit("\\E")), -1)
+        return F.exists(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: ~has_any(F.when(F.char_length(p) > reach, F.substr(p, F.char_length(p) - (reach - 1))).otherwise(p), negations))
+
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x.lower())) & bare(F.lit(x.lower())) for x in claims], F.lit(False))
+
+
+# Units of numbers in facts, forms of entities.
+UNITS = r"%|g/l/h|g/l|mg/l|mg|mmol|mm|um|umol|nm|fold|h|hr|hours?|times?|x"
+ENTITY = r"\b[a-z]{1,8}\d{1,5}[a-z0-9-]*\b|\b[a-z0-9]+(?:_[a-z0-9]+)+\b|\b[a-z]{2,18}ase\b|\b(?:abc|mfs|rnd|smr|mate|neu5ac|hsa|bge)\b"
+CJK_ENTITY = r"[一-鿿]{2,}(?:酶|酸|菌|家族|转运体|转运蛋白|通道|泵|系统)"
+
+
+def plain_number(c: Column) -> Column:
+    """A number without zeros that say nothing: 05.50 is 5.5."""
+    c = F.regexp_replace(c, r"^0+(?=\d)", "")
+    return F.when(F.contains(c, F.lit(".")), F.regexp_replace(c, r"\.?0*$", "")).otherwise(c)
+
+
+def plain_unit(c: Column) -> Column:
+    return F.when(c.isin("hr", "hour", "hours"), "h").when(c.isin("time", "times", "x"), "fold").otherwise(c)
+
+
+def number_anchors(c: Column | str) -> Column:
+    """Sorted distinct numbers with their units in plain form; of a range (3-5 g/l, 3 to 5 g/l) both ends with the unit, and the range."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    number, ranges = r"(\d+(?:\.\d+)?)", rf"\b(\d+(?:\.\d+)?)\s*(?:-|~|to)\s*(\d+(?:\.\d+)?)\s*({UNITS})(?![a-z0-9])"
+    part = lambda x, form, i: F.regexp_extract(x, form, i)
+
+    def ends(x: Column) -> Column:
+        a, b, u = plain_number(part(x, ranges, 1)), plain_number(part(x, ranges, 2)), plain_unit(part(x, ranges, 3))
+        return F.array(F.concat(a, u), F.concat(b, u), F.concat(a, F.lit("-"), b, u))
+
+    single = rf"\b{number}(?:\s*({UNITS})(?![a-z0-9]))?"
+    spans = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(ranges), F.lit(0)), ends))
+    alone = F.transform(F.regexp_extract_all(low, F.lit(single), F.lit(0)), lambda x: F.concat(plain_number(part(x, single, 1)), plain_unit(part(x, single, 2))))
+    return F.array_sort(F.array_distinct(F.concat(spans, alone)))
+
+
+def entities(c: Column | str) -> Column:
+    """Sorted distinct names of enzymes, genes, compounds and systems by their form."""
+    low = F.lower(F.coalesce(col(c), F.lit("")))
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(ENTITY), F.lit(0)), F.regexp_extract_all(low, F.lit(CJK_ENTITY), F.lit(0)))))
+
+
+def clauses(c: Column | str, whole: int = 360, most: int = 300) -> Column:
+    """A sentence as it is, or, above ``whole`` characters, its clauses joined again up to ``most`` characters a piece: a fold in the JVM."""
+    c = F.coalesce(col(c), F.lit(""))
+    parts = F.filter(F.transform(F.split(c, r"(?<=,)\s+|，\s*"), lambda p: F.btrim(p, F.lit(" ,，"))), lambda p: p != "")
+
+    def put(acc: Column, p: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joined = F.concat(last, F.lit("，"), p)
+        fits = (F.size(acc) > 0) & (F.char_length(joined) <= most)
+        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(p)))
+
+    return F.when(F.char_length(c) <= whole, F.array(c)).otherwise(F.aggregate(parts, F.array().cast("array<string>"), put))

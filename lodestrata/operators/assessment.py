@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Settings
+from .evidence import signals
 from .ranking import ranked, top
 from .rerank import profile
 
 SETTINGS = Settings()
-#: Least score for strong and for partial evidence, least part of the question's terms, least anchor coverage, least branch match; by intent.
-THRESHOLDS = {"default": (0.55, 0.38, 0.30, 0.35, 0.45), "summary": (0.50, 0.34, 0.25, 0.30, 0.45), "comparison": (0.55, 0.36, 0.28, 0.30, 0.45), "experiment": (0.58, 0.40, 0.30, 0.35, 0.45)}
+# Fixed values by intent: least mean score, mean score below which an answer is partial, least score of an evidence unit, features below which
+# evidence is weak, least part of a comparison's branches. "policy" holds for all intents that have no entry; "default" where no policy is used.
+THRESHOLDS = {"default": (0.38, 0.50, 0.30, 0.35, 0.55), "policy": (0.34, 0.46, 0.34, 0.32, 0.40), "summary": (0.32, 0.44, 0.30, 0.32, 0.40), "comparison": (0.30, 0.44, 0.28, 0.32, 0.40)}
 BIBLIOGRAPHIC = r"(?i)\bet al\b|\bdoi\b|\bvol\.|\bpp\.|\bjournal\b|\b(19|20)\d\d;|\[\d+\]"
 
 
-def thresholds(routed: DataFrame) -> DataFrame:
-    """routed questions with the five limits of their intent."""
-    names = ("strong", "partial", "least_terms", "least_anchors", "least_branch")
-    pick = lambda i: F.coalesce(*[F.when(F.col("intent") == k, v[i]) for k, v in THRESHOLDS.items() if k != "default"], F.lit(THRESHOLDS["default"][i]))
+def thresholds(routed: DataFrame, policy: bool = True) -> DataFrame:
+    """routed questions with the five limits of their intent, or without a policy the same for all."""
+    names = ("least_score", "partial_below", "least_unit", "weak_below", "least_branches")
+    other = THRESHOLDS["policy" if policy else "default"]
+    pick = lambda i: F.when(F.lit(policy) & (F.col("intent") == "summary"), THRESHOLDS["summary"][i]).when(F.lit(policy) & (F.col("intent") == "comparison"), THRESHOLDS["comparison"][i]).otherwise(other[i])
     return routed.withColumns({n: pick(i) for i, n in enumerate(names)})
 
 
@@ -51,16 +54,41 @@ def missing_structure(hits: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     return x.groupBy("qid").agg((F.max(asks.cast("int")) * (1 - F.max(ok.cast("int"))) == 1).alias("refuse"))
 
 
-def assessed(routed: DataFrame, hits: DataFrame, k: int = 5) -> DataFrame:
-    """qid, level (strong, partial, none), refuse, reason from the k first hits and the limits of the question's intent."""
-    q = F.array_distinct(T.long_words("question"))
-    x = hits.where(F.col("rank") <= k).withColumn("_o", F.size(F.array_intersect(q, T.long_words("text"))) / F.greatest(F.size(q), F.lit(1)))
-    per = x.groupBy("qid").agg(F.avg(T.fifth_score(F.col("rerank_score"))).alias("_s"), F.max("_o").alias("_t"), F.count(F.lit(1)).alias("n"))
-    x = thresholds(routed).join(per, "qid", "left").join(missing_structure(hits).withColumnRenamed("refuse", "_m"), "qid", "left")
-    level = F.when(F.col("n").isNull(), "none").when((F.col("_s") >= F.col("strong")) & (F.col("_t") >= F.col("least_terms")), "strong").when((F.col("_s") >= F.col("partial")) | (F.col("_t") >= F.col("least_terms")), "partial").otherwise("none")
-    x = x.withColumn("level", level)
-    reason = F.when(F.col("n").isNull(), "empty_support_refuse").when(F.coalesce("_m", F.lit(False)), "missing_structured_reference").when(F.col("level") == "none", "weak_evidence").otherwise("")
-    return x.select("qid", "intent", "level", (reason != "").alias("refuse"), reason.alias("reason"), T.six(F.coalesce("_s", F.lit(0.0))).alias("mean_score"), T.six(F.coalesce("_t", F.lit(0.0))).alias("term_part"))
+def named_coverage(question: Column, texts: Column, s: Settings = SETTINGS) -> Column:
+    """The part of the branches a comparison names by the lexicon of which one of the texts (an array, lower-cased) has a word; 1 if it names none."""
+    low = F.lower(question)
+    asked = [T.has_any(low, names) for names, _ in s.lexicon.named_branches]
+    found = lambda words: F.exists(texts, lambda t: T.has_any(t, words))
+    met = [a & found(words) for a, (_, words) in zip(asked, s.lexicon.named_branches, strict=True)]
+    n = sum((a.cast("int") for a in asked), F.lit(0))
+    return F.when(n == 0, 1.0).otherwise(sum((m.cast("int") for m in met), F.lit(0)) / n)
+
+
+def assessed(routed: DataFrame, hits: DataFrame, k: int = 5, policy: bool = True, single_doc_refuses: bool = True, s: Settings = SETTINGS) -> DataFrame:
+    """qid, level (strong, partial, none), refuse, reason from the k first hits and the limits of the question's intent.
+
+    In order: no hit; a table or figure that no hit has; a low mean score, or few shared words with few features; a comparison with
+    too few of its branches, or from one document (unless that is allowed); else many reviews, a middling score, or few words
+    and features make an answer partial.
+    """
+    x = hits.where(F.col("rank") <= k)
+    text = F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 600)))
+    negative = T.has_any(F.lower(F.concat_ws(" ", "title", F.substring("text", 1, 400))), s.lexicon.negative)
+    per = x.groupBy("qid").agg(F.avg(T.fifth_score(F.greatest("rerank_score", "vector_score", "fusion_score"))).alias("_s"), F.count_distinct("doc_id").alias("_d"), F.avg(negative.cast("double")).alias("_n"), F.collect_list(text).alias("_x"))
+    per = per.join(signals(x, s).select("qid", "overlap", "features"), "qid")
+    x = thresholds(routed, policy).join(per, "qid", "left").join(missing_structure(hits).withColumnRenamed("refuse", "_m"), "qid", "left")
+    x = x.withColumn("coverage", F.when((F.col("intent") == "comparison") & F.col("_x").isNotNull(), named_coverage(F.col("question"), F.col("_x"), s)).otherwise(1.0))
+    compares = F.col("intent") == "comparison"
+    weak = (F.col("_s") < F.col("least_score")) | ((F.col("overlap") < 0.05) & (F.col("features") < F.col("weak_below")))
+    reason = (
+        F.when(F.col("_s").isNull(), "empty_support_refuse").when(F.coalesce("_m", F.lit(False)), "missing_structured_reference").when(weak, "weak_evidence")
+        .when(compares & (F.col("coverage") < F.col("least_branches")), "comparison_branch_coverage").when(compares & (F.col("_d") == 1) & F.lit(single_doc_refuses), "comparison_single_doc").otherwise("")
+    )
+    limited = (F.col("_n") > 0.55) | (F.col("_s") < F.col("partial_below")) | ((F.col("overlap") < 0.1) & (F.col("features") < 0.5))
+    x = x.withColumn("reason", reason)
+    level = F.when(F.col("reason").isin("empty_support_refuse", "missing_structured_reference", "weak_evidence"), "none").when((F.col("reason") != "") | limited, "partial").otherwise("strong")
+    number = lambda c: T.six(F.coalesce(c, F.lit(0.0)))
+    return x.select("qid", "intent", level.alias("level"), (F.col("reason") != "").alias("refuse"), "reason", number("_s").alias("mean_score"), number("overlap").alias("overlap"), number("features").alias("features"), T.six("coverage").alias("coverage"), number("_n").alias("negative"))
 
 
 def valid_claims(claims: DataFrame) -> DataFrame:
@@ -71,10 +99,10 @@ def valid_claims(claims: DataFrame) -> DataFrame:
 
 
 def claims_suffice(routed: DataFrame, claims: DataFrame) -> DataFrame:
-    """qid, n_claims, suffices: two claims for comparisons and summaries, else one."""
+    """qid, n_claims, suffices: one claim for a fact, else two."""
     n = valid_claims(claims).groupBy("qid").agg(F.count(F.lit(1)).alias("n_claims"))
     x = routed.join(n, "qid", "left").withColumn("n_claims", F.coalesce("n_claims", F.lit(0)))
-    return x.select("qid", "n_claims", (F.col("n_claims") >= F.when(F.col("intent").isin("comparison", "summary"), 2).otherwise(1)).alias("suffices"))
+    return x.select("qid", "n_claims", (F.col("n_claims") >= F.when(F.col("intent") == "factoid", 1).otherwise(2)).alias("suffices"))
 
 
 def branch_matches(branch_rows: DataFrame, support: DataFrame, least: float = 0.45, soft: float = 0.2) -> DataFrame:

@@ -105,9 +105,9 @@ def diverse(g: pd.DataFrame, most: int, per_doc: int) -> pd.DataFrame:
 
 def branches(questions: DataFrame) -> DataFrame:
     """qid, branch_no, branch, terms: what each comparison compares, with the words that stand for it."""
-    from .retrieval import compared
+    from .retrieval import compared_objects
 
-    each = questions.where("intent = 'comparison'").select("qid", F.posexplode(compared("question")).alias("branch_no", "branch"))
+    each = questions.where("intent = 'comparison'").select("qid", F.posexplode(compared_objects("question")).alias("branch_no", "branch"))
     return each.withColumns({"branch_no": F.col("branch_no").cast("long"), "terms": T.terms("branch")})
 
 
@@ -151,13 +151,25 @@ def comparison(scored: DataFrame, pairs: DataFrame, k: int = SETTINGS.max_compar
 
 
 def existence(questions: DataFrame, chosen: DataFrame, s: Settings = SETTINGS) -> DataFrame:
-    """Whether each question asks if something is in the library, and how its evidence supports that: strong if three fifths of
-    its terms are in one item, none without evidence, else weak."""
-    asks = T.has_any(F.lower("question"), s.lexicon.existence)
-    x = questions.select("qid", asks.alias("asks_existence"), T.terms("question").alias("_t")).join(chosen.select("qid", F.lower("text").alias("_x")), "qid", "left")
-    part = F.when(F.col("_x").isNotNull(), F.size(F.filter("_t", lambda t: F.contains(F.col("_x"), t))) / F.greatest(F.size("_t"), F.lit(1)))
-    per = x.groupBy("qid", "asks_existence").agg(T.six(F.coalesce(F.max(part), F.lit(0.0))).alias("term_part"), F.count("_x").alias("n_support"))
-    return per.withColumn("support_status", F.when(F.col("n_support") == 0, "none").when(F.col("term_part") >= 0.6, "strong").otherwise("weak"))
+    """Whether each question asks if something is in the library, and how its whole support speaks for that.
+
+    Core terms are the phrases of the lexicon that the question has and its words in capitals; entities are those that are no
+    phrase and not generic, the others qualifiers. Strong: three fifths of the terms are in the support, a qualifier among them,
+    and an entity if there is any. None without support, else weak.
+    """
+    low = F.lower(F.regexp_replace(F.coalesce("question", F.lit("")), T.WHITE, " "))
+    phrases = F.filter(F.array(*map(F.lit, s.lexicon.core_phrases)), lambda p: F.contains(low, F.lower(p)))
+    marks = F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(r"\b(?:[A-Z][A-Z0-9-]+|mRNA)\b"), F.lit(0))
+    loose = F.array(*[F.lit(p) for p in s.lexicon.core_phrases if " " in p or not p.isascii()])
+    text = chosen.groupBy("qid").agg(F.count(F.lit(1)).alias("n_support"), F.lower(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", *[c for c in ("title", "section", "text") if c in chosen.columns])))).alias("_x"))
+    x = questions.select("qid", T.has_any(F.lower("question"), s.lexicon.existence).alias("asks_existence"), F.array_distinct(F.concat(phrases, marks)).alias("_t")).join(text, "qid", "left")
+    is_entity = lambda t: ~t.isin(*s.lexicon.generic_terms) & (t.rlike("^[A-Z0-9-]{2,}$") | ~F.array_contains(loose, t))
+    within = lambda t: F.when(t.rlike("^[A-Za-z0-9-]{2,}$"), F.rlike(F.col("_x"), F.concat(F.lit("\\b"), F.lower(t), F.lit("\\b")))).otherwise(F.contains(F.col("_x"), F.lower(t)))
+    x = x.withColumns({"n_support": F.coalesce("n_support", F.lit(0)), "_x": F.coalesce("_x", F.lit(""))}).withColumn("_m", F.filter("_t", within))
+    x = x.withColumns({"_e": F.size(F.filter("_t", is_entity)), "_me": F.size(F.filter("_m", is_entity)), "term_part": T.six(F.when(F.size("_t") > 0, F.size("_m") / F.size("_t")).otherwise(0.0))})
+    strong = (F.size("_t") > 0) & (F.size("_m") * 5 >= F.size("_t") * 3) & ((F.col("_e") == 0) | (F.col("_me") > 0)) & (F.size("_m") > F.col("_me"))
+    status = F.when(F.col("n_support") == 0, "none").when(strong, "strong").otherwise("weak")
+    return x.select("qid", "asks_existence", "term_part", "n_support", status.alias("support_status"))
 
 
 def plan(questions: DataFrame, chosen: DataFrame, coverage: DataFrame, exists: DataFrame) -> DataFrame:
@@ -210,27 +222,50 @@ def validated(plans: DataFrame, answers: DataFrame, citations: DataFrame, s: Set
     return x.select("qid", mode.alias("mode"), F.when(bare, "post_generation_zero_citation_refuse").otherwise(F.col("reason")).alias("reason"), F.when(bare, REFUSAL).otherwise(F.col("answer")).alias("answer"), "n_citations")
 
 
-def answer_flags(answers: DataFrame, chosen: DataFrame) -> DataFrame:
-    """What speaks against a rewritten answer: qid, flags. Marks of unknown evidence, no mark at all, claims without limits in a
-    partial answer, and numbers that no item of support has."""
-    x = answers.join(chosen.groupBy("qid").agg(F.collect_set("evidence_id").alias("_ids"), F.concat_ws("\n", F.collect_list("text")).alias("_all")), "qid", "left")
-    marks = F.regexp_extract_all("answer", F.lit(r"\[(E\d+)\]"), F.lit(1))
+def answer_flags(answers: DataFrame, chosen: DataFrame, plans: DataFrame | None = None, coverage: DataFrame | None = None, before: DataFrame | None = None, most_chars: int = 1200, s: Settings = SETTINGS) -> DataFrame:
+    """What speaks against a rewritten answer: qid, flags.
+
+    answers: qid, mode, answer. Its marks must be of the support (chosen) and, if ``before`` (qid, answer: the extractive one) is
+    given, the same set; a comparison whose branches (coverage) have evidence may use what any branch has, and must use each
+    direct one's. With ``plans`` (reason, missing_branches) limits must be named where they hold. Overclaims count unless a
+    negation stands within eight characters before them. Numbers must be in the support.
+    """
+    none = F.array().cast("array<string>")
+    marks_of = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\[(E\d+)\]"), F.lit(1)))
+    x = answers.select("qid", "mode", F.coalesce("answer", F.lit("")).alias("answer")).join(chosen.groupBy("qid").agg(F.collect_set("evidence_id").alias("_ids"), F.concat_ws("\n", F.collect_list("text")).alias("_all")), "qid", "left")
+    x = x.join(before.select("qid", marks_of("answer").alias("_before")), "qid", "left") if before is not None else x.withColumn("_before", F.lit(None).cast("array<string>"))
+    x = x.join(plans.select("qid", "reason", "missing_branches"), "qid", "left") if plans is not None else x.withColumns({"reason": F.lit(""), "missing_branches": F.lit(0)})
+    if coverage is not None:
+        has = F.col("status") != "missing"
+        x = x.join(coverage.groupBy("qid").agg(F.collect_set(F.when(has, F.col("evidence_id"))).alias("_allowed"), F.collect_set(F.when(F.col("status") == "direct", F.col("evidence_id"))).alias("_direct"), F.max((F.col("status") == "indirect").cast("int")).alias("_indirect")), "qid", "left")
+    else:
+        x = x.withColumns({"_allowed": none, "_direct": none, "_indirect": F.lit(0)})
+    x = x.withColumns({c: F.coalesce(c, none) for c in ("_ids", "_allowed", "_direct")}).withColumns({"_marks": marks_of("answer"), "_subset": (F.size("_allowed") > 0) & F.col("mode").isin("full", "partial")})
     body = F.regexp_replace("answer", r"\[E\d+\]", "")
     loose = F.filter(T.numbers_and_units(body), lambda n: ~F.contains(F.lower(F.replace(F.coalesce("_all", F.lit("")), F.lit(" "), F.lit(""))), n))
+    lex, partial, weak = s.lexicon, F.col("mode") == "partial", F.coalesce(F.col("reason") == "existence_weak_support", F.lit(False))
+    over = partial & T.claims_any("answer", lex.overclaims, lex.negations)
+    cites, was = F.size("_marks") > 0, F.coalesce(F.size("_before"), F.lit(0)) > 0
+    flag = lambda when, name: F.when(when, name)
     flags = F.array_compact(F.array(
-        F.when(F.size(F.array_except(marks, F.coalesce("_ids", F.array().cast("array<string>")))) > 0, "unknown_evidence"), F.when((F.size(marks) == 0) & (F.col("mode") != "refuse"), "no_citation"),
-        F.when((F.col("mode") == "partial") & ~F.col("answer").rlike("(?i)limited|partial|not enough|insufficient"), "missing_limitation"), F.when(F.size(loose) > 0, "unsupported_number"),
-        F.when((F.col("mode") == "refuse") & (F.size(marks) > 0), "refusal_with_citation"),
+        flag(F.size(F.array_except("_marks", "_ids")) > 0, "invalid_citation_ids"), flag(F.col("_subset") & (F.size(F.array_except("_marks", "_allowed")) > 0), "comparison_disallowed_citation"),
+        flag(F.char_length("answer") > most_chars, "output_too_long"), flag((F.col("mode") != "refuse") & ~cites, "missing_citations"), flag(was & ~cites, "dropped_all_citations"),
+        flag(~F.col("_subset") & was & (F.array_sort("_marks") != F.array_sort("_before")), "citation_set_changed"), flag(F.col("_subset") & (F.size(F.array_except("_direct", "_marks")) > 0), "missing_direct_branch_citation"),
+        flag(over, "partial_overclaim"), flag(partial & (over | ~T.has_any("answer", lex.partial_limits)), "partial_abstention_tone"), flag(weak & T.has_any("answer", lex.existence_overclaims), "existence_overclaim"),
+        flag((F.coalesce("missing_branches", F.lit(0)) > 0) & ~T.has_any("answer", lex.branch_limits), "missing_branch_limit_not_disclosed"),
+        flag((F.coalesce("_indirect", F.lit(0)) > 0) & ~T.has_any("answer", lex.indirect_limits), "indirect_branch_limit_not_disclosed"),
+        flag(weak & ~T.has_any("answer", lex.existence_disclaimers), "missing_existence_weak_disclaimer"),
+        flag(F.size(loose) > 0, "unsupported_number"), flag((F.col("mode") == "refuse") & cites, "refusal_with_citation"),
     ))
     return x.select("qid", flags.alias("flags"))
 
 
-def rewritten(answers: DataFrame, chosen: DataFrame, rewrite: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+def rewritten(answers: DataFrame, chosen: DataFrame, rewrite: Callable[[pd.Series], pd.Series] | None = None, plans: DataFrame | None = None, coverage: DataFrame | None = None) -> DataFrame:
     """The answers as a model rewrites them, where that passes the flags; else as they are. Without a model nothing changes."""
     if rewrite is None:
         return answers.withColumn("rewritten", F.lit(False))
     tried = answers.withColumn("_new", F.pandas_udf(rewrite, "string")("answer"))
-    flags = answer_flags(tried.select("qid", "mode", F.col("_new").alias("answer")), chosen)
+    flags = answer_flags(tried.select("qid", "mode", F.col("_new").alias("answer")), chosen, plans, coverage, answers)
     x = tried.join(flags, "qid").withColumn("rewritten", F.size("flags") == 0)
     return x.select("qid", "mode", F.when(F.col("rewritten"), F.col("_new")).otherwise(F.col("answer")).alias("answer"), "rewritten")
 

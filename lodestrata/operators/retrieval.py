@@ -88,10 +88,10 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.bm25_limit, text: Column | None = None, k1: float = SETTINGS.k1, b: float = SETTINGS.b, key: str = "chunk_id", tokenize=T.tokens, only: DataFrame | None = None) -> DataFrame:
+def bm25(questions: DataFrame, rows: DataFrame, limit: int | None = SETTINGS.bm25_limit, text: Column | None = None, k1: float = SETTINGS.k1, b: float = SETTINGS.b, key: str = "chunk_id", tokenize=T.tokens, only: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """qid, key, bm25_score, bm25_rank: the ``limit`` best rows of each question with a score above 0, ties by key.
 
-    Statistics are of all rows even if only some (``only``, by key) may be found. A question's repeated term counts repeatedly.
+    Statistics are of all rows even if only some (``only``, by key; ``pairs``, by qid and key) may be found; without a limit all are ranked. A question's repeated term counts repeatedly.
     Texts are split once: the postings of the questions' terms, and each row's length as that of an empty term, are a stored table that
     is dealt by key, so all postings of a row meet in one task and its score for a question is summed there before it is shuffled.
     """
@@ -108,7 +108,10 @@ def bm25(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.bm25_limit
         weights = F.broadcast(weights)
     each = found.join(weights, "term").withColumn("_w", idf * F.col("tf") * (k1 + 1) / norm)
     scored = each.groupBy("qid", key).agg(F.round(F.sum(F.col("qf") * F.col("_w")), 6).alias("bm25_score")).where("bm25_score > 0")
-    return top(scored, ["qid"], [F.desc("bm25_score"), F.col(key)], limit, "bm25_rank")
+    if pairs is not None:
+        scored = scored.join(pairs, ["qid", key], "left_semi")
+    order = [F.desc("bm25_score"), F.col(key)]
+    return ranked(scored, ["qid"], order, "bm25_rank") if limit is None else top(scored, ["qid"], order, limit, "bm25_rank")
 
 
 def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_limit, floor: float = SETTINGS.score_floor, key: str = "chunk_id", block: int = 2048, own: bool = False) -> DataFrame:
@@ -190,21 +193,48 @@ def routed(questions: DataFrame, lexicon: Lexicon = SETTINGS.lexicon, s: Setting
 
 
 def expanded(question: Column | str, lexicon: Lexicon = SETTINGS.lexicon) -> Column:
-    """The question with the other names of each thing it names."""
+    """The question with the other names of each thing it names and, if it asks for a route, the terms of each thing's pathway."""
     low = F.lower(T.col(question))
-    extra = []
+    extra, route = [], T.has_any(question, lexicon.route_markers)
+    for name, terms in lexicon.pathways:
+        asked = F.when(route & F.contains(low, F.lit(name)), F.array(*map(F.lit, terms))).otherwise(F.array().cast("array<string>"))
+        extra.append(F.filter(asked, lambda a: ~F.contains(low, a)))
     for group in lexicon.aliases:
         named = T.has_any(low, group)
         extra.append(F.filter(F.when(named, F.array(*map(F.lit, group))).otherwise(F.array().cast("array<string>")), lambda a: ~F.contains(low, a)))
     return F.concat_ws(" ", T.col(question), F.array_distinct(F.concat(*extra)))
 
 
+COMPARE = r"(?i)^\s*(?:please )?(?:请|请你|请基于文库|请根据文库)?\s*(?:compare|difference between|比较|对比|相比)?\s*"
+BETWEEN = r"(?i)\s*(?:,|，|、|以及|及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"
+
+
+def _objects(span: Column) -> Column:
+    parts = F.transform(F.split(F.regexp_replace(span, r"(在当前文库|在文库|在本研究|请分别说明|请说明|分别说明|说明).*$", ""), BETWEEN), lambda p: F.btrim(p, F.lit(" ;；，,。")))
+    return F.filter(parts, lambda p: F.char_length(p) >= 2)
+
+
+def _spans(question: Column | str) -> tuple[Column, Column, Column]:
+    """(what stands before the first colon or sentence end, what stands after it, whether it is a colon)"""
+    body = F.regexp_replace(F.coalesce(T.col(question), F.lit("")), COMPARE, "")
+    return F.regexp_extract(body, r"^[^.?!:：。？！]*", 0), F.regexp_extract(body, r"(?s)^[^.?!:：。？！]*[.?!:：。？！](.*)$", 1), body.rlike(r"^[^.?!:：。？！]*[:：]")
+
+
+def compared_objects(question: Column | str) -> Column:
+    """What a comparison names: the parts between and, vs, versus or commas of its first sentence, at most four; after a colon if there are none before."""
+    lead, rest, colon = _spans(question)
+    first, second = _objects(lead), _objects(F.regexp_extract(rest, r"^[^.?!。？！]*", 0))
+    found = F.when(F.size(first) >= 2, first).when(colon, second).otherwise(first)
+    return F.when(F.size(found) >= 2, F.slice(found, 1, 4)).otherwise(F.array().cast("array<string>"))
+
+
 def compared(question: Column | str) -> Column:
-    """What a comparison names: the parts between and, vs, versus or commas of its first sentence, at most four."""
-    span = F.regexp_extract(T.col(question), r"(?i)^\s*(?:please )?(?:compare|difference between|比较|对比|相比)?\s*([^.?!:：。？！]*)", 1)
-    parts = F.transform(F.split(span, r"(?i)\s*(?:,|，|、|以及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"), lambda p: F.btrim(p))
-    parts = F.filter(parts, lambda p: F.char_length(p) >= 2)
-    return F.when(F.size(parts) >= 2, F.slice(parts, 1, 4)).otherwise(F.array().cast("array<string>"))
+    """A search for each thing that a comparison names: the thing, and what the question says of them all."""
+    lead, rest, colon = _spans(question)
+    objects = compared_objects(question)
+    shared = F.when(F.size(_objects(lead)) >= 2, F.regexp_replace(F.btrim(rest), "^请(分别)?说明|^它们", "")).otherwise(F.when(colon, lead).otherwise(F.lit("")))
+    shared = F.btrim(F.regexp_replace(F.translate(shared, ":：", "  "), T.WHITE, " "))
+    return F.transform(objects, lambda o: F.btrim(F.concat_ws(" ", o, shared)))
 
 
 def variants(routed_questions: DataFrame, s: Settings = SETTINGS) -> DataFrame:
@@ -269,6 +299,26 @@ def body_expansion(pool: DataFrame, s: Settings = SETTINGS, docs: int = 5, per_d
     return top(rows, ["qid"], [F.col("doc_rank"), F.col("doc_id"), F.col("_k")], total, "added").select("qid", "chunk_id", "doc_id", "doc_rank", "expansion_score", "added")
 
 
+def body_candidates(questions: DataFrame, rows: DataFrame, needs: DataFrame, k: int, s: Settings = SETTINGS) -> DataFrame:
+    """The k best body chunks of each document that a question still needs them of (needs: qid, doc_id): qid, chunk_id, doc_id, section,
+    bm25_score. One lexical search for all; statistics are those of all rows, as in any filtered search."""
+    body = rows.where(F.col("section").isin(*s.lexicon.body_sections)).select("chunk_id", "doc_id", "section").join(needs.select("doc_id").distinct(), "doc_id", "left_semi")
+    pairs = body.join(needs.select("qid", "doc_id"), "doc_id")
+    found = bm25(questions, rows, limit=None, only=body, pairs=pairs.select("qid", "chunk_id")).drop("bm25_rank").join(pairs, ["qid", "chunk_id"])
+    return top(found, ["qid", "doc_id"], [F.desc("bm25_score"), F.col("chunk_id")], k, "_k").select("qid", "chunk_id", "doc_id", "section", "bm25_score")
+
+
+def expanded_bodies(pool: DataFrame, questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS, per_doc: int = 2, **limits) -> DataFrame:
+    """body_expansion over the pool and, for documents of which it has fewer than per_doc body chunks to add, a second search among their own."""
+    body = F.col("section").isin(*s.lexicon.body_sections)
+    per = pool.groupBy("qid", "doc_id").agg(F.max("shown").alias("_shown"), F.sum((~F.col("shown") & body).cast("int")).alias("_n"))
+    more = body_candidates(questions, rows, per.where(F.col("_shown") & (F.col("_n") < per_doc)), 3 * per_doc, s)
+    more = more.join(pool.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
+    more = more.withColumns({"rank": F.lit(None).cast("long"), "shown": F.lit(False), "vector_score": F.lit(0.0)})
+    names = ["qid", "chunk_id", "doc_id", "section", "rank", "shown", "vector_score", "bm25_score"]
+    return body_expansion(pool.select(names).unionByName(more.select(names)), s, per_doc=per_doc, **limits)
+
+
 def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
     """The whole search: routes, variants, dense and lexical runs, fusion, boosts, diversity: hits by qid and rank with the rows' columns.
 

@@ -104,30 +104,47 @@ def section_fallback(spark, sf_dir):
     return C.needs_fallback(chunk_rows(spark, sf_dir).select("doc_id", "section", "token_count"))
 
 
-@query()
+BODY_LINE = f"(length(text) >= 20 AND NOT {S.noise('text')} AND NOT {S.heading('text')} AND NOT {S.cells('text')} AND NOT {S.reference('text')})"
+
+
+@query(f"""WITH {S.KINDS}, o AS (SELECT *, last_value(CASE WHEN kind IN ('table_caption', 'table_text') THEN ord END IGNORE NULLS) OVER w AS opened, last_value(CASE WHEN kind IN ('heading', 'figure_caption') OR (kind = 'paragraph' AND {BODY_LINE}) THEN ord END IGNORE NULLS) OVER w AS closed
+FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT doc_id, ord, kind, coalesce(opened > coalesce(closed, -1) AND ord - opened <= 40, false) AS in_table FROM o""")
 def line_kinds(spark, sf_dir):
     """Every block's kind, and whether it stands in a table; the tests hold the rules against examples."""
     rows = blocks(spark, sf_dir).withColumn("kind", T.line_kind("text"))
     return C.table_context(rows).select("doc_id", "ord", "kind", "in_table")
 
 
-@query()
+@query(f"""WITH {S.KINDS} SELECT CASE WHEN grouping(doc_id) = 1 THEN 'TOTAL' ELSE doc_id::VARCHAR END AS doc, count(*) AS blocks, {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ('paragraph', 'heading', 'table_text', 'noise', 'reference'))},
+count(*) FILTER (regexp_matches(text, '[a-z]-$')) AS broken_words, count(*) FILTER (kind = 'heading' AND length(text) < 4) AS fragments FROM kinds GROUP BY ROLLUP (doc_id)""")
 def block_quality_audit(spark, sf_dir):
     return V.quality_audit(blocks(spark, sf_dir).withColumn("kind", T.line_kind("text")))
 
 
-@query()
+@query(f"""WITH {S.KINDS}, t AS (SELECT doc_id, ord, text, (CASE WHEN {S.wc('text')} BETWEEN 4 AND 25 THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '^[A-ZÄÖÜÉÈÑ]') THEN 2 ELSE 0 END - CASE WHEN {S.noise('text')} THEN 5 ELSE 0 END - CASE WHEN {S.heading('text')} THEN 1 ELSE 0 END
+- CASE WHEN regexp_matches(text, '[.;,]$') THEN 1 ELSE 0 END - CASE WHEN {S.cells('text')} THEN 3 ELSE 0 END)::BIGINT AS score FROM kinds WHERE ord < 20) SELECT doc_id, text AS title, score FROM t QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) = 1""")
 def titles(spark, sf_dir):
     return C.title_candidates(blocks(spark, sf_dir))
 
 
-@query()
+def packing(size: int, overlap: int) -> str:
+    """Blocks in order: each goes to the chunk of the one before if it fits; a chunk's lead is the last words of the chunk before, if that has more."""
+    own = f"CASE WHEN {overlap} > 0 AND p.own > {overlap} THEN {overlap} ELSE 0 END"
+    return f"""WITH RECURSIVE {S.BLOCKS}, w AS MATERIALIZED (SELECT doc_id, ord, {S.word_list('text')} AS w FROM blocks), n AS MATERIALIZED (SELECT doc_id, ord, len(w) AS n FROM w),
+walk(doc_id, ord, chunk_no, own, lead) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, n::BIGINT, 0::BIGINT FROM n WHERE ord = 0
+  UNION ALL SELECT p.doc_id, n.ord::BIGINT, CASE WHEN p.lead + p.own + n.n <= {size} THEN p.chunk_no ELSE p.chunk_no + 1 END, CASE WHEN p.lead + p.own + n.n <= {size} THEN p.own + n.n ELSE n.n END, CASE WHEN p.lead + p.own + n.n <= {size} THEN p.lead ELSE {own} END FROM walk p JOIN n ON n.doc_id = p.doc_id AND n.ord = p.ord + 1),
+c AS (SELECT doc_id, chunk_no, min(ord) AS first_ord, max(ord) AS last_ord, max(lead) AS lead, flatten(list(w ORDER BY ord)) AS ws FROM walk JOIN w USING (doc_id, ord) GROUP BY doc_id, chunk_no),
+l AS (SELECT *, CASE WHEN lead > 0 THEN lag(ws) OVER (PARTITION BY doc_id ORDER BY chunk_no)[-{max(1, overlap)}:] ELSE [] END || ws AS a FROM c)
+SELECT doc_id, chunk_no, len(a) AS n_words, first_ord, last_ord, array_to_string(a, ' ') AS text FROM l"""
+
+
+@query(packing(800, 0))
 def chunk_pack(spark, sf_dir):
     """Greedy packing to 800 words without overlap; the tests hold it against a plain loop."""
     return C.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), 800, 0)
 
 
-@query()
+@query(packing(800, 120))
 def chunk_overlap(spark, sf_dir):
     return C.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), 800, 120)
 
@@ -405,26 +422,26 @@ def session_summary(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum((F.col("role") == "user").cast("long")).alias("user_turns"), F.min_by("text", "turn").alias("first_text"), F.max_by("text", "turn").alias("last_text"))
 
 
-@query(f"""WITH {S.CHUNKS}, fresh AS (SELECT * REPLACE (text || ' (new)' AS text, CASE WHEN chunk_index % 2 = 0 THEN NULL ELSE page_start END AS page_start) FROM chunks WHERE doc_id % 10 = 0), n AS (SELECT * REPLACE (coalesce(page_start, -1) AS page_start) FROM fresh)
+@query(f"""WITH {S.CHUNKS}, fresh AS (SELECT * REPLACE (text || ' (new)' AS text, CASE WHEN chunk_index % 2 = 0 THEN NULL ELSE page_start END AS page_start) FROM chunks WHERE source_file = 'src1'), n AS (SELECT * REPLACE (coalesce(page_start, -1) AS page_start) FROM fresh)
 SELECT chunk_id, doc_id, page_start, text FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, doc_id, page_start, text FROM n""")
 def upsert_latest(spark, sf_dir):
     rows = chunk_rows(spark, sf_dir)
-    fresh = rows.where("doc_id % 10 = 0").withColumns({"text": F.concat("text", F.lit(" (new)")), "page_start": F.when(F.col("chunk_index") % 2 == 0, None).otherwise(F.col("page_start"))})
+    fresh = rows.where("source_file = 'src1'").withColumns({"text": F.concat("text", F.lit(" (new)")), "page_start": F.when(F.col("chunk_index") % 2 == 0, None).otherwise(F.col("page_start"))})
     return sinks.upserted(rows, fresh).select("chunk_id", "doc_id", "page_start", "text")
 
 
-@query(f"WITH {S.CHUNKS} SELECT chunk_id, doc_id, text FROM chunks WHERE doc_id % 10 <> 3 UNION ALL SELECT chunk_id || 'n', doc_id, lower(text) FROM chunks WHERE doc_id % 10 = 3 AND chunk_index < 2")
+@query(f"WITH {S.CHUNKS} SELECT chunk_id, doc_id, text FROM chunks WHERE source_file IS DISTINCT FROM 'src1' UNION ALL SELECT chunk_id || 'n', doc_id, lower(text) FROM chunks WHERE source_file = 'src1' AND chunk_index < 2")
 def rebuild_anti_union(spark, sf_dir):
     rows = chunk_rows(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", "text")
-    ids = table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select("doc_id")
+    ids = table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id")
     fresh = rows.where("chunk_index < 2").withColumns({"chunk_id": F.concat("chunk_id", F.lit("n")), "text": F.lower("text")})
     return sinks.rebuilt(rows, fresh, ids)[0].select("chunk_id", "doc_id", "text")
 
 
-@query(f"WITH {S.CHUNKS}, o AS (SELECT doc_id, count(*) AS o, sum((chunk_index < 2)::INT)::BIGINT AS n FROM chunks WHERE doc_id % 10 = 3 GROUP BY doc_id) SELECT d.doc_id, coalesce(o, 0) AS old, coalesce(n, 0) AS new FROM documents d LEFT JOIN o USING (doc_id) WHERE d.doc_id % 10 = 3")
+@query(f"WITH {S.CHUNKS}, o AS (SELECT doc_id, count(*) AS o, sum((chunk_index < 2)::INT)::BIGINT AS n FROM chunks GROUP BY doc_id) SELECT d.doc_id, coalesce(o, 0) AS old, coalesce(n, 0) AS new FROM documents d LEFT JOIN o USING (doc_id)")
 def rebuild_changes(spark, sf_dir):
     rows = chunk_rows(spark, sf_dir)
-    return sinks.rebuilt(rows, rows.where("chunk_index < 2"), table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select("doc_id"))[1]
+    return sinks.rebuilt(rows, rows.where("chunk_index < 2"), table(spark, sf_dir, "documents").select("doc_id"))[1]
 
 
 @query(f"WITH {S.CHUNKS} SELECT chunk_id, [w FOR w IN [CASE WHEN length(chunk_id) > 128 THEN 'chunk_id_too_long' END, CASE WHEN length(text) > 2000 THEN 'text_too_long' END] IF w IS NOT NULL] AS why FROM chunks WHERE length(text) > 2000 OR length(chunk_id) > 128")

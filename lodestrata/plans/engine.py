@@ -80,8 +80,9 @@ def ask(questions: DataFrame, library: Library, s: Settings = Settings(), model:
     sums = pool.join(picked, ["qid", "evidence_id"])
     chosen = stored(facts.unionByName(several).unionByName(sums), "support")
     exists = evidence.existence(routed, chosen, s)
-    plans = evidence.plan(routed, chosen, evidence.branch_coverage(pairs), exists)
-    answers = evidence.rewritten(evidence.extractive_answers(plans, chosen), chosen, rewrite if s.rewrite else None)
+    coverage = evidence.branch_coverage(pairs)
+    plans = evidence.plan(routed, chosen, coverage, exists)
+    answers = evidence.rewritten(evidence.extractive_answers(plans, chosen), chosen, rewrite if s.rewrite else None, plans, coverage)
     answers = stored(answers, "answers")
     citations = evidence.bind_citations(answers, chosen)
     final = evidence.validated(plans, answers, citations, s).join(evidence.confidence(guarded, s), "qid", "left")

@@ -80,6 +80,10 @@ def relative_floor(spark, sf_dir):
     return K.above_floor(reranked(spark, sf_dir), 0.9).select("qid", "chunk_id", "rerank_score")
 
 
+def fifth(x: str) -> str:
+    return f"CASE WHEN {x} BETWEEN 0 AND 1 THEN {x} ELSE greatest(0, least(1, {x} / 5)) END"
+
+
 def norm(x: str) -> str:
     return f"trim(regexp_replace(replace(translate(lower({x}), '′’‘–—−_', '''''''--- '), 'fig.', 'figure '), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
 
@@ -239,7 +243,7 @@ def support_summary(spark, sf_dir):
     return E.summary(E.summary_quality(supported(spark, sf_dir)))
 
 
-CMP = "list_filter(list_transform(string_split(regexp_replace(regexp_extract(question, '^\\s*(?:[Pp]lease )?(?:[Cc]ompare|[Dd]ifference between|比较|对比|相比)?\\s*([^.?!:：。？！]*)', 1), '\\s*(?:,|，|、|以及|\\b[Aa][Nn][Dd]\\b|和|与|\\b[Vv][Ss]\\.?|\\b[Vv][Ee][Rr][Ss][Uu][Ss]\\b)\\s*', chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: length(p) >= 2)"
+CMP = S.OBJECTS
 BRANCHES = f"""{SUPPORT}, br0 AS (SELECT qid, {CMP} AS p FROM routed WHERE intent = 'comparison'), br AS (SELECT qid, unnest(p[1:4]) AS branch, unnest(range(least(4, len(p)))) AS branch_no FROM br0 WHERE len(p) >= 2),
 br1 AS (SELECT b.*, list_distinct(regexp_extract_all(lower(branch), '[a-z0-9][a-z0-9_+''-]{{2,}}')) AS terms, s.evidence_id, s.chunk_id, s.section, s.support_score, lower(concat_ws(chr(10), s.title, s.section, s.text)) AS hay, lower(s.title) AS lt FROM br b JOIN support s USING (qid)),
 br2 AS (SELECT *, list_filter(terms, lambda t: contains(hay, t)) AS m FROM br1), br3 AS (SELECT *, len(m) AS n_matched, len(list_filter(m, lambda t: regexp_matches(t, '[0-9]'))) AS ent, len(list_filter(m, lambda t: length(t) >= 5)) AS spec FROM br2),
@@ -271,17 +275,27 @@ def support_comparison(spark, sf_dir):
 
 
 EXIST_WORDS = X.existence
-TERMS = "list_distinct(regexp_extract_all(lower(question), '[a-z0-9][a-z0-9_+''-]{2,}'))"
-EXISTS = f"""{FACTOID}, ex0 AS (SELECT r.qid, {S.any_of('lower(r.question)', EXIST_WORDS)} AS asks_existence, {TERMS.replace('question', 'r.question')} AS t, lower(c.text) AS x FROM routed r LEFT JOIN chosen c ON r.qid = c.qid),
-exist AS (SELECT qid, asks_existence, round(coalesce(max(CASE WHEN x IS NOT NULL THEN len(list_filter(t, lambda v: contains(x, v))) / greatest(len(t), 1)::DOUBLE END), 0) + 1e-9, 6) AS term_part, count(x) AS n_support FROM ex0 GROUP BY qid, asks_existence)"""
-EXIST_STATUS = "CASE WHEN n_support = 0 THEN 'none' WHEN term_part >= 0.6 THEN 'strong' ELSE 'weak' END AS support_status"
+
+
+def listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+LOOSE = listed([p for p in X.core_phrases if " " in p or not p.isascii()])
+ENTITY = f"NOT list_contains({listed(X.generic_terms)}, t) AND (regexp_matches(t, '^[A-Z0-9-]{{2,}}$') OR NOT list_contains({LOOSE}, t))"
+EXISTS = f"""{FACTOID}, ex0 AS (SELECT qid, {S.any_of('lower(question)', EXIST_WORDS)} AS asks_existence, list_distinct(list_filter({listed(X.core_phrases)}, lambda t: contains(lower(regexp_replace(question, '[ \\t\\n\\v\\f\\r]+', ' ', 'g')), lower(t))) || regexp_extract_all(question, '\\b(?:[A-Z][A-Z0-9-]+|mRNA)\\b')) AS t FROM routed),
+ex1 AS (SELECT qid, count(*) AS n, lower(string_agg(concat_ws(' ', title, section, text), ' ')) AS x FROM chosen GROUP BY qid),
+ex2 AS (SELECT qid, asks_existence, t AS ts, coalesce(n, 0) AS n_support, list_filter(t, lambda t: CASE WHEN regexp_matches(t, '^[A-Za-z0-9-]{{2,}}$') THEN regexp_matches(coalesce(x, ''), '\\b' || lower(t) || '\\b') ELSE contains(coalesce(x, ''), lower(t)) END) AS ms FROM ex0 LEFT JOIN ex1 USING (qid)),
+exist AS (SELECT qid, asks_existence, round(CASE WHEN len(ts) > 0 THEN len(ms) / len(ts)::DOUBLE ELSE 0 END + 1e-9, 6) AS term_part, n_support,
+  len(ts) > 0 AND len(ms) * 5 >= len(ts) * 3 AND (len(list_filter(ts, lambda t: {ENTITY})) = 0 OR len(list_filter(ms, lambda t: {ENTITY})) > 0) AND len(ms) > len(list_filter(ms, lambda t: {ENTITY})) AS strong FROM ex2)"""
+EXIST_STATUS = "CASE WHEN n_support = 0 THEN 'none' WHEN strong THEN 'strong' ELSE 'weak' END AS support_status"
 
 
 def chosen(spark, sf_dir):
     return E.factoid(supported(spark, sf_dir))
 
 
-@query(f"WITH {EXISTS} SELECT *, {EXIST_STATUS} FROM exist")
+@query(f"WITH {EXISTS} SELECT qid, asks_existence, term_part, n_support, {EXIST_STATUS} FROM exist")
 def existence_gate(spark, sf_dir):
     return E.existence(R.routed(questions(spark, sf_dir)), chosen(spark, sf_dir))
 
@@ -298,11 +312,16 @@ plans AS (SELECT qid, intent, CASE WHEN n = 0 THEN 'refuse' WHEN reason IN ('fac
 
 
 def planned(spark, sf_dir):
+    plans, picked, _ = planned_with_coverage(spark, sf_dir)
+    return plans, picked
+
+
+def planned_with_coverage(spark, sf_dir):
     routes = R.routed(questions(spark, sf_dir))
-    scored = supported(spark, sf_dir)
-    picked = E.factoid(scored)
+    scored = stored(supported(spark, sf_dir), "scored")  # read by all that follows
+    picked = stored(E.factoid(scored), "picked")
     coverage = E.branch_coverage(E.branch_support(E.branches(routes), scored))
-    return E.plan(routes, picked, coverage, E.existence(routes, picked)), picked
+    return E.plan(routes, picked, coverage, E.existence(routes, picked)), picked, coverage
 
 
 @query(f"WITH {PLAN} SELECT * FROM plans")
@@ -343,11 +362,32 @@ def final_validate(spark, sf_dir):
     return E.validated(plans, answers, E.bind_citations(answers, picked))
 
 
-@query(f"""WITH {ANSWER}, al AS (SELECT qid, list(evidence_id) AS ids FROM chosen GROUP BY qid) SELECT qid, list_filter([CASE WHEN len(list_filter(regexp_extract_all(answer, '\\[(E\\d+)\\]', 1), lambda m: NOT list_contains(ids, m))) > 0 THEN 'unknown_evidence' END, CASE WHEN len(regexp_extract_all(answer, '\\[(E\\d+)\\]', 1)) = 0 AND mode <> 'refuse' THEN 'no_citation' END], lambda x: x IS NOT NULL) AS flags FROM answers LEFT JOIN al USING (qid)""")
+MARKS = "list_distinct(regexp_extract_all(answer, '\\[(E\\d+)\\]', 1))"
+LOOSE_NUMBERS = f"list_filter({S.NUMBERS.format(chr(114) + 'egexp_replace(answer, ' + chr(39) + chr(92) + '[E' + chr(92) + 'd+' + chr(92) + ']' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, lambda n: NOT contains(lower(replace(coalesce(txt, ''), ' ', '')), n))"
+FLAGS = f"""{ANSWER}, al AS (SELECT qid, list(evidence_id) AS ids, string_agg(text, chr(10)) AS txt FROM chosen GROUP BY qid), cvg AS (SELECT qid, list(evidence_id) FILTER (status <> 'missing') AS allowed, list(evidence_id) FILTER (status = 'direct') AS direct, bool_or(status = 'indirect') AS indirect FROM cov GROUP BY qid),
+fl0 AS (SELECT a.qid, a.mode, a.answer, p.reason, p.missing_branches, coalesce(ids, []) AS ids, txt, coalesce(allowed, []) AS allowed, coalesce(direct, []) AS direct, coalesce(indirect, false) AS indirect, {MARKS} AS marks FROM answers a JOIN plans p USING (qid) LEFT JOIN al USING (qid) LEFT JOIN cvg USING (qid)),
+fl1 AS (SELECT *, len(allowed) > 0 AND mode IN ('full', 'partial') AS subset, {S.any_of('lower(answer)', [w.lower() for w in X.overclaims])} AS over FROM fl0)"""
+
+
+def flag(when: str, name: str) -> str:
+    return f"CASE WHEN {when} THEN '{name}' END"
+
+
+FLAG_LIST = ", ".join([
+    flag("len(list_filter(marks, lambda m: NOT list_contains(ids, m))) > 0", "invalid_citation_ids"), flag("subset AND len(list_filter(marks, lambda m: NOT list_contains(allowed, m))) > 0", "comparison_disallowed_citation"), flag("length(answer) > 1200", "output_too_long"),
+    flag("mode <> 'refuse' AND len(marks) = 0", "missing_citations"), flag("subset AND len(list_filter(direct, lambda m: NOT list_contains(marks, m))) > 0", "missing_direct_branch_citation"), flag("mode = 'partial' AND over", "partial_overclaim"),
+    flag(f"mode = 'partial' AND (over OR NOT {S.any_of('answer', X.partial_limits)})", "partial_abstention_tone"), flag(f"reason = 'existence_weak_support' AND {S.any_of('answer', X.existence_overclaims)}", "existence_overclaim"),
+    flag(f"missing_branches > 0 AND NOT {S.any_of('answer', X.branch_limits)}", "missing_branch_limit_not_disclosed"), flag(f"indirect AND NOT {S.any_of('answer', X.indirect_limits)}", "indirect_branch_limit_not_disclosed"),
+    flag(f"reason = 'existence_weak_support' AND NOT {S.any_of('answer', X.existence_disclaimers)}", "missing_existence_weak_disclaimer"), flag(f"len({LOOSE_NUMBERS}) > 0", "unsupported_number"), flag("mode = 'refuse' AND len(marks) > 0", "refusal_with_citation"),
+])
+
+
+@query(f"WITH {FLAGS} SELECT qid, list_filter([{FLAG_LIST}], lambda x: x IS NOT NULL) AS flags FROM fl1")
 def answer_flags(spark, sf_dir):
-    """The checks of a rewritten answer, here of the extractive one, which passes all."""
-    plans, picked = planned(spark, sf_dir)
-    return E.answer_flags(E.extractive_answers(plans, picked), picked)
+    """The checks of a rewritten answer, here of the extractive one, whose set of citations can't have changed."""
+    plans, picked, coverage = planned_with_coverage(spark, sf_dir)
+    answers = E.extractive_answers(plans, picked)
+    return E.answer_flags(answers, picked, plans, coverage, answers)
 
 
 @query(f"WITH {FACTOID} SELECT qid, evidence_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS citation_rank FROM chosen QUALIFY citation_rank <= CASE intent WHEN 'factoid' THEN 4 WHEN 'summary' THEN 8 WHEN 'comparison' THEN 10 ELSE 6 END")
@@ -360,10 +400,6 @@ def confidence_top3(spark, sf_dir):
     return E.confidence(reranked(spark, sf_dir))
 
 
-def fifth(x: str) -> str:
-    return f"CASE WHEN {x} BETWEEN 0 AND 1 THEN {x} ELSE greatest(0, least(1, {x} / 5)) END"
-
-
 SIGTOK = f"list_filter(list_distinct({S.tok('question')}), lambda t: length(t) > 1)"
 SIGTXT = "concat_ws(' ', title, section, substr(text, 1, 800))"
 
@@ -376,7 +412,13 @@ def evidence_signals(spark, sf_dir):
     return E.signals(reranked(spark, sf_dir), PROSE_SETTINGS)
 
 
-@query()
+ESW = f"len(list_intersect({LONG.format('question')}, {LONG.format('sentence')})) / greatest(len({LONG.format('question')}), 1)::DOUBLE"
+ESN = f"CASE WHEN len({S.NUMBERS.format('question')}) > 0 THEN len(list_intersect({S.NUMBERS.format('question')}, {S.NUMBERS.format('sentence')})) / greatest(len({S.NUMBERS.format('question')}), 1)::DOUBLE ELSE 0 END"
+
+
+@query(f"""WITH {SEEDS}, es0 AS (SELECT qid, question, chunk_id, rerank_score, {S.sentences('text')} AS l FROM seeds), es1 AS (SELECT qid, question, chunk_id, rerank_score, unnest(l) AS sentence, unnest(range(len(l))) AS n FROM es0),
+es2 AS (SELECT qid, chunk_id, sentence, n, round(0.40 * {ESW} + 0.35 * {ESN} + 0.25 * ({fifth('rerank_score')}) + 1e-9, 6) AS score FROM es1), es3 AS (SELECT * FROM es2 WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY qid, sentence ORDER BY score DESC, chunk_id, n) = 1)
+SELECT qid, chunk_id, sentence, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id, n) AS place FROM es3 QUALIFY place <= 5""")
 def evidence_sentences(spark, sf_dir):
     return E.evidence_sentences(seeds(spark, sf_dir))
 
@@ -390,17 +432,27 @@ def context_builder(spark, sf_dir):
 # --- the older assessment, lookups, the whole engine
 
 
-ASSESS = f"""{RERANKED}, as0 AS (SELECT qid, avg({fifth('rerank_score')}) AS s, max(len(list_intersect({LONG.format('question')}, {LONG.format('text')})) / greatest(len({LONG.format('question')}), 1)::DOUBLE) AS t, bool_or(len(regexp_extract_all({norm('question')}, '\\b(?:table)\\s*([a-z]?\\d+)\\b', 1)) > 0) AS asks FROM reranked WHERE rank <= 5 GROUP BY qid),
-ms AS (SELECT qid, bool_or(contains(lower(text), 'table 1') AND contains(lower(text), '[table')) AS ok FROM reranked GROUP BY qid), as1 AS (SELECT r.qid, r.intent, s, t, asks AND NOT ok AS m, CASE intent WHEN 'summary' THEN 0.50 WHEN 'comparison' THEN 0.55 WHEN 'experiment' THEN 0.58 ELSE 0.55 END AS st, CASE intent WHEN 'summary' THEN 0.34 WHEN 'comparison' THEN 0.36 WHEN 'experiment' THEN 0.40 ELSE 0.38 END AS pa, CASE intent WHEN 'summary' THEN 0.25 WHEN 'comparison' THEN 0.28 ELSE 0.30 END AS te FROM routed r LEFT JOIN as0 USING (qid) LEFT JOIN ms USING (qid)),
-as2 AS (SELECT *, CASE WHEN s IS NULL THEN 'none' WHEN s >= st AND t >= te THEN 'strong' WHEN s >= pa OR t >= te THEN 'partial' ELSE 'none' END AS level FROM as1)"""
+NAMED = " + ".join(f"{S.any_of('lower(question)', names)}::INT" for names, _ in X.named_branches)
+MET = " + ".join(f"({S.any_of('lower(question)', names)} AND len(list_filter(xs, lambda v: {S.any_of('v', words)})) > 0)::INT" for names, words in X.named_branches)
+ASSESS = f"""{RERANKED}, as0 AS (SELECT qid, avg({fifth(BEST3)}) AS s, count(DISTINCT doc_id) AS d, avg({S.any_of("lower(concat_ws(' ', title, substr(text, 1, 400)))", X.negative)}::INT) AS neg, list(lower(concat_ws(' ', title, substr(text, 1, 600)))) AS xs, bool_or(len(regexp_extract_all({norm('question')}, '\\b(?:table)\\s*([a-z]?\\d+)\\b', 1)) > 0) AS asks,
+  round(max(len(list_intersect({SIGTOK}, list_distinct({S.tok(SIGTXT)}))) / greatest(len({SIGTOK}), 1)::DOUBLE) + 1e-9, 6) AS o, round(avg((regexp_matches(lower(text), '[0-9]')::INT + {S.any_of('lower(text)', X.result)}::INT + {S.any_of('lower(text)', X.definition)}::INT) / 3::DOUBLE) + 1e-9, 6) AS f FROM reranked WHERE rank <= 5 GROUP BY qid),
+ms AS (SELECT qid, bool_or(contains(lower(text), 'table 1') AND contains(lower(text), '[table')) AS ok FROM reranked GROUP BY qid),
+as1 AS (SELECT r.qid, r.intent, r.question, s, d, neg, o, f, xs, asks AND NOT ok AS m, CASE intent WHEN 'summary' THEN 0.32 WHEN 'comparison' THEN 0.30 ELSE 0.34 END AS least_score, CASE WHEN intent IN ('summary', 'comparison') THEN 0.44 ELSE 0.46 END AS partial_below,
+  CASE WHEN intent = 'comparison' AND xs IS NOT NULL AND {NAMED} > 0 THEN ({MET}) / ({NAMED})::DOUBLE ELSE 1.0 END AS cov FROM routed r LEFT JOIN as0 USING (qid) LEFT JOIN ms USING (qid)),
+as2 AS (SELECT *, CASE WHEN s IS NULL THEN 'empty_support_refuse' WHEN m THEN 'missing_structured_reference' WHEN s < least_score OR (o < 0.05 AND f < 0.32) THEN 'weak_evidence' WHEN intent = 'comparison' AND cov < 0.40 THEN 'comparison_branch_coverage' WHEN intent = 'comparison' AND d = 1 THEN 'comparison_single_doc' ELSE '' END AS reason FROM as1),
+assessed AS (SELECT qid, intent, CASE WHEN reason IN ('empty_support_refuse', 'missing_structured_reference', 'weak_evidence') THEN 'none' WHEN reason <> '' OR neg > 0.55 OR s < partial_below OR (o < 0.1 AND f < 0.5) THEN 'partial' ELSE 'strong' END AS level, reason <> '' AS refuse, reason,
+  round(coalesce(s, 0) + 1e-9, 6) AS mean_score, round(coalesce(o, 0) + 1e-9, 6) AS overlap, round(coalesce(f, 0) + 1e-9, 6) AS features, round(cov + 1e-9, 6) AS coverage, round(coalesce(neg, 0) + 1e-9, 6) AS negative FROM as2)"""
 
 
-@query(f"WITH {ASSESS} SELECT qid, intent, level, s IS NULL OR m OR level = 'none' AS refuse, CASE WHEN s IS NULL THEN 'empty_support_refuse' WHEN m THEN 'missing_structured_reference' WHEN level = 'none' THEN 'weak_evidence' ELSE '' END AS reason, round(s + 1e-9, 6) AS mean_score, round(t + 1e-9, 6) AS term_part FROM as2")
+@query(f"WITH {ASSESS} SELECT * FROM assessed")
 def evidence_assessment(spark, sf_dir):
     return A.assessed(R.routed(questions(spark, sf_dir)), reranked(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {GUARDED}, sc AS (SELECT qid, chunk_id, rank, round({fifth(BEST3)} + 0.35 * CASE WHEN len(anchors) > 0 THEN len(list_filter(anchors, lambda a: contains(lower(text), a))) / len(anchors)::DOUBLE ELSE 0 END
+  + CASE kind WHEN 'table' THEN CASE WHEN contains(lower(text), '[table text]') THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(text), '[table caption]') THEN 0.2 ELSE 0 END WHEN 'figure' THEN CASE WHEN contains(lower(text), '[figure caption]') THEN 0.4 ELSE 0 END ELSE 0 END
+  + CASE WHEN len(list_filter(tables, lambda r: contains(lower(text), 'table ' || r))) + len(list_filter(figures, lambda r: contains(lower(text), 'figure ' || r))) > 0 THEN 0.45 ELSE 0 END - rank * 1e-6 + 1e-9, 6) AS support_score FROM g0)
+SELECT qid, chunk_id, support_score, row_number() OVER (PARTITION BY qid ORDER BY support_score DESC, rank) AS place FROM sc QUALIFY place <= 5""")
 def support_chunks(spark, sf_dir):
     return A.support_chunks(reranked(spark, sf_dir)).select("qid", "chunk_id", "support_score", "place")
 

@@ -230,17 +230,36 @@ def structure_boost(spark, sf_dir):
     return R.reranked_by_fusion(R.structure_boost(hits(spark, sf_dir))).select("qid", "chunk_id", "fusion_score", "rank")
 
 
-@query(f"""WITH {S.QUESTIONS}, {ROUTED}, parts AS (SELECT qid, question, CASE WHEN intent = 'comparison' THEN list_filter(list_transform(string_split(regexp_replace(
-  regexp_extract(question, '^\\s*(?:[Pp]lease )?(?:[Cc]ompare|[Dd]ifference between|比较|对比|相比)?\\s*([^.?!:：。？！]*)', 1), '\\s*(?:,|，|、|以及|\\b[Aa][Nn][Dd]\\b|和|与|\\b[Vv][Ss]\\.?|\\b[Vv][Ee][Rr][Ss][Uu][Ss]\\b)\\s*', chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: length(p) >= 2) ELSE [] END AS p FROM routed),
-each AS (SELECT qid, question AS original, unnest([question] || CASE WHEN len(p) >= 2 THEN p[1:4] ELSE [] END) AS question, unnest(range(1 + CASE WHEN len(p) >= 2 THEN least(4, len(p)) ELSE 0 END)) AS variant FROM parts)
-SELECT e.qid, variant, e.question, CASE WHEN variant > 0 THEN 0.9 WHEN r.intent = 'comparison' THEN 1.1 ELSE 1.0 END::DOUBLE AS weight, CASE WHEN variant > 0 THEN 0.9 WHEN r.intent = 'comparison' THEN 1.1 ELSE 1.0 END::DOUBLE AS bm25_weight FROM each e JOIN routed r USING (qid)""")
+VARIANTS = f"""parts AS (SELECT qid, question, intent, CASE WHEN intent = 'comparison' THEN {S.OBJECTS} ELSE [] END AS p, {S.SHARED} AS shared FROM routed),
+variants AS (SELECT qid, intent, unnest([question] || CASE WHEN len(p) >= 2 THEN list_transform(p[1:4], lambda o: trim(o || ' ' || shared)) ELSE [] END) AS question, unnest(range(1 + CASE WHEN len(p) >= 2 THEN least(4, len(p)) ELSE 0 END)) AS variant FROM parts),
+weighted AS (SELECT qid, variant, question, CASE WHEN variant > 0 THEN 0.9 WHEN intent = 'comparison' THEN 1.1 ELSE 1.0 END::DOUBLE AS weight, CASE WHEN variant > 0 THEN 0.9 WHEN intent = 'comparison' THEN 1.1 ELSE 1.0 END::DOUBLE AS bm25_weight FROM variants)"""
+
+
+@query(f"WITH {S.QUESTIONS}, {ROUTED}, {VARIANTS} SELECT * FROM weighted")
 def query_variants(spark, sf_dir):
     return R.variants(R.routed(questions(spark, sf_dir)))
 
 
-@query()
+def alias_boost_sql(x: Lexicon) -> str:
+    q, t, body = "lower(question)", "lower(title)", "lower(substr(text, 1, 600))"
+    b = " + ".join(f"CASE WHEN {S.any_of(q, g)} AND {S.any_of(t, g)} THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN {S.any_of(q, g)} AND section = 'Abstract' AND {S.any_of(body, g)} THEN 0.08::DOUBLE * 0.7::DOUBLE ELSE 0 END" for g in x.aliases)
+    m = " + ".join(f"({S.any_of(q, g)} AND {S.any_of(t, g)})::INT" for g in x.aliases)
+    return f"boosted AS (SELECT * EXCLUDE (fusion_score), round(fusion_score + CASE WHEN bo > 0 THEN greatest(0, bo + CASE WHEN {S.any_of(t, x.review)} THEN -0.048 WHEN ma >= 2 THEN 0.028 ELSE 0 END) ELSE 0 END, 8) AS fusion_score FROM (SELECT *, {b} AS bo, {m} AS ma FROM hits))"
+
+
+HYBRID = f"""{S.CHUNKS}, {S.QUESTIONS}, {ROUTED}, {VARIANTS}, vq AS (SELECT qid || '/' || variant AS qid, qid AS q0, question, weight, bm25_weight FROM weighted), vv AS (SELECT qid, {S.letters('question')} AS v FROM vq), cv AS (SELECT chunk_id, {S.letters('text')} AS v FROM chunks),
+{S.dense_ctes('vd', 'vv', 'cv', 'chunk_id', 40, 0.05)}, {S.bm25_ctes('vb', 'chunks', S.HEADED, 'chunk_id', 40, questions='vq')},
+vp AS (SELECT q0 AS qid, chunk_id, vector_score, 0.0::DOUBLE AS bm25_score, weight / (60 + dense_rank)::DOUBLE AS part FROM vd JOIN vq USING (qid) UNION ALL SELECT q0, chunk_id, 0.0, bm25_score, bm25_weight / (60 + bm25_rank)::DOUBLE FROM vb JOIN vq USING (qid)),
+vg AS (SELECT qid, chunk_id, max(vector_score) AS vector_score, max(bm25_score) AS bm25_score, round(sum(part), 8) AS fusion_score FROM vp GROUP BY qid, chunk_id),
+f AS (SELECT * FROM vg QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fusion_score DESC, vector_score > 0 DESC, vector_score DESC, bm25_score DESC, chunk_id) <= 120),
+hits AS (SELECT f.*, c.* EXCLUDE (chunk_id), r.* EXCLUDE (qid) FROM f JOIN chunks c USING (chunk_id) JOIN routed r USING (qid)), {alias_boost_sql(X)},
+marked AS (SELECT * EXCLUDE (fusion_score), round(fusion_score + {marker_sql()}, 8) AS fusion_score FROM boosted), placed0 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {ORDER}) AS r0 FROM marked),
+nth AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY r0) AS nth FROM placed0)"""
+
+
+@query(f"""WITH {HYBRID} SELECT qid, chunk_id, doc_id, fusion_score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN intent = 'comparison' THEN nth > 3 ELSE false END, r0) AS rank FROM nth QUALIFY rank <= 40""")
 def hybrid_search(spark, sf_dir):
-    """Variants, both runs, fusion, boosts, diversity in one plan; its parts have SQL of their own."""
+    """Variants, both runs, fusion, boosts, diversity in one plan."""
     return R.hybrid(questions(spark, sf_dir), chunk_rows(spark, sf_dir)).select("qid", "chunk_id", "doc_id", "fusion_score", "rank")
 
 

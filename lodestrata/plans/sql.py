@@ -57,3 +57,57 @@ def dense_ctes(name: str, questions: str, rows: str, key: str, limit: int, floor
     return f"""
 {name}_a AS (SELECT q.qid, r.{key}, round(CASE WHEN list_dot_product(q.v, q.v) = 0 OR list_dot_product(r.v, r.v) = 0 THEN 0 ELSE list_cosine_similarity(q.v, r.v) END, 6) AS vector_score FROM {questions} q CROSS JOIN {rows} r WHERE q.qid::VARCHAR <> r.{key}::VARCHAR),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY vector_score DESC, {key}) AS dense_rank FROM {name}_a QUALIFY dense_rank <= {limit}) WHERE vector_score >= {floor})"""
+
+
+COMPARE = "regexp_replace(question, '(?i)^\\s*(?:please )?(?:请|请你|请基于文库|请根据文库)?\\s*(?:compare|difference between|比较|对比|相比)?\\s*', '')"
+LEAD, REST = f"regexp_extract({COMPARE}, '^[^.?!:：。？！]*')", f"regexp_extract({COMPARE}, '(?s)^[^.?!:：。？！]*[.?!:：。？！](.*)$', 1)"
+BETWEEN = r"(?i)\s*(?:,|，|、|以及|及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"
+
+
+def objects(span: str) -> str:
+    cut = f"regexp_replace({span}, '(在当前文库|在文库|在本研究|请分别说明|请说明|分别说明|说明).*$', '')"
+    return f"list_filter(list_transform(string_split(regexp_replace({cut}, '{BETWEEN}', chr(1), 'g'), chr(1)), lambda p: trim(p, ' ;；，,。')), lambda p: length(p) >= 2)"
+
+
+#: What a comparison names; without the case that all stands after a colon, which no question of the tables has.
+OBJECTS = objects(LEAD)
+SHARED = f"trim(regexp_replace(translate(regexp_replace(trim({REST}), '^请(分别)?说明|^它们', ''), ':：', '  '), '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
+
+
+def noise(x: str) -> str:
+    return f"regexp_matches(trim({x}), '(?i)^(page )?\\d{{1,4}}( of \\d+)?$|^https?://\\S+$|\\bdoi[:.]|^(copyright|©|\\(c\\))|all rights reserved|^licensed under|^received:? |^accepted:? |^www\\.')"
+
+
+def heading(x: str) -> str:
+    y = f"trim({x})"
+    names = "abstract|introduction|background|methods|materials and methods|results|results and discussion|discussion|conclusions?|references"
+    return f"((regexp_matches({y}, '^#{{1,3}} \\S|^\\d+(\\.\\d+)*\\.? [A-Z]\\S*( \\S+){{0,9}}$') OR regexp_matches(lower({y}), '^({names})$')) AND NOT {noise(x)} AND NOT regexp_matches({y}, '[.;,]$'))"
+
+
+def reference(x: str) -> str:
+    return f"regexp_matches(trim({x}), '^(\\[\\d{{1,3}}\\]|\\d{{1,3}}\\.) .*(19|20)\\d\\d')"
+
+
+def cells(x: str) -> str:
+    w = word_list(x)
+    return f"(len(string_split({x}, '|')) >= 4 OR (len({w}) >= 4 AND len(list_filter({w}, lambda w: regexp_matches(w, '^[-+]?\\d'))) * 2 > len({w})))"
+
+
+def kind(x: str) -> str:
+    return f"CASE WHEN {noise(x)} THEN 'noise' WHEN {heading(x)} THEN 'heading' WHEN {reference(x)} THEN 'reference' WHEN {cells(x)} THEN 'table_text' WHEN regexp_matches({x}, '(?i)^fig(ure|\\.) ?[a-z]?\\d+') THEN 'figure_caption' WHEN regexp_matches({x}, '(?i)^table ?[a-z]?\\d+') THEN 'table_caption' ELSE 'paragraph' END"
+
+
+#: KINDS has the blocks with their kinds, in the order of BLOCKS; each predicate is computed once.
+KINDS = f"{BLOCKS}, kinds AS MATERIALIZED (SELECT doc_id, ord, text, {kind('text')} AS kind FROM blocks)"
+
+
+def sentences(x: str) -> str:
+    """The list of a text's sentences: pieces after end marks, those above 360 characters by clauses folded up to 300."""
+    flat = f"trim(regexp_replace({x}, '[ \\t\\n\\v\\f\\r]+', ' ', 'g'))"
+    pieces = f"list_filter(list_transform(string_split(regexp_replace({flat}, '([.!?。！？]) |[；;] ?', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p, ' ;；')), lambda p: p <> '')"
+    parts = "list_filter(list_transform(string_split(regexp_replace(p, ',\\s+|，\\s*', chr(1), 'g'), chr(1)), lambda q: trim(q, ' ,，')), lambda q: q <> '')"
+    fold = f"string_split(list_reduce({parts}, lambda a, c: a || CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(c) <= 300 THEN '，' ELSE chr(1) END || c), chr(1))"
+    return f"list_filter(flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) <= 360 THEN [p] ELSE {fold} END)), lambda z: length(z) >= 24)[1:80]"
+
+
+NUMBERS = "list_distinct(list_transform(regexp_extract_all(lower({}), '[0-9]+(?:\\.[0-9]+)? ?(?:%|g/l|mg/l|mg|mm|um|fold|h\\b)?'), lambda n: replace(n, ' ', '')))"

@@ -23,7 +23,12 @@ def stem(path: str = "_metadata.file_name") -> F.Column:
 
 def parsed_json(spark: SparkSession, path: str) -> DataFrame:
     """One row for each parsed document: doc_id (the file's stem if absent), raw_text (pages joined), has_blocks."""
-    x = spark.read.schema(PARSED).json(path, multiLine=True).withColumn("_stem", stem())
+    return parsed_rows(spark.read.schema(PARSED).json(path, multiLine=True), stem())
+
+
+def parsed_rows(x: DataFrame, name: F.Column) -> DataFrame:
+    """parsed_json of rows that are read already; name stands for an absent doc_id."""
+    x = x.withColumn("_stem", name)
     blocks = F.flatten(F.transform("pages", lambda p: F.coalesce(p["blocks"], F.array().cast(f"array<{BLOCK}>"))))
     return x.select(F.coalesce("doc_id", "_stem").alias("doc_id"), "source_file", "total_pages", "pages", F.array_join(F.transform("pages", lambda p: F.coalesce(p["text"], F.lit(""))), "\n").alias("raw_text"), (F.size(blocks) > 0).alias("has_blocks"), blocks.alias("blocks"))
 
@@ -114,7 +119,12 @@ def name_map(spark: SparkSession, path: str) -> DataFrame:
 
 def turns(spark: SparkSession, path: str) -> DataFrame:
     """session_id, turn_no, role, content from an object of lists by session id."""
-    x = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<struct<role:string,content:string>>>").alias("m"))
+    return turn_rows(spark.read.text(path, wholetext=True))
+
+
+def turn_rows(objects: DataFrame) -> DataFrame:
+    """turns of JSON objects in a column ``value``."""
+    x = objects.select(F.from_json("value", "map<string,array<struct<role:string,content:string>>>").alias("m"))
     x = x.select(F.explode("m").alias("session_id", "t")).select("session_id", F.posexplode("t").alias("turn_no", "x"))
     return x.select("session_id", F.col("turn_no").cast("long").alias("turn_no"), "x.role", "x.content")
 

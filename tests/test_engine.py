@@ -52,7 +52,12 @@ def test_filters_fall_back(spark, library):
 
 
 def test_branches_and_keywords(spark):
-    cases = {"What is the difference between enzyme A and enzyme B in yeast?": ("enzyme A", "enzyme B", "ok"), "Compare the WcfB with FutC.": ("WcfB", "FutC", "ok"), "A1 vs B2": ("A1", "B2", "ok"), "比较甲醇和乙醇的产量": ("甲醇", "乙醇", "ok"), "Tell me more": (None, None, "no_pattern"), "difference between it and them?": (None, None, "invalid_branch")}
+    cases = {
+        "Compare enzyme A and enzyme B in yeast?": ("enzyme A", "enzyme B in yeast", "ok"), "A1 vs. B2": ("A1", "B2", "ok"), "A comparison between growth and yield": ("growth", "yield", "ok"), "比较 甲醇 和 乙醇 的产量": ("甲醇", "乙醇", "ok"),
+        "文库中有两类方案：一类是补料策略A，另一类是染色体整合。": ("补料策略A", "染色体整合", "ok"), "比较文库中WcfB和FutC的差异": ("WcfB", "FutC", "ok"), "请比较补料与整合两种策略": ("补料", "整合", "ok"),
+        "Tell me more": (None, None, "not_comparison_intent"), "compare role and mechanism": (None, None, "generic_branch"), "Compare x1 and x1": (None, None, "duplicate_branch"), "  ？": (None, None, "empty_question"), "Please compare them": (None, None, "no_supported_pattern"),
+        "compare " + "a" * 90 + " and b2": (None, None, "branch_too_long"),
+    }
     got = spark.createDataFrame([(q,) for q in cases], "q string").select("q", T.branches("q").alias("b")).collect()
     assert {r.q: tuple(r.b) for r in got} == cases
     row = spark.createDataFrame([("Yield of 2′-FL and GDP-L-fucose", ["2'-fl", "gdp l fucose", "absent"])], "t string, k array<string>")

@@ -90,7 +90,7 @@ def test_answers_cite_only_their_support(spark):
     cites = E.bind_citations(answers, chosen).collect()
     assert {c.chunk_id for c in cites} <= {r.chunk_id for r in chosen.collect()} and sorted(c.citation_no for c in cites) == [1, 2, 3]
     bad = spark.createDataFrame([(0, "full", "The yield was 9 g/L [E99] [E1]")], "qid long, mode string, answer string")
-    assert E.answer_flags(bad, chosen).first().flags == ["unknown_evidence", "unsupported_number"]
+    assert E.answer_flags(bad, chosen).first().flags == ["invalid_citation_ids", "unsupported_number"]
     assert [c.evidence_id for c in E.bind_citations(bad, chosen).collect()] == ["E1"]
     final = {r.qid: r for r in E.validated(plans, answers, E.bind_citations(answers, chosen)).collect()}
     assert final[0].mode == "full" and final[1].mode == "refuse" and final[1].answer == E.REFUSAL
@@ -102,9 +102,33 @@ def test_answers_cite_only_their_support(spark):
 
 
 def test_existence(spark):
-    q = spark.createDataFrame([(0, "Is there evidence of fucosyltransferase activity?", "factoid"), (1, "Are there whales?", "factoid")], "qid long, question string, intent string")
-    got = {r.qid: r for r in E.existence(q, spark.createDataFrame([(0, "evidence of fucosyltransferase activity there")], "qid long, text string")).collect()}
-    assert got[0].support_status == "strong" and got[1].support_status == "none" and got[1].asks_existence
+    asked = ["Is there a clinical trial of CAR-T cells in DLBCL?", "Are there clinical trial data of CAR-T?", "Are there whales?", "Does the library have a review of DLBCL?"]
+    q = spark.createDataFrame([(str(i), x, "factoid") for i, x in enumerate(asked)], "qid string, question string, intent string")
+    support = [("0", "T", "Results", "A clinical trial (CAR-T) in DLBCL patients"), ("1", "T", "Results", "data of mice"), ("3", "T", "Results", "a review of LBCL")]
+    got = {r.qid: r for r in E.existence(q, spark.createDataFrame(support, "qid string, title string, section string, text string")).collect()}
+    assert got["0"].support_status == "strong" and got["0"].term_part == 1.0  # an entity and a phrase
+    assert got["1"].support_status == "weak" and got["3"].support_status == "weak"  # no entity; the entity only as a part of a word
+    assert got["2"].support_status == "none" and got["2"].asks_existence
+
+
+def test_flags_of_rewritten_answers(spark):
+    rows = {
+        "ok": ("full", "Yield rose to 5 g/l [E1].", "", 0), "marks": ("full", "Yield [E1] [E9]", "", 0), "none": ("full", "Yield rose.", "", 0), "over": ("partial", "This is fully supported, limited support [E1]", "", 0),
+        "negated": ("partial", "This is not fully supported; limited support [E1]", "", 0), "tone": ("partial", "Yield rose [E1]", "", 0), "exists": ("partial", "limited support，可以确认包含 [E1]", "existence_weak_support", 0),
+        "branch": ("partial", "limited support [E1]", "", 1), "number": ("full", "Yield rose to 77 g/l [E1]", "", 0), "refuse": ("refuse", "No [E1]", "", 0), "long": ("full", "x" * 1300 + " [E1]", "", 0),
+    }
+    answers = spark.createDataFrame([(k, v[0], v[1]) for k, v in rows.items()], "qid string, mode string, answer string")
+    plans = spark.createDataFrame([(k, v[2], v[3]) for k, v in rows.items()], "qid string, reason string, missing_branches long")
+    chosen = spark.createDataFrame([(k, "E1", "yield 5 g/l") for k in rows], "qid string, evidence_id string, text string")
+    before = spark.createDataFrame([(k, "It is so [E1].") for k in rows], "qid string, answer string")
+    got = {r.qid: r.flags for r in E.answer_flags(answers, chosen, plans, None, before).collect()}
+    assert got["ok"] == [] and got["marks"] == ["invalid_citation_ids", "citation_set_changed"] and got["none"] == ["missing_citations", "dropped_all_citations", "citation_set_changed"]
+    assert got["over"] == ["partial_overclaim", "partial_abstention_tone"] and got["negated"] == [] and got["tone"] == ["partial_abstention_tone"]
+    assert got["exists"] == ["existence_overclaim", "missing_existence_weak_disclaimer"] and got["branch"] == ["missing_branch_limit_not_disclosed"] and got["number"] == ["unsupported_number"]
+    assert got["refuse"] == ["refusal_with_citation"] and got["long"] == ["output_too_long"]
+    coverage = spark.createDataFrame([("ok", "E2", "direct"), ("ok", "E3", "indirect")], "qid string, evidence_id string, status string")
+    got = {r.qid: r.flags for r in E.answer_flags(answers, chosen, plans, coverage, before).collect()}
+    assert got["ok"] == ["comparison_disallowed_citation", "missing_direct_branch_citation", "indirect_branch_limit_not_disclosed"] and got["tone"] == ["partial_abstention_tone"]
 
 
 def plain_pack(words_by_block, size, overlap):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.functions.lexicon import Settings
 from lodestrata.functions.session import settle
+from lodestrata.operators import evidence as E
 from lodestrata.operators import retrieval as R
 
 
@@ -87,7 +88,7 @@ def test_routes(spark, question, intent, limit):
 def test_comparisons_are_decomposed(spark):
     q = spark.createDataFrame([(0, "Compare enzyme A and enzyme B vs enzyme C. Which is best?"), (1, "比较2′-FL和6′-SL")], "qid long, question string")
     got = R.variants(R.routed(q)).orderBy("qid", "variant").collect()
-    assert [r.question for r in got if r.qid == 0] == ["Compare enzyme A and enzyme B vs enzyme C. Which is best?", "enzyme A", "enzyme B", "enzyme C"]
+    assert [r.question for r in got if r.qid == 0] == ["Compare enzyme A and enzyme B vs enzyme C. Which is best?", "enzyme A Which is best?", "enzyme B Which is best?", "enzyme C Which is best?"]
     assert [r.weight for r in got if r.qid == 0] == [1.1, 0.9, 0.9, 0.9]
     assert [r.question for r in got if r.qid == 1][1:] == ["2′-FL", "6′-SL"]
     assert {r.bm25_weight for r in got if r.qid == 1} == {1.1 * 0.25, 0.9 * 0.25}
@@ -133,3 +134,39 @@ def test_text_functions(spark):
     kinds = {"Abstract": "heading", "2.1 Strains used": "heading", "[3] Smith, J. Title. 2001": "reference", "a | b | c | d": "table_text", "Figure 2. Growth": "figure_caption", "Table 1 Primers": "table_caption", "12": "noise", "doi: 10.1/x": "noise", "This is plain text of a paragraph.": "paragraph"}
     got = spark.createDataFrame([(k,) for k in kinds], "t string").select("t", T.line_kind("t").alias("k")).collect()
     assert {r.t: r.k for r in got} == kinds
+
+
+def test_comparisons_pathways_and_shared_context(spark):
+    cases = {
+        "Compare WcfB and FutC. How do they differ in yield?": ["WcfB How do they differ in yield?", "FutC How do they differ in yield?"], "比较甲醇、乙醇和丙醇：产量": ["甲醇 产量", "乙醇 产量", "丙醇 产量"],
+        "Compare these strains: AB1, CD2 and EF3": ["AB1 these strains", "CD2 these strains", "EF3 these strains"], "Compare one thing": [], "": [],
+    }
+    rows = spark.createDataFrame([(q,) for q in cases], "q string").select("q", R.compared("q").alias("c")).collect()
+    assert {r.q: r.c for r in rows} == cases
+    one = lambda q: spark.createDataFrame([(q,)], "q string").select(R.expanded("q").alias("x")).first().x
+    assert one("2'-FL biosynthesis").split()[2:] == ["gdp-l-fucose", "gdp-fucose", "alpha-1,2-fucosyltransferase", "fuct", "lactose", "2′-fl", "2-fucosyllactose", "20-fucosyllactose"]
+    assert "fuct" not in one("what is 2'-FL?")
+
+
+def test_string_ids_and_second_search_for_bodies(spark):
+    texts = [("alpha beta", "Title"), ("alpha gamma", "Results"), ("alpha delta delta", "Methods"), ("alpha epsilon", "Discussion")]
+    rows = [(f"{d}_c{i}", d, "f", f"title {d}", s, 1, 1, i, 2, t) for d in ("doc_a", "doc_b") for i, (t, s) in enumerate(texts)]
+    rows = spark.createDataFrame(rows, "chunk_id string, doc_id string, source_file string, title string, section string, page_start long, page_end long, chunk_index long, token_count long, text string")
+    q = spark.createDataFrame([("q-one", "What is alpha delta?"), ("q-two", "Compare gamma and epsilon")], "qid string, question string")
+    found = R.hybrid(q, rows)
+    assert {r.qid for r in found.collect()} == {"q-one", "q-two"} and dict(found.dtypes)["doc_id"] == "string"
+    assert E.contexts(found).count() == 2
+    pool = found.where("section = 'Title'").withColumn("shown", F.lit(True))
+    assert R.body_expansion(pool).count() == 0  # the pool has no body
+    added = R.expanded_bodies(pool, q, rows).where("qid = 'q-one'").collect()
+    per = {d: [r.chunk_id for r in sorted(added, key=lambda r: r.added) if r.doc_id == d] for d in ("doc_a", "doc_b")}
+    assert {k: len(v) for k, v in per.items()} == {"doc_a": 2, "doc_b": 2} and all(v[0].endswith("_c2") for v in per.values())
+
+
+def test_number_anchors_entities_and_clauses(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(T.number_anchors(F.lit("from 3-05.50 G/L within 2 hours, 3x; 7 to 9 %, and 12"))) == sorted(["3g/l", "5.5g/l", "3-5.5g/l", "2h", "3fold", "7%", "9%", "7-9%", "12", "3", "7"])
+    assert one(T.entities(F.lit("WcfB1 and alpha_beta by fucosyltransferase in HSA，岩藻糖基转移酶"))) == sorted(["wcfb1", "alpha_beta", "fucosyltransferase", "hsa", "岩藻糖基转移酶"])
+    long = ", ".join(["a clause of some thirty letters"] * 14) + "."
+    pieces = one(T.sentences(F.lit("Short one. " + long + " The next sentence is long enough.")))
+    assert all(len(p) <= 300 for p in pieces) and pieces[-1] == "The next sentence is long enough." and sum(p.count("clause") for p in pieces) == 14
