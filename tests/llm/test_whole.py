@@ -1,5 +1,6 @@
 """Cases in which operators once did less than the whole job."""
 
+import math
 import os
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import langid, mixing, simhash, similar, toxicity
+from lodestrata.llm import langid, lm_scoring, mixing, simhash, similar, toxicity
 from lodestrata.llm.common import prefix_sums
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
@@ -143,3 +144,98 @@ def test_the_pipelines_tables_go(spark):
     P.run(spark, "/root/testdata/sf0.001").count()
     left = {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before}
     assert {n for n in left if n.startswith("pipeline-")} == {"pipeline-3"}
+
+
+# --- 3
+
+
+def plain_mix(tree, symbols, one, two, match, table):
+    """The mixer decision by decision, for one text: the same updates after the same steps."""
+    M, size = lm_scoring, len(table) // 2
+    w, own, refine = np.tile(np.array(M.START, np.float32), (M.GATES, 1)), [{}, {}], [min(0.995, max(0.005, i / M.BINS)) for i in range(M.BINS + 1)]
+    total, at, step = 0.0, 0, 0
+    while at < len(symbols):
+        wide = M.STEPS[min(step, len(M.STEPS) - 1)]
+        moves, adds, bins = {}, [], {}
+        for i in range(at, min(at + wide, len(symbols))):
+            path = range(tree.first[symbols[i]], tree.first[symbols[i] + 1])
+            told = list(range(tree.first[match.symbols[i]], tree.first[match.symbols[i] + 1]))
+            for k, e in enumerate(path):
+                node, bit = int(tree.nodes[e]), int(tree.bits[e])
+                slots = []
+                for h in (one[i], two[i]):
+                    h = ((int(h) ^ (node * 0xD6E8FEB86659FD93 % 2**64)) * 0x9E3779B97F4A7C15) % 2**64
+                    slots.append(h >> (64 - size.bit_length() + 1))
+                on = match.state[i] > 0 and k < len(told) and tree.nodes[told[k]] == node
+                state = int(match.state[i]) if on else 0
+                keys = (node % M.LOCAL, slots[0] % M.LOCAL_PAIRS)
+                mine = [math.log((own[j].get((keys[j], 1), 0) + 0.4) / (own[j].get((keys[j], 0), 0) + 0.4)) for j in (0, 1)]
+                x = np.array([tree.prior[node], table[slots[0]], table[size + slots[1]], *mine, M.MATCH_SAYS[state] * (2 * int(tree.bits[told[k]]) - 1) if on else 0.0])
+                gate = int(tree.depth[e]) * M.MATCHES + state
+                p = 1 / (1 + math.exp(-float(np.clip(w[gate] @ x, -14, 14))))
+                b = int(p * M.BINS + 0.5)
+                f = min(1 - 1e-6, max(1e-6, 0.7 * p + 0.3 * refine[b]))
+                total += math.log10(f if bit else 1 - f)
+                moves.setdefault(gate, []).append((bit - p) * x)
+                adds += [(j, (keys[j], bit)) for j in (0, 1)]
+                bins.setdefault(b, []).append(bit)
+        for gate, m in moves.items():
+            w[gate] += M.RATE / max(1, len(m) / 16) * np.sum(m, 0)
+        for j, key in adds:
+            own[j][key] = own[j].get(key, 0) + 1
+        for b, ys in bins.items():
+            refine[b] += (1 - (1 - M.REFINE_RATE) ** len(ys)) * (sum(ys) / len(ys) - refine[b])
+        at, step = at + wide, step + 1
+    return total
+
+
+def test_mixing_is_the_plain_one_through_whole_texts():
+    rng = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(40)]
+    tree = lm_scoring.Tree.over(words, sorted(rng.integers(2, 500, 40).tolist(), reverse=True), 100)
+    symbols = [rng.integers(0, 41, n) for n in (1, 3, 200, 900)]
+    first = np.r_[0, np.cumsum([len(s) for s in symbols])]
+    starts = np.zeros(first[-1], bool)
+    starts[first[:-1]] = True
+    t = lm_scoring.Tokens.of(tree, np.concatenate(symbols), starts, np.concatenate(symbols))
+    table = rng.normal(0, 0.5, 2 * 1024).astype(np.float32)
+    state = rng.integers(0, 3, first[-1]).astype(np.int8)
+    match = lm_scoring.Match(np.where(rng.random(first[-1]) < 0.7, t.symbols, 0).astype(np.int64), state)
+    got = lm_scoring.mix_texts(tree, t, first, table, match)
+    for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+        own = lm_scoring.Match(match.symbols[a:b], match.state[a:b])
+        assert math.isclose(got[i], plain_mix(tree, t.symbols[a:b], t.before[0][a:b], t.before[1][a:b], own, table), rel_tol=2e-4)
+
+
+def test_all_symbols_together_have_probability_one():
+    words = [b"w%d" % i for i in range(12)]
+    tree = lm_scoring.Tree.over(words, list(range(40, 28, -1)), 9)
+    table = np.random.default_rng(1).normal(0, 1, 2 * 1024).astype(np.float32)
+    before = np.array([3, 5, 7])
+    total = 0.0
+    for s in range(13):
+        text = np.r_[before, s]
+        t = lm_scoring.Tokens.of(tree, text, np.array([True, False, False, False]), text)
+        both = [lm_scoring.mix_texts(tree, lm_scoring.Tokens.of(tree, x, np.arange(len(x)) == 0, x), np.array([0, len(x)]), table)[0] for x in (before, text)]
+        total += 10 ** (both[1] - both[0])
+        assert len(t.n) == 4
+    assert math.isclose(total, 1, rel_tol=1e-3)
+
+
+def test_matches_tell_copies_apart_and_grow_with_the_corpus(spark):
+    rng = random.Random(41)
+    fresh = [" ".join(f"w{rng.randrange(4000)}" for _ in range(300)) for _ in range(120)]
+    texts = [x for i, x in enumerate(fresh)] + fresh[:20]  # the last twenty stand in the corpus already
+    docs = table(spark, texts)
+    out = {r.doc_id: r for r in lm_scoring.score_documents(docs, F.col("doc_id") >= 100).collect()}
+    copies, others = [out[i].score for i in range(120, 140)], [out[i].score for i in range(100, 120)]
+    assert max(others) < 0.8 * min(copies) < 0  # all copies are far likelier than all others
+    assert [lm_scoring.frequent(n) for n in (0, 10**6, 10**9, 10**12)] == [4095, 4095, 18973, 65535]
+    assert [lm_scoring.slot_count(n) for n in (0, 10**8, 10**10)] == [1 << 20, 1 << 21, 1 << 23]
+
+
+def test_chunks_part_copies(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 2000)
+    docs = table(spark, ["the same words in every text " * 10] * 60, [None] * 60)
+    out = lm_scoring.score_documents(docs, F.lit(False)).collect()
+    assert len(out) == 60 and len({round(r.score, 6) for r in out}) == 1
