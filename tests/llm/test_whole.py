@@ -152,7 +152,7 @@ def test_the_pipelines_tables_go(spark):
 def plain_mix(tree, symbols, one, two, match, table):
     """The mixer decision by decision, for one text: the same updates after the same steps."""
     M, size = lm_scoring, len(table) // 2
-    w, own, refine = np.tile(np.array(M.START, np.float32), (M.GATES, 1)), [{}, {}], [min(0.995, max(0.005, i / M.BINS)) for i in range(M.BINS + 1)]
+    w, own, refine = np.tile(np.array(M.START, np.float32), (M.GATES, 1)), {}, [min(0.995, max(0.005, i / M.BINS)) for i in range(M.BINS + 1)]
     total, at, step = 0.0, 0, 0
     while at < len(symbols):
         wide = M.STEPS[min(step, len(M.STEPS) - 1)]
@@ -168,21 +168,20 @@ def plain_mix(tree, symbols, one, two, match, table):
                     slots.append(h >> (64 - size.bit_length() + 1))
                 on = match.state[i] > 0 and k < len(told) and tree.nodes[told[k]] == node
                 state = int(match.state[i]) if on else 0
-                keys = (node % M.LOCAL, slots[0] % M.LOCAL_PAIRS)
-                mine = [math.log((own[j].get((keys[j], 1), 0) + 0.4) / (own[j].get((keys[j], 0), 0) + 0.4)) for j in (0, 1)]
-                x = np.array([tree.prior[node], table[slots[0]], table[size + slots[1]], *mine, M.MATCH_SAYS[state] * (2 * int(tree.bits[told[k]]) - 1) if on else 0.0])
+                mine = math.log((own.get((node % M.LOCAL, 1), 0) + 0.4) / (own.get((node % M.LOCAL, 0), 0) + 0.4))
+                x = np.array([tree.prior[node], table[slots[0]], table[size + slots[1]], mine, M.MATCH_SAYS[state] * (2 * int(tree.bits[told[k]]) - 1) if on else 0.0])
                 gate = int(tree.depth[e]) * M.MATCHES + state
                 p = 1 / (1 + math.exp(-float(np.clip(w[gate] @ x, -14, 14))))
                 b = int(p * M.BINS + 0.5)
                 f = min(1 - 1e-6, max(1e-6, 0.7 * p + 0.3 * refine[b]))
                 total += math.log10(f if bit else 1 - f)
                 moves.setdefault(gate, []).append((bit - p) * x)
-                adds += [(j, (keys[j], bit)) for j in (0, 1)]
+                adds.append((node % M.LOCAL, bit))
                 bins.setdefault(b, []).append(bit)
         for gate, m in moves.items():
             w[gate] += M.RATE / max(1, len(m) / 16) * np.sum(m, 0)
-        for j, key in adds:
-            own[j][key] = own[j].get(key, 0) + 1
+        for key in adds:
+            own[key] = own.get(key, 0) + 1
         for b, ys in bins.items():
             refine[b] += (1 - (1 - M.REFINE_RATE) ** len(ys)) * (sum(ys) / len(ys) - refine[b])
         at, step = at + wide, step + 1
