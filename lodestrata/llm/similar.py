@@ -100,6 +100,9 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
     such a shingle, and are of such sizes that they can be similar, are a bucket; buckets of the same rows count once. Buckets
     compare whole sets and return spanning forests, so a group of copies makes as many links as it has members. Shingles that are
     common in a sample come last in the order, so a common line brings few rows together that have nothing else in common.
+
+    Texts are sent to buckets in two rounds. In the first each row goes to its largest bucket only, which links most of a group of
+    copies; in the second, buckets whose rows are linked already, all with all others, have nothing to add and are left out.
     """
     common, rank = common_shingles(rows, words, text_col)
 
@@ -124,13 +127,6 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
 
     tokens = rows.select("_rid", text_col).mapInArrow(trimmed(prefixes), "_rid long, n int, h array<long>").join(keep, "_rid").select("_rid", "n", F.explode("h").alias("h"))
     met = tokens.repartition("h").sortWithinPartitions("h", "n").mapInArrow(trimmed(shared), "bucket long, _rid long")
-    met = stored(met.distinct(), "buckets")
-    large = [(r.bucket, -(-r.n // (TOGETHER // 2))) for r in met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).collect()]
-    parts = rows.sparkSession.createDataFrame(large or [(0, 1)], "bucket long, parts long")
-    dealt = met.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("_rid"), "parts"))
-    tasks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.least(p, F.col("mine")) * F.col("parts") + F.greatest(p, F.col("mine")))
-    dealt = dealt.select("bucket", F.explode(tasks_of).alias("task"), "_rid")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in runs_of(batches, lambda t: changes(t, "bucket", "task")):
             rid, own = t.column("_rid").to_numpy(), [np.unique(shingle_hashes(x.as_py(), words)) for x in t.column(text_col)]
@@ -140,8 +136,25 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         release()
 
-    dealt = dealt.join(rows.select("_rid", text_col), "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")  # texts pack better than hashes
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    def verified(some: DataFrame) -> DataFrame:
+        """Links of the rows of some(bucket, _rid), by whole buckets; a large one is dealt to a triangle of tasks."""
+        large = [(r.bucket, -(-r.n // (TOGETHER // 2))) for r in some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).collect()]
+        parts = rows.sparkSession.createDataFrame(large or [(0, 1)], "bucket long, parts long")
+        dealt = some.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("_rid"), "parts"))
+        tasks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.least(p, F.col("mine")) * F.col("parts") + F.greatest(p, F.col("mine")))
+        dealt = dealt.select("bucket", F.explode(tasks_of).alias("task"), "_rid")
+        dealt = dealt.join(rows.select("_rid", text_col), "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")  # texts pack better than hashes
+        return dealt.mapInArrow(compare, "u long, v long").distinct()
+
+    met = stored(met.distinct(), "buckets")
+    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    largest = met.join(sizes, "bucket").groupBy("_rid").agg(F.max(F.struct("n", "bucket")).alias("b")).select("_rid", F.col("b.bucket").alias("bucket"))
+    first = stored(verified(stored(largest, "largest")), "first-links")
+    roots = components(first).select(F.col("node").alias("_rid"), "root")
+    root = F.coalesce("root", "_rid")
+    open_ = met.join(roots, "_rid", "left").groupBy("bucket").agg(F.min(root).alias("a"), F.max(root).alias("z")).where("a < z").select("bucket")
+    second = stored(met.join(open_, "bucket", "left_semi"), "open")
+    return first.unionByName(verified(second))
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
