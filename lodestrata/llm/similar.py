@@ -18,6 +18,8 @@ WORDS, SIMILARITY = 5, 0.8
 SAMPLE, COMMON, MOST = 10_000, 3, 1 << 16
 #: Texts of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
 TOGETHER = 4096
+#: One shingle in so many makes a row's digest, 16 bits of each.
+EVERY = 4
 SLACK = 1e-9
 
 
@@ -77,6 +79,36 @@ def similar_links(rids: np.ndarray, sets: list[np.ndarray], similarity: float) -
     return u, v
 
 
+def digest(shingles: np.ndarray) -> np.ndarray:
+    """16 bits of each shingle whose hash is a multiple of EVERY, without repeats."""
+    return np.unique((shingles[shingles % np.uint64(EVERY) == 0] >> np.uint64(48)).astype(np.uint16))
+
+
+def may_be_similar(roots: np.ndarray, n: np.ndarray, digests: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which texts have a partner of another root that their digests don't rule out. n: sizes of their sets.
+
+    A value that only one of two digests has stands for a shingle that only one of the sets has, and sets of similarity s differ in
+    (1 - s) / (1 + s) of their sizes' sum at most: no pair that is similar is ruled out, whatever its size.
+    """
+    size = np.array([len(d) for d in digests], np.int64)
+    flat, ends = np.concatenate(digests), np.cumsum(size)
+    found, own, most = np.zeros(len(n), bool), np.zeros(1 << 16, bool), (1 - similarity) / (1 + similarity)
+    for x in range(len(n) - 1):
+        if found[x:].all():
+            break
+        after = slice(x + 1, None)
+        fits = (roots[after] != roots[x]) & (np.minimum(n[after], n[x]) >= similarity * np.maximum(n[after], n[x]) - SLACK)
+        if not fits.any():
+            continue
+        own[digests[x]] = True
+        same = np.diff(np.r_[0, np.cumsum(own[flat[ends[x] :]], dtype=np.int64)][np.r_[0, ends[after] - ends[x]]])
+        own[digests[x]] = False
+        fits &= size[after] + size[x] - 2 * same <= most * (n[after] + n[x]) + SLACK
+        found[after] |= fits
+        found[x] |= fits.any()
+    return found
+
+
 def common_shingles(rows: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that many rows of a sample have, and their rank by how many: an order that only spares comparisons."""
     bound = int(min(1.0, SAMPLE / max(1, rows.count())) * 2**63) - 1
@@ -102,7 +134,8 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
     common in a sample come last in the order, so a common line brings few rows together that have nothing else in common.
 
     Texts are sent to buckets in two rounds. In the first each row goes to its largest bucket only, which links most of a group of
-    copies; in the second, buckets whose rows are linked already, all with all others, have nothing to add and are left out.
+    copies; in the second, buckets whose rows are linked already, all with all others, have nothing to add and are left out, and of
+    the others only rows with a partner that their digests don't rule out are sent.
     """
     common, rank = common_shingles(rows, words, text_col)
 
@@ -136,15 +169,32 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
         release()
 
-    def verified(some: DataFrame) -> DataFrame:
-        """Links of the rows of some(bucket, _rid), by whole buckets; a large one is dealt to a triangle of tasks."""
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in runs_of(batches, lambda t: changes(t, "bucket", "task")):
+            bucket, rid, root, n = (t.column(c).to_numpy() for c in ("bucket", "_rid", "root", "n"))
+            own = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("digest")]
+            at = np.concatenate([may_be_similar(root[lo:hi], n[lo:hi], own[lo:hi], similarity) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rid[at])], names=["bucket", "_rid"])
+        release()
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
+            parts = [b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([digest(s).tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(parts, names=["_rid", "n", "digest"])
+
+    def dealt(some: DataFrame, what: DataFrame) -> DataFrame:
+        """The rows of some(bucket, _rid, ...) with what(_rid, ...) has of them, by whole buckets; a large one is dealt to a triangle of tasks."""
         large = [(r.bucket, -(-r.n // (TOGETHER // 2))) for r in some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).collect()]
         parts = rows.sparkSession.createDataFrame(large or [(0, 1)], "bucket long, parts long")
-        dealt = some.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("_rid"), "parts"))
+        shared_out = some.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("_rid"), "parts"))
         tasks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.least(p, F.col("mine")) * F.col("parts") + F.greatest(p, F.col("mine")))
-        dealt = dealt.select("bucket", F.explode(tasks_of).alias("task"), "_rid")
-        dealt = dealt.join(rows.select("_rid", text_col), "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")  # texts pack better than hashes
-        return dealt.mapInArrow(compare, "u long, v long").distinct()
+        shared_out = shared_out.withColumn("task", F.explode(tasks_of)).drop("parts", "mine")
+        return shared_out.join(what, "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
+
+    def verified(some: DataFrame) -> DataFrame:
+        """Links of the rows of some(bucket, _rid)."""
+        return dealt(some, rows.select("_rid", text_col)).mapInArrow(compare, "u long, v long").distinct()  # texts pack better than hashes
 
     met = stored(met.distinct(), "buckets")
     sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -153,7 +203,9 @@ def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, word
     roots = components(first).select(F.col("node").alias("_rid"), "root")
     root = F.coalesce("root", "_rid")
     open_ = met.join(roots, "_rid", "left").groupBy("bucket").agg(F.min(root).alias("a"), F.max(root).alias("z")).where("a < z").select("bucket")
-    second = stored(met.join(open_, "bucket", "left_semi"), "open")
+    rooted = stored(met.join(open_, "bucket", "left_semi").join(roots, "_rid", "left").select("bucket", "_rid", root.alias("root")), "open")
+    short = rows.join(rooted.select("_rid").distinct(), "_rid", "left_semi").select("_rid", text_col).mapInArrow(trimmed(digests), "_rid long, n long, digest binary")
+    second = stored(dealt(rooted, stored(short, "digests")).mapInArrow(candidates, "bucket long, _rid long").distinct(), "candidates")
     return first.unionByName(verified(second))
 
 
