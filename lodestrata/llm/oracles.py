@@ -71,4 +71,23 @@ def _walk() -> str:
 
 OP2 = OP2.replace("(WALK)", f"({_walk()})")
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8}
+def _lloyd(k: int) -> str:
+    """Assignment to codebook k, and the codebook that follows it."""
+    far = " + ".join(f"(q.{c} - b.{c}) * (q.{c} - b.{c})" for c in "uvwx")
+    moved = ", ".join(f"coalesce(floor(sum(q.{c})::DOUBLE / count(q.rn)), any_value(b.{c}))::BIGINT AS {c}" for c in "uvwx")
+    return f"""
+near{k} AS (SELECT rn, q.p, min(({far}) * 64 + e) AS f FROM cut q JOIN book{k} b ON q.p = b.p GROUP BY rn, q.p),
+book{k + 1} AS (SELECT b.p, b.e, {moved} FROM book{k} b LEFT JOIN (SELECT c.*, f % 64 AS e FROM cut c JOIN near{k} USING (rn, p)) q ON b.p = q.p AND b.e = q.e GROUP BY b.p, b.e)"""
+
+
+OP13 = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, row_number() OVER (ORDER BY vec_id, embedding) AS rn FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT rn, p, v[4 * p + 1] AS u, v[4 * p + 2] AS v, v[4 * p + 3] AS w, v[4 * p + 4] AS x FROM kept, range(16) t(p)),
+book0 AS (SELECT p, rn - 1 AS e, u, v, w, x FROM cut WHERE rn <= 64),{_lloyd(0)},{_lloyd(1)},{_lloyd(2)},
+coded AS (SELECT rn, string_agg(printf('%02x', f % 64), '' ORDER BY p) AS code, sum(f // 64)::BIGINT AS error FROM near2 GROUP BY rn)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(concat_ws(',', u, v, w, x), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM coded JOIN kept USING (rn)
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8, "op13_vector_codes": OP13}

@@ -15,6 +15,7 @@ from .mixing import mix, taken
 from .sharding import shard_by_bytes
 from .simhash import near_duplicates
 from .url_filter import filter_urls
+from .vector_codes import encode, with_label_errors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,4 +88,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_mixing, op3_lm_scoring, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = encode(table(spark, sf_dir, "embeddings"))
+    out = with_label_errors(codes.rows)
+    return out.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest).alias("codebooks_sha256"))
+
+
+OPERATORS = (
+    op1_sharding, op2_mixing, op3_lm_scoring, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann,
+    op13_vector_codes,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
