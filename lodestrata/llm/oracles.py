@@ -90,4 +90,28 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
     (SELECT sha256(string_agg(concat_ws(',', u, v, w, x), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256 FROM coded JOIN kept USING (rn)
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8, "op13_vector_codes": OP13}
+#: Revenue of every (nation, item) after every arrival day, by running sums over a grid of days.
+OP12 = f"""
+WITH keyed AS (SELECT *, concat(coalesce(sale_id::VARCHAR, ''), ',', coalesce(item_id::VARCHAR, ''), ',', coalesce(vendor_id::VARCHAR, ''), ',', coalesce(line_no::VARCHAR, '')) AS t FROM sale_lines),
+crcs AS (SELECT * EXCLUDE t, xor(4294967295, list_reduce(list_transform(string_split(regexp_replace(hex(encode(t)), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: (instr('0123456789ABCDEF', c) - 1)::BIGINT),
+    lambda a, n: xor(a >> 4, {CRC_TABLE}[(xor(a, n) & 15) + 1]::BIGINT), 4294967295::BIGINT)) AS h FROM keyed),
+dated AS (SELECT *, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150)::BIGINT AS s FROM crcs),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+batched AS (SELECT *, least(8, 1 + floor((a - 19723) * 8 / 180.0))::INT AS batch FROM arrived),
+horizon AS (SELECT batch, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM (SELECT batch, max(s) AS m FROM batched GROUP BY batch)),
+added AS (SELECT nation_id, item_id, a, any_value(batch) AS batch, sum(CASE WHEN flag = 'swapped' THEN -c ELSE c END) AS c
+    FROM (SELECT v.nation_id, b.item_id, b.a, b.batch, b.flag, coalesce(floor(100 * amount + 0.5), quantity * floor(100 * i.price + 0.5), 0) AS c
+        FROM batched b JOIN horizon USING (batch) JOIN vendors v USING (vendor_id) JOIN items i ON i.item_id = b.item_id
+        WHERE v.nation_id IS NOT NULL AND (top IS NULL OR s + 15 >= top)) GROUP BY ALL),
+days AS (SELECT a, any_value(batch) AS batch, row_number() OVER (ORDER BY a) AS n FROM added GROUP BY a),
+pairs AS (SELECT nation_id, item_id, min(a) AS first FROM added GROUP BY ALL),
+run AS (SELECT p.nation_id, p.item_id, d.n, sum(coalesce(c, 0)) OVER (PARTITION BY p.nation_id, p.item_id ORDER BY d.n ROWS UNBOUNDED PRECEDING) AS revenue
+    FROM pairs p JOIN days d ON d.a >= p.first LEFT JOIN added x ON x.nation_id = p.nation_id AND x.item_id = p.item_id AND x.a = d.a),
+board AS (SELECT nation_id, item_id, n, row_number() OVER (PARTITION BY nation_id, n ORDER BY revenue DESC, item_id) AS r FROM run WHERE revenue > 0 QUALIFY r <= 10),
+diff AS (SELECT coalesce(x.nation_id, o.nation_id) AS nation_id, coalesce(x.item_id, o.item_id) AS item_id, coalesce(x.n, o.n + 1) AS n, o.r AS old_rank, x.r AS new_rank
+    FROM board x FULL JOIN board o ON x.nation_id = o.nation_id AND x.item_id = o.item_id AND x.n = o.n + 1)
+SELECT nation_id, a AS arrival_day, item_id, batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank::INT AS old_rank, new_rank::INT AS new_rank, revenue::BIGINT AS revenue
+FROM diff JOIN days USING (n) JOIN run USING (nation_id, item_id, n) WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8, "op12_leaderboard": OP12, "op13_vector_codes": OP13}
