@@ -114,4 +114,17 @@ SELECT nation_id, a AS arrival_day, item_id, batch, CASE WHEN old_rank IS NULL T
 FROM diff JOIN days USING (n) JOIN run USING (nation_id, item_id, n) WHERE old_rank IS DISTINCT FROM new_rank
 """
 
-ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8, "op12_leaderboard": OP12, "op13_vector_codes": OP13}
+#: Pairs meet by shared shingles; components by spreading the smallest id along links until nothing changes.
+OP11 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS s FROM w),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+edge AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(x, y) AS (SELECT x, y FROM edge UNION SELECT r.x, b.y FROM reach r JOIN edge b ON r.y = b.x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM sets LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON doc_id = x
+"""
+
+ORACLES: dict[str, str] = {"op1_sharding": OP1, "op2_mixing": OP2, "op4_line_dedup": OP4, "op8_url_filter": OP8, "op11_jaccard_join": OP11, "op12_leaderboard": OP12, "op13_vector_codes": OP13}

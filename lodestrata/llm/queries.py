@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, lm_scoring, toxicity
 from .ann import nearest
 from .decontam import contaminated
+from .jaccard import jaccard_components
 from .leaderboard import leaderboard_changes
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .mixing import mix, taken
@@ -89,6 +90,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = leaderboard_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
     return out.withColumnRenamed("grp", "nation_id")
@@ -102,6 +107,6 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_sharding, op2_mixing, op3_lm_scoring, op4_line_dedup, op5_simhash, op6_toxicity, op7_langid, op8_url_filter, op9_decontamination, op10_ann,
-    op12_leaderboard, op13_vector_codes,
+    op11_jaccard_join, op12_leaderboard, op13_vector_codes,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}

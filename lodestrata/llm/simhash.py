@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, settled, stored, trimmed, words_of
+from .common import NULL_ID, release, removed, settled, stored, trimmed, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -146,7 +146,7 @@ def shard_edges(fps: np.ndarray, mask: int, radius: int) -> tuple[np.ndarray, np
 
 
 def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links u, v between distinct fingerprints that have the same components as all pairs within radius.
+    """Links u, v, as a stored table, between distinct fingerprints that have the same components as all pairs within radius.
 
     Each fingerprint goes to the leaves that it visits in either tree (a few rows each); a leaf compares its fingerprints
     exactly over all 64 bits and returns a spanning forest, so a group of copies makes as many links as it has members.
@@ -176,13 +176,15 @@ def links(unique: DataFrame, radius: int = RADIUS) -> DataFrame:
         release()
         return pd.DataFrame({"u": u, "v": v})
 
-    return dealt.groupBy("leaf", "task").applyInPandas(leaf_links, "u long, v long").distinct()
+    out = stored(dealt.groupBy("leaf", "task").applyInPandas(leaf_links, "u long, v long").distinct(), "fingerprint-links")
+    removed(visits)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root of each node of edges(u, v): the smallest node that it reaches, by alternating large-star and small-star.
+    """node, root of each node of edges(u, v), as a stored table: the smallest node that it reaches, by alternating large-star and small-star.
 
-    Each round is a stored table. It ends when a round changes nothing; if most_rounds did not reach that, it raises.
+    Each round is a stored table, which goes when the next is there. It ends when a round changes nothing; if most_rounds did not reach that, it raises.
     """
     mark = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
@@ -193,7 +195,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        used, e = e, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(used)
         after = mark(e)
         if after == before:
             break
@@ -202,7 +205,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if before.n:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    removed(e)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,8 +220,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_
     others, and its component_id is null if there is no other; repeated rows are kept as rows; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
-    unique = rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least"))
-    roots = stored(components(links(unique, radius)), "roots")
+    unique = stored(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("least")), "unique")
+    found = links(unique, radius)
+    roots = components(found)
+    removed(found)
     linked = unique.join(roots, F.col("fp") == F.col("node"))
     lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
     of = unique.join(roots, F.col("fp") == F.col("node"), "left").join(lowest, "root", "left")
@@ -225,20 +232,26 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS, id_
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs, stored, with a number of its own for each row in ``_rid``."""
-    return stored(settled(docs).withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    """docs, stored, with a number of its own for each row in ``_rid``; each column's name gets ``c_`` before it, so none can clash."""
+    names = [F.col(f"`{c}`").alias(f"c_{c}") for c in docs.columns]
+    return stored(settled(docs).select(*names, F.monotonically_increasing_id().alias("_rid")), "numbered")
+
+
+def unnumbered(rows: DataFrame) -> DataFrame:
+    """Rows of a ``numbered`` table as they were."""
+    return rows.select(*(F.col(f"`{c}`").alias(c.removeprefix("c_")) for c in rows.columns if c != "_rid"))
 
 
 def firsts(groups: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """_rid of one row for each group of groups(_rid, group): that of the smallest id, null ids last, then of the smallest number."""
-    ids = rows.select("_rid", F.col(id_col).alias("_id"))
+    """_rid of one row of a ``numbered`` table for each group of groups(_rid, group): that of the smallest id, null ids last, then of the smallest number."""
+    ids = rows.select("_rid", F.col(f"c_{id_col}").alias("_id"))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_rid").alias("rid"))
     return groups.join(ids, "_rid").groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.rid").alias("_rid"))
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs, all columns, for each group: that of the smallest id. Rows stand for themselves, whatever their ids: null ids come
     after all others, and neither rows without an id nor rows that share one are copies of each other unless their texts link them."""
     rows = numbered(docs)
-    found = near_duplicates(rows, id_col="_rid", **options).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
-    return rows.join(firsts(found, rows, id_col), "_rid", "left_semi").drop("_rid")
+    found = near_duplicates(rows, id_col="_rid", text_col=f"c_{text_col}", **options).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
+    return unnumbered(rows.join(firsts(found, rows, id_col), "_rid", "left_semi"))

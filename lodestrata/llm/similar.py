@@ -1,224 +1,30 @@
-"""Near copies by the Jaccard similarity of their shingles: exact, by prefixes of rare shingles."""
+"""The pipeline's near-dedup: one document of each group of near copies, by fingerprints and then by exact Jaccard similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, settled, stored, trimmed
-from .simhash import components, firsts, near_duplicates, numbered, shingle_hashes
-
-#: Words of a shingle; texts are near copies if their sets of shingles are this similar.
-WORDS, SIMILARITY = 5, 0.8
-#: Rows on which common shingles are found (about), least rows there of a common one, most of them.
-SAMPLE, COMMON, MOST = 10_000, 3, 1 << 16
-#: Texts of a bucket that one task compares; a larger bucket is dealt to a triangle of tasks.
-TOGETHER = 4096
-#: One shingle in so many makes a row's digest, 16 bits of each.
-EVERY = 4
-SLACK = 1e-9
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles in an order that all texts share, so many that two texts that are similar enough share one of them.
-
-    common: sorted shingles that come last, by rank; the others come by their hash.
-    """
-    n = len(shingles)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        shingles = shingles[np.argsort(np.where(common[at] == shingles, rank[at], 0), kind="stable")]
-    return shingles[: n - int(np.ceil(similarity * n - SLACK)) + 1] if n else shingles
-
-
-def runs_of(batches: Iterator[pa.RecordBatch], parts: Callable[[pa.Table], np.ndarray]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """The rows, whole runs at a time, and where the runs begin (and the end). parts: of each row but the first whether a run begins."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        t = pa.Table.from_batches(held)
-        cuts = np.flatnonzero(parts(t)) + 1
-        if len(cuts):
-            yield t.slice(0, cuts[-1]), np.r_[0, cuts]
-            held = t.slice(cuts[-1]).to_batches()
-    if held:
-        t = pa.Table.from_batches(held)
-        yield t, np.r_[0, np.flatnonzero(parts(t)) + 1, t.num_rows]
-
-
-def changes(t: pa.Table, *names: str) -> np.ndarray:
-    columns = [t.column(c).to_numpy() for c in names]
-    return np.any([c[1:] != c[:-1] for c in columns], axis=0)
-
-
-def similar_links(rids: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links of a spanning forest of the texts whose sets are similar enough; a text that is linked isn't compared again with others of its group."""
-    n, left = np.array([len(s) for s in sets]), np.argsort(rids, kind="stable")
-    u, v = [], []
-    while len(left) > 1:
-        root, left, open_ = left[0], left[1:], [left[0]]
-        while open_ and len(left):
-            x = open_.pop()
-            near = left[np.minimum(n[left], n[x]) >= similarity * np.maximum(n[left], n[x]) - SLACK]
-            if not len(near):
-                continue
-            flat = np.concatenate([sets[i] for i in near])
-            at = np.minimum(np.searchsorted(sets[x], flat), n[x] - 1)
-            same = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.r_[0, np.cumsum(n[near])[:-1]])
-            near = near[same >= similarity * (n[near] + n[x] - same) - SLACK]
-            u += rids[near].tolist()
-            v += [int(rids[root])] * len(near)
-            open_ += near.tolist()
-            left = left[~np.isin(left, near)]
-    return u, v
-
-
-def digest(shingles: np.ndarray) -> np.ndarray:
-    """16 bits of each shingle whose hash is a multiple of EVERY, without repeats."""
-    return np.unique((shingles[shingles % np.uint64(EVERY) == 0] >> np.uint64(48)).astype(np.uint16))
-
-
-def may_be_similar(roots: np.ndarray, n: np.ndarray, digests: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which texts have a partner of another root that their digests don't rule out. n: sizes of their sets.
-
-    A value that only one of two digests has stands for a shingle that only one of the sets has, and sets of similarity s differ in
-    (1 - s) / (1 + s) of their sizes' sum at most: no pair that is similar is ruled out, whatever its size.
-    """
-    size = np.array([len(d) for d in digests], np.int64)
-    flat, ends = np.concatenate(digests), np.cumsum(size)
-    found, own, most = np.zeros(len(n), bool), np.zeros(1 << 16, bool), (1 - similarity) / (1 + similarity)
-    for x in range(len(n) - 1):
-        if found[x:].all():
-            break
-        after = slice(x + 1, None)
-        fits = (roots[after] != roots[x]) & (np.minimum(n[after], n[x]) >= similarity * np.maximum(n[after], n[x]) - SLACK)
-        if not fits.any():
-            continue
-        own[digests[x]] = True
-        same = np.diff(np.r_[0, np.cumsum(own[flat[ends[x] :]], dtype=np.int64)][np.r_[0, ends[after] - ends[x]]])
-        own[digests[x]] = False
-        fits &= size[after] + size[x] - 2 * same <= most * (n[after] + n[x]) + SLACK
-        found[after] |= fits
-        found[x] |= fits.any()
-    return found
-
-
-def common_shingles(rows: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many rows of a sample have, and their rank by how many: an order that only spares comparisons."""
-    bound = int(min(1.0, SAMPLE / max(1, rows.count())) * 2**63) - 1
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), words)).view(np.int64))], names=["h"])
-
-    some = rows.where(F.xxhash64("_rid", F.lit(5)).bitwiseAND(F.lit(2**63 - 1)) <= bound).select(text_col).mapInArrow(trimmed(each), "h long")
-    found = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST).collect()
-    h, rank = np.array([r.h for r in found], np.int64).view(np.uint64), np.arange(len(found), 0, -1)
-    order = np.argsort(h)
-    return h[order], rank[order]
-
-
-def links(rows: DataFrame, keep: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """Links u, v between numbers of rows(_rid, text) that keep(_rid) has, with the same components as all pairs of that similarity.
-
-    Each pair meets: two sets of similarity s share one of the first n - ceil(s n) + 1 shingles in any common order. Rows that share
-    such a shingle, and are of such sizes that they can be similar, are a bucket; buckets of the same rows count once. Buckets
-    compare whole sets and return spanning forests, so a group of copies makes as many links as it has members. Shingles that are
-    common in a sample come last in the order, so a common line brings few rows together that have nothing else in common.
-
-    Texts are sent to buckets in two rounds. In the first each row goes to its largest bucket only, which links most of a group of
-    copies; in the second, buckets whose rows are linked already, all with all others, have nothing to add and are left out, and of
-    the others only rows with a partner that their digests don't rule out are sent.
-    """
-    common, rank = common_shingles(rows, words, text_col)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
-            first = [prefix(s, common, rank, similarity).view(np.int64) for s in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["_rid", "n", "h"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(t: pa.Table) -> np.ndarray:
-            n = t.column("n").to_numpy()
-            return changes(t, "h") | (n[:-1] < similarity * n[1:] - SLACK)
-
-        for t, cuts in runs_of(batches, parts):
-            many, rid = np.diff(cuts), t.column("_rid").to_numpy().view(np.uint64)
-            code = (rid + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            bucket = np.repeat(np.add.reduceat(code ^ (code >> np.uint64(32)), cuts[:-1]), many).view(np.int64)
-            at = np.repeat(many, many) > 1
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rid.view(np.int64)[at])], names=["bucket", "_rid"])
-
-    tokens = rows.select("_rid", text_col).mapInArrow(trimmed(prefixes), "_rid long, n int, h array<long>").join(keep, "_rid").select("_rid", "n", F.explode("h").alias("h"))
-    met = tokens.repartition("h").sortWithinPartitions("h", "n").mapInArrow(trimmed(shared), "bucket long, _rid long")
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cuts in runs_of(batches, lambda t: changes(t, "bucket", "task")):
-            rid, own = t.column("_rid").to_numpy(), [np.unique(shingle_hashes(x.as_py(), words)) for x in t.column(text_col)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                u, v = similar_links(rid[lo:hi], own[lo:hi], similarity)
-                if u:
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-        release()
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cuts in runs_of(batches, lambda t: changes(t, "bucket", "task")):
-            bucket, rid, root, n = (t.column(c).to_numpy() for c in ("bucket", "_rid", "root", "n"))
-            own = [np.frombuffer(x.as_py(), np.uint16) for x in t.column("digest")]
-            at = np.concatenate([may_be_similar(root[lo:hi], n[lo:hi], own[lo:hi], similarity) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(rid[at])], names=["bucket", "_rid"])
-        release()
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(1)]
-            parts = [b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([digest(s).tobytes() for s in own], pa.binary())]
-            yield pa.RecordBatch.from_arrays(parts, names=["_rid", "n", "digest"])
-
-    def dealt(some: DataFrame, what: DataFrame) -> DataFrame:
-        """The rows of some(bucket, _rid, ...) with what(_rid, ...) has of them, by whole buckets; a large one is dealt to a triangle of tasks."""
-        large = [(r.bucket, -(-r.n // (TOGETHER // 2))) for r in some.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).collect()]
-        parts = rows.sparkSession.createDataFrame(large or [(0, 1)], "bucket long, parts long")
-        shared_out = some.join(F.broadcast(parts), "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("mine", F.pmod(F.xxhash64("_rid"), "parts"))
-        tasks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.least(p, F.col("mine")) * F.col("parts") + F.greatest(p, F.col("mine")))
-        shared_out = shared_out.withColumn("task", F.explode(tasks_of)).drop("parts", "mine")
-        return shared_out.join(what, "_rid").repartition("bucket", "task").sortWithinPartitions("bucket", "task")
-
-    def verified(some: DataFrame) -> DataFrame:
-        """Links of the rows of some(bucket, _rid)."""
-        return dealt(some, rows.select("_rid", text_col)).mapInArrow(compare, "u long, v long").distinct()  # texts pack better than hashes
+from .common import removed, settled, stored
+from .jaccard import similar_groups
+from .simhash import firsts, near_duplicates, numbered, unnumbered
 
-    met = stored(met.distinct(), "buckets")
-    sizes = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    largest = met.join(sizes, "bucket").groupBy("_rid").agg(F.max(F.struct("n", "bucket")).alias("b")).select("_rid", F.col("b.bucket").alias("bucket"))
-    first = stored(verified(stored(largest, "largest")), "first-links")
-    roots = components(first).select(F.col("node").alias("_rid"), "root")
-    root = F.coalesce("root", "_rid")
-    open_ = met.join(roots, "_rid", "left").groupBy("bucket").agg(F.min(root).alias("a"), F.max(root).alias("z")).where("a < z").select("bucket")
-    rooted = stored(met.join(open_, "bucket", "left_semi").join(roots, "_rid", "left").select("bucket", "_rid", root.alias("root")), "open")
-    short = rows.join(rooted.select("_rid").distinct(), "_rid", "left_semi").select("_rid", text_col).mapInArrow(trimmed(digests), "_rid long, n long, digest binary")
-    second = stored(dealt(rooted, stored(short, "digests")).mapInArrow(candidates, "bucket long, _rid long").distinct(), "candidates")
-    return first.unionByName(verified(second))
+#: Words of a shingle; texts are near copies if their sets of shingles are this similar, in hundredths.
+WORDS, PERCENT = 5, 80
 
 
-def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, all columns, for each group of near copies, so that no two rows with words that stay are so similar.
 
     Groups by fingerprint, as in op5, come first, which takes copies away; then, of the rows that are left, groups that are linked
-    by an exact Jaccard similarity of at least ``similarity`` of their sets of runs of ``words`` words. Of a group the row of the smallest id
-    stays; null ids come last, and rows of the same id are judged by their texts.
+    by an exact Jaccard similarity of at least percent / 100 of their sets of runs of ``words`` words. Of a group the row of the smallest id
+    stays; null ids come last, and rows of the same id are judged by their texts. Texts without words are one group.
     """
-    rows = numbered(settled(docs))
-    found = near_duplicates(rows, id_col="_rid", text_col=text_col).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
+    rows, text = numbered(settled(docs)), f"c_{text_col}"
+    found = near_duplicates(rows, id_col="_rid", text_col=text).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
     keep = stored(firsts(found, rows, id_col), "kept")
-    groups = stored(components(links(rows, keep, similarity, words, text_col)).select(F.col("node").alias("_rid"), F.col("root").alias("group")), "groups")
-    gone = groups.select("_rid").join(firsts(groups, rows, id_col), "_rid", "left_anti")
-    return rows.join(keep.join(gone, "_rid", "left_anti"), "_rid", "left_semi").drop("_rid")
+    groups = similar_groups(rows.join(keep, "_rid", "left_semi"), percent, words, text)
+    out = stored(firsts(groups, rows, id_col), "firsts")
+    for used in (keep, groups):
+        removed(used)
+    return unnumbered(rows.join(out, "_rid", "left_semi"))
