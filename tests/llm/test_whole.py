@@ -5,6 +5,7 @@ import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -246,6 +247,39 @@ def test_all_symbols_together_have_probability_one():
     assert math.isclose(total, 1, rel_tol=1e-3)
 
 
+@pytest.mark.parametrize(("state", "told"), [(1, 4), (2, 0), (1, 12), (2, 7)])
+def test_all_symbols_together_have_probability_one_with_a_match(state, told):
+    """What is foretold is known before the token: with the same match for all that may come, probabilities sum to one, rarer tokens included."""
+    words = [b"w%d" % i for i in range(12)]
+    tree = lm_scoring.Tree.over(words, list(range(40, 28, -1)), 9)
+    table = np.random.default_rng(1).normal(0, 1, 2 * 1024).astype(np.float32)
+    before, total = np.array([3, 5, 7]), 0.0
+    for s in range(13):
+        text = np.r_[before, s]
+        t = lm_scoring.Tokens.of(tree, text, np.array([True, False, False, False]), text)
+        match = lm_scoring.Match(np.array([0, 0, 0, told]), np.array([0, 0, 0, state], np.int8))
+        both = [lm_scoring.mix_texts(tree, lm_scoring.Tokens.of(tree, x, np.arange(len(x)) == 0, x), np.array([0, len(x)]), table, lm_scoring.Match(match.symbols[: len(x)], match.state[: len(x)]))[0] for x in (before, text)]
+        total += 10 ** (both[1] - both[0])
+    assert math.isclose(total, 1, rel_tol=1e-3)
+    tail = np.log10(np.array([0.5, 0.3, 0.2]))  # three rarer tokens share a leaf; a foretold one takes its part from all
+    rare = [lm_scoring.rare_with_match(tail[[k]], np.array([True]), lm_scoring.Match(np.array([0]), np.array([state], np.int8)), np.array([k == 1]), np.array([0, 1]))[0] for k in range(3)]
+    assert math.isclose(sum(10**x for x in rare), 1, rel_tol=1e-9)
+
+
+def test_held_out_scores_depend_on_no_held_out_row(spark):
+    """Rows that are held out change nothing for each other: copies of training texts, of each other, and texts that go on otherwise."""
+    rng = random.Random(17)
+    fresh = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(40, 200))) for _ in range(60)]
+    other = [" ".join([*fresh[i].split()[:60], *(f"w{rng.randrange(300)}" for _ in range(40))]) for i in range(20)]
+    held = [*other, *fresh[:10], " ".join(f"w{rng.randrange(300)}" for _ in range(90))]
+    score = lambda more: {r.doc_id: r.score for r in lm_scoring.score_documents(table(spark, [*fresh, *more]), F.col("doc_id") >= len(fresh)).collect()}
+    all_of_them = score(held)
+    for k in (0, 25, len(held) - 1):
+        alone = score([None] * k + [held[k]])
+        assert math.isclose(alone[len(fresh) + k], all_of_them[len(fresh) + k], rel_tol=1e-5)
+    assert all(math.isclose(alone[i], all_of_them[i], rel_tol=1e-5) for i in range(len(fresh)))
+
+
 def test_matches_tell_copies_apart_and_grow_with_the_corpus(spark):
     rng = random.Random(41)
     fresh = [" ".join(f"w{rng.randrange(4000)}" for _ in range(300)) for _ in range(120)]
