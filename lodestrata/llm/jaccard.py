@@ -294,12 +294,12 @@ def runs_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa
         yield t, np.r_[0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in own], axis=0)) + 1, t.num_rows]
 
 
-def verified(clusters: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int, words: int, text_col: str, most_rows: int = ROWS, most: int = SHINGLES) -> DataFrame:
+def verified(clusters: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int, words: int, text_col: str) -> DataFrame:
     """Links u, v of clusters(_rid, cluster) with the same components inside each cluster as all similar pairs have. sizes: _rid, n."""
     texts = rows.select("_rid", F.col(text_col).alias("text"))
     own = stored(clusters.join(sizes, "_rid"), "clusters")
     totals = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
-    parts = F.greatest(F.ceil(F.col("rows") / most_rows), F.ceil(F.col("shingles") / most))
+    parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.ceil(F.col("shingles") / SHINGLES))
     totals = stored(totals.select("cluster", parts.alias("parts")), "totals")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +342,9 @@ def verified(clusters: DataFrame, sizes: DataFrame, rows: DataFrame, percent: in
     roots = components(first)
     rooted = stored(many.join(roots, F.col("_rid") == F.col("node"), "left").select("cluster", "_rid", "n", F.coalesce("root", "_rid").alias("root")), "rooted")
     sized = rooted.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    sized = sized.select("cluster", "root", F.greatest(F.ceil(F.col("rows") * 2 / most_rows), F.ceil(F.col("shingles") * 2 / most)).alias("parts"), "rows", "shingles")
+    sized = sized.select("cluster", "root", F.greatest(F.ceil(F.col("rows") * 2 / ROWS), F.ceil(F.col("shingles") * 2 / SHINGLES)).alias("parts"), "rows", "shingles")
     # A root that fills blocks has its own, by row; the others share blocks by root. Two blocks fit into one task.
-    rest = sized.where("parts = 1").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("rows") * 2 / most_rows), F.ceil(F.sum("shingles") * 2 / most)).alias("shared"))
+    rest = sized.where("parts = 1").groupBy("cluster").agg(F.greatest(F.ceil(F.sum("rows") * 2 / ROWS), F.ceil(F.sum("shingles") * 2 / SHINGLES)).alias("shared"))
     blocks = stored(sized.join(rest, "cluster", "left").select("cluster", "root", "parts", F.coalesce("shared", F.lit(1).cast("long")).alias("shared")), "blocks")
     block = F.when(F.col("parts") > 1, F.xxhash64("root", F.pmod(F.xxhash64("_rid"), "parts"))).otherwise(F.pmod(F.xxhash64("root"), "shared"))
     placed = stored(rooted.join(blocks, ["cluster", "root"]).select("cluster", "_rid", "root", block.alias("block")), "placed")

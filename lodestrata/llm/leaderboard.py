@@ -31,19 +31,23 @@ NOTHING = np.zeros((0, 2), np.int64)
 def cut_lines(lines: DataFrame, vendors: DataFrame, items: DataFrame, batches: int = 8) -> DataFrame:
     """grp, item, day, arrival, batch, cents, counts of each line, as the contract has them. counts: whether its nation and item are known.
 
-    Lookups are joins by key; tables with several rows for a key give the smallest value, so no line is doubled.
+    Lookups are sort-merge joins at every size, as both tables grow with the input; what is left of a line before them is four
+    numbers: its signed cents (or, without an amount, its signed quantity), its keys, and its days in one. Tables with several
+    rows for a key give the smallest value, so no line is doubled.
     """
     known = stored(items.where("item_id is not null").groupBy("item_id").agg(F.min("price").alias("_price")), "items")
     seller = stored(vendors.where("vendor_id is not null").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("grp")), "vendors")
-    text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")))
-    h = F.col("_h")
-    out = lines.select("item_id", "vendor_id", F.col("quantity").cast("double").alias("_q"), F.col("amount").cast("double").alias("_amount"), "flag", F.unix_date(F.col("shipped_at").cast("date")).cast("long").alias("_s"), F.crc32(text).alias("_h"))
-    out = out.join(known.select("item_id", "_price", F.lit(True).alias("_known")), "item_id", "left").join(seller, "vendor_id", "left")
-    day = F.coalesce("_s", F.lit(FIRST_DAY) + h % 150)
-    out = out.withColumn("day", day).withColumn("arrival", day + h % 7 + F.when(h % 5 == 0, 20).otherwise(0))
     whole = lambda x: F.floor(F.lit(100.0) * x + F.lit(0.5)).cast("double")
-    cents = F.coalesce(whole(F.col("_amount")), F.col("_q") * whole(F.col("_price")), F.lit(0.0))
-    cents = F.floor(F.when(F.col("flag") == "swapped", -cents).otherwise(cents))
+    text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")))
+    day = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")).cast("long"), F.lit(FIRST_DAY) + F.col("_h") % 150)
+    late = F.col("_h") % 7 + F.when(F.col("_h") % 5 == 0, 20).otherwise(0)
+    paid, sign = whole(F.col("amount").cast("double")), F.when(F.col("flag") == "swapped", -1.0).otherwise(1.0)
+    out = lines.withColumn("_h", F.crc32(text))
+    # The lowest bit tells a quantity from cents, the next five have the arrival's distance from the day (26 at most).
+    out = out.select("item_id", "vendor_id", (sign * F.coalesce(paid, F.col("quantity").cast("double"), F.lit(0.0))).alias("_v"), (day * 64 + late * 2 + F.when(paid.isNull(), 1).otherwise(0)).alias("_d"))
+    out = out.join(seller.hint("merge"), "vendor_id", "left").drop("vendor_id").join(known.select("item_id", "_price", F.lit(True).alias("_known")).hint("merge"), "item_id", "left")
+    out = out.withColumn("day", F.shiftright("_d", 6)).withColumn("arrival", F.col("day") + F.shiftright("_d", 1).bitwiseAND(F.lit(31)))
+    cents = F.floor(F.when(F.col("_d").bitwiseAND(F.lit(1)) == 1, F.coalesce(F.col("_v") * whole(F.col("_price")), F.lit(0.0))).otherwise(F.col("_v")))
     batch = F.least(F.lit(batches).cast("long"), 1 + F.floor((F.col("arrival") - FIRST_DAY) * batches / F.lit(float(DAYS)))).cast("int")
     return out.select("grp", F.col("item_id").alias("item"), "day", "arrival", batch.alias("batch"), cents.alias("cents"), (F.col("grp").isNotNull() & F.coalesce("_known", F.lit(False))).alias("counts"))
 

@@ -72,9 +72,6 @@ def test_jaccard_components(spark, monkeypatch, limits):
     """Whole results with buckets, hot shingles and clusters of any size, also where every limit is small."""
     for k, v in limits.items():
         monkeypatch.setattr(jaccard, k, v)
-    if "ROWS" in limits or "SHINGLES" in limits:
-        plain = jaccard.verified
-        monkeypatch.setattr(jaccard, "verified", lambda *a: plain(*a, most_rows=jaccard.ROWS, most=jaccard.SHINGLES))
     texts = some_texts()
     out = jaccard.jaccard_components(documents(spark, texts), 85, 4)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == plain_components(texts, 85, 4)

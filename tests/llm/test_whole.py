@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import langid, lm_scoring, mixing, simhash, similar, toxicity
+from lodestrata.llm import jaccard, langid, lm_scoring, mixing, simhash, toxicity
 from lodestrata.llm.common import prefix_sums
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
@@ -29,7 +29,7 @@ def test_rows_without_id_or_with_a_shared_id_stand_for_themselves(spark):
 
 
 def test_near_copies_with_edited_words_go(spark, monkeypatch):
-    monkeypatch.setattr(similar, "TOGETHER", 8)
+    monkeypatch.setattr(jaccard, "ROWS", 8)
     rng = random.Random(23)
     texts = []
     for n in (8, 20, 60, 150, 150, 150, 400):
@@ -59,29 +59,21 @@ def test_near_copies_with_edited_words_go(spark, monkeypatch):
     assert kept == {min(g) for g in reach.values()}
 
 
-def test_digests_rule_out_no_similar_pair():
+def test_counts_rule_out_no_similar_pair():
     rng = np.random.default_rng(29)
-    sets, roots = [], []
+    sets = []
     for n in (1, 3, 9, 40, 300, 3000, 90_000):
         base = rng.integers(0, 2**64, n, np.uint64)
         for part in (0, 0.03, 0.1, 0.12, 0.5, 1):
             new = base.copy()
             new[rng.permutation(n)[: int(part * n)]] = rng.integers(0, 2**64, int(part * n), np.uint64)
             sets.append(np.unique(new))
-            roots.append(len(sets) // 2)
-    n, roots = np.array([len(s) for s in sets]), np.array(roots)
-    found = similar.may_be_similar(roots, n, [similar.digest(s) for s in sets], 0.8)
-
-    def alike(i, j):
-        both = len(np.intersect1d(sets[i], sets[j]))
-        return both >= 0.8 * (n[i] + n[j] - both) - 1e-9
-
-    partners = [[j for j in range(len(sets)) if roots[i] != roots[j] and alike(i, j)] for i in range(len(sets))]
-    assert all(found[i] for i, p in enumerate(partners) if p) and sum(map(bool, partners)) > 10
-    assert not similar.may_be_similar(np.arange(2), n[[-7, -1]], [similar.digest(sets[i]) for i in (-7, -1)], 0.8).any()  # unrelated
-    same = [similar.digest(sets[-6])] * 2
-    assert not similar.may_be_similar(np.zeros(2, int), n[[-6, -6]], same, 0.8).any()  # linked already
-    assert similar.may_be_similar(np.arange(2), n[[-6, -6]], same, 0.8).all()
+    n = np.array([len(s) for s in sets])
+    alike = [(i, j) for j in range(len(sets)) for i in range(j) for both in [len(np.intersect1d(sets[i], sets[j]))] if 100 * both >= 80 * (n[i] + n[j] - both)]
+    may = lambda i, j: bool(jaccard.linked([jaccard.group_counts(sets[k])[0] for k in (i, j)], n[[i, j]], np.zeros(2, np.int64), 80))
+    assert len(alike) > 25 and all(may(i, j) for i, j in alike)
+    assert not any(may(i, i + 5) for i in range(18, len(sets), 6))  # unrelated, of one size
+    assert not jaccard.linked([jaccard.group_counts(sets[-6])[0]] * 2, n[[-6, -6]], np.zeros(2, np.int64), 80, label=np.zeros(2, np.int64))  # linked already
 
 
 # --- pipeline: language ID
