@@ -59,16 +59,19 @@ def packed(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
     """Blocks packed greedily into chunks of at most ``size`` words, each but the first begun with the last ``overlap`` words
     of the one before (none if that has no more): doc_id, chunk_no, n_words (overlap included), first_ord, last_ord, text.
 
-    The fold stays in the JVM as an aggregate over a document's array of blocks. A block longer than size is a chunk of its own.
+    The fold stays in the JVM: it goes over a document's word counts once and notes only where chunks begin; texts are put
+    together from these places afterwards, each word once (twice in an overlap). A block longer than size is a chunk of its own.
     """
-    lines = docs.select("doc_id", F.transform(block_lines(F.col("text")), lambda x, i: F.struct(i.cast("int").alias("i"), T.words(x).alias("w"))).alias("l")).where(F.size("l") > 0)
-    empty = "cast(array() as array<struct<first:int,last:int,lead:array<string>,w:array<string>>>)"
-    fold = f"""aggregate(l, {empty}, (acc, b) -> if(size(acc) > 0 and size(acc[size(acc) - 1].lead) + size(acc[size(acc) - 1].w) + size(b.w) <= {size},
-        concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', acc[size(acc) - 1].first, 'last', b.i, 'lead', acc[size(acc) - 1].lead, 'w', concat(acc[size(acc) - 1].w, b.w)))),
-        concat(acc, array(named_struct('first', b.i, 'last', b.i, 'lead', if(size(acc) = 0 or {overlap} = 0 or size(acc[size(acc) - 1].w) <= {overlap}, cast(array() as array<string>), slice(acc[size(acc) - 1].w, -{max(1, overlap)}, {max(1, overlap)})), 'w', b.w)))))"""
-    out = lines.select("doc_id", F.posexplode(F.expr(fold)).alias("chunk_no", "c"))
-    all_ = F.concat("c.lead", "c.w")
-    return out.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size(all_).cast("long").alias("n_words"), F.col("c.first").cast("long").alias("first_ord"), F.col("c.last").cast("long").alias("last_ord"), F.array_join(all_, " ").alias("text"))
+    lines = docs.select("doc_id", F.transform(block_lines(F.col("text")), lambda x: T.words(x)).alias("l")).where(F.size("l") > 0)
+    begin = "named_struct('cuts', cast(array() as array<struct<first:int,lead:int>>), 'n', 0, 'own', 0)"
+    lead = f"if(size(a.cuts) = 0 or {overlap} = 0 or a.own <= {overlap}, 0, {overlap})"
+    step = f"""if(size(a.cuts) > 0 and a.n + b.n <= {size}, named_struct('cuts', a.cuts, 'n', a.n + b.n, 'own', a.own + b.n),
+        named_struct('cuts', concat(a.cuts, array(named_struct('first', b.i, 'lead', {lead}))), 'n', {lead} + b.n, 'own', b.n))"""
+    cut = lines.withColumn("cuts", F.expr(f"aggregate(transform(l, (w, i) -> named_struct('i', i, 'n', size(w))), {begin}, (a, b) -> {step}).cuts"))
+    own = "slice(l, c.first + 1, if(k + 1 < size(cuts), cuts[k + 1].first, size(l)) - c.first)"
+    before = f"if(c.lead = 0, cast(array() as array<string>), slice(flatten(slice(l, cuts[k - 1].first + 1, c.first - cuts[k - 1].first)), -{max(1, overlap)}, {max(1, overlap)}))"
+    whole = cut.select("doc_id", F.posexplode(F.expr(f"transform(cuts, (c, k) -> named_struct('first', c.first, 'last', if(k + 1 < size(cuts), cuts[k + 1].first, size(l)) - 1, 'w', concat({before}, flatten({own}))))")).alias("chunk_no", "c"))
+    return whole.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.size("c.w").cast("long").alias("n_words"), F.col("c.first").cast("long").alias("first_ord"), F.col("c.last").cast("long").alias("last_ord"), F.array_join("c.w", " ").alias("text"))
 
 
 def with_sections(rows: DataFrame, heading: Column, by: str = "doc_id", order: str = "ord") -> DataFrame:
@@ -78,9 +81,9 @@ def with_sections(rows: DataFrame, heading: Column, by: str = "doc_id", order: s
 
 
 def repeated_lines(rows: DataFrame, least: int = 3, most_words: int = 15) -> DataFrame:
-    """Short lines that occur ``least`` times or more, as running headers and footers do: text, n, n_docs."""
-    short = rows.where(T.word_count("text") <= most_words).groupBy(F.btrim("text").alias("text"))
-    return short.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")).where(F.col("n") >= least)
+    """Short lines that a document has ``least`` times or more, as running headers and footers: doc_id, text, n. What other documents have doesn't count."""
+    short = rows.where(T.word_count("text") <= most_words).groupBy("doc_id", F.btrim("text").alias("text"))
+    return short.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def merged_headings(rows: DataFrame) -> DataFrame:
@@ -121,6 +124,32 @@ def table_context(rows: DataFrame, blocks_away: int = 40) -> DataFrame:
     return seen.withColumn("in_table", inside).drop("_o", "_c")
 
 
+def page_spans(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """rows(doc_id, ord, text, ...) with page_start and page_end, by the characters before a block's begin and end: each is on the first page
+    whose running end reaches it; beyond the last page they are the first and the last. pages: doc_id, page, n_chars, in the order of page.
+    A document without pages or without characters on them has none.
+
+    A sweep instead of a range join: blocks' places and pages' ends are one sorted run for each document, in which the page is carried
+    from the end backwards, so work is linear in both, and nothing is compared with all pages.
+    """
+    w = lambda *order: Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = pages.select("doc_id", "page", F.sum(F.coalesce("n_chars", F.lit(0))).over(w("page")).alias("_at"))
+    known = ends.groupBy("doc_id").agg(F.min("page").alias("_first"), F.max("page").alias("_last"), F.max("_at").alias("_all")).where("_all > 0")
+    size = F.char_length(F.coalesce("text", F.lit(""))) + 1
+    blocks_ = rows.withColumn("_end", F.sum(size).over(w("ord"))).withColumn("_begin", F.col("_end") - size)
+    places = blocks_.select("doc_id", "ord", F.explode(F.array(F.struct(F.lit(1).alias("k"), F.col("_begin").alias("at")), F.struct(F.lit(2).alias("k"), F.col("_end").alias("at")))).alias("p"))
+    none = lambda kind: F.lit(None).cast(kind)
+    page_type = dict(pages.dtypes)["page"]
+    run = ends.select("doc_id", F.col("_at").cast("long").alias("at"), F.lit(0).alias("k"), "page", none(dict(rows.dtypes)["ord"]).alias("ord"))
+    run = run.unionByName(places.select("doc_id", F.col("p.at").cast("long").alias("at"), F.col("p.k").alias("k"), none(page_type).alias("page"), "ord"))
+    back = [F.desc("at"), F.asc("k"), F.desc_nulls_last("page"), F.desc("ord")]  # of pages that end at one place the first counts
+    swept = run.withColumn("page", F.last("page", ignorenulls=True).over(w(*back))).where("k > 0")
+    found = swept.groupBy("doc_id", "ord").agg(F.max(F.when(F.col("k") == 1, F.col("page"))).alias("page_start"), F.max(F.when(F.col("k") == 2, F.col("page"))).alias("page_end"))
+    out = rows.join(found, ["doc_id", "ord"], "left").join(known, "doc_id", "left")
+    start, end = F.coalesce("page_start", "_first"), F.coalesce("page_end", "_last")
+    return out.withColumns({"page_start": F.when(F.col("_all").isNotNull(), start), "page_end": F.when(F.col("_all").isNotNull(), end)}).drop("_first", "_last", "_all")
+
+
 def page_ranges(rows: DataFrame, chars: int = 3000) -> DataFrame:
     """rows with the pages on which a block begins and ends, if a page holds ``chars`` characters: a running sum by document."""
     w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)

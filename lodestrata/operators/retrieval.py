@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +45,19 @@ def filter_ladder(doc_ids: list | None, sections: list | None, source_files: lis
     return out
 
 
-def first_answering(attempts: list[DataFrame]) -> DataFrame:
-    """The rows of the first attempt that has any, for each question; all run in one job, tagged with their number."""
-    both = None
-    for i, a in enumerate(attempts):
-        a = a.withColumn("attempt", F.lit(i))
-        both = a if both is None else both.unionByName(a)
-    least = both.groupBy("qid").agg(F.min("attempt").alias("attempt"))
-    return both.join(least, ["qid", "attempt"])
+def first_answering(questions: DataFrame, attempts: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The rows of the first attempt that has any, for each question, with ``attempt``, its number. Each attempt is made for the questions
+    that none before it has answered, and when there are none left the rest is not made: answered questions reach no later rung."""
+    out = None
+    for i, attempt in enumerate(attempts):
+        found = stored(attempt(questions).withColumn("attempt", F.lit(i)), "attempt")
+        out = found if out is None else out.unionByName(found)
+        if i + 1 == len(attempts):
+            break
+        questions = stored(questions.join(found.select("qid").distinct(), "qid", "left_anti"), "unanswered")
+        if questions.isEmpty():
+            break
+    return out
 
 
 def question_terms(questions: DataFrame, tokenize=T.tokens) -> DataFrame:
@@ -118,7 +123,7 @@ def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_lim
     """qid, key, vector_score, dense_rank: exact cosine search, 6 places; the floor applies after the limit.
 
     questions: qid, v; rows: key, v (arrays of double). The stated questions are taken in blocks of ``block`` to all tasks;
-    each Arrow batch of rows is one matrix product and gives its ``limit`` best for each question, and these meet in a window.
+    each Arrow batch of rows is one matrix product; a task keeps its ``limit`` best for each question and gives them once, and these meet in a window.
     With own=False a row whose key is the question's id isn't its own neighbour. Null, zero and other-length vectors score 0.
     """
     spark, schema = rows.sparkSession, f"qid {dict(questions.dtypes)['qid']}, {key} {dict(rows.dtypes)[key]}, vector_score double"
@@ -129,24 +134,17 @@ def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_lim
         if not some:
             continue
         width = max((len(r.v or ()) for r in some), default=0)
-        matrix = np.array([list(r.v) if r.v is not None and len(r.v) == width else [0.0] * width for r in some])
-        ids = pa.array([r.qid for r in some], pa.string() if dict(questions.dtypes)["qid"] == "string" else None)
+        matrix = rows_of([r.v for r in some], width)
+        ids = [r.qid for r in some]
 
-        def search(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: pa.Array = ids, width: int = width) -> Iterator[pa.RecordBatch]:
-            lengths, asked = np.linalg.norm(matrix, axis=1), {q: i for i, q in enumerate(ids.to_pylist())}
+        def search(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: list = ids, width: int = width) -> Iterator[pa.RecordBatch]:
+            lengths, asked, best = np.linalg.norm(matrix, axis=1), {q: i for i, q in enumerate(ids)}, Best(ids, limit, own)
             for b in batches:
-                if not b.num_rows or not width:
-                    continue
-                x = matrix_of(b.column("v"), width)
-                scale = lengths[:, None] * np.linalg.norm(x, axis=1)[None]
-                score = np.round(np.divide(matrix @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-                if not own:
-                    same = [(asked[k], j) for j, k in enumerate(b.column(key).to_pylist()) if k in asked]
-                    score[[i for i, _ in same], [j for _, j in same]] = -np.inf
-                place = max(0, b.num_rows - limit)
-                last = np.partition(score, place, axis=1)[:, place]
-                q, at = np.nonzero((score >= last[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), b.column(key).take(pa.array(at)), pa.array(score[q, at])], names=["qid", key, "vector_score"])
+                if b.num_rows and width:
+                    x = matrix_of(b.column("v"), width)
+                    scale = lengths[:, None] * np.linalg.norm(x, axis=1)[None]
+                    best.add(np.arange(len(ids)), np.round(np.divide(matrix @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6), b.column(key), asked)
+            yield from best.rows(key)
 
         part = rows.select(key, "v").mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
@@ -155,6 +153,52 @@ def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_lim
     return top(out, ["qid"], [F.desc("vector_score"), F.col(key)], limit, "dense_rank").where(F.col("vector_score") >= floor)
 
 
+class Best:
+    """The ``limit`` best rows of each question that a task has seen so far, ties to the smaller key: one table of limit columns for the questions."""
+
+    def __init__(self, ids: list, limit: int, own: bool):
+        self.ids, self.limit, self.own = ids, limit, own
+        self.score = np.full((len(ids), limit), -np.inf)
+        self.key = np.empty((len(ids), limit), object)
+        self.type: pa.DataType | None = None
+
+    def add(self, which: np.ndarray, score: np.ndarray, keys: pa.Array, asked: dict) -> None:
+        """score: of questions ``which`` (rows) with keys (columns). asked: a question's place by its id, for rows that are questions themselves."""
+        if not len(which):
+            return
+        self.type = keys.type
+        names = np.empty(len(keys), object)
+        names[:] = keys.to_pylist()
+        if not self.own:
+            row = {q: i for i, q in enumerate(which.tolist())}
+            for j, k in enumerate(names):
+                if (i := row.get(asked.get(k, -1))) is not None:
+                    score[i, j] = -np.inf
+        least = self.score[which, -1]
+        q, at = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        for i in np.unique(q):
+            new = at[q == i]
+            if len(new) > 4 * self.limit:  # most batches: only what can be among the best is sorted
+                last = np.partition(score[i, new], -self.limit)[-self.limit]
+                new = new[score[i, new] >= last]
+            k = which[i]
+            have = np.isfinite(self.score[k])
+            s, n = np.r_[self.score[k][have], score[i, new]], [*self.key[k][have], *names[new]]
+            order = sorted(range(len(n)), key=lambda x: (-s[x], n[x] is None, n[x]))[: self.limit]
+            self.score[k, : len(order)] = s[order]
+            self.key[k, : len(order)] = [n[x] for x in order]
+
+    def rows(self, key: str) -> Iterator[pa.RecordBatch]:
+        q, at = np.nonzero(np.isfinite(self.score))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array([self.ids[i] for i in q]), pa.array(self.key[q, at].tolist(), self.type), pa.array(self.score[q, at])], names=["qid", key, "vector_score"])
+
+
+def rows_of(vectors: list, width: int) -> np.ndarray:
+    """matrix_of for collected vectors."""
+    return matrix_of(pa.array([None if v is None else list(v) for v in vectors], pa.list_(pa.float64())), width)
+
+
 def matrix_of(vectors: pa.Array, width: int) -> np.ndarray:
     """The vectors as rows; null ones, those of another length, and null components as zeros."""
     fine = np.array(pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False))
@@ -319,22 +363,28 @@ def expanded_bodies(pool: DataFrame, questions: DataFrame, rows: DataFrame, s: S
     return body_expansion(pool.select(names).unionByName(more.select(names)), s, per_doc=per_doc, **limits)
 
 
-def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS) -> DataFrame:
+def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS, index=None, vectors: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """The whole search: routes, variants, dense and lexical runs, fusion, boosts, diversity: hits by qid and rank with the rows' columns.
 
-    qid may be of any type; a variant's own id is the text of both.
+    qid may be of any type; a variant's own id is the text of both. index (``index.Index``) and vectors (chunk_id, v) are what a library has
+    stored of rows: then no text is read before fusion. only: chunk_ids that may be found.
     """
     routes = routed(questions, s.lexicon, s)
+    hits = hybrid_ids(routes, rows, s, index, vectors, only).join(rows, "chunk_id").join(routes, "qid")
+    return diversified(reranked_by_fusion(structure_boost(title_boost(hits, s), s)), s.search_limit, s.per_doc_cap)
+
+
+def hybrid_ids(routes: DataFrame, rows: DataFrame, s: Settings = SETTINGS, index=None, vectors: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """The fused runs of all variants: qid, chunk_id, vector_score, bm25_score, fusion_score."""
     each = variants(routes, s).withColumn("qid2", F.concat_ws("/", F.col("qid").cast("string"), F.col("variant").cast("string")))
     run = each.select(F.col("qid2").alias("qid"), "question")
     weights = each.select(F.col("qid2").alias("qid"), F.col("qid").alias("_q"), "weight", "bm25_weight")
-    v = lambda t: T.letter_vector(t)
-    d = dense(run.select("qid", v("question").alias("v")), rows.select("chunk_id", v("text").alias("v")), s.dense_limit, s.score_floor)
-    b = bm25(run, rows, s.bm25_limit)
+    vectors = rows.select("chunk_id", T.letter_vector("text").alias("v")) if vectors is None else vectors
+    vectors = vectors if only is None else vectors.join(only.select("chunk_id"), "chunk_id", "left_semi")
+    d = dense(run.select("qid", T.letter_vector("question").alias("v")), vectors, s.dense_limit, s.score_floor)
+    b = bm25(run, rows, s.bm25_limit, only=only) if index is None else index.search(run, s.bm25_limit, only=only)
     back = lambda df: df.join(weights, "qid").drop("qid").withColumnRenamed("_q", "qid")
-    fused = fuse([(back(d), "vector_score", "dense_rank", "weight"), (back(b), "bm25_score", "bm25_rank", "bm25_weight")], max(3 * s.search_limit, s.search_limit + 12), s.rrf_k)
-    hits = fused.drop("rank").join(rows, "chunk_id").join(routes, "qid")
-    return diversified(reranked_by_fusion(structure_boost(title_boost(hits, s), s)), s.search_limit, s.per_doc_cap)
+    return fuse([(back(d), "vector_score", "dense_rank", "weight"), (back(b), "bm25_score", "bm25_rank", "bm25_weight")], max(3 * s.search_limit, s.search_limit + 12), s.rrf_k).drop("rank")
 
 
 def merged_by_key(dense_run: DataFrame, bm25_run: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -73,7 +73,7 @@ def char_ratios(spark, sf_dir):
     return document_rows(spark, sf_dir).select("doc_id", F.round(T.ratio_of("text", r"\p{L}"), 6).alias("letters"), F.round(T.ratio_of("text", r"\p{Nd}"), 6).alias("digits"))
 
 
-@query(f"WITH {S.BLOCKS}, t AS (SELECT doc_id, text FROM blocks WHERE {S.wc('text')} <= 15) SELECT trim(text) AS text, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY trim(text) HAVING count(*) >= 3")
+@query(f"WITH {S.BLOCKS}, t AS (SELECT doc_id, text FROM blocks WHERE {S.wc('text')} <= 15) SELECT doc_id, trim(text) AS text, count(*) AS n FROM t GROUP BY doc_id, trim(text) HAVING count(*) >= 3")
 def header_footer_lines(spark, sf_dir):
     return C.repeated_lines(blocks(spark, sf_dir))
 
@@ -98,6 +98,17 @@ def page_ranges(spark, sf_dir):
     return C.page_ranges(blocks(spark, sf_dir)).select("doc_id", "ord", "page_start", "page_end")
 
 
+@query(f"""WITH {S.CHUNKS}, blocks AS (SELECT doc_id, n, unnest(range(n)) AS ord, unnest(l) AS text FROM (SELECT doc_id, len(l) AS n, l FROM lines WHERE len(l) > 0)),
+pages AS (SELECT doc_id, page, sum(c) OVER (PARTITION BY doc_id ORDER BY page) AS e FROM (SELECT doc_id, page_start AS page, sum(length(text) + 1) AS c FROM chunks GROUP BY doc_id, page_start)),
+b AS (SELECT doc_id, ord, sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ord) AS z, z - length(text) - 1 AS a FROM blocks),
+s AS (SELECT b.*, p.page AS page_start FROM b ASOF JOIN pages p ON b.doc_id = p.doc_id AND b.a <= p.e)
+SELECT s.doc_id, s.ord, s.page_start, p.page AS page_end FROM s ASOF JOIN pages p ON s.doc_id = p.doc_id AND s.z <= p.e""")
+def page_spans(spark, sf_dir):
+    """Blocks on pages of real lengths: a page is a run of chunks with the characters that they have."""
+    pages = chunk_rows(spark, sf_dir).groupBy("doc_id", F.col("page_start").alias("page")).agg(F.sum(F.char_length("text") + 1).alias("n_chars"))
+    return C.page_spans(blocks(spark, sf_dir), pages).select("doc_id", "ord", "page_start", "page_end")
+
+
 @query(f"""WITH {S.CHUNKS}, g AS (SELECT doc_id, token_count AS t, section IN ('Introduction', 'Methods', 'Results', 'Discussion') AS body, section IN ('Title', 'Abstract') AS front FROM chunks),
 p AS (SELECT doc_id, count(*) AS n_blocks, sum(t)::BIGINT AS words, sum(CASE WHEN body THEN t ELSE 0 END)::BIGINT AS body_words, sum(CASE WHEN front THEN t ELSE 0 END)::BIGINT AS front_words FROM g GROUP BY doc_id) SELECT *, n_blocks >= 3 AND body_words * 10 < words AND front_words * 10 > words * 8 AS fallback FROM p""")
 def section_fallback(spark, sf_dir):

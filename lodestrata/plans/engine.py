@@ -13,45 +13,66 @@ from ..functions import text as T
 from ..functions.lexicon import Settings
 from ..functions.session import settle, stored
 from ..operators import corpus, evaluation, evidence, neighbors, rerank, retrieval
+from ..operators.index import Index
 
 
 @dataclass(frozen=True)
 class Library:
-    """chunks and their lexical index (postings, statistics) as tables."""
+    """chunks, their lexical index and their vectors (chunk_id, v) as stored tables."""
 
     chunks: DataFrame
-    postings: DataFrame
-    stats: DataFrame
+    index: Index
+    vectors: DataFrame
 
     @staticmethod
     def build(docs: DataFrame, size: int = 4) -> Library:
-        """From documents (doc_id, source, text): chunks of blocks that pass the quality filter, and their postings."""
-        settle(docs.sparkSession)
-        rows = corpus.quality_filter(corpus.chunks(docs, size))
-        text = T.headed("title", "section", "source_file", "doc_id", "text")
-        return Library(rows, retrieval.term_counts(rows, text), retrieval.corpus_stats(rows, text))
+        """From documents (doc_id, source, text): chunks of blocks that pass the quality filter, with what search needs of them."""
+        return Library.of(corpus.quality_filter(corpus.chunks(docs, size)))
+
+    @staticmethod
+    def of(rows: DataFrame) -> Library:
+        """From chunks."""
+        settle(rows.sparkSession)
+        rows = stored(rows, "chunks")
+        return Library(rows, Index.build(rows), stored(rows.select("chunk_id", T.letter_vector("text").alias("v")), "vectors"))
+
+    @property
+    def postings(self) -> DataFrame:
+        """chunk_id, dl, term, tf."""
+        return self.index.postings().withColumnRenamed("key", "chunk_id")
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: n_rows, avgdl."""
+        return self.chunks.sparkSession.createDataFrame([self.index.statistics()], "n_rows long, avgdl double")
 
     def save(self, path: str, version: str) -> None:
         """The tables under path, with a version that load compares."""
-        for name in ("chunks", "postings", "stats"):
-            getattr(self, name).withColumn("_version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, df in (("chunks", self.chunks), ("vectors", self.vectors), ("version", self.stats.select(F.lit(version).alias("version")))):
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.index.compacted(f"{path}/index-{version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: str) -> Library | None:
-        """The saved tables, or None if they are of another version."""
-        tables = {n: settle(spark).read.parquet(f"{path}/{n}") for n in ("chunks", "postings", "stats")}
-        if tables["stats"].where(F.col("_version") == version).isEmpty():
+        """The saved tables, ready for search, or None if they are of another version."""
+        if settle(spark).read.parquet(f"{path}/version").where(F.col("version") == version).isEmpty():
             return None
-        return Library(**{n: t.drop("_version") for n, t in tables.items()})
+        chunks, vectors = (spark.read.parquet(f"{path}/{n}") for n in ("chunks", "vectors"))
+        return Library(chunks, Index.load(spark, f"{path}/index-{version}"), vectors)
 
 
 def search(questions: DataFrame, library: Library, s: Settings = Settings(), filters: list[dict] | None = None) -> DataFrame:  # noqa: B008
-    """Hybrid hits of each question; of several filters the first that finds something counts."""
-    routed = retrieval.routed(questions, s.lexicon, s)
+    """Hybrid hits of each question from the library's index and vectors; of several filters the first that finds something counts.
+
+    Statistics are those of all chunks whatever the filter. Chunk texts are read for the fused hits only.
+    """
+    def within(some: DataFrame, f: dict) -> DataFrame:
+        only = retrieval.filtered(library.chunks, **f).select("chunk_id") if any(f.values()) else None
+        return retrieval.hybrid(some, library.chunks, s, library.index, library.vectors, only)
+
     if not filters:
-        return retrieval.hybrid(questions, library.chunks, s)
-    attempts = [retrieval.hybrid(questions, retrieval.filtered(library.chunks, **f), s) for f in filters]
-    return retrieval.first_answering(attempts).join(routed.select("qid"), "qid")
+        return within(questions, {})
+    return retrieval.first_answering(questions, [lambda some, f=f: within(some, f) for f in filters])
 
 
 def ask(questions: DataFrame, library: Library, s: Settings = Settings(), model: Callable[[pd.Series, pd.Series], pd.Series] | None = None, rewrite: Callable[[pd.Series], pd.Series] | None = None, filters: list[dict] | None = None) -> dict[str, DataFrame]:  # noqa: B008

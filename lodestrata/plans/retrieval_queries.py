@@ -10,7 +10,9 @@ from ..functions.lexicon import Lexicon, Settings
 from ..functions.session import settle
 from ..operators import corpus
 from ..operators import retrieval as R
+from ..operators.index import Index
 from . import sql as S
+from .engine import Library
 
 S0 = Settings()
 QUERIES: dict = {}
@@ -37,6 +39,31 @@ def chunk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+_SERVED: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, what: str, make):
+    """What ``make`` builds, built once a session for the same files: a stored index serves all questions that come after it."""
+    docs = table(spark, sf_dir, "documents")
+    jvm = spark.sparkContext._jvm
+    where = [jvm.org.apache.hadoop.fs.Path(f) for f in docs.inputFiles()]
+    files = tuple((str(s.getPath()), s.getLen(), s.getModificationTime()) for p in where for s in [p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p)])
+    key = (spark.sparkContext.applicationId, what, files)
+    if key not in _SERVED:
+        _SERVED[key] = make()
+    return _SERVED[key]
+
+
+def served(spark: SparkSession, sf_dir: str) -> Library:
+    """The library of all chunks of the documents."""
+    return once(spark, sf_dir, "chunks", lambda: Library.of(chunk_rows(spark, sf_dir)))
+
+
+def served_documents(spark: SparkSession, sf_dir: str) -> Index:
+    """The lexical index of whole documents."""
+    return once(spark, sf_dir, "documents", lambda: Index.build(document_rows(spark, sf_dir), F.col("text"), "doc_id"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark item as a question; the item's number chooses the words before it."""
     items = table(spark, sf_dir, "benchmark")
@@ -53,8 +80,8 @@ DOC_BM25 = S.bm25_ctes("b", "documents", "coalesce(text, '')", "doc_id", 10)
 
 @query(f"WITH {S.QUESTIONS}, {DOC_BM25} SELECT qid, doc_id, bm25_score, bm25_rank FROM b")
 def bm25_topk(spark, sf_dir):
-    """The ten best documents for each benchmark question."""
-    return R.bm25(questions(spark, sf_dir), document_rows(spark, sf_dir), 10, F.col("text"), key="doc_id")
+    """The ten best documents for each benchmark question, from the stored index."""
+    return served_documents(spark, sf_dir).search(questions(spark, sf_dir), 10, key="doc_id")
 
 
 @query(f"WITH {S.QUESTIONS}, {S.bm25_ctes('b', 'documents', 'coalesce(text, chr(32))', 'doc_id', 10, where='source IN (' + chr(39) + 'src1' + chr(39) + ',' + chr(39) + 'src2' + chr(39) + ',' + chr(39) + 'src3' + chr(39) + ')')} SELECT qid, doc_id, bm25_score, bm25_rank FROM b")
@@ -62,7 +89,13 @@ def bm25_filtered(spark, sf_dir):
     """Only documents of three sources may be found; statistics stay those of all documents."""
     docs = document_rows(spark, sf_dir)
     only = R.filtered(docs.withColumnRenamed("source", "source_file"), source_files=["src1", "src2", "src3"]).select("doc_id")
-    return R.bm25(questions(spark, sf_dir), docs, 10, F.col("text"), key="doc_id", only=only)
+    return served_documents(spark, sf_dir).search(questions(spark, sf_dir), 10, only=only, key="doc_id")
+
+
+@query(f"WITH {S.QUESTIONS}, {DOC_BM25} SELECT qid, doc_id, bm25_score, bm25_rank FROM b")
+def bm25_scan(spark, sf_dir):
+    """The same from the texts themselves, without an index."""
+    return R.bm25(questions(spark, sf_dir), document_rows(spark, sf_dir), 10, F.col("text"), key="doc_id")
 
 
 @query(f"WITH questions AS (SELECT item_id AS qid, text || ' ' || text || ' the the of' AS question FROM benchmark), {DOC_BM25} SELECT qid, doc_id, bm25_score, bm25_rank FROM b")
@@ -140,9 +173,9 @@ RUNS = f"""{S.CHUNKS}, {S.QUESTIONS}, qv AS (SELECT qid, {S.letters('question')}
 
 
 def runs(spark, sf_dir):
-    q, rows = questions(spark, sf_dir), chunk_rows(spark, sf_dir)
-    d = R.dense(q.select("qid", T.letter_vector("question").alias("v")), rows.select("chunk_id", T.letter_vector("text").alias("v")))
-    return q, rows, d, R.bm25(q, rows)
+    q, library = questions(spark, sf_dir), served(spark, sf_dir)
+    d = R.dense(q.select("qid", T.letter_vector("question").alias("v")), library.vectors)
+    return q, library.chunks, d, library.index.search(q)
 
 
 def fused_sql(name: str, d: str, b: str, limit: int, dw: str = "1.0", bw: str = "1.0") -> str:
@@ -260,7 +293,8 @@ nth AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY r0) AS nt
 @query(f"""WITH {HYBRID} SELECT qid, chunk_id, doc_id, fusion_score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN intent = 'comparison' THEN nth > 3 ELSE false END, r0) AS rank FROM nth QUALIFY rank <= 40""")
 def hybrid_search(spark, sf_dir):
     """Variants, both runs, fusion, boosts, diversity in one plan."""
-    return R.hybrid(questions(spark, sf_dir), chunk_rows(spark, sf_dir)).select("qid", "chunk_id", "doc_id", "fusion_score", "rank")
+    library = served(spark, sf_dir)
+    return R.hybrid(questions(spark, sf_dir), library.chunks, S0, library.index, library.vectors).select("qid", "chunk_id", "doc_id", "fusion_score", "rank")
 
 
 @query(f"""WITH {S.CHUNKS}, {S.QUESTIONS}, {S.bm25_ctes('b1', 'chunks', S.HEADED, 'chunk_id', 10, where="source_file = 'src1' AND section = 'Nowhere'")}, {S.bm25_ctes('b2', 'chunks', S.HEADED, 'chunk_id', 10, where="source_file = 'src1'")}
@@ -269,7 +303,8 @@ def filter_ladder(spark, sf_dir):
     """The first filter variant with hits wins: here the strict one has none."""
     q, rows = questions(spark, sf_dir), chunk_rows(spark, sf_dir)
     steps = [{"source_files": ["src1"], "sections": ["Nowhere"]}, {"source_files": ["src1"]}]
-    return R.first_answering([R.bm25(q, rows, 10, only=R.filtered(rows, **f)) for f in steps])
+    index = served(spark, sf_dir).index
+    return R.first_answering(q, [lambda some, f=f: index.search(some, 10, only=R.filtered(rows, **f)) for f in steps])
 
 
 BODY = "('" + "', '".join(X.body_sections) + "')"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.ranking import ranked, top
+from ..operators.ranking import global_rank, top
 
 
 def upserted(table: DataFrame, fresh: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -64,10 +64,8 @@ def last_turns(turns: DataFrame, n: int = 12, key: str = "session_id", order: st
 
 def rename_plan(names: DataFrame) -> DataFrame:
     """old_name, new_name (doc_0001.pdf by name), problem: a number for each file and what would collide."""
-    x = ranked(names.withColumn("_one", F.lit(0)).withColumn("_bucket", F.lower(F.substring("old_name", 1, 1))), ["_bucket"], [F.col("old_name")], "_n")
-    sizes = names.groupBy(F.lower(F.substring("old_name", 1, 1)).alias("_bucket")).agg(F.count(F.lit(1)).alias("c"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._bucket") < F.col("a._bucket"), "left").groupBy(F.col("a._bucket").alias("_bucket")).agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))  # at most as many rows as first letters
-    out = x.join(before, "_bucket").select("old_name", F.format_string("doc_%04d.pdf", F.col("before") + F.col("_n")).alias("new_name"))
+    placed = global_rank(names.select("old_name"), [F.lower(F.substring("old_name", 1, 1)), F.col("old_name")], "_n")
+    out = placed.select("old_name", F.format_string("doc_%04d.pdf", "_n").alias("new_name"))
     repeats = names.groupBy("old_name").agg(F.count(F.lit(1)).alias("_c"))
     return out.join(repeats, "old_name").select("old_name", "new_name", F.when(F.col("_c") > 1, "repeated_name").alias("problem"))
 
