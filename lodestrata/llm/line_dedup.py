@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, SPACE, ascii_lower, stored, tasks
 
 MIN_CHARS = 10
+#: Lines of the sample (about) that tells frequent lines, the share of it that makes one frequent, and so at most how many there are.
+SAMPLE, FREQUENT = 100_000, 1000
 
 
 def lines_of(text: F.Column) -> F.Column:
@@ -29,9 +31,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
 
     A line's key is the line stripped of SPACE with A-Z lower-cased; keys of at least min_chars code points that two or
     more documents hold keep only their lines in the smallest id. Two 64-bit hashes stand for a key. The hashes are
-    range-partitioned with document and position as secondary keys, so a frequent line spreads over partitions by
-    document; in sorted order each partition reduces a key to its first and last document, and these meet over partitions.
-    The join back is on the key, where adaptive execution splits a frequent line's rows.
+    range-partitioned, and each partition streams its rows in the order of hash, document and position: the first row of a hash
+    names the document that keeps it, and rows of later documents go. Lines that a sample shows to be frequent, FREQUENT at
+    most, would each be one task's; their first documents come from partial sums instead, and meet their rows by a broadcast of that size.
+    What the sample misses is streamed as any other line: it decides where a line is settled, never how.
 
     A null or empty text is one empty line. Null ids count as one document after all others. Rows that share an id are
     one document; the text's hash tells their bitmaps apart. An empty table gives no rows.
@@ -39,15 +42,24 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     lines = docs.select(doc_key(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
     lines = lines.select("_id", "_th", "_pos", line_key(F.col("_line")).alias("_key")).where(F.char_length("_key") >= min_chars)
     hashed = lines.select(F.xxhash64("_key").alias("_h"), F.xxhash64(F.lit(1), "_key").alias("_g"), "_id", "_th", "_pos")
-    hashed = stored(hashed, "lines")  # ranging samples it first; texts are split and hashed only once
-    ranged = hashed.repartitionByRange(tasks(docs.sparkSession), "_h", "_g", "_id").sortWithinPartitions("_h", "_g", "_id", "_pos")
-    first = ranged.groupBy("_h", "_g").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last")
-    first = stored(first, "first")  # so that the join has an exchange of its own, whose frequent lines can be split
-    gone = ranged.join(first, ["_h", "_g"]).where("_id > _first")
+    hashed = stored(hashed, "lines")  # counted, sampled and ranged; texts are split and hashed only once
+    frequent = stored(frequent_lines(hashed), "frequent")
+    rest = hashed.join(F.broadcast(frequent), ["_h", "_g"], "left_anti").repartitionByRange(tasks(docs.sparkSession), "_h", "_g")
+    gone = rest.withColumn("_first", F.first("_id").over(Window.partitionBy("_h", "_g").orderBy("_id", "_pos"))).where("_id > _first")
+    gone = gone.unionByName(hashed.join(F.broadcast(frequent), ["_h", "_g"]).where("_id > _first"))
     words = gone.groupBy("_id", "_th", F.shiftright("_pos", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, _pos & 63)")).alias("bits"))
     return words.groupBy("_id", "_th").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("drops"))
 
 
+def frequent_lines(hashed: DataFrame) -> DataFrame:
+    """_h, _g, _first of the lines that make over one in FREQUENT of a sample, and so FREQUENT at most: the smallest document that holds each."""
+    bound = int(min(1.0, SAMPLE / max(1, hashed.count())) * 2**63) - 1
+    some = hashed.where(F.xxhash64("_id", "_pos", F.lit(9)).bitwiseAND(F.lit(2**63 - 1)) <= bound)
+    least = max(8, some.count() // FREQUENT)
+    hot = some.groupBy("_h", "_g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least).orderBy(F.desc("n"), "_h", "_g").limit(FREQUENT).select("_h", "_g")
+    return hashed.join(F.broadcast(hot), ["_h", "_g"]).groupBy("_h", "_g").agg(F.min("_id").alias("_first"))
+
+
 def doc_key(id_col: str) -> F.Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 

@@ -198,6 +198,21 @@ def test_line_dedup(spark):
     assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, plain_lines(rows)))
 
 
+def test_line_dedup_streams_the_sorted_partitions(spark, monkeypatch):
+    """One range exchange of the lines, sorted by hash, document and position, which the window reads; frequent lines go by partial sums."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 20)
+    rows = [(i, f"a line in every text\n{prose('en', 6)}\nshared by some {i % 7}\n{'a line in every text' if i % 3 else 'x'}") for i in range(200)]
+    docs = table(spark, [t for _, t in rows], [d for d, _ in rows])
+    drops = line_dedup.keep_bitmaps(docs)
+    plan = drops._jdf.queryExecution().sparkPlan().toString() + drops._jdf.queryExecution().executedPlan().toString()
+    executed = drops._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("rangepartitioning(_h") == 1 and "Sort [_h" in executed and "Window" in plan
+    order = re.search(r"Sort \[_h#\d+L? ASC NULLS FIRST, _g#\d+L? ASC NULLS FIRST, _id#\d+L? ASC NULLS FIRST, _pos#\d+ ASC NULLS FIRST\], false", executed)
+    assert order and "SortMergeJoin" not in executed
+    out = line_dedup.apply_bitmaps(docs, drops).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("h"))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, plain_lines(rows)))
+
+
 def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.apply_bitmaps(odd, line_dedup.keep_bitmaps(odd)).count() == len(ODD) + 2
     assert line_dedup.apply_bitmaps(empty, line_dedup.keep_bitmaps(empty)).count() == 0
