@@ -64,8 +64,14 @@ class Index:
 
     @staticmethod
     def over(centroids: np.ndarray, near: int = 16, far: int = 4, seed: int = 2) -> Index:
-        n = len(centroids)
-        order = np.argsort(dots(centroids, centroids), axis=1)[:, 1 : near + 1] if n > 1 else np.zeros((1, 1), np.int64)
+        """The graph, a slice of centroids at a time: distances of SLICE centroids to all are the most that is held."""
+        n, k, order = len(centroids), min(near, len(centroids) - 1), []
+        for lo in range(0, n, SLICE):
+            d = dots(centroids[lo : lo + SLICE], centroids)
+            d[np.arange(len(d)), lo + np.arange(len(d))] = np.inf  # not its own neighbour
+            at = np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(d), 1), np.int64)
+            order.append(np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1) if k else at)
+        order = np.concatenate(order)
         links = np.random.default_rng(seed).integers(0, n, (n, far))
         return Index(centroids, np.concatenate([order, links], 1))
 
