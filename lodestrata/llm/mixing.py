@@ -99,12 +99,13 @@ def shard_counts(slots: list[int], shards: int, seed: int) -> np.ndarray:
 
 def draws(spark: SparkSession, plan: list[Source], shards: int = OUT_SHARDS, seed: int = SEED) -> DataFrame:
     """One row for each slot of the mix: shard, code, slot (of the source), block, epoch."""
-    runs = []
-    at = [0] * len(plan)
+    own, at, runs = [], [0] * len(plan), 0
     for shard, row in enumerate(shard_counts([s.slots for s in plan], shards, seed)):
         for s, n in zip(plan, row.tolist(), strict=True):
-            runs += [(shard, s.code, s.blocks, lo, min(RUN, at[s.code] + n - lo)) for lo in range(at[s.code], at[s.code] + n, RUN)]
+            if n:
+                own.append((shard, s.code, s.blocks, at[s.code], at[s.code] + n))  # a row for each shard and source, whatever the corpus's size
             at[s.code] += n
+            runs += -(-n // RUN)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,8 +114,9 @@ def draws(spark: SparkSession, plan: list[Source], shards: int = OUT_SHARDS, see
             block = permuted(slot % n, n, permutation_key(code, epoch, seed))
             yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("code"), b.column("slot"), pa.array(block), pa.array(epoch.astype(np.int32))], names=["shard", "code", "slot", "block", "epoch"])
 
-    each = spark.createDataFrame(runs or [(0, 0, 1, 0, 0)], "shard int, code int, blocks long, lo long, n long").where("n > 0")
-    each = each.repartition(min(1000, max(1, len(runs) // 4))).select("shard", "code", "blocks", F.explode(F.sequence(F.col("lo"), F.col("lo") + F.col("n") - 1)).alias("slot"))
+    each = spark.createDataFrame(own or [(0, 0, 1, 0, 0)], "shard int, code int, blocks long, lo long, hi long").where("lo < hi")
+    each = each.select("shard", "code", "blocks", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1, F.lit(RUN))).alias("lo"))  # runs, made by the tasks
+    each = each.repartition(min(1000, max(1, runs // 4))).select("shard", "code", "blocks", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + RUN, F.col("hi")) - 1)).alias("slot"))
     return each.mapInArrow(trimmed(walk), "shard int, code int, slot long, block long, epoch int")
 
 
