@@ -23,8 +23,8 @@ WALKS = {8: (8, 4, 1), 12: (10, 5, 2), 20: (12, 6, 4)}
 RECALL, MOST_TABLES, TRIALS = 0.99, 32, 1000
 #: Unknown words that part documents in a batch: no walk goes over them.
 GAP = 12
-#: Items that a task holds at once; a larger benchmark is searched in blocks. Words of documents embedded together.
-BLOCK, TOGETHER = 20_000, 2_000_000
+#: Items, and characters of items, that a task holds at once; a larger benchmark is searched in blocks. Words of documents embedded together.
+BLOCK, CHARS, TOGETHER = 20_000, 2_000_000, 2_000_000
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -241,10 +241,11 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK, by id, so that no task or driver ever holds more."""
+    """The items in blocks of about BLOCK items and CHARS characters at most, by id: each offset of an item is in every table, so the characters
+    bound what a task and the driver hold (some 60 MB of tables a block)."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).dropna().dropDuplicates()
-    n = rows.count()
-    parts = -(-n // BLOCK) or 1
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("t")).alias("c")).first()
+    parts = max(1, -(-size.n // BLOCK), -(-(size.c or 0) // CHARS))
     for p in range(parts):
         yield sorted((r.i, r.t) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == p).collect())
 
