@@ -70,6 +70,8 @@ def linked(counts: list[np.ndarray], n: np.ndarray, excess: np.ndarray, percent:
     least sizes below them, and not all rows of both are linked already. Leaves compare the sums of minima of their rows. Rows with 2G
     groups meet rows with G groups by adding their halves. label: rows that are linked from the start.
     """
+    if len(n) == 2 and label is None:
+        return [(0, 1)] if _may_be_two(counts, n, excess, percent) and (same is None or same(0, 1)) else []
     label = np.arange(len(n)) if label is None else label.copy()
     wide, out = np.array([len(c) for c in counts]), []
     for g in sorted(set(wide.tolist()), reverse=True):
@@ -110,6 +112,16 @@ def linked(counts: list[np.ndarray], n: np.ndarray, excess: np.ndarray, percent:
     return out
 
 
+def _may_be_two(counts: list[np.ndarray], n: np.ndarray, excess: np.ndarray, percent: int) -> bool:
+    """The test of two rows alone, which most buckets hold."""
+    a, b = sorted(counts, key=len)
+    if len(b) > 2 * len(a):
+        return False  # of such sizes they can't be similar
+    if len(b) > len(a):
+        a, b = a.astype(np.uint16), b[: len(a)].astype(np.uint16) + b[len(a) :]
+    return bool(enough(np.minimum(a, b).sum(dtype=np.int64) + excess.min(), n.sum(), percent))
+
+
 def overlap_of(a: np.ndarray, b: np.ndarray) -> int:
     """Shingles of both of two sorted sets."""
     if len(a) > len(b):
