@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .common import _place, scratch_root, settled, stored, trimmed
 
 #: Places of a board, items of a leaf (about), children of a node at most.
-KEEP, LEAF_ITEMS, FAN = 10, 2048, 64
+KEEP, LEAF_ITEMS, FAN = 10, 8192, 64
 #: Rows that a task combines by (group, item, day) before they are shuffled.
 COMBINED = 200_000
 #: Fixed values of the contract: day 0 of the cut, its days, days that a line may be late.
