@@ -28,12 +28,24 @@ def groups_for(n: int) -> int:
 
 
 def group_counts(shingles: np.ndarray) -> tuple[np.ndarray, int]:
-    """How many shingles are in each group, at 255 at most, and how many are beyond that."""
+    """How many shingles are in each group, at 15 at most, and how many are beyond that: a bound adds the lesser excess, so it stays one."""
     counts = np.bincount((shingles % np.uint64(groups_for(len(shingles)))).astype(np.int64), minlength=groups_for(len(shingles)))
-    most = np.minimum(counts, 255)
+    most = np.minimum(counts, 15)
     return most.astype(np.uint8), int(counts.sum() - most.sum())
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Two groups a byte."""
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    two = np.frombuffer(data, np.uint8)
+    out = np.empty(2 * len(two), np.uint8)
+    out[0::2], out[1::2] = two & 15, two >> 4
+    return out
+
+
 def enough(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether an overlap (or a bound of it) of two sets with that sum of sizes makes a similarity of percent / 100: 100 I >= percent (sizes - I)."""
     return (100 + percent) * overlap >= percent * sizes
@@ -78,7 +90,7 @@ def linked(counts: list[np.ndarray], n: np.ndarray, excess: np.ndarray, percent:
         at = np.flatnonzero((wide == g) | (wide == 2 * g))
         if len(at) < 2:
             continue
-        table = np.stack([counts[i].astype(np.uint16) if wide[i] == g else counts[i][:g].astype(np.uint16) + counts[i][g:] for i in at])
+        table = np.stack([counts[i] if wide[i] == g else counts[i][:g] + counts[i][g:] for i in at])  # at most 30 a group
         size, more, folded = n[at], excess[at], wide[at] > g
         tree, todo = CountTree(table, size, more), [(0, 0)]
         while todo:
@@ -118,7 +130,7 @@ def _may_be_two(counts: list[np.ndarray], n: np.ndarray, excess: np.ndarray, per
     if len(b) > 2 * len(a):
         return False  # of such sizes they can't be similar
     if len(b) > len(a):
-        a, b = a.astype(np.uint16), b[: len(a)].astype(np.uint16) + b[len(a) :]
+        b = b[: len(a)] + b[len(a) :]
     return bool(enough(np.minimum(a, b).sum(dtype=np.int64) + excess.min(), n.sum(), percent))
 
 
@@ -205,7 +217,7 @@ def similar_groups(rows: DataFrame, percent: int, words: int, text_col: str = "t
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict({
                 "_rid": b.column(0), "n": pa.array([len(s) for s in own], pa.int64()), "key": pa.array([xxhash.xxh128_digest(s.tobytes()) for s in own], pa.binary()), "excess": pa.array([e for _, e in counted], pa.int64()),
-                "counts": pa.array([c.tobytes() for c, _ in counted], pa.binary()), "h": lists([f[~x].view(np.int64) for f, x in zip(first, hot, strict=True)]), "hot": lists([number(f[x]) for f, x in zip(first, hot, strict=True)]),
+                "counts": pa.array([packed(c) for c, _ in counted], pa.binary()), "h": lists([f[~x].view(np.int64) for f, x in zip(first, hot, strict=True)]), "hot": lists([number(f[x]) for f, x in zip(first, hot, strict=True)]),
             })
 
     sets = stored(rows.select("_rid", text_col).mapInArrow(trimmed(shingled), "_rid long, n long, key binary, excess long, counts binary, h array<long>, hot array<long>"), "sets")
@@ -213,49 +225,70 @@ def similar_groups(rows: DataFrame, percent: int, words: int, text_col: str = "t
     reps = classes.select(F.col("rep").alias("_rid"))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of a shingle's rows as (bucket, row), or, beyond TOGETHER, as links to the run's first row."""
+        """Runs of a shingle's rows as (bucket, row), or, beyond TOGETHER, as links to the run's first row. Held is the last run, while it is short."""
         last, held, first = None, [], None
 
-        def bucket() -> Iterator[pa.RecordBatch]:
-            rid = np.concatenate(held) if held else np.zeros(0, np.int64)
-            if len(rid) > 1:
-                code = np.bitwise_xor.reduce(_mixed(rid)) ^ np.uint64(len(rid))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), code).view(np.int64)), pa.array(rid), pa.nulls(len(rid), pa.int64())], names=["bucket", "_rid", "to"])
+        def buckets(rid: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+            """Complete runs of two rows or more, one after another, of these lengths."""
+            code = np.bitwise_xor.reduceat(_mixed(rid), np.cumsum(many) - many) ^ many.astype(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(code, many).view(np.int64)), pa.array(rid), pa.nulls(len(rid), pa.int64())], names=["bucket", "_rid", "to"])
 
         def all_linked(rid: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.nulls(len(rid), pa.int64()), pa.array(rid), pa.array(np.full(len(rid), first))], names=["bucket", "_rid", "to"])
 
+        def hold(rid: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held, first
+            if first is not None:
+                yield all_linked(rid)
+                return
+            held.append(rid)
+            if sum(map(len, held)) > TOGETHER:
+                first = int(held[0][0])
+                yield from map(all_linked, held)
+                held = []
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            rid = np.concatenate(held) if held else np.zeros(0, np.int64)
+            if len(rid) > 1:
+                yield buckets(rid, np.array([len(rid)]))
+
         for b in batches:
+            if not b.num_rows:
+                continue
             h, rid = b.column("h").to_numpy(), b.column("_rid").to_numpy()
-            cuts = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if h[lo] != last:
-                    yield from bucket()
-                    last, held, first = h[lo], [], None
-                if first is not None:
-                    yield all_linked(rid[lo:hi])
+            lo = np.r_[0, np.flatnonzero(h[1:] != h[:-1]) + 1]
+            hi = np.r_[lo[1:], len(h)]
+            if h[0] == last:
+                yield from hold(rid[: hi[0]])
+                lo, hi = lo[1:], hi[1:]
+                if not len(lo):
                     continue
-                held.append(rid[lo:hi])
-                if sum(map(len, held)) > TOGETHER:
-                    first = int(held[0][0])
-                    yield from map(all_linked, held)
-                    held = []
-        yield from bucket()
-
-    own = sets.join(reps, "_rid", "left_semi")
+            yield from ended()
+            inner = np.flatnonzero((hi - lo > 1)[:-1])  # most shingles are one row's
+            short = inner[(hi - lo)[inner] <= TOGETHER]
+            if len(short):
+                many = (hi - lo)[short]
+                at = np.arange(many.sum()) + np.repeat(lo[short] - (np.cumsum(many) - many), many)
+                yield buckets(rid[at], many)
+            for i in inner[(hi - lo)[inner] > TOGETHER]:
+                first = int(rid[lo[i]])
+                yield all_linked(rid[lo[i] : hi[i]])
+            last, held, first = h[-1], [], None
+            yield from hold(rid[lo[-1] :])
+        yield from ended()
+
+    own = sets.join(reps.hint("merge"), "_rid", "left_semi")  # both grow with the input
     tokens = own.select("_rid", F.explode("h").alias("h")).repartition("h").sortWithinPartitions("h")
     met = stored(tokens.mapInArrow(trimmed(shared), "bucket long, _rid long, to long").distinct(), "buckets")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in runs_of(batches, "bucket"):
             rid, n, excess = (t.column(c).to_numpy() for c in ("_rid", "n", "excess"))
-            counts = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("counts")]
+            counts = [unpacked(x.as_py()) for x in t.column("counts")]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 yield _edges(rid[lo:hi], linked(counts[lo:hi], n[lo:hi], excess[lo:hi], percent))
 
-    bucketed = met.where("bucket is not null").select("bucket", "_rid").join(sets.select("_rid", "n", "excess", "counts"), "_rid")
+    bucketed = met.where("bucket is not null").select("bucket", "_rid").join(sets.select("_rid", "n", "excess", "counts").hint("merge"), "_rid")
     found = bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(candidates), "u long, v long")
     found = found.unionByName(met.where("bucket is null and _rid <> to").select(F.col("_rid").alias("u"), F.col("to").alias("v")))
     if len(order.hot):
