@@ -96,7 +96,8 @@ def ratio_of(c: Column | str, letters: str) -> Column:
 def quality(c: Column | str) -> Column:
     """1 less penalties for few characters or words, few letters, many digits and repeated words; 0 for null or empty.
 
-    The counts are one struct to which the score refers, so the text is split and scanned once.
+    The counts are one struct to which the score refers, so the text is split and scanned once. Penalties are hundredths, and so is the
+    score: in doubles 1 - 0.3 - 0.2 - 0.2 is less than 0.3, and a text on that limit would be dropped.
     """
     text = F.coalesce(col(c), F.lit(""))
     counts = F.struct(
@@ -114,7 +115,7 @@ def quality(c: Column | str) -> Column:
             - F.when(x["digits"] > 0.3, 0.2).otherwise(0.0)
             - F.when((w > 0) & (x["distinct"] / F.greatest(w, F.lit(1)) < 0.2), 0.2).otherwise(0.0)
         )
-        return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), points)))
+        return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(points, 2))))
 
     return F.element_at(F.transform(F.array(counts), score), 1)
 
