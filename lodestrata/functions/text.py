@@ -13,6 +13,13 @@ TOKEN = r"[A-Za-z0-9_+-]+|[一-鿿]"
 ASCII_TOKEN = r"[a-z0-9]+"
 CJK = r"[一-鿿]"
 WHITE = r"[ \t\n\x0B\f\r]+"
+#: The edge of an ASCII word. Java's own mark takes accented letters for word characters, so it finds no edge in "SSö" and none before "tat" in "état".
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def edges(pattern: str) -> str:
+    """The pattern with edges of ASCII words for its word boundaries."""
+    return pattern.replace(r"\b", EDGE)
 
 
 def col(c: Column | str) -> Column:
@@ -129,7 +136,7 @@ def headed(title: str, section: str, source: str, doc: str, text: str, sep: str
 def noise_line(c: Column | str) -> Column:
     """Page numbers, DOIs, copyright and the like."""
     c = F.btrim(F.coalesce(col(c), F.lit("")))
-    return c.rlike(r"(?i)^(page )?\d{1,4}( of \d+)?$|^https?://\S+$|\bdoi[:.]|^(copyright|©|\(c\))|all rights reserved|^licensed under|^received:? |^accepted:? |^www\.")
+    return c.rlike(edges(r"(?i)^(page )?\d{1,4}( of \d+)?$|^https?://\S+$|\bdoi[:.]|^(copyright|©|\(c\))|all rights reserved|^licensed under|^received:? |^accepted:? |^www\."))
 
 
 def heading_line(c: Column | str) -> Column:
@@ -210,7 +217,7 @@ def page_or_null(c: Column | str) -> Column:
 
 def numbers_and_units(c: Column | str) -> Column:
     """Distinct numbers with their unit, lower-cased, without spaces."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(r"[0-9]+(?:\.[0-9]+)? ?(?:%|g/l|mg/l|mg|mm|um|fold|h\b)?"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(edges(r"[0-9]+(?:\.[0-9]+)? ?(?:%|g/l|mg/l|mg|mm|um|fold|h\b)?")), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(" "), F.lit(""))))
 
 
@@ -357,7 +364,7 @@ def branches(question: Column | str, lexicon: Lexicon = Lexicon()) -> Column:  #
     good = F.filter(tried, lambda p: p["reason"] == "ok")
     refused = lambda why: F.struct(F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), why.alias("reason"))
     return (
-        F.when(q == "", refused(F.lit("empty_question"))).when(~q.rlike(COMPARING), refused(F.lit("not_comparison_intent"))).when(F.size(good) > 0, F.get(good, F.lit(0)))
+        F.when(q == "", refused(F.lit("empty_question"))).when(~q.rlike(edges(COMPARING)), refused(F.lit("not_comparison_intent"))).when(F.size(good) > 0, F.get(good, F.lit(0)))
         .when(F.size(tried) > 0, refused(F.get(tried, F.lit(0))["reason"])).otherwise(refused(F.lit("no_supported_pattern")))
     )
 
@@ -392,14 +399,14 @@ def plain_unit(c: Column) -> Column:
 def number_anchors(c: Column | str) -> Column:
     """Sorted distinct numbers with their units in plain form; of a range (3-5 g/l, 3 to 5 g/l) both ends with the unit, and the range."""
     low = F.lower(F.coalesce(col(c), F.lit("")))
-    number, ranges = r"(\d+(?:\.\d+)?)", rf"\b(\d+(?:\.\d+)?)\s*(?:-|~|to)\s*(\d+(?:\.\d+)?)\s*({UNITS})(?![a-z0-9])"
+    number, ranges = r"(\d+(?:\.\d+)?)", edges(rf"\b(\d+(?:\.\d+)?)\s*(?:-|~|to)\s*(\d+(?:\.\d+)?)\s*({UNITS})(?![a-z0-9])")
     part = lambda x, form, i: F.regexp_extract(x, form, i)
 
     def ends(x: Column) -> Column:
         a, b, u = plain_number(part(x, ranges, 1)), plain_number(part(x, ranges, 2)), plain_unit(part(x, ranges, 3))
         return F.array(F.concat(a, u), F.concat(b, u), F.concat(a, F.lit("-"), b, u))
 
-    single = rf"\b{number}(?:\s*({UNITS})(?![a-z0-9]))?"
+    single = edges(rf"\b{number}(?:\s*({UNITS})(?![a-z0-9]))?")
     spans = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(ranges), F.lit(0)), ends))
     alone = F.transform(F.regexp_extract_all(low, F.lit(single), F.lit(0)), lambda x: F.concat(plain_number(part(x, single, 1)), plain_unit(part(x, single, 2))))
     return F.array_sort(F.array_distinct(F.concat(spans, alone)))
@@ -408,7 +415,7 @@ def number_anchors(c: Column | str) -> Column:
 def entities(c: Column | str) -> Column:
     """Sorted distinct names of enzymes, genes, compounds and systems by their form."""
     low = F.lower(F.coalesce(col(c), F.lit("")))
-    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(ENTITY), F.lit(0)), F.regexp_extract_all(low, F.lit(CJK_ENTITY), F.lit(0)))))
+    return F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(edges(ENTITY)), F.lit(0)), F.regexp_extract_all(low, F.lit(CJK_ENTITY), F.lit(0)))))
 
 
 def clauses(c: Column | str, whole: int = 360, most: int = 300) -> Column:

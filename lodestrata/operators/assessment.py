@@ -18,7 +18,7 @@ SETTINGS = Settings()
 # Fixed values by intent: least mean score, mean score below which an answer is partial, least score of an evidence unit, features below which
 # evidence is weak, least part of a comparison's branches. "policy" holds for all intents that have no entry; "default" where no policy is used.
 THRESHOLDS = {"default": (0.38, 0.50, 0.30, 0.35, 0.55), "policy": (0.34, 0.46, 0.34, 0.32, 0.40), "summary": (0.32, 0.44, 0.30, 0.32, 0.40), "comparison": (0.30, 0.44, 0.28, 0.32, 0.40)}
-BIBLIOGRAPHIC = r"(?i)\bet al\b|\bdoi\b|\bvol\.|\bpp\.|\bjournal\b|\b(19|20)\d\d;|\[\d+\]"
+BIBLIOGRAPHIC = T.edges(r"(?i)\bet al\b|\bdoi\b|\bvol\.|\bpp\.|\bjournal\b|\b(19|20)\d\d;|\[\d+\]")
 
 
 def thresholds(routed: DataFrame, policy: bool = True) -> DataFrame:

@@ -89,7 +89,7 @@ def repeated_lines(rows: DataFrame, least: int = 3, most_words: int = 15) -> Dat
 def merged_headings(rows: DataFrame) -> DataFrame:
     """Neighbouring headings joined to one when the first ends on a word that calls for more, or the next goes on in small letters."""
     w = Window.partitionBy("doc_id").orderBy("ord")
-    prev, open_ = F.lag("text").over(w), r"(?i)\b(of|and|the|for|in|on|with|to|by|de|der|des|et|y)$"
+    prev, open_ = F.lag("text").over(w), T.edges(r"(?i)\b(of|and|the|for|in|on|with|to|by|de|der|des|et|y)$")
     goes_on = F.lag(F.col("heading")).over(w) & F.col("heading") & (prev.rlike(open_) | F.col("text").rlike(r"^[a-zäöüéèñ]"))
     runs = rows.withColumn("_new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
     parts = runs.groupBy("doc_id", "_run").agg(F.min("ord").alias("ord"), F.max("ord").alias("last_ord"), F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("p"))

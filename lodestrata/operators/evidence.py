@@ -13,16 +13,16 @@ from ..functions.lexicon import Settings
 from .ranking import ranked, top
 
 SETTINGS = Settings()
-RESULT = r"(?i)\b(result|results|showed|demonstrated|increased|decreased|yield|titer|production)\b|结果|显示|提高|降低|产量|滴度"
+RESULT = T.edges(r"(?i)\b(result|results|showed|demonstrated|increased|decreased|yield|titer|production)\b|结果|显示|提高|降低|产量|滴度")
 REFUSAL = "The library's evidence is not enough to answer this question."
 
 
 def about_tables(question: Column | str) -> Column:
-    return F.lower(T.col(question)).rlike(r"\btable\b|\btab\.|表")
+    return F.lower(T.col(question)).rlike(T.edges(r"\btable\b|\btab\.|表"))
 
 
 def about_figures(question: Column | str) -> Column:
-    return F.lower(T.col(question)).rlike(r"\bfig(ure|\.)|图")
+    return F.lower(T.col(question)).rlike(T.edges(r"\bfig(ure|\.)|图"))
 
 
 def ledger(seeds: DataFrame, result: str = RESULT) -> DataFrame:
@@ -159,12 +159,12 @@ def existence(questions: DataFrame, chosen: DataFrame, s: Settings = SETTINGS) -
     """
     low = F.lower(F.regexp_replace(F.coalesce("question", F.lit("")), T.WHITE, " "))
     phrases = F.filter(F.array(*map(F.lit, s.lexicon.core_phrases)), lambda p: F.contains(low, F.lower(p)))
-    marks = F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(r"\b(?:[A-Z][A-Z0-9-]+|mRNA)\b"), F.lit(0))
+    marks = F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(T.edges(r"\b(?:[A-Z][A-Z0-9-]+|mRNA)\b")), F.lit(0))
     loose = F.array(*[F.lit(p) for p in s.lexicon.core_phrases if " " in p or not p.isascii()])
     text = chosen.groupBy("qid").agg(F.count(F.lit(1)).alias("n_support"), F.lower(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", *[c for c in ("title", "section", "text") if c in chosen.columns])))).alias("_x"))
     x = questions.select("qid", T.has_any(F.lower("question"), s.lexicon.existence).alias("asks_existence"), F.array_distinct(F.concat(phrases, marks)).alias("_t")).join(text, "qid", "left")
     is_entity = lambda t: ~t.isin(*s.lexicon.generic_terms) & (t.rlike("^[A-Z0-9-]{2,}$") | ~F.array_contains(loose, t))
-    within = lambda t: F.when(t.rlike("^[A-Za-z0-9-]{2,}$"), F.rlike(F.col("_x"), F.concat(F.lit("\\b"), F.lower(t), F.lit("\\b")))).otherwise(F.contains(F.col("_x"), F.lower(t)))
+    within = lambda t: F.when(t.rlike("^[A-Za-z0-9-]{2,}$"), F.rlike(F.col("_x"), F.concat(F.lit(T.EDGE), F.lower(t), F.lit(T.EDGE)))).otherwise(F.contains(F.col("_x"), F.lower(t)))
     x = x.withColumns({"n_support": F.coalesce("n_support", F.lit(0)), "_x": F.coalesce("_x", F.lit(""))}).withColumn("_m", F.filter("_t", within))
     x = x.withColumns({"_e": F.size(F.filter("_t", is_entity)), "_me": F.size(F.filter("_m", is_entity)), "term_part": T.six(F.when(F.size("_t") > 0, F.size("_m") / F.size("_t")).otherwise(0.0))})
     strong = (F.size("_t") > 0) & (F.size("_m") * 5 >= F.size("_t") * 3) & ((F.col("_e") == 0) | (F.col("_me") > 0)) & (F.size("_m") > F.col("_me"))

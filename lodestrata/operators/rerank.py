@@ -90,13 +90,13 @@ def profile(question: Column | str, s: Settings = SETTINGS) -> Column:
     x = s.lexicon
     n = T.normal(question)
     kind = F.when(T.has_any(n, x.table), "table").when(T.has_any(n, x.figure), "figure").otherwise("body")
-    refs = lambda word: F.regexp_extract_all(n, F.lit(rf"\b(?:{word})\s*([a-z]?\d+)\b"), F.lit(1))
+    refs = lambda word: F.regexp_extract_all(n, F.lit(T.edges(rf"\b(?:{word})\s*([a-z]?\d+)\b")), F.lit(1))
     tables, figures = refs("table"), refs(r"figure|fig\.?")
     found = F.regexp_extract_all(n, F.lit(r"[a-z0-9][a-z0-9'._-]+"), F.lit(0))
     bare = lambda t: F.regexp_replace(t, r"[\s/_-]+", "")
     kept = F.filter(found, lambda t: ~t.isin(*x.stop_words) & (F.char_length(bare(t)) > 1) & (t.rlike(r"[0-9]") | F.contains(t, F.lit("-")) | bare(t).isin(*x.anchor_words) | (F.char_length(bare(t)) >= 5)))
     named = lambda word, r: F.transform(r, lambda v: F.concat(F.lit(word + " "), v))
-    doc = F.lower(F.replace(F.regexp_extract(T.col(question), r"(?i)\b(doc[_-]?\d{4})\b", 1), F.lit("-"), F.lit("_")))
+    doc = F.lower(F.replace(F.regexp_extract(T.col(question), T.edges(r"(?i)\b(doc[_-]?\d{4})\b"), 1), F.lit("-"), F.lit("_")))
     return F.struct(kind.alias("kind"), F.array_distinct(F.concat(named("table", tables), named("figure", figures), kept)).alias("anchors"), F.nullif(doc, F.lit("")).alias("doc_id"), tables.alias("tables"), figures.alias("figures"))
 
 

@@ -250,7 +250,7 @@ def expanded(question: Column | str, lexicon: Lexicon = SETTINGS.lexicon) -> Col
 
 
 COMPARE = r"(?i)^\s*(?:please )?(?:请|请你|请基于文库|请根据文库)?\s*(?:compare|difference between|比较|对比|相比)?\s*"
-BETWEEN = r"(?i)\s*(?:,|，|、|以及|及|\band\b|和|与|\bvs\.?|\bversus\b)\s*"
+BETWEEN = T.edges(r"(?i)\s*(?:,|，|、|以及|及|\band\b|和|与|\bvs\.?|\bversus\b)\s*")
 
 
 def _objects(span: Column) -> Column:
