@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ RANGE, FIRST, FEW = 10, 4, 64
 #: Tokens for which an index gets a bucket of files more, and most of them.
 BUCKET_TOKENS, MOST_BUCKETS = 4_000_000, 1024
 SLACK = 2e-6
+#: Questions that are scored together, terms of a range that are.
+TOGETHER, TERMS = 1024, 2048
 
 
 @dataclass(frozen=True)
@@ -131,7 +137,7 @@ class Index:
             made = spark.read.schema("ord long, dl long").parquet(f"{self.path}/{name}/docs").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first()
             added = (made.n, made.t or 0)
             self = replace(self, buckets=self.buckets or min(MOST_BUCKETS, 1 + added[1] // BUCKET_TOKENS))
-            self._blocks(numbered.select("ord", "dl", F.explode("t").alias("term")), f"{self.path}/{name}/blocks")
+            self._blocks(numbered, f"{self.path}/{name}/blocks")
         own = Segment(name, added[0], added[1], base)
         lost = self._lost(fresh, key, removed)
         lost.select("ord").write.parquet(f"{self.path}/{name}/gone")
@@ -159,14 +165,13 @@ class Index:
         keys = [df.select(F.col(key).alias("key")) for df in (fresh, removed) if df is not None]
         return self.docs.join(reduce(DataFrame.unionByName, keys).distinct(), "key", "left_semi").select("ord", "dl") if keys else self.docs.where("false").select("ord", "dl")
 
-    def _blocks(self, tokens: DataFrame, path: str) -> None:
-        """Blocks of tokens(ord, dl, term), one row each: dealt once, by term and range, so a frequent term spreads over tasks by range."""
-        each = tokens.withColumn("range", F.shiftright("ord", RANGE)).repartition("term", "range")
-        counts = each.groupBy("term", "range", "ord", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        at = (F.col("ord") - F.shiftleft("range", RANGE)).cast("int")
-        rows = counts.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        rows = rows.select(self.bucket("term").alias("bucket"), "term", "range", *(F.col(f"p.{c}").alias(c) for c in ("at", "tf", "dl")), "max_tf", "min_dl")
-        _by_bucket(rows, path)
+    def _blocks(self, rows: DataFrame, path: str) -> None:
+        """Blocks of rows(ord, dl, t: tokens), one row each: a task makes pieces of blocks of the rows that it has, and only these are dealt, by
+        term and range, so a frequent term spreads over tasks by range and no token travels alone."""
+        pieces = rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE), "term string, range long, at array<int>, tf array<int>, dl array<int>")
+        each = pieces.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "dl"))).alias("p"))  # rows of pieces follow each other
+        each = each.select("term", "range", *(F.flatten(f"p.{c}").alias(c) for c in ("at", "tf", "dl")))
+        _by_bucket(each.select(self.bucket("term").alias("bucket"), "term", "range", "at", "tf", "dl", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")), path)
 
     def compacted(self, path: str | None = None) -> Index:
         """The same rows as one segment, without those that are gone, as the next version or, with a path, as an index of its own; frequencies are counted anew."""
@@ -198,38 +203,158 @@ class Index:
         here = lambda name: self._table(name).where(F.col("bucket").isin(buckets))
         df = here("terms").join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         idf = F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weights = stored(wanted.join(df, "term").select("qid", "term", "qf", idf.alias("idf")), "weights")
-        sent = lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x  # noqa: E731  of stored tables, so the count is a footer's
-        score = lambda tf, dl: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.greatest(F.lit(avgdl), F.lit(1.0))))
+        weights = stored(wanted.join(df, "term").select("qid", "term", (F.col("qf") * idf).alias("w")), "weights")
         allowed = None if only is None else stored(self.docs.join(only.select(F.col(key).alias("key")).distinct(), "key", "left_semi").select("ord"), "allowed")
-        gone = self._table("gone")
-
-        def scored(pairs: DataFrame | None) -> DataFrame:
-            """qid, ord, bm25_score of the pairs (qid, range), or of all: the limit best of each question, and what ties with the last."""
-            asked = sent(weights if pairs is None else stored(weights.join(pairs, "qid"), "asked"))
-            each = here("blocks").select("term", "range", "at", "tf", "dl").join(asked, ["term"] if pairs is None else ["term", "range"])
-            each = each.select("qid", "qf", "idf", "range", F.explode(F.arrays_zip("at", "tf", "dl")).alias("p"))
-            each = each.select("qid", (F.shiftleft("range", RANGE) + F.col("p.at")).alias("ord"), (F.col("qf") * score(F.col("p.tf"), F.col("p.dl"))).alias("_w"))
-            each = each.groupBy("qid", "ord").agg(F.round(F.sum("_w"), 6).alias("bm25_score")).where("bm25_score > 0")
-            if len(self.segments) > 1:
-                each = each.join(gone, "ord", "left_anti")
-            if allowed is not None:
-                each = each.join(allowed, "ord", "left_semi")
-            return _best(each, limit)
-
-        if max((s.base + s.rows for s in self.segments), default=0) >> RANGE <= FEW:
-            found = scored(None)
-        else:
-            heads = here("blocks").select("term", "range", "max_tf", "min_dl").join(sent(weights), "term")
-            bounds = stored(heads.groupBy("qid", "range").agg(F.sum(F.col("qf") * score(F.col("max_tf"), F.col("min_dl"))).alias("bound")), "bounds")
-            first = stored(top(bounds, ["qid"], [F.desc("bound"), F.col("range")], FIRST, "_n").select("qid", "range"), "first")
-            one = stored(scored(first), "scored")
-            least = one.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= limit, F.min("bm25_score")).alias("least"))
-            rest = bounds.join(least, "qid", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).join(first, ["qid", "range"], "left_anti")
-            found = _best(one.unionByName(scored(rest.select("qid", "range"))), limit)
+        size = weights.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("qid").alias("q")).first()
+        parts = max(1, -(-size.n // BROADCAST_ROWS), -(-size.q // TOGETHER))
+        found = None
+        for part in range(parts):
+            asking = Asking.of(weights if parts == 1 else weights.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part), limit, k1, b, avgdl, RANGE)
+            some = self._found(asking, here("blocks"), allowed)
+            found = some if found is None else found.unionByName(some)
         found = stored(found, "found").join(self._table("docs").select("ord", F.col("key").alias(key)), "ord")
         return top(found, ["qid"], [F.desc("bm25_score"), F.col(key)], limit, "bm25_rank").select("qid", key, "bm25_score", "bm25_rank")
 
+    def _found(self, asking: Asking, blocks: DataFrame, allowed: DataFrame | None) -> DataFrame:
+        """qid, ord, bm25_score: the limit best rows of each question, and what ties with the last. A range's blocks meet in one task."""
+        spark, limit = self.spark, asking.limit
+        blocks = blocks.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"term": asking.terms}), "term string")), "term", "left_semi")
+        last = max((s.base + s.rows for s in self.segments), default=0) >> RANGE
+        places = lambda rows, name: rows.groupBy(F.shiftright("ord", RANGE).alias("range")).agg(F.collect_list((F.col("ord") - F.shiftleft(F.shiftright("ord", RANGE), RANGE)).cast("int")).alias(name))
+        schema = f"qid {asking.qid_type}, ord long, bm25_score double"
+
+        def scored(asked: DataFrame) -> DataFrame:
+            """asked: a row for each range, with its questions' numbers and the scores that they have to reach."""
+            asked = asked.withColumn("allowed", F.lit(None).cast("array<int>")) if allowed is None else asked.join(places(allowed, "allowed"), "range")
+            asked = asked.withColumn("gone", F.lit(None).cast("array<int>")) if len(self.segments) < 2 else asked.join(places(self._table("gone"), "gone"), "range", "left")
+            asked = stored(asked, "asked")
+            each = blocks.select("term", "range", "at", "tf", "dl").join(asked.select("range"), "range", "left_semi")
+            return _best(each.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(asking.scores, schema), limit)
+
+        if last <= FEW:
+            every = F.array(*map(F.lit, range(len(asking.qids)))).cast("array<int>")
+            return scored(spark.range(last + 1).select(F.col("id").alias("range"), every.alias("q"), F.transform(every, lambda x: F.lit(0.0)).alias("least")))
+        bounds = stored(blocks.select("term", "range", "max_tf", "min_dl").groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
+        by_range = lambda pairs: pairs.groupBy("range").agg(F.collect_list(F.struct("q", "least")).alias("p")).select("range", "p.q", "p.least")
+        first = stored(top(bounds, ["q"], [F.desc("bound"), F.col("range")], FIRST, "_n").select("q", "range"), "first")
+        one = stored(scored(by_range(first.withColumn("least", F.lit(0.0)))), "scored")
+        numbers = spark.createDataFrame(pa.table({"qid": pa.array(asking.qids, asking.arrow_type), "q": pa.array(range(len(asking.qids)), pa.int32())}))
+        least = one.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= limit, F.min("bm25_score")).alias("least")).join(F.broadcast(numbers), "qid").select("q", "least")
+        rest = bounds.join(F.broadcast(least), "q", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).where(F.col("bound") >= F.col("least") - SLACK).join(F.broadcast(first), ["q", "range"], "left_anti")
+        return _best(one.unionByName(scored(by_range(rest.select("q", "range", "least")))), limit)
+
+
+@dataclass(frozen=True)
+class Asking:
+    """Some questions for a search: their ids, their terms, and a matrix of terms by questions of how often each is asked times its idf, as entries by term."""
+
+    qids: list
+    qid_type: str
+    arrow_type: pa.DataType
+    terms: list[str]
+    first: np.ndarray
+    question: np.ndarray
+    weight: np.ndarray
+    limit: int
+    k1: float
+    b: float
+    avgdl: float
+    range_: int
+
+    @staticmethod
+    def of(weights: DataFrame, limit: int, k1: float, b: float, avgdl: float, range_: int) -> Asking:
+        """weights: qid, term, w, of TOGETHER questions or so: what all tasks get."""
+        t = weights.select("qid", "term", "w").toArrow()
+        ids, words = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
+        number = words.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(number, kind="stable")
+        first = np.searchsorted(number[order], np.arange(len(words.dictionary) + 1))
+        question = ids.indices.to_numpy(zero_copy_only=False)[order] if len(t) else np.zeros(0, np.int32)
+        return Asking(ids.dictionary.to_pylist(), dict(weights.dtypes)["qid"], ids.dictionary.type, words.dictionary.to_pylist(), first, question, t.column("w").to_numpy()[order], limit, k1, b, avgdl, range_)
+
+    def matrix(self, terms: list[str], place: dict[str, int]) -> np.ndarray:
+        """Weights of the terms (rows) in the questions (columns)."""
+        n = np.array([place[t] for t in terms], np.int64)
+        size = self.first[n + 1] - self.first[n]
+        at = np.arange(size.sum()) + np.repeat(self.first[n] - np.cumsum(size) + size, size)
+        out = np.zeros((len(n), len(self.qids)))
+        out[np.repeat(np.arange(len(n)), size), self.question[at]] = self.weight[at]
+        return out
+
+    def part(self, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / max(self.avgdl, 1.0)))
+
+    @property
+    def bounds(self) -> Callable:
+        """Of one range's blocks: each question's bound of what a row of it can score, where it is above 0."""
+        place = {t: i for i, t in enumerate(self.terms)}
+
+        def bound(blocks: pa.Table) -> pa.Table:
+            most = np.zeros(len(self.qids))
+            for lo in range(0, len(blocks), TERMS):
+                some = blocks.slice(lo, TERMS)
+                most += self.part(some["max_tf"].to_numpy().astype(float), some["min_dl"].to_numpy().astype(float)) @ self.matrix(some["term"].to_pylist(), place)
+            q = np.nonzero(most > 0)[0]
+            return pa.table({"q": pa.array(q, pa.int32()), "range": pa.array(np.full(len(q), blocks["range"][0].as_py()), pa.int64()), "bound": most[q]})
+
+        return bound
+
+    @property
+    def scores(self) -> Callable:
+        """Of one range's blocks and what is asked of it: each question's limit best rows that reach its score, and what ties with the last."""
+        place, width = {t: i for i, t in enumerate(self.terms)}, 1 << self.range_
+
+        def score(blocks: pa.Table, asked: pa.Table) -> pa.Table:
+            if not len(blocks) or not len(asked):
+                return pa.table({"qid": pa.array([], self.arrow_type), "ord": pa.array([], pa.int64()), "bm25_score": pa.array([], pa.float64())})
+            row = asked.to_pylist()[0]
+            q, out = np.array(row["q"], np.int64), np.zeros((len(row["q"]), width))
+            for lo in range(0, len(blocks), TERMS):
+                some = blocks.slice(lo, TERMS)
+                flat = {c: pc.list_flatten(some[c]).to_numpy() for c in ("at", "tf", "dl")}
+                part = np.zeros((len(some), width))
+                part[np.repeat(np.arange(len(some)), pc.list_value_length(some["at"]).to_numpy()), flat["at"]] = self.part(flat["tf"].astype(float), flat["dl"].astype(float))
+                out += self.matrix(some["term"].to_pylist(), place)[:, q].T @ part
+            out = np.round(out, 6)
+            if row["allowed"] is not None:
+                found = np.zeros(width, bool)
+                found[row["allowed"]] = True
+                out[:, ~found] = 0
+            if row["gone"]:
+                out[:, row["gone"]] = 0
+            least = np.array(row["least"], float)
+            if self.limit < width:
+                least = np.maximum(least, np.partition(out, -self.limit, axis=1)[:, -self.limit])
+            i, at = np.nonzero((out > 0) & (out >= least[:, None]))
+            qids = pa.array(self.qids, self.arrow_type).take(pa.array(q[i]))
+            return pa.table({"qid": qids, "ord": pa.array(at + (row["range"] << self.range_), pa.int64()), "bm25_score": out[i, at]})
+
+        return score
+
+
+def _pieces(range_: int) -> Callable:
+    """Rows (ord, dl, t) to pieces of blocks, one for each term and range of a batch."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column("t").flatten().dictionary_encode()
+            if not len(words):
+                continue
+            row = np.repeat(np.arange(b.num_rows), b.column("dl").to_numpy())
+            order = np.argsort(b.column("ord").to_numpy(), kind="stable")
+            back = np.empty_like(order)
+            back[order] = np.arange(len(order))
+            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * b.num_rows + back[row], return_counts=True)
+            term, row = np.divmod(pair, b.num_rows)
+            row = order[row]
+            ord_, dl = b.column("ord").to_numpy()[row], b.column("dl").to_numpy()[row]
+            range_of = ord_ >> range_
+            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (range_of[1:] != range_of[:-1])])
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)], pa.int32()), pa.array(v.astype(np.int32)))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[first])), pa.array(range_of[first]), lists(ord_ - (range_of << range_)), lists(tf), lists(dl)], names=["term", "range", "at", "tf", "dl"])
+
+    return pieces
+
 
 def _best(scored: DataFrame, limit: int) -> DataFrame:
     place = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("bm25_score")))
