@@ -46,7 +46,7 @@ class Index:
     """Segments of an index at path, as one version of its log lists them.
 
     Tables of a segment: docs (ord, key, dl); blocks (bucket, term, range, at, tf, dl, max_tf, min_dl), sorted arrays of one term's postings in 2**RANGE
-    neighbouring rows; terms (bucket, term, df), how its rows change document frequencies, negative where rows go; gone (ord), rows of older
+    neighbouring rows, or in a part of them; terms (bucket, term, df), how its rows change document frequencies, negative where rows go; gone (ord), rows of older
     segments that it takes away. Files of blocks and terms are dealt by bucket, so a search opens those of its terms; the first addition sets how many
     buckets there are.
     """
@@ -166,12 +166,10 @@ class Index:
         return self.docs.join(reduce(DataFrame.unionByName, keys).distinct(), "key", "left_semi").select("ord", "dl") if keys else self.docs.where("false").select("ord", "dl")
 
     def _blocks(self, rows: DataFrame, path: str) -> None:
-        """Blocks of rows(ord, dl, t: tokens), one row each: a task makes pieces of blocks of the rows that it has, and only these are dealt, by
-        term and range, so a frequent term spreads over tasks by range and no token travels alone."""
-        pieces = rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE), "term string, range long, at array<int>, tf array<int>, dl array<int>")
-        each = pieces.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "dl"))).alias("p"))  # rows of pieces follow each other
-        each = each.select("term", "range", *(F.flatten(f"p.{c}").alias(c) for c in ("at", "tf", "dl")))
-        _by_bucket(each.select(self.bucket("term").alias("bucket"), "term", "range", "at", "tf", "dl", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")), path)
+        """Blocks of rows(ord, dl, t: tokens): a task makes those of the rows that it has, and only they are dealt, by bucket, so no token
+        travels alone. A range that lies in two batches of a task, or in two tasks, has two blocks of a term, which sum up in all that reads them."""
+        blocks = rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE), "term string, range long, at array<int>, tf array<int>, dl array<int>")
+        _by_bucket(blocks.select(self.bucket("term").alias("bucket"), "term", "range", "at", "tf", "dl", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")), path)
 
     def compacted(self, path: str | None = None) -> Index:
         """The same rows as one segment, without those that are gone, as the next version or, with a path, as an index of its own; frequencies are counted anew."""
@@ -333,7 +331,7 @@ class Asking:
 
 
 def _pieces(range_: int) -> Callable:
-    """Rows (ord, dl, t) to pieces of blocks, one for each term and range of a batch."""
+    """Rows (ord, dl, t) to blocks, one for each term and range of a batch."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

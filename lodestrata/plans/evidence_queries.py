@@ -14,7 +14,7 @@ from ..operators import rerank as K
 from ..operators import retrieval as R
 from . import sql as S
 from .engine import Library, ask
-from .retrieval_queries import HITS, PROSE, PROSE_SETTINGS, X, chunk_rows, document_rows, hits, marker_sql, questions, runs
+from .retrieval_queries import HITS, PROSE, PROSE_SETTINGS, X, document_rows, hits, marker_sql, questions, runs, served
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,12 +150,17 @@ def seeds(spark, sf_dir):
     return stored(reranked(spark, sf_dir).where(F.col("rank") <= 8), "seeds")
 
 
+def placed(spark, sf_dir, some):
+    """The places of all chunks of the documents that some hits are from: no other document's chunks can be their neighbours."""
+    return N.positions(served(spark, sf_dir).chunks.join(some.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+
 @query(f"""WITH {SEEDS}, w0 AS (SELECT s.qid, s.chunk_id AS seed_id, s.rank AS sr, s.rerank_score AS ss, p.chunk_id, p.doc_id, p.pos, p.pos - s.pos AS step, abs(p.pos - s.pos) * 2 - (p.pos < s.pos)::INT AS o FROM seeds s JOIN placed p ON s.doc_id = p.doc_id AND p.pos BETWEEN s.pos - 2 AND s.pos + 2),
 w1 AS (SELECT * FROM w0 QUALIFY row_number() OVER (PARTITION BY qid, chunk_id ORDER BY sr, o) = 1), w2 AS (SELECT * FROM w1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sr, o) <= 30)
 SELECT qid, chunk_id, doc_id, pos, seed_id, step <> 0 AS is_neighbor, round(CASE WHEN step <> 0 THEN greatest(ss - 0.01, 0) ELSE ss END + 1e-9, 6) AS rerank_score, row_number() OVER (PARTITION BY qid ORDER BY doc_id, pos) AS place FROM w2""")
 def neighbor_window(spark, sf_dir):
-    rows = N.positions(chunk_rows(spark, sf_dir))
-    return N.expand(seeds(spark, sf_dir).select("qid", "chunk_id", "rank", "rerank_score"), rows)
+    some = seeds(spark, sf_dir)
+    return N.expand(some.select("qid", "chunk_id", "rank", "rerank_score"), placed(spark, sf_dir, some))
 
 
 LONG = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9_\\x{{4e00}}-\\x{{9fff}}]{{2,}}'))"
@@ -169,8 +174,8 @@ audited AS (SELECT *, CASE reason WHEN 'text_too_short' THEN 'excluded' WHEN 'se
 
 
 def audited(spark, sf_dir):
-    rows = N.positions(chunk_rows(spark, sf_dir))
-    return N.audit(seeds(spark, sf_dir).select("qid", "chunk_id", "rank", "rerank_score"), rows, R.routed(questions(spark, sf_dir)))
+    some = seeds(spark, sf_dir)
+    return N.audit(some.select("qid", "chunk_id", "rank", "rerank_score"), placed(spark, sf_dir, some), R.routed(questions(spark, sf_dir)))
 
 
 @query(f"WITH {AUDIT} SELECT qid, chunk_id, seed_id, distance, overlap, neighbor_score, status, reason, section FROM audited")
@@ -271,7 +276,9 @@ def branch_coverage(spark, sf_dir):
 ld AS (SELECT qid, evidence_id, min(branch_no) AS ld FROM lead0 GROUP BY ALL), y AS (SELECT s.qid, s.evidence_id, s.support_score, s.rank AS r, ld, row_number() OVER (PARTITION BY qid, doc_id ORDER BY ld IS NULL, support_score DESC, s.rank) AS nth FROM support s LEFT JOIN ld USING (qid, evidence_id))
 SELECT qid, evidence_id, support_score, row_number() OVER (PARTITION BY qid ORDER BY ld NULLS LAST, nth, support_score DESC, r) AS place FROM y QUALIFY place <= 6""")
 def support_comparison(spark, sf_dir):
-    return E.comparison(supported(spark, sf_dir), branch_pairs(spark, sf_dir)).select("qid", "evidence_id", "support_score", "place")
+    scored = stored(supported(spark, sf_dir), "scored")  # read twice, so the search is made once
+    pairs = E.branch_support(E.branches(R.routed(questions(spark, sf_dir))), scored)
+    return E.comparison(scored, pairs).select("qid", "evidence_id", "support_score", "place")
 
 
 EXIST_WORDS = X.existence
