@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, removed, settled, stored, trimmed
+from .common import NULL_ID, among, release, removed, settled, stored, trimmed
 from .simhash import components, numbered, shingle_hashes
 
 #: Rows on which common shingles are found (about), least rows there of a common one, most of them.
@@ -341,8 +341,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa
 
 def verified(clusters: DataFrame, sizes: DataFrame, rows: DataFrame, percent: int, words: int, text_col: str) -> DataFrame:
     """Links u, v of clusters(_rid, cluster) with the same components inside each cluster as all similar pairs have. sizes: _rid, n."""
-    texts = rows.select("_rid", F.col(text_col).alias("text"))
     own = stored(clusters.join(sizes, "_rid"), "clusters")
+    texts = among(rows.select("_rid", F.col(text_col).alias("text")), own)  # others are not sent
     totals = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1")
     parts = F.greatest(F.ceil(F.col("rows") / ROWS), F.ceil(F.col("shingles") / SHINGLES))
     totals = stored(totals.select("cluster", parts.alias("parts")), "totals")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, release, removed, settled, stored, trimmed, words_of
+from .common import NULL_ID, among, release, removed, settled, stored, trimmed, words_of
 
 SHINGLE = 3
 RADIUS = 3
@@ -254,4 +254,4 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     after all others, and neither rows without an id nor rows that share one are copies of each other unless their texts link them."""
     rows = numbered(docs)
     found = near_duplicates(rows, id_col="_rid", text_col=f"c_{text_col}", **options).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
-    return unnumbered(rows.join(firsts(found, rows, id_col), "_rid", "left_semi"))
+    return unnumbered(among(rows, stored(firsts(found, rows, id_col), "firsts")))

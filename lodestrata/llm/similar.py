@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, settled, stored
+from .common import among, removed, settled, stored
 from .jaccard import similar_groups
 from .simhash import firsts, near_duplicates, numbered, unnumbered
 
@@ -23,8 +23,8 @@ def one_of_each_group(docs: DataFrame, percent: int = PERCENT, words: int = WORD
     rows, text = numbered(settled(docs)), f"c_{text_col}"
     found = near_duplicates(rows, id_col="_rid", text_col=text).select(F.col("doc_id").alias("_rid"), F.col("component_id").alias("group"))
     keep = stored(firsts(found, rows, id_col), "kept")
-    groups = similar_groups(rows.join(keep, "_rid", "left_semi"), percent, words, text)
-    out = stored(firsts(groups, rows, id_col), "firsts")
+    groups = similar_groups(among(rows, keep), percent, words, text)
+    out = unnumbered(among(rows, stored(firsts(groups, rows, id_col), "firsts")))
     for used in (keep, groups):
         removed(used)
-    return unnumbered(rows.join(out, "_rid", "left_semi"))
+    return out

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from lodestrata.llm import jaccard, langid, lm_scoring, mixing, simhash, toxicity
-from lodestrata.llm.common import prefix_sums
+from lodestrata.llm import common, jaccard, langid, lm_scoring, mixing, simhash, toxicity
+from lodestrata.llm.common import among, prefix_sums
 
 from .test_operators import SYLLABLES, crf, prose, table  # noqa: F401
 
@@ -289,3 +289,19 @@ def test_chunks_part_copies(spark, monkeypatch):
     docs = table(spark, ["the same words in every text " * 10] * 60, [None] * 60)
     out = lm_scoring.score_documents(docs, F.lit(False)).collect()
     assert len(out) == 60 and len({round(r.score, 6) for r in out}) == 1
+
+
+@pytest.mark.parametrize("words", [1 << 20, 0])
+def test_rows_among_some_numbers_stay_where_they_are(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "MOST_WORDS", words)
+    rows = simhash.numbered(spark.range(0, 5000, 1, 7).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")))
+    some = rows.where("c_doc_id % 64 in (0, 63) or c_doc_id % 7 = 3").select("_rid")
+    got = among(rows, some)
+    assert sorted(r.c_doc_id for r in got.collect()) == [i for i in range(5000) if i % 64 in (0, 63) or i % 7 == 3]
+    assert got.columns == rows.columns and among(rows, some.where("false")).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the numbers are too many for Spark's own choice
+    try:
+        plan = among(rows, some)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ("SortMergeJoin" in plan) == (words == 0)
