@@ -291,6 +291,25 @@ def test_chunks_part_copies(spark, monkeypatch):
     assert len(out) == 60 and len({round(r.score, 6) for r in out}) == 1
 
 
+def test_spelling_weights_are_fitted_on_all_rarer_tokens(spark, monkeypatch):
+    """Where the fit begins, and on how few tokens, doesn't show in its result."""
+    rng, syllables = random.Random(23), [a + b for a in "bcdfgklmnprst" for b in "aeiou"]
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + (str(rng.randrange(50)) if rng.random() < 0.3 else "") for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(60)]
+    monkeypatch.setattr(lm_scoring, "frequent", lambda tokens: 20)
+    monkeypatch.setattr(lm_scoring, "SETTLED", 1e-3)
+    fits, real = [], lm_scoring.fitted_weights
+    monkeypatch.setattr(lm_scoring, "fitted_weights", lambda rare, counts, weights: fits.append((sorted(bytes(r.token) for r in rare.collect()), counts, real(rare, counts, weights))) or fits[-1][2])
+    scores = []
+    for n in (3, 6000):
+        monkeypatch.setattr(lm_scoring, "WORDS", n)
+        scores.append({r.doc_id: r.score for r in lm_scoring.score_documents(table(spark, texts), F.col("doc_id") >= 50).collect()})
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-4) for i in scores[0])
+    for rare, counts, fitted in fits:
+        assert len(rare) > 1000
+        assert np.allclose(fitted, lm_scoring.spelling_weights(rare, counts, 30), atol=5e-3)
+
+
 @pytest.mark.parametrize("words", [1 << 20, 0])
 def test_rows_among_some_numbers_stay_where_they_are(spark, monkeypatch, words):
     monkeypatch.setattr(common, "MOST_WORDS", words)
