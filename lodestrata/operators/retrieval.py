@@ -18,6 +18,8 @@ from .ranking import ranked, top
 SETTINGS = Settings()
 #: Question terms that may be sent to all tasks (about 50 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Components of the rows that meet a part of the questions in one task (32 MB).
+SLICE = 1 << 22
 
 
 def filtered(rows: DataFrame, doc_ids: list | None = None, sections: list | None = None, source_files: list | None = None, most: int | None = SETTINGS.max_filter_items) -> DataFrame:
@@ -122,37 +124,119 @@ def bm25(questions: DataFrame, rows: DataFrame, limit: int | None = SETTINGS.bm2
 def dense(questions: DataFrame, rows: DataFrame, limit: int = SETTINGS.dense_limit, floor: float = SETTINGS.score_floor, key: str = "chunk_id", block: int = 2048, own: bool = False) -> DataFrame:
     """qid, key, vector_score, dense_rank: exact cosine search, 6 places; the floor applies after the limit.
 
-    questions: qid, v; rows: key, v (arrays of double). The stated questions are taken in blocks of ``block`` to all tasks;
-    each Arrow batch of rows is one matrix product; a task keeps its ``limit`` best for each question and gives them once, and these meet in a window.
+    questions: qid, v; rows: key, v (arrays of double). Up to ``block`` questions go to all tasks, and rows stay where they are. More
+    never meet the driver: questions and rows are cut into parts (of ``block`` questions, and of SLICE components of rows), and each pair of parts is a task's, which
+    keeps the ``limit`` best of its rows for each of its questions; these meet in a window. The pairs grow with questions times rows, as the
+    search is exact; a task's memory doesn't grow.
     With own=False a row whose key is the question's id isn't its own neighbour. Null, zero and other-length vectors score 0.
     """
     spark, schema = rows.sparkSession, f"qid {dict(questions.dtypes)['qid']}, {key} {dict(rows.dtypes)[key]}, vector_score double"
-    n, out = questions.count(), None
-    parts = -(-n // block) or 1
-    for p in range(parts):
-        some = questions.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == p).select("qid", "v").collect()
-        if not some:
-            continue
-        width = max((len(r.v or ()) for r in some), default=0)
-        matrix = rows_of([r.v for r in some], width)
-        ids = [r.qid for r in some]
-
-        def search(batches: Iterator[pa.RecordBatch], matrix: np.ndarray = matrix, ids: list = ids, width: int = width) -> Iterator[pa.RecordBatch]:
-            lengths, asked, best = np.linalg.norm(matrix, axis=1), {q: i for i, q in enumerate(ids)}, Best(ids, limit, own)
-            for b in batches:
-                if b.num_rows and width:
-                    x = matrix_of(b.column("v"), width)
-                    scale = lengths[:, None] * np.linalg.norm(x, axis=1)[None]
-                    best.add(np.arange(len(ids)), np.round(np.divide(matrix @ x.T, scale, out=np.zeros_like(scale), where=scale > 0), 6), b.column(key), asked)
-            yield from best.rows(key)
-
-        part = rows.select(key, "v").mapInArrow(search, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    asked, rows = questions.select("qid", "v"), rows.select(key, "v")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width")).first()
+    width = max(0, size.width or 0)
+    if not size.n:
         return spark.createDataFrame([], schema + ", dense_rank int")
+    if size.n <= block:
+        some = asked.toArrow().combine_chunks()
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near = Nearest(some["qid"].combine_chunks(), matrix_of(some["v"].combine_chunks(), width), limit, own)
+            for b in batches:
+                near.add(b.column(key), matrix_of(b.column("v"), width))
+            if near.held:
+                yield from near.rows(key).to_batches()
+
+        out = rows.mapInArrow(search, schema)
+    else:
+        parts = -(-size.n // block)
+        slices = max(1, -(-rows.count() * max(1, width) // SLICE))
+        place = lambda c, n: F.pmod(F.xxhash64(c, "v"), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = asked.select("qid", "v", place("qid", parts).alias("part"), every(slices).alias("slice"))
+        dealt = rows.select(key, "v", place(key, slices).alias("slice"), every(parts).alias("part"))
+
+        def meet(some: pa.Table, rows: pa.Table) -> pa.Table:
+            near = Nearest(some["qid"].combine_chunks(), matrix_of(some["v"].combine_chunks(), width), limit, own)
+            for lo in range(0, len(rows), 4096):
+                one = rows.slice(lo, 4096)
+                near.add(one[key].combine_chunks(), matrix_of(one["v"].combine_chunks(), width))
+            return near.rows(key) if near.held else pa.table({"qid": near.ids[:0], key: rows[key][:0], "vector_score": pa.array([], pa.float64())})
+
+        to = lambda n: F.col(n).cast("long").alias(n)
+        asked, dealt = asked.select("qid", "v", to("part"), to("slice")), dealt.select(key, "v", to("part"), to("slice"))
+        out = asked.groupBy("part", "slice").cogroup(dealt.groupBy("part", "slice")).applyInArrow(meet, schema)
     return top(out, ["qid"], [F.desc("vector_score"), F.col(key)], limit, "dense_rank").where(F.col("vector_score") >= floor)
 
 
+class Nearest:
+    """The ``limit`` best rows of each question so far, ties to the smaller key, null first.
+
+    Single precision rules out most rows: what it gives is off by less than ``slack``, so no row of the best is lost. The others are scored in double
+    precision, and kept until there are many, when they are cut to the best.
+    """
+
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, limit: int, own: bool):
+        self.ids, self.vectors, self.limit, self.own = ids, vectors, limit, own
+        self.lengths = np.linalg.norm(vectors, axis=1)
+        self.unit, self.slack = unit(vectors, self.lengths), 4e-6 + 2.5e-7 * (vectors.shape[1] + 8)
+        self.least, self.held, self.n = np.full(len(ids), -np.inf), [], 0
+
+    def add(self, keys: pa.Array, x: np.ndarray) -> None:
+        if not len(keys) or not len(self.ids) or not x.shape[1]:
+            return
+        with np.errstate(invalid="ignore", over="ignore"):
+            lengths = np.linalg.norm(x, axis=1)
+            near = unit(x, lengths)
+            most = self.limit + (not self.own) + int(np.isinf(lengths).sum())  # rows that may not count are no reason to leave out others
+            whole = pa.types.is_integer(self.ids.type) and pa.types.is_integer(keys.type)
+            ids, names = (c.cast(pa.int64()) if whole else c for c in (self.ids, keys))
+            same = None if self.own or ids.type != names.type else pc.fill_null(pc.index_in(names, value_set=ids), -1).to_numpy()
+            step = max(1, (1 << 22) // len(keys))
+            for lo in range(0, len(self.ids), step):
+                score = self.unit[lo : lo + step] @ near.T
+                least = self.least[lo : lo + step]
+                if most < len(keys):
+                    least = np.maximum(least, np.partition(score, -most, axis=1)[:, -most])
+                q, at = np.nonzero(score >= (least - self.slack).astype(np.float32)[:, None])
+                for i in range(0, len(q), 1 << 18):
+                    self._exact(q[i : i + (1 << 18)] + lo, at[i : i + (1 << 18)], keys, x, lengths, same)
+
+    def _exact(self, q: np.ndarray, at: np.ndarray, keys: pa.Array, x: np.ndarray, lengths: np.ndarray, same: np.ndarray | None) -> None:
+        scale = self.lengths[q] * lengths[at]
+        score = np.round(np.divide(np.einsum("ij,ij->i", self.vectors[q], x[at]), scale, out=np.zeros(len(q)), where=scale > 0), 6)
+        keep = np.isfinite(score) & (score >= self.least[q])
+        if same is not None:
+            keep &= same[at] != q
+        self.held.append(pa.table({"q": q[keep], "s": score[keep], "key": keys.take(pa.array(at[keep]))}))
+        self.n += int(keep.sum())
+        if self.n > max(1 << 20, 4 * self.limit * len(self.ids)):
+            self._cut()
+
+    def _cut(self) -> None:
+        t = pa.concat_tables(self.held)
+        by_key = np.empty(len(t), np.int64)
+        by_key[pc.sort_indices(t["key"], null_placement="at_start").to_numpy()] = np.arange(len(t))
+        order = np.lexsort((by_key, -t["s"].to_numpy(), t["q"].to_numpy()))
+        q = t["q"].to_numpy()[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        t = t.take(pa.array(order[nth < self.limit]))
+        last = np.flatnonzero(nth == self.limit - 1)
+        self.least[q[last]] = t["s"].to_numpy()[np.flatnonzero(nth[nth < self.limit] == self.limit - 1)]
+        self.held, self.n = [t], len(t)
+
+    def rows(self, key: str) -> pa.Table:
+        """qid, key, vector_score"""
+        self._cut()
+        t = self.held[0]
+        return pa.table({"qid": self.ids.take(t["q"].combine_chunks()), key: t["key"], "vector_score": t["s"]})
+
+
+def unit(x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The vectors at length 1 in single precision; those without a length that is a number above 0 as zeros."""
+    fine = (lengths > 0) & np.isfinite(lengths)
+    return np.divide(x, lengths[:, None], out=np.zeros(x.shape), where=fine[:, None]).astype(np.float32)
+
+
 class Best:
     """The ``limit`` best rows of each question that a task has seen so far, ties to the smaller key: one table of limit columns for the questions."""
 

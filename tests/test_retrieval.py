@@ -178,3 +178,30 @@ def test_quality_on_its_limit(spark):
     text = " ".join(["12 ab 345 +++"] * 20)
     rows = spark.createDataFrame([("c", 1, 0, text)], "chunk_id string, doc_id long, chunk_index long, text string")
     assert [r.quality_score for r in corpus.quality_filter(rows).collect()] == [0.3]
+
+
+def test_dense_in_parts_is_the_plain_search(spark, monkeypatch):
+    """Questions that no single task could hold, groups of copies, ties, bad vectors and null keys: the rows are those of a plain loop."""
+    rng = random.Random(8)
+    some = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(240)] + [[1.0, 2.0, 0.0, 0.0, 1.0, 0.5]] * 60 + [[0.0] * 6, None, [1.0], [1.0, None, 2.0, 0.0, 0.0, 0.0]]
+    v = list(enumerate(some))
+    rng.shuffle(v)
+    rows = spark.createDataFrame(v, "vec_id long, v array<double>").repartition(5)
+    q = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "qid")
+    full = {i: [0.0 if c is None else c for c in x] if x is not None and len(x) == 6 else [0.0] * 6 for i, x in v}
+
+    def score(a, b):
+        n = math.sqrt(sum(c * c for c in a)) * math.sqrt(sum(c * c for c in b))
+        return round(sum(c * d for c, d in zip(a, b, strict=True)) / n, 6) if n else 0.0
+
+    want = {(i, j, s, r) for i in full if i % 3 == 0 for r, (s, j) in enumerate(sorted(((score(full[i], x), j) for j, x in full.items() if j != i), key=lambda t: (-t[0], t[1]))[:7], 1) if s >= -0.5}
+    collected = []
+    real = R.matrix_of
+    monkeypatch.setattr(R, "SLICE", 600)
+    for block in (2048, 16):
+        if block == 16:
+            monkeypatch.setattr(R, "matrix_of", lambda *a: collected.append(a) or real(*a))
+        got = {(r.qid, r.vec_id, r.vector_score, r.dense_rank) for r in R.dense(q, rows, 7, -0.5, "vec_id", block).collect()}
+        assert {(a, b, r) for a, b, _, r in got} == {(a, b, r) for a, b, _, r in want}
+        assert sorted(s for *_, s, _ in got) == pytest.approx(sorted(s for *_, s, _ in want), abs=1.1e-6)
+    assert not collected  # no block of questions is made a matrix by the driver
