@@ -297,7 +297,7 @@ def test_spelling_weights_are_fitted_on_all_rarer_tokens(spark, monkeypatch):
     words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + (str(rng.randrange(50)) if rng.random() < 0.3 else "") for _ in range(3000)]
     texts = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(60)]
     monkeypatch.setattr(lm_scoring, "frequent", lambda tokens: 20)
-    monkeypatch.setattr(lm_scoring, "SETTLED", 1e-3)
+    monkeypatch.setattr(lm_scoring, "SETTLED", 1e-9)
     fits, real = [], lm_scoring.fitted_weights
     monkeypatch.setattr(lm_scoring, "fitted_weights", lambda rare, counts, weights: fits.append((sorted(bytes(r.token) for r in rare.collect()), counts, real(rare, counts, weights))) or fits[-1][2])
     scores = []
