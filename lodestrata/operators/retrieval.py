@@ -20,6 +20,8 @@ SETTINGS = Settings()
 BROADCAST_ROWS = 1_000_000
 #: Components of the rows that meet a part of the questions in one task (32 MB).
 SLICE = 1 << 22
+#: Hits (about 100 bytes each) that may be sent to all tasks, and bytes of texts whose letters are counted together.
+BROADCAST_HITS, LETTERS = 1 << 18, 1 << 20
 
 
 def filtered(rows: DataFrame, doc_ids: list | None = None, sections: list | None = None, source_files: list | None = None, most: int | None = SETTINGS.max_filter_items) -> DataFrame:
@@ -291,6 +293,36 @@ def matrix_of(vectors: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def letter_vectors(rows: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """key, v: ``text.letter_vector`` of each row's text, its letters counted in one pass over the bytes instead of one for each letter."""
+    place = np.full(256, 26, np.int64)
+    place[ord("a") : ord("z") + 1] = np.arange(26)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, n = b.column("low"), b.num_rows
+            wide = pa.types.is_large_string(low.type)
+            off = np.frombuffer(low.buffers()[1], np.int64 if wide else np.int32)[low.offset : low.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+            data = np.frombuffer(low.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+            off, out = off - off[0], np.zeros((n, 27))
+            for lo in range(0, len(data), LETTERS):
+                hi = min(lo + LETTERS, len(data))
+                first, last = np.searchsorted(off, lo, "right") - 1, np.searchsorted(off, hi, "left")  # rows with bytes from lo to hi
+                row = np.repeat(np.arange(last - first), np.diff(np.clip(off[first : last + 1], lo, hi)))
+                out[first:last] += np.bincount(row * 27 + place[data[lo:hi]], minlength=(last - first) * 27).reshape(-1, 27)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 26, pa.int32()), pa.array(out[:, :26].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(key), vectors], names=[key, "v"])
+
+    low = F.lower(F.coalesce(text, F.lit(""))).alias("low")
+    return rows.select(key, low).mapInArrow(count, f"{key} {dict(rows.dtypes)[key]}, v array<double>")
+
+
+def with_rows(found: DataFrame, rows: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Hits with their rows' columns. Hits are stored first, so their number is known: up to BROADCAST_HITS go to the rows, whose texts aren't shuffled; more meet by key."""
+    found = stored(found, "fused")
+    return (F.broadcast(found) if found.count() <= BROADCAST_HITS else found).join(rows, key)
+
+
 def fuse(runs: list[tuple[DataFrame, str, str, float]], limit: int, k: int = SETTINGS.rrf_k, key: str = "chunk_id") -> DataFrame:
     """Weighted reciprocal rank fusion of runs (rows, score column, rank column, weight): qid, key, vector_score, bm25_score,
     fusion_score, rank. A weight may be a column of the run. Scores are each row's best; ties go to dense rows, then by key."""
@@ -454,7 +486,7 @@ def hybrid(questions: DataFrame, rows: DataFrame, s: Settings = SETTINGS, index=
     stored of rows: then no text is read before fusion. only: chunk_ids that may be found.
     """
     routes = routed(questions, s.lexicon, s)
-    hits = hybrid_ids(routes, rows, s, index, vectors, only).join(rows, "chunk_id").join(routes, "qid")
+    hits = with_rows(hybrid_ids(routes, rows, s, index, vectors, only), rows).join(routes, "qid")
     return diversified(reranked_by_fusion(structure_boost(title_boost(hits, s), s)), s.search_limit, s.per_doc_cap)
 
 
@@ -463,7 +495,7 @@ def hybrid_ids(routes: DataFrame, rows: DataFrame, s: Settings = SETTINGS, index
     each = variants(routes, s).withColumn("qid2", F.concat_ws("/", F.col("qid").cast("string"), F.col("variant").cast("string")))
     run = each.select(F.col("qid2").alias("qid"), "question")
     weights = each.select(F.col("qid2").alias("qid"), F.col("qid").alias("_q"), "weight", "bm25_weight")
-    vectors = rows.select("chunk_id", T.letter_vector("text").alias("v")) if vectors is None else vectors
+    vectors = letter_vectors(rows) if vectors is None else vectors
     vectors = vectors if only is None else vectors.join(only.select("chunk_id"), "chunk_id", "left_semi")
     d = dense(run.select("qid", T.letter_vector("question").alias("v")), vectors, s.dense_limit, s.score_floor)
     b = bm25(run, rows, s.bm25_limit, only=only) if index is None else index.search(run, s.bm25_limit, only=only)

@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions.lexicon import Settings
 from ..functions.session import settle, stored
 from ..operators import corpus, evaluation, evidence, neighbors, rerank, retrieval
@@ -34,7 +33,7 @@ class Library:
         """From chunks."""
         settle(rows.sparkSession)
         rows = stored(rows, "chunks")
-        return Library(rows, Index.build(rows), stored(rows.select("chunk_id", T.letter_vector("text").alias("v")), "vectors"))
+        return Library(rows, Index.build(rows), stored(retrieval.letter_vectors(rows), "vectors"))
 
     @property
     def postings(self) -> DataFrame:

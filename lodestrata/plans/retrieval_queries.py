@@ -222,7 +222,7 @@ HITS = f"{FUSED}, {ROUTED}, hits AS (SELECT f.*, c.* EXCLUDE (chunk_id), r.* EXC
 def hits(spark, sf_dir):
     """Fused hits with the chunks' and the questions' columns."""
     q, rows, f = fused(spark, sf_dir)
-    return f.join(rows, "chunk_id").join(R.routed(q), "qid")
+    return R.with_rows(f, rows).join(R.routed(q), "qid")
 
 
 @query(f"""WITH {HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id ORDER BY rank) AS nth FROM hits)
