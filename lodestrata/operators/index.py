@@ -1,4 +1,7 @@
-"""A lexical index in tables, searched without the texts: postings in blocks by term and range of rows, each with a bound of what it can score."""
+"""A lexical index in tables, searched without the texts: postings in blocks by term and range of rows, each with a bound of what it can score.
+
+A range's blocks of one bucket are one packed row, since most terms are rare: rows by term would be nearly as many as postings.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,9 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ BUCKET_TOKENS, MOST_BUCKETS = 4_000_000, 1024
 SLACK = 2e-6
 #: Questions that are scored together, terms of a range that are.
 TOGETHER, TERMS = 1024, 2048
+#: Rows whose tokens are packed together, and how segments are laid out.
+PACKED, LAYOUT = 1 << 14, 2
+FLAT = ("at", "tf", "dl")
 
 
 @dataclass(frozen=True)
@@ -45,9 +51,9 @@ class Segment:
 class Index:
     """Segments of an index at path, as one version of its log lists them.
 
-    Tables of a segment: docs (ord, key, dl); blocks (bucket, term, range, at, tf, dl, max_tf, min_dl), sorted arrays of one term's postings in 2**RANGE
-    neighbouring rows, or in a part of them; terms (bucket, term, df), how its rows change document frequencies, negative where rows go; gone (ord), rows of older
-    segments that it takes away. Files of blocks and terms are dealt by bucket, so a search opens those of its terms; the first addition sets how many
+    Tables of a segment: docs (ord, key, dl); blocks (bucket, range, terms, size, at, tf, dl), the postings of a bucket's terms in 2**RANGE
+    neighbouring rows, or in a part of them: size has each term's number of postings, which follow each other in at, tf and dl; terms (bucket, term, df), how its
+    rows change document frequencies, negative where rows go; gone (ord), rows of older segments that it takes away. A segment's name is that of a folder in path, or a whole path. Files of blocks and terms are dealt by bucket, so a search opens those of its terms; the first addition sets how many
     buckets there are.
     """
 
@@ -75,12 +81,14 @@ class Index:
         if not numbers or (version is not None and version not in numbers):
             raise ValueError(f"there is no such index at {path}")
         e = log.read(numbers[-1] if version is None else version)
+        if e.get("layout") != LAYOUT:
+            raise ValueError(f"the index at {path} has another layout; build it anew")
         return Index(settle(spark), path.rstrip("/"), tuple(Segment(**s) for s in e["segments"]), e["version"], e["n_rows"], e["tokens"], tokenize, e["key_type"], e["buckets"])
 
     def _table(self, name: str, segments: tuple[Segment, ...] | None = None) -> DataFrame | None:
-        paths = [f"{self.path}/{s.name}/{name}" for s in (self.segments if segments is None else segments)]
+        paths = [f"{s.name if '/' in s.name else f'{self.path}/{s.name}'}/{name}" for s in (self.segments if segments is None else segments)]
         schema = {
-            "docs": f"ord long, key {self.key_type}, dl long", "blocks": "term string, range long, at array<int>, tf array<int>, dl array<int>, max_tf int, min_dl int, bucket int",
+            "docs": f"ord long, key {self.key_type}, dl long", "blocks": f"{BLOCKS}, bucket int",
             "terms": "term string, df long, bucket int", "gone": "ord long",
         }[name]
         if not paths:
@@ -104,7 +112,7 @@ class Index:
 
     def postings(self) -> DataFrame:
         """key, dl, term, tf of all rows that are there."""
-        each = self._table("blocks").select("term", (F.shiftleft("range", RANGE)).alias("_r"), F.explode(F.arrays_zip("at", "tf")).alias("p"))
+        each = _each(self._table("blocks")).select("term", (F.shiftleft("range", RANGE)).alias("_r"), F.explode(F.arrays_zip("at", "tf")).alias("p"))
         each = each.select((F.col("_r") + F.col("p.at")).alias("ord"), "term", F.col("p.tf").cast("long").alias("tf"))
         return self.docs.join(each, "ord").select("key", "dl", "term", "tf")
 
@@ -143,19 +151,17 @@ class Index:
         lost.select("ord").write.parquet(f"{self.path}/{name}/gone")
         gone = spark.read.schema("ord long").parquet(f"{self.path}/{name}/gone")
         less = lost.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first() if self.segments else None
-        new = self._table("blocks", (own,)).groupBy("term").agg(F.sum(F.size("at")).cast("long").alias("df"))
+        new = _frequencies(self._table("blocks", (own,)))
         if less is not None and less.n:
-            ranges = gone.select(F.shiftright("ord", RANGE).alias("range")).distinct()
-            old = self._table("blocks").select("term", "range", "at").join(ranges, "range", "left_semi")
-            old = old.select("term", "range", F.explode("at").alias("at")).select("term", (F.shiftleft("range", RANGE) + F.col("at")).alias("ord")).join(gone, "ord", "left_semi")
-            new = new.unionByName(old.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
+            old = self._table("blocks").join(_places(gone, "gone"), "range").mapInArrow(_counted(1 << RANGE), "term string, n long")
+            new = new.unionByName(old.groupBy("term").agg((-F.sum("n")).alias("df")))
             new = new.groupBy("term").agg(F.sum("df").alias("df"))
         _by_bucket(new.where("df <> 0").withColumn("bucket", self.bucket("term")), f"{self.path}/{name}/terms")
         out = replace(self, segments=(*self.segments, own), version=self.version + 1, n_rows=self.n_rows + added[0] - (less.n if less else 0), tokens=self.tokens + added[1] - ((less.t or 0) if less else 0))
         return out._published()
 
     def _published(self) -> Index:
-        entry = {"version": self.version, "segments": [vars(s) for s in self.segments], "n_rows": self.n_rows, "tokens": self.tokens, "key_type": self.key_type, "buckets": self.buckets}
+        entry = {"version": self.version, "segments": [vars(s) for s in self.segments], "n_rows": self.n_rows, "tokens": self.tokens, "key_type": self.key_type, "buckets": self.buckets, "layout": LAYOUT}
         if not Log(self.spark, f"{self.path}/_log").publish(self.version, entry):
             raise Conflict(f"version {self.version} of the index is another writer's")
         return self
@@ -168,8 +174,12 @@ class Index:
     def _blocks(self, rows: DataFrame, path: str) -> None:
         """Blocks of rows(ord, dl, t: tokens): a task makes those of the rows that it has, and only they are dealt, by bucket, so no token
         travels alone. A range that lies in two batches of a task, or in two tasks, has two blocks of a term, which sum up in all that reads them."""
-        blocks = rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE), "term string, range long, at array<int>, tf array<int>, dl array<int>")
-        _by_bucket(blocks.select(self.bucket("term").alias("bucket"), "term", "range", "at", "tf", "dl", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")), path)
+        _by_bucket(rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE, max(1, self.buckets)), f"{BLOCKS}, bucket int"), path)
+
+    def branched(self, path: str | None = None) -> Index:
+        """An index of its own, with a log of its own, whose segments are this one's: nothing is copied, and changes of either don't reach the other. It needs this one's folders."""
+        segments = tuple(replace(s, name=s.name if "/" in s.name else f"{self.path}/{s.name}") for s in self.segments)
+        return replace(self, path=(path or scratch(self.spark, "index")).rstrip("/"), segments=segments, version=0)._published()
 
     def compacted(self, path: str | None = None) -> Index:
         """The same rows as one segment, without those that are gone, as the next version or, with a path, as an index of its own; frequencies are counted anew."""
@@ -177,12 +187,12 @@ class Index:
         docs = stored(self.docs, "live")
         own = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t"), F.max("ord").alias("last")).first()
         docs.write.parquet(f"{out.path}/{name}/docs")
-        each = self._table("blocks").select("term", "range", F.explode(F.arrays_zip("at", "tf", "dl")).alias("p"))
-        each = each.select("term", "range", (F.shiftleft("range", RANGE) + F.col("p.at")).alias("ord"), "p.at", "p.tf", "p.dl").join(docs.select("ord"), "ord", "left_semi")
-        rows = each.groupBy("term", "range").agg(F.sort_array(F.collect_list(F.struct("at", "tf", "dl"))).alias("p"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        _by_bucket(rows.select(self.bucket("term").alias("bucket"), "term", "range", *(F.col(f"p.{c}").alias(c) for c in ("at", "tf", "dl")), "max_tf", "min_dl"), f"{out.path}/{name}/blocks")
+        rows = self._table("blocks")
+        if len(self.segments) > 1:
+            rows = rows.join(_places(self._table("gone"), "gone"), "range", "left").mapInArrow(_kept(1 << RANGE), f"{BLOCKS}, bucket int")
+        _by_bucket(rows, f"{out.path}/{name}/blocks")
         segment = Segment(name, (own.last if own.last is not None else -1) + 1, own.t or 0, 0)  # numbers stay; base + rows is the first free one
-        df = out._table("blocks", (segment,)).groupBy("term").agg(F.sum(F.size("at")).cast("long").alias("df"))
+        df = _frequencies(out._table("blocks", (segment,)))
         _by_bucket(df.withColumn("bucket", self.bucket("term")), f"{out.path}/{name}/terms")
         self._table("gone", ()).write.parquet(f"{out.path}/{name}/gone")
         return replace(out, segments=(segment,), version=out.version + 1, n_rows=own.n, tokens=own.t or 0)._published()
@@ -216,23 +226,21 @@ class Index:
     def _found(self, asking: Asking, blocks: DataFrame, allowed: DataFrame | None) -> DataFrame:
         """qid, ord, bm25_score: the limit best rows of each question, and what ties with the last. A range's blocks meet in one task."""
         spark, limit = self.spark, asking.limit
-        blocks = blocks.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"term": asking.terms}), "term string")), "term", "left_semi")
         last = max((s.base + s.rows for s in self.segments), default=0) >> RANGE
-        places = lambda rows, name: rows.groupBy(F.shiftright("ord", RANGE).alias("range")).agg(F.collect_list((F.col("ord") - F.shiftleft(F.shiftright("ord", RANGE), RANGE)).cast("int")).alias(name))
         schema = f"qid {asking.qid_type}, ord long, bm25_score double"
 
         def scored(asked: DataFrame) -> DataFrame:
             """asked: a row for each range, with its questions' numbers and the scores that they have to reach."""
-            asked = asked.withColumn("allowed", F.lit(None).cast("array<int>")) if allowed is None else asked.join(places(allowed, "allowed"), "range")
-            asked = asked.withColumn("gone", F.lit(None).cast("array<int>")) if len(self.segments) < 2 else asked.join(places(self._table("gone"), "gone"), "range", "left")
+            asked = asked.withColumn("allowed", F.lit(None).cast("array<int>")) if allowed is None else asked.join(_places(allowed, "allowed"), "range")
+            asked = asked.withColumn("gone", F.lit(None).cast("array<int>")) if len(self.segments) < 2 else asked.join(_places(self._table("gone"), "gone"), "range", "left")
             asked = stored(asked, "asked")
-            each = blocks.select("term", "range", "at", "tf", "dl").join(asked.select("range"), "range", "left_semi")
+            each = _each(blocks.join(asked.select("range"), "range", "left_semi"), asking.terms).select("term", "range", *FLAT)
             return _best(each.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(asking.scores, schema), limit)
 
         if last <= FEW:
             every = F.array(*map(F.lit, range(len(asking.qids)))).cast("array<int>")
             return scored(spark.range(last + 1).select(F.col("id").alias("range"), every.alias("q"), F.transform(every, lambda x: F.lit(0.0)).alias("least")))
-        bounds = stored(blocks.select("term", "range", "max_tf", "min_dl").groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
+        bounds = stored(_each(blocks, asking.terms, ("max_tf", "min_dl")).groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
         by_range = lambda pairs: pairs.groupBy("range").agg(F.collect_list(F.struct("q", "least")).alias("p")).select("range", "p.q", "p.least")
         first = stored(top(bounds, ["q"], [F.desc("bound"), F.col("range")], FIRST, "_n").select("q", "range"), "first")
         one = stored(scored(by_range(first.withColumn("least", F.lit(0.0)))), "scored")
@@ -330,35 +338,166 @@ class Asking:
         return score
 
 
-def _pieces(range_: int) -> Callable:
-    """Rows (ord, dl, t) to blocks, one for each term and range of a batch."""
+#: Columns of packed blocks, but for the bucket, by which their files are dealt.
+BLOCKS = "range long, terms array<string>, size array<int>, at array<int>, tf array<int>, dl array<int>"
+
+
+def _lists(first: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
+    """Lists of the values, of which each begins at a place of ``first`` (ascending, from 0) and ends where the next begins."""
+    values = values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32))
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)], pa.int32()), values)
+
+
+def _starts(*by: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin to differ from the one before in one of the columns."""
+    new = np.zeros(len(by[0]), bool)
+    new[:1] = True
+    for c in by:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _pieces(range_: int, buckets: int) -> Callable:
+    """Rows (ord, dl, t) to packed blocks, one for each bucket and range of a batch."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = b.column("t").flatten().dictionary_encode()
-            if not len(words):
-                continue
-            row = np.repeat(np.arange(b.num_rows), b.column("dl").to_numpy())
-            order = np.argsort(b.column("ord").to_numpy(), kind="stable")
-            back = np.empty_like(order)
-            back[order] = np.arange(len(order))
-            pair, tf = np.unique(words.indices.to_numpy().astype(np.int64) * b.num_rows + back[row], return_counts=True)
-            term, row = np.divmod(pair, b.num_rows)
-            row = order[row]
-            ord_, dl = b.column("ord").to_numpy()[row], b.column("dl").to_numpy()[row]
-            range_of = ord_ >> range_
-            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (range_of[1:] != range_of[:-1])])
-            lists = lambda v: pa.ListArray.from_arrays(pa.array(np.r_[first, len(term)], pa.int32()), pa.array(v.astype(np.int32)))  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[first])), pa.array(range_of[first]), lists(ord_ - (range_of << range_)), lists(tf), lists(dl)], names=["term", "range", "at", "tf", "dl"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, PACKED):
+                b = whole.slice(lo, PACKED)
+                words = b.column("t").flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                names, n = words.dictionary, b.num_rows
+                bucket = np.array([int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True) % buckets for t in names.cast(pa.binary()).to_pylist()] if buckets > 1 else [0] * len(names), np.int64)
+                ords, dls = b.column("ord").to_numpy(), b.column("dl").to_numpy()
+                order = np.argsort(ords, kind="stable")
+                back = np.empty_like(order)
+                back[order] = np.arange(n)
+                ranges, place = np.unique(ords >> range_, return_inverse=True)
+                row, word = np.repeat(np.arange(n), dls), words.indices.to_numpy().astype(np.int64)
+                key, tf = np.unique(((bucket[word] * len(ranges) + place[row]) * len(names) + word) * n + back[row], return_counts=True)
+                key, row = np.divmod(key, n)
+                row, (outer, word) = order[row], np.divmod(key, len(names))
+                each = _starts(key)  # a term's postings in a range
+                pack = _starts(outer[each])
+                first = each[pack]
+                size = np.diff(np.r_[each, len(key)])
+                bucket_of, range_of = np.divmod(outer[first], len(ranges))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ranges[range_of], pa.int64()), _lists(pack, names.take(pa.array(word[each]))), _lists(pack, size), _lists(first, ords[row] & ((1 << range_) - 1)), _lists(first, tf), _lists(first, dls[row]), pa.array(bucket_of, pa.int32())],
+                    names=["range", "terms", "size", *FLAT, "bucket"],
+                )
 
     return pieces
 
 
+@dataclass
+class Packed:
+    """A batch of packed blocks, laid open: of each term in a row the row, the term and its number of postings; of each posting its term's place and at, tf, dl."""
+
+    row: np.ndarray
+    terms: pa.Array
+    size: np.ndarray
+    flat: dict[str, np.ndarray]
+
+    @staticmethod
+    def of(b: pa.RecordBatch) -> Packed:
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
+        return Packed(row, b.column("terms").flatten(), b.column("size").flatten().to_numpy(), {c: b.column(c).flatten().to_numpy() for c in FLAT if c in b.schema.names})
+
+    def only(self, terms: np.ndarray) -> Packed:
+        """Those of the chosen terms, by their places."""
+        size = self.size[terms].astype(np.int64)
+        before = np.cumsum(self.size, dtype=np.int64) - self.size
+        at = np.arange(size.sum()) + np.repeat(before[terms] - np.cumsum(size) + size, size)
+        return Packed(self.row[terms], self.terms.take(pa.array(terms)), size, {c: v[at] for c, v in self.flat.items()})
+
+    def left(self, rows: pa.ListArray, width: int) -> np.ndarray:
+        """Whether each posting's row is not among ``rows``, the places that go from each packed row's range."""
+        gone = np.zeros((len(rows), width), bool)
+        gone[np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)), rows.flatten().to_numpy()] = True
+        return ~gone[np.repeat(self.row, self.size), self.flat["at"]]
+
+
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's packed rows a thousand at a time."""
+    for lo in range(0, b.num_rows, 1000):
+        yield b.slice(lo, 1000)
+
+
+def _each(packed: DataFrame, terms: list[str] | None = None, columns: tuple[str, ...] = FLAT) -> DataFrame:
+    """Blocks term, range and columns of packed ones, of the given terms or of all: at, tf, dl, or max_tf and min_dl, the greatest count and the least length."""
+    bounds = columns != FLAT
+    kinds = {c: "array<int>" for c in FLAT} | {"max_tf": "int", "min_dl": "int"}
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if terms is None else pa.array(terms, pa.string())
+        for b in (part for whole in batches for part in _parts(whole)):
+            p = Packed.of(b)
+            if wanted is not None:
+                p = p.only(np.flatnonzero(pc.is_in(p.terms.cast(pa.string()), value_set=wanted).to_numpy(zero_copy_only=False)))
+            if not len(p.row):
+                continue
+            first = np.cumsum(p.size) - p.size
+            out = [np.maximum.reduceat(p.flat["tf"], first), np.minimum.reduceat(p.flat["dl"], first)] if bounds else [_lists(first, p.flat[c]) for c in FLAT]
+            yield pa.RecordBatch.from_arrays([p.terms, pa.array(b.column("range").to_numpy()[p.row]), *(x if isinstance(x, pa.Array) else pa.array(x, pa.int32()) for x in out)], names=["term", "range", *columns])
+
+    held = ("tf", "dl") if bounds else FLAT
+    return packed.select("range", "terms", "size", *held).mapInArrow(unpack, "term string, range long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+
+
+def _frequencies(packed: DataFrame) -> DataFrame:
+    """term, df"""
+    return packed.select(F.explode(F.arrays_zip("terms", "size")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.size").alias("df"))
+
+
+def _counted(width: int) -> Callable:
+    """Packed blocks with places that go (gone) to term, n: how many of its postings do."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in _parts(whole)):
+            p = Packed.of(b)
+            if len(p.row):
+                n = np.add.reduceat(~p.left(b.column("gone"), width), np.cumsum(p.size) - p.size, dtype=np.int64)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([p.terms.take(pa.array(at)), pa.array(n[at], pa.int64())], names=["term", "n"])
+
+    return count
+
+
+def _kept(width: int) -> Callable:
+    """Packed blocks without the postings that go."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in _parts(whole)):
+            p = Packed.of(b)
+            if not len(p.row):
+                continue
+            left = p.left(b.column("gone"), width)
+            size = np.add.reduceat(left, np.cumsum(p.size) - p.size, dtype=np.int64)
+            at = np.flatnonzero(size)
+            if not len(at):
+                continue
+            size, row = size[at], p.row[at]
+            pack = _starts(row)
+            first = (np.cumsum(size) - size)[pack]
+            of = lambda c: pa.array(b.column(c).to_numpy()[row[pack]])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([of("range"), _lists(pack, p.terms.take(pa.array(at))), _lists(pack, size), *(_lists(first, p.flat[c][left]) for c in FLAT), of("bucket")], names=["range", "terms", "size", *FLAT, "bucket"])
+
+    return keep
+
+
+def _places(rows: DataFrame, name: str) -> DataFrame:
+    """range, name: the places in a range of rows(ord)."""
+    at = (F.col("ord") - F.shiftleft(F.shiftright("ord", RANGE), RANGE)).cast("int")
+    return rows.groupBy(F.shiftright("ord", RANGE).alias("range")).agg(F.collect_list(at).alias(name))
+
+
 def _best(scored: DataFrame, limit: int) -> DataFrame:
     place = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("bm25_score")))
     return scored.withColumn("_r", place).where(F.col("_r") <= limit).drop("_r")
 
 
 def _by_bucket(rows: DataFrame, path: str) -> None:
-    """Files by bucket, sorted by term within, so that a term's blocks are a few row groups of one folder; a large bucket is split, small ones are joined."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    """Files by bucket; a large bucket is split, small ones are joined."""
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)

@@ -38,7 +38,7 @@ def changed_documents(spark, sf_dir):
 def changed_index(spark, sf_dir) -> Index:
     """The index of all documents after a change of some, a removal of others, and additions: two more segments."""
     fresh, gone = changed_documents(spark, sf_dir)
-    start = served_documents(spark, sf_dir).compacted(scratch(spark, "index"))
+    start = served_documents(spark, sf_dir).branched()
     return start.changed(fresh, F.col("text"), "doc_id").changed(None, key="doc_id", removed=gone)
 
 
