@@ -234,13 +234,15 @@ class Index:
             asked = asked.withColumn("allowed", F.lit(None).cast("array<int>")) if allowed is None else asked.join(_places(allowed, "allowed"), "range")
             asked = asked.withColumn("gone", F.lit(None).cast("array<int>")) if len(self.segments) < 2 else asked.join(_places(self._table("gone"), "gone"), "range", "left")
             asked = stored(asked, "asked")
-            each = _each(blocks.join(asked.select("range"), "range", "left_semi"), asking.terms).select("term", "range", *FLAT)
+            each = held.join(asked.select("range"), "range", "left_semi").select("term", "range", *FLAT)
             return _best(each.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(asking.scores, schema), limit)
 
+        held = _each(blocks, asking.terms)
         if last <= FEW:
             every = F.array(*map(F.lit, range(len(asking.qids)))).cast("array<int>")
             return scored(spark.range(last + 1).select(F.col("id").alias("range"), every.alias("q"), F.transform(every, lambda x: F.lit(0.0)).alias("least")))
-        bounds = stored(_each(blocks, asking.terms, ("max_tf", "min_dl")).groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
+        held = stored(held, "held")  # all blocks are laid open once, and what the questions ask for is read three times
+        bounds = stored(held.select("term", "range", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")).groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
         by_range = lambda pairs: pairs.groupBy("range").agg(F.collect_list(F.struct("q", "least")).alias("p")).select("range", "p.q", "p.least")
         first = stored(top(bounds, ["q"], [F.desc("bound"), F.col("range")], FIRST, "_n").select("q", "range"), "first")
         one = stored(scored(by_range(first.withColumn("least", F.lit(0.0)))), "scored")
@@ -403,7 +405,7 @@ class Packed:
     @staticmethod
     def of(b: pa.RecordBatch) -> Packed:
         row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
-        return Packed(row, b.column("terms").flatten(), b.column("size").flatten().to_numpy(), {c: b.column(c).flatten().to_numpy() for c in FLAT if c in b.schema.names})
+        return Packed(row, b.column("terms").flatten(), b.column("size").flatten().to_numpy(), {c: b.column(c).flatten().to_numpy() for c in FLAT})
 
     def only(self, terms: np.ndarray) -> Packed:
         """Those of the chosen terms, by their places."""
@@ -425,10 +427,8 @@ def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(lo, 1000)
 
 
-def _each(packed: DataFrame, terms: list[str] | None = None, columns: tuple[str, ...] = FLAT) -> DataFrame:
-    """Blocks term, range and columns of packed ones, of the given terms or of all: at, tf, dl, or max_tf and min_dl, the greatest count and the least length."""
-    bounds = columns != FLAT
-    kinds = {c: "array<int>" for c in FLAT} | {"max_tf": "int", "min_dl": "int"}
+def _each(packed: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """Blocks term, range, at, tf, dl of packed ones, of the given terms or of all."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if terms is None else pa.array(terms, pa.string())
@@ -439,11 +439,9 @@ def _each(packed: DataFrame, terms: list[str] | None = None, columns: tuple[str,
             if not len(p.row):
                 continue
             first = np.cumsum(p.size) - p.size
-            out = [np.maximum.reduceat(p.flat["tf"], first), np.minimum.reduceat(p.flat["dl"], first)] if bounds else [_lists(first, p.flat[c]) for c in FLAT]
-            yield pa.RecordBatch.from_arrays([p.terms, pa.array(b.column("range").to_numpy()[p.row]), *(x if isinstance(x, pa.Array) else pa.array(x, pa.int32()) for x in out)], names=["term", "range", *columns])
+            yield pa.RecordBatch.from_arrays([p.terms, pa.array(b.column("range").to_numpy()[p.row]), *(_lists(first, p.flat[c]) for c in FLAT)], names=["term", "range", *FLAT])
 
-    held = ("tf", "dl") if bounds else FLAT
-    return packed.select("range", "terms", "size", *held).mapInArrow(unpack, "term string, range long, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return packed.select("range", "terms", "size", *FLAT).mapInArrow(unpack, "term string, range long, at array<int>, tf array<int>, dl array<int>")
 
 
 def _frequencies(packed: DataFrame) -> DataFrame:

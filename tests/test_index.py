@@ -150,7 +150,7 @@ def test_blocks_of_a_range_are_packed(spark, monkeypatch):
     texts = frame(spark, [(f"k{i:03d}", f"only{i} é中 common") for i in range(128)]).repartition(1)
     index = I.Index.build(texts, F.col("text"))
     packed = spark.read.parquet(f"{index.path}/{index.segments[0].name}/blocks")
-    assert index.buckets == 6 and packed.groupBy("bucket", "range").count().where("count > 1").isEmpty() and packed.count() <= 12
+    assert index.buckets == 4 and packed.groupBy("bucket", "range").count().where("count > 1").isEmpty() and packed.count() <= 8
     terms = packed.select("bucket", F.explode("terms").alias("term"))
     assert terms.where(F.col("bucket") != index.bucket("term")).isEmpty() and terms.distinct().count() == 130
 
