@@ -1,6 +1,7 @@
 """A lexical index in tables, searched without the texts: postings in blocks by term and range of rows, each with a bound of what it can score.
 
-A range's blocks of one bucket are one packed row, since most terms are rare: rows by term would be nearly as many as postings.
+A range's blocks of one bucket are one packed row, since most terms are rare: rows by term would be nearly as many as postings. Postings
+are bytes in it, so they pass between the JVM and Python as a whole and not number by number.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ SLACK = 2e-6
 #: Questions that are scored together, terms of a range that are.
 TOGETHER, TERMS = 1024, 2048
 #: Rows whose tokens are packed together, and how segments are laid out.
-PACKED, LAYOUT = 1 << 14, 2
+PACKED, LAYOUT = 1 << 14, 3
+#: Columns of postings, and the numbers that their bytes hold.
 FLAT = ("at", "tf", "dl")
+NUMBER = np.dtype("<i4")
+#: What parts a row's tokens on their way to the tasks that make blocks.
+BETWEEN = "\0"
 
 
 @dataclass(frozen=True)
@@ -52,7 +57,7 @@ class Index:
     """Segments of an index at path, as one version of its log lists them.
 
     Tables of a segment: docs (ord, key, dl); blocks (bucket, range, terms, size, at, tf, dl), the postings of a bucket's terms in 2**RANGE
-    neighbouring rows, or in a part of them: size has each term's number of postings, which follow each other in at, tf and dl; terms (bucket, term, df), how its
+    neighbouring rows, or in a part of them: size has each term's number of postings, which follow each other in at, tf and dl as bytes (NUMBER); terms (bucket, term, df), how its
     rows change document frequencies, negative where rows go; gone (ord), rows of older segments that it takes away. A segment's name is that of a folder in path, or a whole path. Files of blocks and terms are dealt by bucket, so a search opens those of its terms; the first addition sets how many
     buckets there are.
     """
@@ -112,9 +117,7 @@ class Index:
 
     def postings(self) -> DataFrame:
         """key, dl, term, tf of all rows that are there."""
-        each = _each(self._table("blocks")).select("term", (F.shiftleft("range", RANGE)).alias("_r"), F.explode(F.arrays_zip("at", "tf")).alias("p"))
-        each = each.select((F.col("_r") + F.col("p.at")).alias("ord"), "term", F.col("p.tf").cast("long").alias("tf"))
-        return self.docs.join(each, "ord").select("key", "dl", "term", "tf")
+        return self.docs.join(_postings(self._table("blocks"), RANGE), "ord").select("key", "dl", "term", "tf")
 
     def changed(self, fresh: DataFrame | None, text: Column | None = None, key: str = "chunk_id", removed: DataFrame | None = None) -> Index:
         """The index with fresh rows in the place of those of their keys, and without the keys of ``removed``: one more segment, one more version.
@@ -132,6 +135,7 @@ class Index:
             self._table("blocks", ()).write.parquet(f"{self.path}/{name}/blocks")
         else:
             each = fresh.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), self.tokenize(text).alias("t"))
+            each = each.select("key", F.size("t").alias("dl"), F.array_join("t", BETWEEN).alias("t"))
             each = stored(each.withColumn("id", F.monotonically_increasing_id()), "tokens")  # texts are split once
             parts = sorted((r.p, r.n) for r in each.groupBy(F.shiftright("id", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task
             before, offsets = base, []
@@ -139,7 +143,7 @@ class Index:
                 offsets.append((p, before - (p << 33)))
                 before += n
             off = spark.createDataFrame(offsets or [(0, 0)], "_p long, _o long")
-            numbered = each.join(F.broadcast(off), F.shiftright("id", 33) == F.col("_p")).select("key", "t", F.size("t").alias("dl"), (F.col("id") + F.col("_o")).alias("ord"))
+            numbered = each.join(F.broadcast(off), F.shiftright("id", 33) == F.col("_p")).select("key", "t", "dl", (F.col("id") + F.col("_o")).alias("ord"))
             docs = numbered.select("ord", "key", F.col("dl").cast("long").alias("dl"))
             docs.write.parquet(f"{self.path}/{name}/docs")
             made = spark.read.schema("ord long, dl long").parquet(f"{self.path}/{name}/docs").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("t")).first()
@@ -172,7 +176,7 @@ class Index:
         return self.docs.join(reduce(DataFrame.unionByName, keys).distinct(), "key", "left_semi").select("ord", "dl") if keys else self.docs.where("false").select("ord", "dl")
 
     def _blocks(self, rows: DataFrame, path: str) -> None:
-        """Blocks of rows(ord, dl, t: tokens): a task makes those of the rows that it has, and only they are dealt, by bucket, so no token
+        """Blocks of rows(ord, dl, t: tokens, joined): a task makes those of the rows that it has, and only they are dealt, by bucket, so no token
         travels alone. A range that lies in two batches of a task, or in two tasks, has two blocks of a term, which sum up in all that reads them."""
         _by_bucket(rows.select("ord", "dl", "t").mapInArrow(_pieces(RANGE, max(1, self.buckets)), f"{BLOCKS}, bucket int"), path)
 
@@ -242,7 +246,7 @@ class Index:
             every = F.array(*map(F.lit, range(len(asking.qids)))).cast("array<int>")
             return scored(spark.range(last + 1).select(F.col("id").alias("range"), every.alias("q"), F.transform(every, lambda x: F.lit(0.0)).alias("least")))
         held = stored(held, "held")  # all blocks are laid open once, and what the questions ask for is read three times
-        bounds = stored(held.select("term", "range", F.array_max("tf").alias("max_tf"), F.array_min("dl").alias("min_dl")).groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
+        bounds = stored(held.select("term", "range", "max_tf", "min_dl").groupBy("range").applyInArrow(asking.bounds, "q int, range long, bound double"), "bounds")
         by_range = lambda pairs: pairs.groupBy("range").agg(F.collect_list(F.struct("q", "least")).alias("p")).select("range", "p.q", "p.least")
         first = stored(top(bounds, ["q"], [F.desc("bound"), F.col("range")], FIRST, "_n").select("q", "range"), "first")
         one = stored(scored(by_range(first.withColumn("least", F.lit(0.0)))), "scored")
@@ -319,9 +323,9 @@ class Asking:
             q, out = np.array(row["q"], np.int64), np.zeros((len(row["q"]), width))
             for lo in range(0, len(blocks), TERMS):
                 some = blocks.slice(lo, TERMS)
-                flat = {c: pc.list_flatten(some[c]).to_numpy() for c in ("at", "tf", "dl")}
+                flat = {c: _numbers(some[c].combine_chunks()) for c in FLAT}
                 part = np.zeros((len(some), width))
-                part[np.repeat(np.arange(len(some)), pc.list_value_length(some["at"]).to_numpy()), flat["at"]] = self.part(flat["tf"].astype(float), flat["dl"].astype(float))
+                part[np.repeat(np.arange(len(some)), pc.binary_length(some["at"]).to_numpy() // NUMBER.itemsize), flat["at"]] = self.part(flat["tf"].astype(float), flat["dl"].astype(float))
                 out += self.matrix(some["term"].to_pylist(), place)[:, q].T @ part
             out = np.round(out, 6)
             if row["allowed"] is not None:
@@ -341,7 +345,22 @@ class Asking:
 
 
 #: Columns of packed blocks, but for the bucket, by which their files are dealt.
-BLOCKS = "range long, terms array<string>, size array<int>, at array<int>, tf array<int>, dl array<int>"
+BLOCKS = "range long, terms array<string>, size array<int>, at binary, tf binary, dl binary"
+
+
+def _numbers(packed: pa.BinaryArray) -> np.ndarray:
+    """The numbers of all rows, one after another."""
+    data = packed.buffers()[2]
+    if not len(packed) or data is None:
+        return np.zeros(0, NUMBER)
+    off = np.frombuffer(packed.buffers()[1], np.int64 if pa.types.is_large_binary(packed.type) else np.int32)
+    return np.frombuffer(data, np.uint8)[off[packed.offset] : off[packed.offset + len(packed)]].view(NUMBER)
+
+
+def _bytes(first: np.ndarray, values: np.ndarray) -> pa.BinaryArray:
+    """_lists of numbers, as bytes."""
+    off = (np.r_[first, len(values)] * NUMBER.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values, NUMBER))])
 
 
 def _lists(first: np.ndarray, values: pa.Array | np.ndarray) -> pa.ListArray:
@@ -366,9 +385,12 @@ def _pieces(range_: int, buckets: int) -> Callable:
         for whole in batches:
             for lo in range(0, whole.num_rows, PACKED):
                 b = whole.slice(lo, PACKED)
-                words = b.column("t").flatten().dictionary_encode()
-                if not len(words):
+                b = b.filter(pc.greater(b.column("dl"), 0))
+                if not b.num_rows:
                     continue
+                words = pc.split_pattern(b.column("t"), BETWEEN).flatten().dictionary_encode()
+                if len(words) != pc.sum(b.column("dl")).as_py():
+                    raise ValueError("a token is null or holds U+0000, which parts tokens")
                 names, n = words.dictionary, b.num_rows
                 bucket = np.array([int.from_bytes(xxhash.xxh64_digest(t, 42), "big", signed=True) % buckets for t in names.cast(pa.binary()).to_pylist()] if buckets > 1 else [0] * len(names), np.int64)
                 ords, dls = b.column("ord").to_numpy(), b.column("dl").to_numpy()
@@ -386,7 +408,7 @@ def _pieces(range_: int, buckets: int) -> Callable:
                 size = np.diff(np.r_[each, len(key)])
                 bucket_of, range_of = np.divmod(outer[first], len(ranges))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ranges[range_of], pa.int64()), _lists(pack, names.take(pa.array(word[each]))), _lists(pack, size), _lists(first, ords[row] & ((1 << range_) - 1)), _lists(first, tf), _lists(first, dls[row]), pa.array(bucket_of, pa.int32())],
+                    [pa.array(ranges[range_of], pa.int64()), _lists(pack, names.take(pa.array(word[each]))), _lists(pack, size), _bytes(first, ords[row] & ((1 << range_) - 1)), _bytes(first, tf), _bytes(first, dls[row]), pa.array(bucket_of, pa.int32())],
                     names=["range", "terms", "size", *FLAT, "bucket"],
                 )
 
@@ -405,7 +427,7 @@ class Packed:
     @staticmethod
     def of(b: pa.RecordBatch) -> Packed:
         row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column("terms")).to_numpy(zero_copy_only=False))
-        return Packed(row, b.column("terms").flatten(), b.column("size").flatten().to_numpy(), {c: b.column(c).flatten().to_numpy() for c in FLAT})
+        return Packed(row, b.column("terms").flatten(), b.column("size").flatten().to_numpy(), {c: _numbers(b.column(c)) for c in FLAT})
 
     def only(self, terms: np.ndarray) -> Packed:
         """Those of the chosen terms, by their places."""
@@ -427,21 +449,34 @@ def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(lo, 1000)
 
 
-def _each(packed: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """Blocks term, range, at, tf, dl of packed ones, of the given terms or of all."""
+def _each(packed: DataFrame, terms: list[str]) -> DataFrame:
+    """Blocks term, range, max_tf, min_dl, at, tf, dl of packed ones, of the given terms."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = None if terms is None else pa.array(terms, pa.string())
+        wanted = pa.array(terms, pa.string())
         for b in (part for whole in batches for part in _parts(whole)):
             p = Packed.of(b)
-            if wanted is not None:
-                p = p.only(np.flatnonzero(pc.is_in(p.terms.cast(pa.string()), value_set=wanted).to_numpy(zero_copy_only=False)))
+            p = p.only(np.flatnonzero(pc.is_in(p.terms.cast(pa.string()), value_set=wanted).to_numpy(zero_copy_only=False)))
             if not len(p.row):
                 continue
             first = np.cumsum(p.size) - p.size
-            yield pa.RecordBatch.from_arrays([p.terms, pa.array(b.column("range").to_numpy()[p.row]), *(_lists(first, p.flat[c]) for c in FLAT)], names=["term", "range", *FLAT])
+            bound = [pa.array(np.maximum.reduceat(p.flat["tf"], first), pa.int32()), pa.array(np.minimum.reduceat(p.flat["dl"], first), pa.int32())]
+            yield pa.RecordBatch.from_arrays([p.terms, pa.array(b.column("range").to_numpy()[p.row]), *bound, *(_bytes(first, p.flat[c]) for c in FLAT)], names=["term", "range", "max_tf", "min_dl", *FLAT])
+
+    return packed.select("range", "terms", "size", *FLAT).mapInArrow(unpack, "term string, range long, max_tf int, min_dl int, at binary, tf binary, dl binary")
+
+
+def _postings(packed: DataFrame, range_: int) -> DataFrame:
+    """ord, term, tf of all postings."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in _parts(whole)):
+            p = Packed.of(b)
+            base = np.repeat(b.column("range").to_numpy()[p.row] << range_, p.size)
+            terms = p.terms.take(pa.array(np.repeat(np.arange(len(p.row)), p.size)))
+            yield pa.RecordBatch.from_arrays([pa.array(base + p.flat["at"], pa.int64()), terms, pa.array(p.flat["tf"], pa.int64())], names=["ord", "term", "tf"])
 
-    return packed.select("range", "terms", "size", *FLAT).mapInArrow(unpack, "term string, range long, at array<int>, tf array<int>, dl array<int>")
+    return packed.select("range", "terms", "size", *FLAT).mapInArrow(unpack, "ord long, term string, tf long")
 
 
 def _frequencies(packed: DataFrame) -> DataFrame:
@@ -480,7 +515,7 @@ def _kept(width: int) -> Callable:
             pack = _starts(row)
             first = (np.cumsum(size) - size)[pack]
             of = lambda c: pa.array(b.column(c).to_numpy()[row[pack]])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([of("range"), _lists(pack, p.terms.take(pa.array(at))), _lists(pack, size), *(_lists(first, p.flat[c][left]) for c in FLAT), of("bucket")], names=["range", "terms", "size", *FLAT, "bucket"])
+            yield pa.RecordBatch.from_arrays([of("range"), _lists(pack, p.terms.take(pa.array(at))), _lists(pack, size), *(_bytes(first, p.flat[c][left]) for c in FLAT), of("bucket")], names=["range", "terms", "size", *FLAT, "bucket"])
 
     return keep
 
@@ -498,4 +533,4 @@ def _best(scored: DataFrame, limit: int) -> DataFrame:
 
 def _by_bucket(rows: DataFrame, path: str) -> None:
     """Files by bucket; a large bucket is split, small ones are joined."""
-    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", "bucket").sortWithinPartitions("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(path)
