@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -324,3 +325,33 @@ def test_rows_among_some_numbers_stay_where_they_are(spark, monkeypatch, words):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert ("SortMergeJoin" in plan) == (words == 0)
+
+
+def test_op3_driver_holds_packed_tables_once(spark, monkeypatch):
+    """op3, driver's memory: tables come to the driver packed in 32 bits, stretched by the tasks if that is all that is asked, and the fit's passes send the spelling's counts once."""
+    M, size = lm_scoring, len(lm_scoring.ORDERS) * lm_scoring.SPELL_SLOTS
+    rng = np.random.default_rng(3)
+    counts = np.zeros(2 * size, np.int64)
+    counts[: 3 * M.BLOCK] = rng.integers(0, 5, 3 * M.BLOCK)
+    counts[0] = 2**32 - 1
+    rows = [(b["block"], b["n"]) for batch in M.count_blocks(counts) for b in batch.to_pylist()]
+    parts = spark.createDataFrame([*rows, rows[1]], "block int, n binary")
+    counts[M.BLOCK : 2 * M.BLOCK] *= 2
+    tracemalloc.start()
+    got = M.gathered(parts, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and (got.ravel() == np.minimum(counts, 2**31 - 1)).all()
+    assert (M.gathered(parts, size, stretched=True) == M.counted(counts.reshape(-1, 2))).all()
+    for bit in (0, 1):
+        less = got.astype(np.float32)
+        less[:, bit] -= 1
+        assert (M.spelling_left(got)[:, bit] == M.counted(np.maximum(less, 0))).all()
+    sent, plain = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(getattr(value, "nbytes", None) or len(value)) or plain(self, value))
+    monkeypatch.setattr(M, "PASSES", 3)
+    monkeypatch.setattr(M, "SETTLED", -1e9)
+    start = M.spelling_weights([], got)
+    fitted = M.fitted_weights(spark.createDataFrame([(bytearray(b"ab"),), (bytearray(b"cd"),)], "token binary"), got, start)
+    assert np.allclose(fitted, M.spelling_weights([b"ab", b"cd"], got, 3), atol=1e-5)
+    assert sum(n > 10 << 20 for n in sent) == 1
